@@ -1,11 +1,13 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, sharding, url_lists
+from . import decontamination, fingerprints, packing, sharding, url_lists
 
 QUERIES = {
     "op1_hilbert_shards": sharding.op1_hilbert_shards,
     "op2_winnowing": decontamination.op2_winnowing,
     "op3_temporal_lists": url_lists.op3_temporal_lists,
+    "op5_closed_syncmers": fingerprints.op5_closed_syncmers,
+    "op8_packing": packing.op8_packing,
 }
 
 SQL = {
