@@ -1,16 +1,19 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, fingerprints, packing, sharding, url_lists
+from . import class_lm, decontamination, fingerprints, line_dedup, packing, sharding, url_lists
 
 QUERIES = {
     "op1_hilbert_shards": sharding.op1_hilbert_shards,
     "op2_winnowing": decontamination.op2_winnowing,
     "op3_temporal_lists": url_lists.op3_temporal_lists,
+    "op4_class_lm": class_lm.op4_class_lm,
     "op5_closed_syncmers": fingerprints.op5_closed_syncmers,
+    "op6_line_runs": line_dedup.op6_line_runs,
     "op8_packing": packing.op8_packing,
 }
 
 SQL = {
     "op2_winnowing": decontamination.OP2_SQL,
     "op3_temporal_lists": url_lists.OP3_SQL,
+    "op6_line_runs": line_dedup.OP6_SQL,
 }
