@@ -7,6 +7,7 @@ least; a monotone queue holds the open starts, so each end costs constant time.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 
@@ -21,7 +22,8 @@ from .common import BYTE_CODE, mix, place, slices, text_bytes
 SENTENCE_PENALTY = 4  # tokens of padding that a cut between two sentences of a document is worth
 FORCED_PENALTY = 12  # the same for a cut inside a sentence
 STEP = 32  # tokens between the places inside a longer sentence where it may be cut
-KNOWN_CHUNKS = 1_000_000  # chunks whose ids a worker keeps, at most
+SLOTS = 1 << 21  # of the table of chunks whose ids a worker keeps
+KNOWN_IDS = 12_000_000  # ids it keeps, at most; then it starts anew
 
 #: White space beyond ASCII, or the special token: such texts are encoded as one piece.
 _WHOLE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]|<\\|endoftext\\|>"
@@ -32,70 +34,106 @@ _STOP[[33, 46, 63]] = True  # ! . ?
 
 
 class Encoder:
-    """Token ids of many texts. The pre-tokenizer never joins what stands on both sides of the start of a run of spaces, so texts fall into chunks there and each distinct chunk is encoded once."""
+    """Token ids of many texts. The byte-level pre-tokenizer never joins what stands on both sides of the start of a run of spaces, so texts fall into chunks there and each distinct chunk is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(self.tokenizer.to_str())
+        split = kind["pre_tokenizer"] or {}
+        self.chunked = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not kind["normalizer"]
+        self.mark = self.tokenizer.encode("\r", add_special_tokens=False).ids
+        self.chunked = self.chunked and len(self.mark) == 1
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.hash = np.zeros(SLOTS, np.uint64)  # of the chunk last put into each slot
+        self.begin = np.zeros(SLOTS, np.int64)
+        self.size = np.zeros(SLOTS, np.int32)
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.filled = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, fresh: np.ndarray, texts: list[str]) -> None:
-        if len(self.known) + len(fresh) > KNOWN_CHUNKS:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_chunks(self, chunks: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after the other, and how many each has. Plain ones, with no more than one space in front, keep their ids in a row of chunks with a carriage return before each."""
+        size = np.zeros(len(chunks), np.int64)
+        parts = {}
+        at = np.flatnonzero(plain)
+        for x in range(0, len(at), 50_000):
+            some = at[x : x + 50_000]
+            row = np.array(self.tokenizer.encode_batch_fast(["\r" + "\r".join([chunks[i] for i in some.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.append(np.flatnonzero(row == self.mark[0]), len(row))
+            size[some] = np.diff(marks) - 1
+            parts[x] = row[row != self.mark[0]]
+        rest = np.flatnonzero(~plain)
+        other = self.encode([chunks[i] for i in rest.tolist()])
+        size[rest] = [len(x) for x in other]
+        begin = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.uint32)
+        out[_spread(begin[at], size[at])] = np.concatenate(list(parts.values())) if parts else 0
+        out[_spread(begin[rest], size[rest])] = [i for x in other for i in x]
+        return out, size
+
+    def lookup(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each chunk begin in self.ids, and how many there are."""
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        begin, size = self.begin[slot], self.size[slot].astype(np.int64)
+        miss = np.flatnonzero(self.hash[slot] != h)
+        if not len(miss):
+            return begin, size
+        fresh, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
+        at = miss[at]
+        a, b = start[at], end[at]
+        head = _SPACE[data[a]]
+        second = np.zeros(len(a), bool)
+        longer = b - a > 1
+        second[longer] = _SPACE[data[a[longer] + 1]]
+        plain = ~(head & second) & ~(head & ~longer)
+        raw = data.tobytes()
+        chunks = [raw[x:y].decode("utf-8") for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        if 13 in data:
+            plain &= np.array(["\r" not in c for c in chunks])
+        ids, n = self.encode_chunks(chunks, plain)
+        if self.filled + len(ids) > KNOWN_IDS:
             self.forget()
-        ids = self.encode(texts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
-        known = np.concatenate([self.known, fresh])
-        order = np.argsort(known)
-        self.known, self.begin, self.size = known[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+            return self.lookup(h, start, end, data)
+        if self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), np.uint32)])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        where = self.filled + np.cumsum(n) - n
+        self.filled += len(ids)
+        spot = (fresh & np.uint64(SLOTS - 1)).astype(np.int64)
+        self.hash[spot], self.begin[spot], self.size[spot] = fresh, where, n
+        begin[miss], size[miss] = where[back], n[back]
+        return begin, size
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, each text's id count, and the places between ids (as counts of ids before) where a sentence ends."""
-        odd = np.asarray(pc.fill_null(pc.match_substring_regex(column, _WHOLE), False))
+        odd = np.asarray(pc.fill_null(pc.match_substring_regex(column, _WHOLE), False)) if self.chunked else np.ones(len(column), bool)
         apart = {}
         if odd.any():
             rows = np.flatnonzero(odd)
-            apart = dict(zip(rows.tolist(), self.encode(column.take(pa.array(rows)).to_pylist()), strict=True))
+            apart = dict(zip(rows.tolist(), self.encode([t or "" for t in column.take(pa.array(rows)).to_pylist()]), strict=True))
             column = pc.if_else(pa.array(odd), "", column)
         data, offsets = text_bytes(column)
         rows = len(offsets) - 1
-        space = _SPACE[data]
-        before = np.zeros(len(data), bool)
-        before[1:] = space[:-1]
-        begins = space & ~before
+        begins = _SPACE[data]
+        begins[1:] &= ~begins[:-1]
         firsts = offsets[:-1][np.diff(offsets) > 0]
         begins[firsts] = True
         start = np.flatnonzero(begins)
         if len(start):
             end = np.append(start[1:], len(data))
             length = end - start
-            within = np.arange(len(data), dtype=np.int64) - np.repeat(start, length)
-            h = mix(np.add.reduceat(BYTE_CODE[data] * place(int(length.max()))[within], start) ^ length.astype(np.uint64))
-            distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-            spot = np.searchsorted(self.known, distinct)
-            new = spot >= len(self.known)
-            new[~new] = self.known[spot[~new]] != distinct[~new]
-            if new.any():
-                raw = data.tobytes()
-                if len(self.known) + int(new.sum()) > KNOWN_CHUNKS:
-                    self.forget()
-                    new[:] = True
-                which = at[new]
-                self.learn(distinct[new], [raw[a:b].decode("utf-8") for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)])
-            spot = np.searchsorted(self.known, distinct)
-            size, begin = self.size[spot][back], self.begin[spot][back]
-            row = np.searchsorted(offsets, start, "right") - 1
+            within = np.arange(len(data), dtype=np.int32) - np.repeat(start.astype(np.int32), length)
+            value = BYTE_CODE[data]
+            value *= place(int(length.max()))[within]
+            h = mix(np.add.reduceat(value, start) ^ length.astype(np.uint64))
+            begin, size = self.lookup(h, start, end, data)
+            row = np.repeat(np.arange(rows), np.diff(np.searchsorted(start, offsets)))
             closed = np.zeros(len(start), bool)  # a sentence ends before this chunk
             inner = start > offsets[row]
             closed[inner] = _STOP[data[start[inner] - 1]] | (data[start[inner]] == 10)
@@ -111,18 +149,18 @@ class Encoder:
         first_chunk = np.searchsorted(row, np.arange(rows), "left")
         chunk_base = np.append(chunk_at, size.sum())[first_chunk]
         out = np.zeros(int(total.sum()), np.uint32)
-        if len(row):
-            to = text_at[row] + chunk_at - chunk_base[row]
-            n = int(size.sum())
-            step = np.arange(n) - np.repeat(chunk_at, size)
-            out[np.repeat(to, size) + step] = self.ids[np.repeat(begin, size) + step]
-        else:
-            to = np.zeros(0, np.int64)
+        to = text_at[row] + chunk_at - chunk_base[row]
+        out[_spread(to, size)] = self.ids[_spread(begin, size)]
         for r, ids in apart.items():
             out[text_at[r] : text_at[r] + len(ids)] = ids
         return out, total, to[closed]
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0]+1, ... (size[0] numbers), then the same for the next."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 def cut_places(places: np.ndarray, penalty: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The given places, and more where neighbours lie further apart than a step, which is at most a window."""
     step = min(STEP, window)
@@ -224,7 +262,7 @@ def _pack(path: str, window: int, with_ids: bool):
             penalty = np.concatenate([[0], penalty[later]])
             rest = rest[end:]
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             doc_type = batch.schema.field("doc_id").type
             ids, total, sentences = encoder(batch.column("text"))
             shift = len(rest)
@@ -252,7 +290,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, with_ids: bool = T
     window can be far from full. A window holds at most `window` ids. Null and
     empty texts are one id 0. Repeated rows and null doc_ids are packed like
     others; other columns are ignored. The optimum is found for runs of about
-    4 MB of text; the last two windows of a run are solved anew with the next.
+    2 MB of text; the last two windows of a run are solved anew with the next.
     Padding is counted up to `window`; a window that ends at a power of two
     needs none, so it never counts as less than it is.
     """
