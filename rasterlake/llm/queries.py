@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import class_lm, decontamination, fingerprints, line_dedup, packing, sharding, url_lists
+from . import class_lm, decontamination, fingerprints, line_dedup, packing, sharding, toxicity, url_lists
 
 QUERIES = {
     "op1_hilbert_shards": sharding.op1_hilbert_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_closed_syncmers": fingerprints.op5_closed_syncmers,
     "op6_line_runs": line_dedup.op6_line_runs,
     "op8_packing": packing.op8_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 SQL = {
