@@ -95,7 +95,7 @@ def _document_rows(spans: list[int], bits: np.ndarray):
             ctx = [c for p in parts for c in p[4]]
             cands = pa.StructArray.from_arrays([pa.array(column(2, np.uint64).view(np.int64)), pa.array(column(1, np.int32)), pa.array(column(3, np.int32)), pa.array([ctx[i] for i in order], pa.binary())], ["fp", "pos", "span", "ctx"])
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=words.texts))]).astype(np.int32)
-            yield pa.record_batch([batch.column("row_id"), batch.column("doc_id"), pa.array(words.count), pa.ListArray.from_arrays(pa.array(ends), cands)], ["row_id", "doc_id", "n_words", "cands"])
+            yield pa.record_batch([batch.column("row_id"), batch.column("doc_id"), batch.column("th"), pa.array(words.count), pa.ListArray.from_arrays(pa.array(ends), cands)], ["row_id", "doc_id", "th", "n_words", "cands"])
 
     return run
 
@@ -125,7 +125,7 @@ def _extend(batches):
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = 13, salts: int = 16) -> DataFrame:
-    """One row per row of docs (doc_id, text): row_id, doc_id, n_words, spans (array of [start, end) in words, merged where they overlap or touch), items (sorted item ids).
+    """One row per row of docs (doc_id, text): row_id, doc_id, th (hash of the text), n_words, spans (array of [start, end) in words, merged where they overlap or touch), items (sorted item ids).
 
     A window is `span` consecutive words of an item, or all words of a shorter
     one. Null and empty texts have no words and no hits. Repeated rows stay and
@@ -145,7 +145,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, salts: int
         yield from _document_rows(spans, shared.value)(batches)
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(run, f"row_id long, doc_id {kind}, n_words long, cands array<struct<fp: long, pos: int, span: int, ctx: binary>>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"row_id long, doc_id {kind}, th long, n_words long, cands array<struct<fp: long, pos: int, span: int, ctx: binary>>")
     rows = materialize(rows, "document-candidates")
     cands = rows.select("row_id", F.explode("cands").alias("c")).select("row_id", "c.*", F.pmod(F.xxhash64("row_id", F.col("c.pos")), F.lit(salts)).cast("int").alias("salt"))
     # Popular fingerprints are dealt over `salts` tasks; each has all items' entries.
@@ -157,8 +157,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, salts: int
         concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))))"""
     merge = merge.replace("array(),", "cast(array() as array<struct<start: bigint, end: bigint>>),", 1)
     hits = hits.select("row_id", "items", F.expr(merge).alias("spans"))
-    out = rows.select("row_id", "doc_id", "n_words").join(hits, "row_id", "left")
-    return out.select("row_id", "doc_id", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    out = rows.select("row_id", "doc_id", "th", "n_words").join(hits, "row_id", "left")
+    return out.select("row_id", "doc_id", "th", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -167,6 +167,14 @@ def verdicts(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without the rows that verdicts() calls contaminated. Columns stay as they are."""
+    bad = verdicts(contamination(docs, items)).where("contaminated").select(F.col("doc_id").alias("k"), F.col("th").alias("kh")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    rows = rows.join(bad, F.col("r.doc_id").eqNullSafe(F.col("k")) & (F.xxhash64("r.text") == F.col("kh")), "left_anti")
+    return rows.select("r.*")
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
