@@ -197,9 +197,9 @@ def _tables(rows: DataFrame, of: np.ndarray, classes: int) -> tuple[np.ndarray,
     """The two tables of _neighbours over all rows: words times classes numbers each, whatever the input."""
     words = len(of)
     shared = rows.sparkSession.sparkContext.broadcast(of)
-    got = rows.select("ids").mapInArrow(_neighbours(shared, words, classes), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.select("ids").mapInArrow(_neighbours(shared, words, classes), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     both = np.zeros(2 * words * classes)
-    both[got["key"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    both[np.asarray(got["key"]).astype(np.int64)] = np.asarray(got["n"])
     return both[: words * classes].reshape(words, classes), both[words * classes :].reshape(words, classes)
 
 
@@ -223,9 +223,10 @@ def score(docs: DataFrame, is_held_out: Column, vocabulary: int = VOCABULARY, cl
     tokens = sum(n * m for n, m in histogram) + texts
     types = sum(m for _, m in histogram) + (texts > 0)
     least_in, least_head = _frequent(counts, histogram, vocabulary), _frequent(counts, histogram, HEAD)
-    head = counts.where(F.col("n") >= least_head).toPandas()  # HEAD rows at most
-    order = np.argsort(head["h"].to_numpy(np.int64).view(np.uint64), kind="stable")
-    h, n = head["h"].to_numpy(np.int64).view(np.uint64)[order], head["n"].to_numpy(np.int64)[order]
+    head = counts.where(F.col("n") >= least_head).toArrow()  # HEAD rows at most
+    h, n = (np.asarray(head[c]).astype(np.int64) for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64), kind="stable")
+    h, n = h.view(np.uint64)[order], n[order]
     clustered = n >= least_in
     ids = np.full(len(h), -1, np.int64)
     by_count = np.lexsort((h[clustered], -n[clustered]))
