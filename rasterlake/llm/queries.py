@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import class_lm, decontamination, fingerprints, jaccard_join, line_dedup, packing, sharding, toxicity, url_lists
+from . import class_lm, decontamination, fingerprints, html_text, jaccard_join, line_dedup, packing, sharding, toxicity, url_lists
 
 QUERIES = {
     "op1_hilbert_shards": sharding.op1_hilbert_shards,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_class_lm": class_lm.op4_class_lm,
     "op5_closed_syncmers": fingerprints.op5_closed_syncmers,
     "op6_line_runs": line_dedup.op6_line_runs,
+    "op7_block_lstm": html_text.op7_block_lstm,
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chosen_path": jaccard_join.op10_chosen_path,
