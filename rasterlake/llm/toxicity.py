@@ -20,55 +20,84 @@ from .class_lm import held_out
 from .common import ALNUM, Words, mix, slices, text_bytes
 
 BUCKETS = 1 << 18  # of hashed features
-TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 2000, 8000, 12_000  # training rows of each label at most, and their characters at most
+TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 1500, 6000, 8000  # training rows of each label at most, and their characters at most
 WINDOW = 32  # tokens of a training sequence
 STRIDE = 64  # tokens of a block of the parallel scan
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 
 
-def feature_keys(words: Words) -> np.ndarray:
-    """(tokens, 7) keys of 64 bits: the word, its first 3 to 6 bytes, its last 3 and 4; 0 where the word is shorter."""
-    n = len(words.start)
+def feature_keys(words: Words, at: np.ndarray | None = None) -> np.ndarray:
+    """(words, 7) keys of 64 bits of all words, or those with the indices `at`: the word, its first 3 to 6 bytes, its last 3 and 4; 0 where the word is shorter."""
+    start, end, h = (x if at is None else x[at] for x in (words.start, words.end, words.hash))
+    n = len(start)
     data = np.concatenate([words.data, np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.sliding_window_view(data, 8)
-    length = words.end - words.start
+    length = end - start
     keys = np.zeros((n, 1 + len(PREFIXES) + len(SUFFIXES)), np.uint64)
-    keys[:, 0] = words.hash
+    keys[:, 0] = h
     if not n:
         return keys
-    head = np.ascontiguousarray(eight[words.start]).view(np.uint64).ravel()
+    head = np.ascontiguousarray(eight[start]).view(np.uint64).ravel()
     column = 1
     for k in PREFIXES:
         keys[:, column] = np.where(length >= k, mix((head & np.uint64((1 << 8 * k) - 1)) ^ mix(np.array([column], np.uint64))[0]), 0)
         column += 1
     for k in SUFFIXES:
-        tail = np.ascontiguousarray(eight[np.maximum(words.end - k, 0)]).view(np.uint64).ravel()
+        tail = np.ascontiguousarray(eight[np.maximum(end - k, 0)]).view(np.uint64).ravel()
         keys[:, column] = np.where(length >= k, mix((tail & np.uint64((1 << 8 * k) - 1)) ^ mix(np.array([column], np.uint64))[0]), 0)
         column += 1
     return keys
 
 
+class Sample:
+    """Tokens of a bounded set of texts: word (index of its type), row, count (tokens of each text); keys of the types."""
+
+    def __init__(self, texts: pa.Table):
+        kinds, keys, tokens, counts = [], [], [], []
+        for batch in slices(texts.to_batches(), "text", 2 << 20):
+            words = Words(*text_bytes(batch.column("text")), ALNUM)
+            kind, first = np.unique(words.hash, return_index=True)
+            kinds.append(kind)
+            keys.append(feature_keys(words, first))
+            tokens.append(words.hash)
+            counts.append(words.count)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.hash = join(tokens, np.uint64)
+        self.count = join(counts, np.int64)
+        self.row = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
+        kind, first = np.unique(join(kinds, np.uint64), return_index=True)
+        self.keys = np.concatenate(keys)[first] if keys else np.zeros((0, 1 + len(PREFIXES) + len(SUFFIXES)), np.uint64)
+        self.word = np.searchsorted(kind, self.hash).astype(np.int32)
+
+    def only(self, rows: np.ndarray) -> None:
+        """Keep some of the texts (a mask)."""
+        tokens = rows[self.row]
+        self.hash, self.word, self.count = self.hash[tokens], self.word[tokens], self.count[rows]
+        self.row = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
+
+
 def _slots(keys: np.ndarray) -> np.ndarray:
     """Weights' indices; BUCKETS is that of no feature."""
     return np.where(keys != 0, keys & np.uint64(BUCKETS - 1), BUCKETS).astype(np.int64)
 
 
-def token_labels(keys: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def token_labels(sample: Sample, toxic: np.ndarray) -> np.ndarray:
     """True for tokens with a word or beginning that toxic documents hold far too often to be chance (log-likelihood ratio over 20, four in five of its documents toxic)."""
-    part = keys[:, : 1 + len(PREFIXES)]
-    rows = np.repeat(row, part.shape[1])
-    flat = part.ravel()
-    rows, flat = rows[flat != 0], flat[flat != 0]
-    key, back = np.unique(flat, return_inverse=True)
-    pair = np.unique(back.astype(np.int64) * len(toxic) + rows)
-    which, doc = pair // len(toxic), pair % len(toxic)
-    a = np.bincount(which, weights=toxic[doc], minlength=len(key))
-    b = np.bincount(which, minlength=len(key)) - a
+    texts = max(1, len(toxic))
+    pair = np.unique(sample.word.astype(np.int64) * texts + sample.row)
+    word, doc = pair // texts, pair % texts
     share = toxic.mean()
     part_log = lambda x, y: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(y, 1e-9)), 0.0)
-    ratio = 2 * (part_log(a, (a + b) * share) + part_log(b, (a + b) * (1 - share)))
-    marked = key[(a >= 3) & (a >= 0.8 * (a + b)) & (ratio > 20)]
-    return np.isin(part, marked).any(axis=1) if len(marked) else np.zeros(len(part), bool)
+    hot = np.zeros(len(sample.keys), bool)
+    for column in range(1 + len(PREFIXES)):
+        key, back = np.unique(sample.keys[:, column], return_inverse=True)
+        seen = np.unique(back[word].astype(np.int64) * texts + doc)
+        which, where = seen // texts, seen % texts
+        a = np.bincount(which, weights=toxic[where], minlength=len(key))
+        b = np.bincount(which, minlength=len(key)) - a
+        ratio = 2 * (part_log(a, (a + b) * share) + part_log(b, (a + b) * (1 - share)))
+        hot |= ((a >= 3) & (a >= 0.8 * (a + b)) & (ratio > 20) & (key != 0))[back]
+    return hot[sample.word]
 
 
 @dataclass
@@ -103,9 +132,10 @@ def _batch_marginals(e: np.ndarray, crf: Crf) -> tuple[np.ndarray, np.ndarray, n
     return odds / (1 + odds), both.sum(axis=(1, 2)).reshape(2, 2), both
 
 
-def train_crf(keys: np.ndarray, labels: np.ndarray, row: np.ndarray, rounds: int = 6, seed: int = 0) -> Crf:
+def train_crf(sample: Sample, labels: np.ndarray, rounds: int = 6, seed: int = 0) -> Crf:
     """Adagrad on the log-likelihood of windows of WINDOW tokens, with all toxic windows and as many clean ones up to twice."""
     rng = np.random.default_rng(seed)
+    row = sample.row
     whole = len(row) // WINDOW
     windows = np.arange(whole * WINDOW).reshape(whole, WINDOW)
     windows = windows[row[windows[:, 0]] == row[windows[:, -1]]]
@@ -115,13 +145,13 @@ def train_crf(keys: np.ndarray, labels: np.ndarray, row: np.ndarray, rounds: int
     hot = labels[windows].any(axis=1)
     cold = np.flatnonzero(~hot)
     windows = windows[np.concatenate([np.flatnonzero(hot), rng.permutation(cold)[: max(4000, 2 * int(hot.sum()))]])]
-    slots = _slots(keys)
+    slots = _slots(sample.keys)
     square, small = np.full(BUCKETS + 1, 1e-6), np.full(6, 1e-6)
     for _ in range(rounds):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), 256):
             some = windows[order[at : at + 256]]
-            index = slots[some]
+            index = slots[sample.word[some]]
             e = np.clip(crf.weights[index].sum(axis=2) + crf.bias, -30, 30)
             y = labels[some].astype(float)
             p, pairs, _ = _batch_marginals(e, crf)
@@ -201,13 +231,13 @@ def marginals(e: np.ndarray, count: np.ndarray, crf: Crf) -> np.ndarray:
     return odds / (1 + odds)
 
 
-def _summary(p: np.ndarray, words: Words) -> np.ndarray:
+def _summary(p: np.ndarray, row: np.ndarray, texts: int) -> np.ndarray:
     """(texts, 4): 1, log of 1 plus the sum of squared marginals, the largest marginal, log of 1 plus the tokens over a half."""
-    out = np.zeros((words.texts, 4))
+    out = np.zeros((texts, 4))
     out[:, 0] = 1
-    out[:, 1] = np.log1p(np.bincount(words.row, weights=p * p, minlength=words.texts))
-    np.maximum.at(out[:, 2], words.row, p)
-    out[:, 3] = np.log1p(np.bincount(words.row, weights=p > 0.5, minlength=words.texts))
+    out[:, 1] = np.log1p(np.bincount(row, weights=p * p, minlength=texts))
+    np.maximum.at(out[:, 2], row, p)
+    out[:, 3] = np.log1p(np.bincount(row, weights=p > 0.5, minlength=texts))
     return out
 
 
@@ -220,50 +250,52 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def distinct_texts(words: Words) -> np.ndarray:
+def distinct_texts(sample: Sample) -> np.ndarray:
     """True for texts that are no near copy of an earlier one: no pair of smallest word hashes (three pairs, by other seeds) is shared. Copies would make the words of one text look frequent."""
-    keep = np.ones(words.texts, bool)
-    full = np.flatnonzero(words.count)
+    texts = len(sample.count)
+    keep = np.ones(texts, bool)
+    full = np.flatnonzero(sample.count)
+    first = (np.cumsum(sample.count) - sample.count)[full]
     for seed in range(3):
-        pair = np.zeros((words.texts, 2), np.uint64)
+        pair = np.zeros((texts, 2), np.uint64)
         for side in range(2):
-            pair[full, side] = np.minimum.reduceat(mix(words.hash ^ mix(np.array([2 * seed + side], np.uint64))[0]), words.first[full])
-        _, first = np.unique(mix(pair[:, 0]) ^ pair[:, 1], return_index=True)
-        once = np.zeros(words.texts, bool)
-        once[first] = True
+            if len(full):
+                pair[full, side] = np.minimum.reduceat(mix(sample.hash ^ mix(np.array([2 * seed + side], np.uint64))[0]), first)
+        _, at = np.unique(mix(pair[:, 0]) ^ pair[:, 1], return_index=True)
+        once = np.zeros(texts, bool)
+        once[at] = True
         keep &= once
     return keep
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Crf:
-    """A model from whole texts and their labels (0 or 1). With only one label, or no rows, it tells nothing: all scores are the label's share."""
+def fit(rows: pa.Table) -> Crf:
+    """A model from whole texts (text) and their labels (toxic, 0 or 1). With only one label, or no rows, it tells nothing: all scores are the label's share."""
+    toxic = np.asarray(rows["toxic"]).astype(np.int64)
     share = float(toxic.mean()) if len(toxic) else 0.0
     crf = Crf(np.zeros(BUCKETS + 1), -3.0, -1.0, np.zeros((2, 2)), np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0, 0.0]))
     if not 0 < share < 1:
         return crf
-    words = Words(*text_bytes(pa.array(texts, pa.large_string())), ALNUM)
-    if not len(words.row):
-        return crf
-    fresh = distinct_texts(words)
+    sample = Sample(rows)
+    fresh = distinct_texts(sample)
     if 0 < toxic[fresh].mean() < 1:
-        texts, toxic = [t for t, f in zip(texts, fresh, strict=True) if f], toxic[fresh]
-        words = Words(*text_bytes(pa.array(texts, pa.large_string())), ALNUM)
-    keys = feature_keys(words)
-    labels = token_labels(keys, words.row, toxic.astype(float))
-    crf = train_crf(keys, labels, words.row)
-    crf.document = _logistic(_summary(marginals(crf.emission(keys), words.count, crf), words), toxic.astype(float))
+        sample.only(fresh)
+        toxic = toxic[fresh]
+    if not len(sample.row):
+        return crf
+    labels = token_labels(sample, toxic.astype(float))
+    crf = train_crf(sample, labels)
+    p = marginals(crf.emission(sample.keys)[sample.word], sample.count, crf)
+    crf.document = _logistic(_summary(p, sample.row, len(sample.count)), toxic.astype(float))
     return crf
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, is_held_out: Column) -> tuple[list[str], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, is_held_out: Column) -> pa.Table:
     """The bounded sample: TOXIC_SAMPLE and CLEAN_SAMPLE labelled ids, first by hash, whose texts have at most LONGEST characters."""
     known = labels.where(~is_held_out & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     pick = lambda value, most: known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     picked = pick(1, TOXIC_SAMPLE).unionAll(pick(0, CLEAN_SAMPLE))
     rows = docs.select("doc_id", "text").where((F.length("text") <= LONGEST) & (F.length("text") > 0)).join(F.broadcast(picked), "doc_id")
-    got = rows.select("text", "toxic").limit(2 * (TOXIC_SAMPLE + CLEAN_SAMPLE)).toPandas()
-    order = got["text"].argsort(kind="stable").to_numpy() if len(got) else []
-    return got["text"].iloc[order].tolist(), got["toxic"].iloc[order].to_numpy(np.int64)
+    return rows.select("text", "toxic").limit(2 * (TOXIC_SAMPLE + CLEAN_SAMPLE)).toArrow().sort_by([("text", "ascending"), ("toxic", "ascending")])
 
 
 def _apply(shared, carry: list[str]):
@@ -273,7 +305,7 @@ def _apply(shared, carry: list[str]):
             data, offsets = text_bytes(batch.column("text"))
             words = Words(data, offsets, ALNUM)
             p = marginals(crf.emission(feature_keys(words)), words.count, crf)
-            score = 1 / (1 + np.exp(-np.clip(_summary(p, words) @ crf.document, -30, 30)))
+            score = 1 / (1 + np.exp(-np.clip(_summary(p, words.row, words.texts) @ crf.document, -30, 30)))
             hot = np.flatnonzero(p > 0.5)
             letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
             zero = letters[offsets[words.row[hot]]]
@@ -293,7 +325,7 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column, carry: list[s
     """
     docs = docs.drop("toxic_score", "toxic_spans")
     carry = carry or docs.columns
-    crf = fit(*training_rows(docs, labels, is_held_out))
+    crf = fit(training_rows(docs, labels, is_held_out))
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     schema = docs.select(*carry).schema.add("toxic_score", "double").add("toxic_spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("p", "double")))
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(_apply(shared, carry), schema)
