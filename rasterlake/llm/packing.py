@@ -29,12 +29,17 @@ KNOWN_IDS = 12_000_000  # ids it keeps, at most; then it starts anew
 _WHOLE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]|<\\|endoftext\\|>"
 _SPACE = np.zeros(256, bool)
 _SPACE[9:14] = _SPACE[32] = True
+_LETTER = np.zeros(256, bool)  # ASCII letters and digits, and what never joins them
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[33:48] = _SIGN[58:65] = _SIGN[91:97] = _SIGN[123:127] = True
+_SIGN[39] = False  # an apostrophe can begin a contraction
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True  # ! . ?
 
 
 class Encoder:
-    """Token ids of many texts. The byte-level pre-tokenizer never joins what stands on both sides of the start of a run of spaces, so texts fall into chunks there and each distinct chunk is encoded once."""
+    """Token ids of many texts. The byte-level pre-tokenizer never joins what stands on both sides of the start of a run of spaces, or an ASCII letter or digit and a sign but the apostrophe, so texts fall into chunks there and each distinct chunk is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -122,6 +127,7 @@ class Encoder:
         rows = len(offsets) - 1
         begins = _SPACE[data]
         begins[1:] &= ~begins[:-1]
+        begins[1:] |= _SIGN[data[1:]] & _LETTER[data[:-1]]
         firsts = offsets[:-1][np.diff(offsets) > 0]
         begins[firsts] = True
         start = np.flatnonzero(begins)
