@@ -210,37 +210,68 @@ def frost(p: Product, band: str, h: int = 1, damping: float = 2.0) -> Product:
     return tiled(p, band, h, work)
 
 
-def refined_lee(p: Product, band: str) -> Product:
-    """Lee filter on the half of each 7x7 box that lies along its strongest edge; noise from the five smallest of nine normalised variances. Beyond the border values are missing and left out."""
-    yy, xx = np.mgrid[-3:4, -3:4]
-    halves = np.stack([xx >= 0, xx + yy <= 0, yy <= 0, xx - yy <= 0, xx <= 0, xx + yy >= 0, yy >= 0, xx - yy >= 0]).reshape(8, 49)
-    starts = (0, 2, 4)
+def refined_lee(p: Product, band: str, edge_threshold: float = 5000.0) -> Product:
+    """Local-statistics filter of 7x7 boxes, on half of the box where it crosses an edge.
+
+    Boxes that reach beyond the border, or whose variance is under the threshold,
+    use all their pixels. Otherwise the strongest difference of opposite 3x3
+    areas gives the edge, and the half on the centre's side is used. Noise is the
+    mean of five low normalised variances of the nine areas (the last whole area
+    takes no part in their order). Where all pixels are equal the result is 0.
+    """
+    rows, columns = np.mgrid[0:7, 0:7]
+    # Halves in the order right, upper right, top, upper left, then their opposites.
+    halves = np.stack([columns >= 3, columns >= rows, rows <= 3, columns + rows <= 6, columns <= 3, columns <= rows, rows >= 3, columns + rows >= 6]).reshape(8, 49)
+    # For each direction: the areas at its two ends, and the halves if the first or the second end is more like the middle.
+    directions = [((1, 0), (1, 2), 4, 0), ((0, 2), (2, 0), 1, 5), ((0, 1), (2, 1), 2, 6), ((0, 0), (2, 2), 3, 7)]
+
+    def noise(areas: np.ndarray) -> np.ndarray:
+        """areas: (height, width, 9 areas, 9 pixels), missing beyond the border."""
+        mean = areas.mean(axis=3)
+        ratio = np.where(mean > 0, areas.var(axis=3, ddof=1) / np.where(mean > 0, mean * mean, 1), 0.0)
+        whole = ~np.isnan(mean)
+        count = whole.sum(axis=2)
+        last = 8 - np.argmax(whole[:, :, ::-1], axis=2)
+        is_last = np.arange(9) == last[:, :, None]
+        head = np.sort(np.where(whole & ~is_last, ratio, np.inf), axis=2)
+        tail = np.where(is_last & whole, ratio, 0.0).sum(axis=2)
+        used = np.minimum(5, count)
+        from_head = np.minimum(used, count - 1)
+        total = np.where(np.arange(9) < from_head[:, :, None], head, 0.0).sum(axis=2) + np.where(used > from_head, tail, 0.0)
+        return total / np.maximum(used, 1)
 
     def work(grid: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
             v = _views(grid, 3)
             boxes = v.reshape(*v.shape[:2], 7, 7)
-            part = np.stack([boxes[:, :, a : a + 3, b : b + 3].reshape(*v.shape[:2], 9) for a in starts for b in starts], axis=2)
-            mean = np.nanmean(part, axis=3)
-            noise = np.sort(np.nanvar(part, axis=3) / (mean * mean), axis=2)[:, :, :5]
-            noise = np.nanmean(noise, axis=2)
-            m = np.nan_to_num(mean).reshape(*v.shape[:2], 3, 3)
-            slopes = np.stack([m[:, :, :, 2].sum(2) - m[:, :, :, 0].sum(2), m[:, :, 0, 1] + m[:, :, 0, 0] + m[:, :, 1, 0] - m[:, :, 1, 2] - m[:, :, 2, 2] - m[:, :, 2, 1], m[:, :, 0].sum(2) - m[:, :, 2].sum(2), m[:, :, 0, 1] + m[:, :, 0, 2] + m[:, :, 1, 2] - m[:, :, 1, 0] - m[:, :, 2, 0] - m[:, :, 2, 1]])
-            way = np.abs(slopes).argmax(axis=0)
-            middle = m[:, :, 1, 1]
-            ends = np.stack([np.stack(x) for x in ((m[:, :, 1, 2], m[:, :, 1, 0]), (m[:, :, 0, 0], m[:, :, 2, 2]), (m[:, :, 0, 1], m[:, :, 2, 1]), (m[:, :, 0, 2], m[:, :, 2, 0]))])
-            first = np.take_along_axis(ends[:, 0], way[None], 0)[0]
-            second = np.take_along_axis(ends[:, 1], way[None], 0)[0]
-            side = np.where(np.abs(first - middle) <= np.abs(second - middle), way, way + 4)
-            part = np.where(halves[side], v, np.nan)
-            mean, var = np.nanmean(part, axis=2), np.nanvar(part, axis=2)
-            signal = np.maximum((var - mean * mean * noise) / (1 + noise), 0)
-            b = np.where(var > 0, signal / np.where(var > 0, var, 1), 0)
-            return mean + b * (v[:, :, 24] - mean)
+            areas = np.stack([boxes[:, :, a : a + 3, b : b + 3].reshape(*v.shape[:2], 9) for a in (0, 2, 4) for b in (0, 2, 4)], axis=2)
+            means = areas.mean(axis=3).reshape(*v.shape[:2], 3, 3)
+            middle = means[:, :, 1, 1]
+            first = np.stack([means[:, :, a[0], a[1]] for a, _, _, _ in directions])
+            second = np.stack([means[:, :, b[0], b[1]] for _, b, _, _ in directions])
+            way = np.nan_to_num(np.abs(first - second)).argmax(axis=0)
+            near_first = np.take_along_axis(np.abs(first - middle) < np.abs(middle - second), way[None], 0)[0]
+            half = np.where(near_first, np.array([d[2] for d in directions])[way], np.array([d[3] for d in directions])[way])
+            inside = ~np.isnan(v)
+            count = inside.sum(axis=2)
+            spread = _part_variance(v, inside)[1]
+            edge = (count == 49) & (spread >= edge_threshold)
+            mean, var = _part_variance(v, inside & (halves[half] | ~edge[:, :, None]))
+            sigma = noise(areas)
+            gain = np.maximum((var - mean * mean * sigma) / (1 + sigma), 0) / np.where(var > 0, var, 1)
+            out = np.where(var == 0, 0.0, mean + gain * (v[:, :, 24] - mean))
+            return np.where(inside[:, :, 24], out, np.nan)
 
     return tiled(p, band, 3, work, mode="constant")
 
 
+def _part_variance(v: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample variance of part of each box."""
+    n = part.sum(axis=2)
+    mean = np.where(part, v, 0.0).sum(axis=2) / n
+    return mean, np.where(part, (v - mean[:, :, None]) ** 2, 0.0).sum(axis=2) / (n - 1)
+
+
 def transect(p: Product, band: str, points: DataFrame, h: int = 1) -> DataFrame:
     """Mean and sample deviation of the box around each point of a path (path_idx, y, x)."""
     around = points.withColumn("dy", F.explode(F.sequence(F.lit(-h), F.lit(h)))).withColumn("dx", F.explode(F.sequence(F.lit(-h), F.lit(h))))
