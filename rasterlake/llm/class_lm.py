@@ -98,7 +98,7 @@ def _encode(lexicon, texts_end: int):
             in_class = ids >= 0
             emission = np.where(in_class, np.log10(np.maximum(n, 1)), np.where(inside, np.log10(np.maximum(n - lex.discount, 1e-9)), 0.0))
             base = np.where(inside, lex.base(n), 0.0)
-            total = lambda x: np.bincount(words.row, weights=x, minlength=words.texts)
+            total = lambda x: np.bincount(words.row, weights=x, minlength=words.texts).astype(float)
             code = np.where(in_class, ids, rare_id).astype(np.uint16)
             raw = code.tobytes()
             at = (2 * words.first).tolist()
