@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import catalogue
 from .functions import band_math as m
-from .operators import clusters, geometry, joins, neighbourhood, pixels, radiometry, statistics
+from .operators import clusters, geometry, joins, neighbourhood, pixels, radiometry, registration, statistics
 from .product import Product, embeddings, product
 
 QUERIES: dict = {}
@@ -594,3 +594,28 @@ def grid_samples(spark, sf_dir):
     """Scattered samples gridded to a sparse two-band product."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("y"), F.col("l_linenumber").cast("long").alias("x")).agg(r6(F.avg("l_quantity"), "quantity"), F.round(F.avg("l_discount"), 9).alias("discount"))
     return product(rows, 0, 0).pixels
+
+
+@query()
+def wind_field(spark, sf_dir):
+    p = intensity(spark, sf_dir)
+    return registration.wind_field(p.with_bands(i=F.col("i") * 0.1), "i", 30.0, 16)
+
+
+@query()
+def gcp_selection(spark, sf_dir):
+    """Control points on a grid, between the raster and itself moved by two lines and a column."""
+    p = embeddings(spark, sf_dir).select("v")
+    q = p.with_pixels(p.pixels.select((F.col("y") + 2).alias("y"), (F.col("x") + 1).alias("x"), "v"))
+    points = geometry.grid(spark, p.height // 32, p.width // 16).select((F.col("y") * 1000 + F.col("x")).alias("point_id"), (F.col("y") * 32 + 16).alias("y"), (F.col("x") * 16 + 8).alias("x"))
+    return registration.ground_control_points(p, q, "v", points, half=8)
+
+
+@query()
+def terrain_correction(spark, sf_dir):
+    """The raster as a slant-range image, on a grid of targets abeam of a straight flight."""
+    p = embeddings(spark, sf_dir).select("v")
+    states = [(float(t), (0.0, 10.0 * t, 5000.0), (0.0, 10.0, 0.0)) for t in range(0, 3000, 10)]
+    targets = p.pixels.select("y", "x", (F.lit(3000.0) + F.col("x") * 10).alias("tx"), (F.col("y") * 10.0).alias("ty"), (F.col("v") * 5).alias("tz"))
+    out = registration.terrain_correction(p, "v", targets, p.height, p.width, states=states, first_line=0.0, line_time=1.0, near_range=5830.0, range_spacing=6.0)
+    return out.pixels

@@ -174,3 +174,44 @@ def test_stores(spark, tmp_path):
         assert np.array_equal(back(q, "b"), cube[1])
     assert [r[0] for r in p.pixels.select(stores.tile_name(p, 4)).distinct().orderBy(F.lit(1)).collect()].__len__() == 4
     assert len(stores.image_rows(p, "v", "v", "v", 0, 16).first()["rgb"]) == 12
+
+
+def test_control_points_and_warp(spark):
+    from rasterlake.operators import registration as r
+
+    rng = np.random.default_rng(4)
+    base = rng.random((70, 70))
+    spectrum = np.fft.fft2(base) * np.exp(-40 * (np.fft.fftfreq(70)[:, None] ** 2 + np.fft.fftfreq(70)[None, :] ** 2))
+    base = np.real(np.fft.ifft2(spectrum)) * 100
+    moved = np.roll(base, (3, -2), axis=(0, 1))
+    points = spark.createDataFrame([(i, y, x) for i, (y, x) in enumerate([(20, 20), (20, 45), (45, 20), (45, 45), (32, 32), (1, 1)])], "point_id long, y long, x long")
+    a, b = raster(spark, base), raster(spark, moved)
+    got = r.ground_control_points(a, b, "v", points, half=12).collect()
+    assert len(got) == 5
+    assert all(abs(g["sy"] - g["y"] - 3) < 0.3 and abs(g["sx"] - g["x"] + 2) < 0.3 for g in got)
+    cx, cy, rms = r.warp_terms(np.array([(g["y"], g["x"], g["sy"], g["sx"]) for g in got], float), 1)
+    assert abs(cx[0] + cx[1] * 30 + cx[2] * 30 - 28) < 0.3 and rms.max() < 0.5
+    out = back(r.coregister(a, b, "v", points, half=12))
+    assert np.nanmean(np.abs(out - base)[10:60, 10:60]) < 0.1 * base.std()
+
+
+def test_range_doppler(spark):
+    from rasterlake.operators import registration as r
+
+    states = [(float(t), (0.0, 100.0 * t, 5000.0), (0.0, 100.0, 0.0)) for t in range(11)]
+    targets = spark.createDataFrame([(0, 0, 3000.0, 250.0, 0.0), (0, 1, 3000.0, 5000.0, 0.0)], "y long, x long, tx double, ty double, tz double")
+    got = r.range_doppler(targets, states, 0.0, 0.01, 5000.0, 10.0).collect()
+    assert len(got) == 1
+    assert got[0]["v"] == pytest.approx(250.5, abs=1e-3) and got[0]["u"] == pytest.approx((34e6**0.5 - 5000) / 10 + 0.5, abs=1e-3)
+
+
+def test_wind(spark):
+    from rasterlake.operators import registration as r
+
+    row = spark.range(1).select(r.backscatter(F.lit(8.0), F.lit(45.0), F.lit(30.0)).alias("s"), r.backscatter(F.lit(8.0), F.lit(0.0), F.lit(30.0)).alias("up"), r.backscatter(F.lit(8.0), F.lit(90.0), F.lit(30.0)).alias("side"))
+    got = row.withColumn("v", r.wind_speed(F.col("s"), F.lit(45.0), F.lit(30.0))).first()
+    assert got["v"] == pytest.approx(8.0) and got["up"] > got["s"] > got["side"] > 0
+    yy, xx = np.mgrid[:32, :32]
+    grid = 0.05 + 0.01 * np.sin(2 * np.pi * xx / 8)  # streaks along y
+    cells = r.wind_field(raster(spark, grid), "v", 30.0, 16).collect()
+    assert len(cells) == 4 and all(abs(c["direction"] - 90) < 1 and 0 < c["speed"] <= 20 for c in cells)
