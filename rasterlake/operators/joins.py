@@ -133,14 +133,19 @@ def bracket(records: DataFrame, samples: DataFrame, time: str, values: list[str]
 
     Records become intervals to the next record, cut at buckets of time, so the
     join is on (by, bucket) and a range test; a sample outside all intervals is
-    left out. Records at the same time: their mean.
+    left out. Records at the same time: their mean. The next record is looked
+    for inside the bucket, and for its last one among the buckets' first ones,
+    so only one row a bucket is ever put in order in one task.
     """
     by = by or []
-    records = records.groupBy(*by, time).agg(*[F.avg(v).alias(v) for v in values])
-    order = Window.partitionBy(*by or [F.lit(0)]).orderBy(time)
-    nxt = F.lead(F.struct(time, *values)).over(order)
-    spans = records.select(*by, F.col(time).alias("t0"), *[F.col(v).alias(f"{v}_0") for v in values], nxt.alias("n")).where("n is not null")
     bucket = lambda c: F.floor(F.unix_micros(c) / (bucket_seconds * 1_000_000)).cast("long")
+    records = records.groupBy(*by, time).agg(*[F.avg(v).alias(v) for v in values]).withColumn("bucket", bucket(F.col(time)))
+    state = F.struct(time, *values)
+    firsts = records.groupBy(*by, "bucket").agg(F.min_by(state, time).alias("head"))
+    firsts = firsts.select(*by, "bucket", F.lead("head").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("bucket")).alias("later"))
+    inside = F.lead(state).over(Window.partitionBy(*by, "bucket").orderBy(time))
+    spans = records.withColumn("inside", inside).join(firsts, [*by, "bucket"])
+    spans = spans.select(*by, F.col(time).alias("t0"), *[F.col(v).alias(f"{v}_0") for v in values], F.coalesce("inside", "later").alias("n")).where("n is not null")
     spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("t0")), bucket(F.col(f"n.{time}")))))
     rows = samples.withColumn("bucket", bucket(F.col(time))).join(spans, [*by, "bucket"]).where((F.col("t0") <= F.col(time)) & (F.col(time) < F.col(f"n.{time}")))
     share = (F.unix_micros(F.col(time)) - F.unix_micros(F.col("t0"))) / (F.unix_micros(F.col(f"n.{time}")) - F.unix_micros(F.col("t0")))

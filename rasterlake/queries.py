@@ -14,6 +14,7 @@ from . import catalogue
 from .functions import band_math as m
 from .operators import clusters, geometry, joins, neighbourhood, pixels, radiometry, registration, statistics
 from .product import Product, embeddings, product
+from .sources import stores
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -619,3 +620,93 @@ def terrain_correction(spark, sf_dir):
     targets = p.pixels.select("y", "x", (F.lit(3000.0) + F.col("x") * 10).alias("tx"), (F.col("y") * 10.0).alias("ty"), (F.col("v") * 5).alias("tz"))
     out = registration.terrain_correction(p, "v", targets, p.height, p.width, states=states, first_line=0.0, line_time=1.0, near_range=5830.0, range_spacing=6.0)
     return out.pixels
+
+
+# More of the inventory
+
+
+@query("with {PX} select case when y < ceil(h / 2.0) then 0 else 2 end + case when x < ceil(w / 2.0) then 0 else 1 end as tile, count(*) as n, round(sum(v), 6) as total from px, sz group by 1")
+def tile_writer(spark, sf_dir):
+    """What each of four sub-products of the tile writer holds."""
+    p = embeddings(spark, sf_dir)
+    return p.pixels.groupBy(stores.tile_name(p, 4).alias("tile")).agg(F.count("*").alias("n"), r6(F.sum("v"), "total"))
+
+
+@query("""with {PX}, b as (select y, x, cast(greatest(0, least(255, floor((v + 4) / 8 * 256))) as int) as r, cast(greatest(0, least(255, floor(v * v / 8 * 256 + 128))) as int) as g from px)
+select y, sum(r) as red, sum(g) as green, count(*) * 3 as n from b group by y""")
+def rgb_lines(spark, sf_dir):
+    """Sums of the red and green bytes of each line of an image, from its bands."""
+    p = embeddings(spark, sf_dir).select("v", (F.col("v") * F.col("v")).alias("i"))
+    rows = stores.image_rows(p, "v", "i", "v", -4.0, 4.0)
+    at = lambda k: F.aggregate(F.filter("rgb", lambda x, i: i % 3 == k), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("y", at(0).alias("red"), at(1).alias("green"), F.size("rgb").cast("long").alias("n"))
+
+
+@query("with {PX} select y, x, round(power(10.0, v / 10), 9) as v from px")
+def db_to_linear(spark, sf_dir):
+    p = pixels.db_to_linear(embeddings(spark, sf_dir).select("v"), "v")
+    return p.pixels.withColumn("v", F.round("v", 9))
+
+
+@query("with {PX} select p.y, p.x, p.i, q.i as slv_i from ip p join ip q on q.y = p.y - 7 and q.x = p.x + 2")
+def stack_minimum(spark, sf_dir):
+    p = intensity(spark, sf_dir)
+    return joins.stack(p, p, -7, 2, "minimum").pixels
+
+
+@query("""with e as (select user_id, event_type, cast(epoch_us(ts) // 86400000000 as bigint) as day, case when value < 10 then 0 else value end as v from events),
+g as (select user_id from e group by 1 having avg(case when v = 0 then 1.0 else 0 end) <= 0.2) select day, event_type, round(avg(v), 6) as v from e where v <> 0 and user_id in (select user_id from g) group by 1, 2""")
+def deburst_mean(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000).cast("long").alias("day"), F.when(F.col("value") < 10, 0.0).otherwise(F.col("value")).alias("v"))
+    return radiometry.deburst_mean(e, ["day", "event_type"], "user_id", "v", 0.0, 0.2).withColumn("v", r6("v"))
+
+
+@query("""with b as (select k as burst, k * 50.0 as first, k * 50.0 + 70 as last from (select unnest(range(0, 12)) as k)), {PX}, l as (select distinct y from px), h as (select y, list({burst: burst, first: first, last: last} order by first) as b from l join b on first <= y and y < last group by y)
+select y, case when len(b) > 1 and y > (b[1].last + b[2].first) / 2 then b[2].burst else b[1].burst end as burst from h""".replace("{burst: burst, first: first, last: last}", "struct_pack(burst := burst, first := first, last := last)"))
+def burst_lines(spark, sf_dir):
+    """Which of overlapping bursts each line comes from."""
+    lines = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"))
+    bursts = spark.range(12).select(F.col("id").alias("burst"), (F.col("id") * 50.0).alias("first"), (F.col("id") * 50.0 + 70).alias("last"))
+    return radiometry.burst_of_line(lines, bursts, "y")
+
+
+@query(f"""with {_ANGLES}, t as (select c_custkey, radians(lat) as p, radians(lon - 10) as d from g)
+select c_custkey, round(2 * 6378137.0 / (1 + sin(radians(50)) * sin(p) + cos(radians(50)) * cos(p) * cos(d)) * cos(p) * sin(d), 2) as e,
+round(2 * 6378137.0 / (1 + sin(radians(50)) * sin(p) + cos(radians(50)) * cos(p) * cos(d)) * (cos(radians(50)) * sin(p) - sin(radians(50)) * cos(p) * cos(d)), 2) as n from t where 1 + sin(radians(50)) * sin(p) + cos(radians(50)) * cos(p) * cos(d) > 0.1""")
+def stereographic_projection(spark, sf_dir):
+    g = _places(spark, sf_dir)
+    p, d, c = F.radians("lat"), F.radians(F.col("lon") - 10), F.radians(F.lit(50.0))
+    e, n = geometry.stereographic(F.col("lat"), F.col("lon"), 50.0, 10.0)
+    return g.where(1 + F.sin(c) * F.sin(p) + F.cos(c) * F.cos(p) * F.cos(d) > 0.1).select("c_custkey", F.round(e, 2).alias("e"), F.round(n, 2).alias("n"))
+
+
+@query(f"""with {_ANGLES}, k as (select (sin(radians(30)) + sin(radians(60))) / 2 as n, cos(radians(30)) * cos(radians(30)) as c), t as (select c_custkey, 6378137.0 * sqrt(c + 2 * n * sin(radians(30)) - 2 * n * sin(radians(lat))) / n as r, 6378137.0 * sqrt(c + 2 * n * sin(radians(30)) - 2 * n * sin(radians(45))) / n as r0, n * radians(lon - 10) as t from g, k where lat > -20)
+select c_custkey, round(r * sin(t), 2) as e, round(r0 - r * cos(t), 2) as n from t""")
+def albers_projection(spark, sf_dir):
+    e, n = geometry.albers(F.col("lat"), F.col("lon"), 30.0, 60.0, 45.0, 10.0)
+    return _places(spark, sf_dir).where("lat > -20").select("c_custkey", F.round(e, 2).alias("e"), F.round(n, 2).alias("n"))
+
+
+@query("""with {PX} select cast(p.y // 8 as bigint) as cy, round(sqrt(power(sum(p.v * q.v + p.v * p.v * q.v * q.v), 2) + power(sum(p.v * p.v * q.v - p.v * q.v * q.v), 2)) / sqrt(sum(p.v * p.v + power(p.v, 4)) * sum(q.v * q.v + power(q.v, 4))), 6) as coherence
+from px p join px q on p.y = q.y and q.x = p.x + 1 group by 1""")
+def coherence(spark, sf_dir):
+    """Coherence of v + i v squared with its neighbour, by blocks of lines."""
+    q = _bands(spark, sf_dir).pixels.select(F.floor(F.col("y") / 8).cast("long").alias("cy"), "v", (F.col("v") ** 2).alias("w"), "slv_v", (F.col("slv_v") ** 2).alias("slv_w"))
+    return registration.coherence(q, ["cy"], "v", "w", "slv_v", "slv_w").withColumn("coherence", r6("coherence"))
+
+
+@query("""with s as (select event_type, ts, value, row_number() over (partition by event_type order by ts) as k from events), a as (select event_type, max(case when k = 1 then value end) as v1, max(case when k = 2 then value end) as v2, max(case when k = 3 then value end) as v3 from s where k <= 3 group by 1)
+select event_type, round(v1 * 0.375 + v2 * 0.75 - v3 * 0.125, 6) as v from a""")
+def lagrange_states(spark, sf_dir):
+    """The parabola through each kind's first three values, at places 0, 1, 2, half way between the first two."""
+    from pyspark.sql.window import Window
+
+    k = F.row_number().over(Window.partitionBy("event_type").orderBy("ts"))
+    e = table(spark, sf_dir, "events").withColumn("k", k).where("k <= 3").groupBy("event_type").agg(*[F.max(F.when(F.col("k") == i, F.col("value"))).alias(f"v{i}") for i in (1, 2, 3)])
+    v = joins.lagrange([F.lit(0.0), F.lit(1.0), F.lit(2.0)], [F.col("v1"), F.col("v2"), F.col("v3")], F.lit(0.5))
+    return e.select("event_type", r6(v, "v"))
+
+
+@query()
+def oil_spill_clusters(spark, sf_dir):
+    return clusters.drop_small(intensity(spark, sf_dir), F.col("i") < 0.0005, 3)
