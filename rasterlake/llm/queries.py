@@ -19,4 +19,5 @@ SQL = {
     "op2_winnowing": decontamination.OP2_SQL,
     "op3_temporal_lists": url_lists.OP3_SQL,
     "op6_line_runs": line_dedup.OP6_SQL,
+    "op10_chosen_path": jaccard_join.OP10_SQL,
 }
