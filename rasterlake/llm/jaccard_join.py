@@ -1,11 +1,13 @@
 """Operator 10: n-gram Jaccard join by chosen paths.
 
-Sets that are alike choose common elements: in every run a set samples a few of
-its shingles by a hash that all sets share. Sets that sampled the same shingle
-form a bucket; a large bucket is split by each next sampled shingle, so a path
-is a sequence of them, and small buckets are compared by brute force. Runs are
-repeated until a pair at the threshold is missed with a small, stated chance.
-Sets that only share a popular passage are told apart by short sketches first.
+Sets that are alike choose common elements: at each step of a run a set chooses
+the one of its shingles that is least by a hash that all sets share, which two
+sets do alike with a chance of their likeness, however popular the shingle is.
+Sets that chose the same shingle form a bucket; a large bucket is split by the
+next choice, so a path is a sequence of them, and the buckets at the paths' ends
+are compared by brute force, all of them. Runs are repeated until a pair at the
+threshold shares no whole path with a small, stated chance. Sets that only share
+a popular passage are told apart by short sketches first.
 """
 
 from __future__ import annotations
@@ -17,24 +19,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import ALNUM, Words, grams, materialize, mix, slices, text_bytes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
-PICKS = 3.0  # shared shingles that a pair at the threshold samples on average in a run
 SMALL = 128  # sets of a bucket that is compared as it is; larger ones are split
-DEPTH = 5  # shingles of a path at most
+DEPTH = 5  # shingles of a path
 BLOCK = 1024  # what is still large, or hardly splits, is compared in pairs of blocks of so many sets
-OPEN = 3  # tenths of the steps from one sample to a later one that are open to paths, chosen by hash
-LEAVES = 10  # buckets of a set and size class that are compared at most: those of smallest name, which two sets alike have in common like samples
 SKETCH = 64  # smallest shingle hashes in a sketch; two sets at the threshold share four fifths of them on average, and half or less about once in 10**8 times
 
 
-def runs_for(recall: float, picks: float = PICKS, depth: int = DEPTH) -> int:
-    """Runs until a pair at the threshold shares samples enough for the longest path with this chance. Shared samples have a Poisson distribution; a pair whose samples are rare needs but one."""
+def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
+    """Runs until a pair at the threshold has the longest path in common in one of them with this chance; it makes each choice alike with a chance of its likeness."""
     runs = 1
-    while sum(math.exp(-picks * runs) * (picks * runs) ** k / math.factorial(k) for k in range(depth)) > 1 - recall:
+    while (1 - threshold**depth) ** runs > 1 - recall:
         runs += 1
     return runs
 
@@ -57,37 +55,37 @@ def shingle_sets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return row, h, np.bincount(row, minlength=words.texts)
 
 
-def _limit(size: np.ndarray, threshold: float) -> np.ndarray:
-    """Hashes up to this one are taken, by the size of the set."""
-    share = np.minimum(1.0, PICKS / (threshold * np.maximum(size, 1)))
-    return (share * float(2**63)).astype(np.uint64) * np.uint64(2) - np.uint64(1)
+def choices(h: np.ndarray, n: np.ndarray, runs: int) -> np.ndarray:
+    """(texts with shingles, runs, DEPTH) numbers of 32 bits that name the shingle a text chooses at each step of each run, for the hashes of shingle_sets()."""
+    size = n[n > 0]
+    first = np.cumsum(size) - size
+    out = np.zeros((len(size), runs * DEPTH), np.uint32)
+    h = mix(h)
+    for k in range(runs * DEPTH if len(size) else 0):
+        turn, by = mix(np.array([2 * k + 1, 2 * k + 2], np.uint64))
+        out[:, k] = mix(np.minimum.reduceat((h ^ turn) * (by | np.uint64(1)), first))
+    return out.reshape(-1, runs, DEPTH)
 
 
-def _scan(threshold: float, runs: int):
-    """Per row: doc_id, th, n (shingles), s1 and s2 (sums that name the set), its samples in all runs and its sketch."""
+def _scan(runs: int):
+    """Per row: doc_id, th, n (shingles), s1 and s2 (sums that name the set), its choices in all runs and its sketch."""
 
     def run(batches):
         for batch in slices(batches, "text", 2 << 20):
             words = Words(*text_bytes(batch.column("text")), ALNUM)
-            row, h, n = shingle_sets(words)
+            _, h, n = shingle_sets(words)
             first = np.concatenate([[0], np.cumsum(n)])
             full = np.flatnonzero(n)
             s1, s2 = np.zeros(words.texts, np.uint64), np.zeros(words.texts, np.uint64)
             if len(full):
                 s1[full] = np.add.reduceat(mix(h), first[full])
                 s2[full] = np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), first[full])
-            limit = _limit(n, threshold)[row]
-            paths, rows = [], []
-            for r in range(runs):
-                taken = np.flatnonzero(mix(h ^ mix(np.array([r + 1], np.uint64))[0]) <= limit)
-                paths.append(mix(h[taken] * np.uint64(2 * r + 3)))
-                rows.append(row[taken])
-            paths, rows = np.concatenate(paths), np.concatenate(rows)
-            order = np.argsort(rows, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=words.texts))]).astype(np.int32)
+            steps = pa.array(choices(h, n, runs).view(np.int32).ravel())
+            paths = pa.ListArray.from_arrays(pa.array(np.arange(0, len(steps) + 1, DEPTH, dtype=np.int32)), steps)
+            ends = np.concatenate([[0], np.cumsum(runs * (n > 0))]).astype(np.int32)
             low = (h >> np.uint64(32)).astype(np.uint32).tobytes()
             sketch = pa.array([low[4 * a : 4 * min(a + SKETCH, b)] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
-            columns = [batch.column("doc_id"), batch.column("th"), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(paths[order].view(np.int64))), sketch]
+            columns = [batch.column("doc_id"), batch.column("th"), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), paths), sketch]
             yield pa.record_batch(columns, ["doc_id", "th", "n", "s1", "s2", "paths", "sketch"])
 
     return run
@@ -247,38 +245,33 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     in doc_id and text give one row; null doc_ids come first. An empty table
     gives none; other columns are ignored.
     """
-    runs = runs_for(recall)
+    runs = runs_for(recall, threshold)
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = materialize(texts.mapInArrow(_scan(threshold, runs), f"doc_id {kind}, th long, n long, s1 long, s2 long, paths array<long>, sketch binary").withColumn("s1", F.when(F.col("n") == 0, F.col("th")).otherwise(F.col("s1"))), "shingle-paths")
+    rows = materialize(texts.mapInArrow(_scan(runs), f"doc_id {kind}, th long, n long, s1 long, s2 long, paths array<array<int>>, sketch binary").withColumn("s1", F.when(F.col("n") == 0, F.col("th")).otherwise(F.col("s1"))), "shingle-paths")
     name = ["n", "s1", "s2"]
     reps = rows.groupBy(*name).agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("n_copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     reps = materialize(reps.select(F.monotonically_increasing_id().alias("rid"), *name, "rep", "n_copies", "paths", "sketch"), "distinct-sets")
 
-    # Buckets: paths that two sets or more share. Large ones are split by later samples, unless half of them stay together.
-    paths = reps.select("rid", F.explode(F.array_distinct("paths")).alias("path")).select("rid", "path", F.col("path").alias("last"), F.lit(1 << 62).alias("parent"), F.lit(-1).cast("long").alias("class"))
+    # Buckets: paths that two sets or more share. Large ones are split by the next choice, unless half of them stay together.
+    name_of = lambda depth: F.xxhash64(F.slice("steps", 1, depth), "nth")
+    paths = reps.select("rid", F.posexplode("paths").alias("nth", "steps")).select("rid", "nth", "steps", name_of(1).alias("path"), F.lit(1 << 62).alias("parent"))
     leaves = None
     for depth in range(1, DEPTH + 1):
         sizes = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        live = materialize(paths.join(sizes, "path").select("rid", "path", "last", "parent", "class", "size"), f"buckets-{depth}")
+        live = materialize(paths.join(sizes, "path").select("rid", "nth", "steps", "path", "parent", "size"), f"buckets-{depth}")
         done = F.lit(True) if depth == DEPTH else (F.col("size") <= SMALL) | (2 * F.col("size") > F.col("parent"))
-        here = live.where(done).select("rid", "path", "class", "size")
+        here = live.where(done).select("rid", "path", "size")
         leaves = here if leaves is None else leaves.unionAll(here)
         large = live.where(~done)
         if large.isEmpty():
             break
-        later = F.filter(F.array_distinct("paths"), lambda x: (x > F.col("last")) & (F.pmod(F.xxhash64("path", x, F.lit(1)), F.lit(10)) < OPEN))
-        paths = large.join(reps.select("rid", "paths", "n"), "rid").select("rid", "path", "class", "size", "n", F.explode(later).alias("next"))
-        if depth == 1:  # sets at the threshold are of one size class or of two neighbours; a set enters its own bucket and the next class's
-            own = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 / threshold)).cast("long")
-            paths = paths.withColumn("class", F.explode(F.array(own, own + 1))).withColumn("path", F.xxhash64("path", "class"))
-        paths = paths.select("rid", F.xxhash64("path", "next").alias("path"), F.col("next").alias("last"), F.col("size").alias("parent"), "class")
+        paths = large.select("rid", "nth", "steps", name_of(depth + 1).alias("path"), F.col("size").alias("parent"))
 
     # Buckets of the same sets are compared once, those that are still large in pairs of blocks.
     content = leaves.groupBy("path").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s"))
     once = content.groupBy("c", "s").agg(F.min("path").alias("path")).select("path")
-    nth = F.row_number().over(Window.partitionBy("rid", "class").orderBy("path"))
-    leaves = leaves.join(once, "path").withColumn("nth", nth).where(F.col("nth") <= LEAVES)
+    leaves = leaves.join(once, "path")
     blocks = F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
     met = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid", "path"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -79,3 +79,15 @@ def test_odd_rows(odd_docs, no_docs):
 def test_runs(recall):
     assert j.runs_for(recall) >= 1
     assert (np.array([j.runs_for(r) for r in (0.5, 0.9, 0.99, 0.999)]) >= 1).all()
+
+
+def test_documents_of_popular_passages(spark, words):
+    """Texts that fill fifteen slots with one of two passages each, and their beginnings (likeness 0.8017): every shingle is in far more than SMALL texts."""
+    rng = random.Random(3)
+    slots = [[[rng.choice(words) + str(rng.randrange(1000)) for _ in range(8)] for _ in range(2)] for _ in range(15)]
+    rows = []
+    for k, x in enumerate(rng.sample(range(1 << 15), 300)):
+        text = [w for i in range(15) for w in slots[i][x >> i & 1]]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:97]))]
+    got = compare(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(n for _, n in got.values()) >= 600
