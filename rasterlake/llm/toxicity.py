@@ -21,7 +21,7 @@ from .common import ALNUM, Words, mix, slices, text_bytes
 
 BUCKETS = 1 << 18  # of hashed features
 TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 1500, 6000, 8000  # training rows of each label at most, and their characters at most
-WINDOW = 32  # tokens of a training sequence
+WINDOW = 32  # tokens of a training sequence at most
 STRIDE = 64  # tokens of a block of the parallel scan
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 
@@ -112,8 +112,9 @@ class Crf:
         return np.clip(self.weights[_slots(keys)].sum(axis=1) + self.bias, -40, 40)
 
 
-def _batch_marginals(e: np.ndarray, crf: Crf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of sequences of equal length (rows), and expected label pairs; by odds of the toxic label."""
+def _batch_marginals(e: np.ndarray, crf: Crf, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of sequences (rows), and expected label pairs; by odds of the toxic label. Where `real` is false, after a sequence's end, nothing counts."""
+    real = np.ones(e.shape, bool) if real is None else real
     t = np.exp(crf.moves)
     x = np.exp(e)
     n, length = e.shape
@@ -124,40 +125,43 @@ def _batch_marginals(e: np.ndarray, crf: Crf) -> tuple[np.ndarray, np.ndarray, n
     s[:, -1] = 1
     for i in range(length - 2, -1, -1):
         y = x[:, i + 1] * s[:, i + 1]
-        s[:, i] = (t[1, 1] * y + t[1, 0]) / (t[0, 1] * y + t[0, 0])
+        s[:, i] = np.where(real[:, i + 1], (t[1, 1] * y + t[1, 0]) / (t[0, 1] * y + t[0, 0]), 1)
     odds = f * s
     y = x[:, 1:] * s[:, 1:]
     both = np.stack([np.full_like(y, t[0, 0]), t[0, 1] * y, t[1, 0] * f[:, :-1], t[1, 1] * f[:, :-1] * y])
-    both /= both.sum(axis=0)
-    return odds / (1 + odds), both.sum(axis=(1, 2)).reshape(2, 2), both
+    both *= real[:, 1:] / both.sum(axis=0)
+    return real * odds / (1 + odds), both.sum(axis=(1, 2)).reshape(2, 2), both
 
 
 def train_crf(sample: Sample, labels: np.ndarray, rounds: int = 6, seed: int = 0) -> Crf:
-    """Adagrad on the log-likelihood of windows of WINDOW tokens, with all toxic windows and as many clean ones up to twice."""
+    """Adagrad on the log-likelihood of each text's windows of WINDOW tokens, the last one with what is left, with all toxic windows and clean ones up to twice as many, or 4000."""
     rng = np.random.default_rng(seed)
-    row = sample.row
-    whole = len(row) // WINDOW
-    windows = np.arange(whole * WINDOW).reshape(whole, WINDOW)
-    windows = windows[row[windows[:, 0]] == row[windows[:, -1]]]
+    each = -(-sample.count // WINDOW)
+    nth = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    begin = np.repeat(np.cumsum(sample.count) - sample.count, each) + nth * WINDOW
+    size = np.minimum(WINDOW, np.repeat(sample.count, each) - nth * WINDOW)
+    inside = np.arange(WINDOW)[None, :] < size[:, None]
+    windows = np.where(inside, begin[:, None] + np.arange(WINDOW)[None, :], 0)
     crf = Crf(np.zeros(BUCKETS + 1), -3.0, -1.0, np.zeros((2, 2)), np.zeros(4))
     if not len(windows):
         return crf
-    hot = labels[windows].any(axis=1)
+    hot = (labels[windows] & inside).any(axis=1)
     cold = np.flatnonzero(~hot)
-    windows = windows[np.concatenate([np.flatnonzero(hot), rng.permutation(cold)[: max(4000, 2 * int(hot.sum()))]])]
+    taken = np.concatenate([np.flatnonzero(hot), rng.permutation(cold)[: max(4000, 2 * int(hot.sum()))]])
+    windows, inside = windows[taken], inside[taken]
     slots = _slots(sample.keys)
     square, small = np.full(BUCKETS + 1, 1e-6), np.full(6, 1e-6)
     for _ in range(rounds):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), 256):
-            some = windows[order[at : at + 256]]
-            index = slots[sample.word[some]]
+            some, real = windows[order[at : at + 256]], inside[order[at : at + 256]]
+            index = np.where(real[:, :, None], slots[sample.word[some]], BUCKETS)
             e = np.clip(crf.weights[index].sum(axis=2) + crf.bias, -30, 30)
-            y = labels[some].astype(float)
-            p, pairs, _ = _batch_marginals(e, crf)
+            y = (labels[some] & real).astype(float)
+            p, pairs, _ = _batch_marginals(e, crf, real)
             gap = y - p
             seen = np.zeros((2, 2))
-            np.add.at(seen, (y[:, :-1].astype(int).ravel(), y[:, 1:].astype(int).ravel()), 1)
+            np.add.at(seen, (y[:, :-1].astype(int).ravel(), y[:, 1:].astype(int).ravel()), real[:, 1:].ravel())
             g = np.bincount(index.ravel(), weights=np.repeat(gap.ravel(), index.shape[2]), minlength=BUCKETS + 1) / len(some)
             g -= 1e-5 * crf.weights
             g[BUCKETS] = 0

@@ -80,3 +80,35 @@ def test_one_label_only():
 
 def test_near_copies_count_once():
     assert t.distinct_texts(t.Sample(pa.table({"text": ["a b c", "a b c", "", "d e f", ""]}))).tolist() == [True, False, True, True, False]
+
+
+def test_marginals_of_padded_sequences():
+    rng = np.random.default_rng(3)
+    crf = t.Crf(np.zeros(t.BUCKETS + 1), 0.0, -0.7, rng.standard_normal((2, 2)), np.zeros(4))
+    e = rng.standard_normal((3, 8))
+    real = np.arange(8)[None, :] < np.array([8, 3, 1])[:, None]
+    p, pairs, _ = t._batch_marginals(e, crf, real)
+    for k, n in enumerate((8, 3, 1)):
+        assert np.allclose(p[k, :n], brute_marginals(e[k, :n], crf)) and (p[k, n:] == 0).all()
+    assert np.isclose(pairs.sum(), 7 + 2)
+
+
+def test_short_texts_train(words):
+    rng = np.random.default_rng(4)
+
+    def texts(count):
+        out = []
+        for i in range(count):
+            text = [words[int(x)] + str(int(y)) for x, y in zip(rng.integers(0, 24, 20), rng.integers(0, 90, 20), strict=True)][: int(rng.integers(3, 21))]
+            if i % 3 == 0:
+                text[int(rng.integers(len(text)))] = "grumblex" + str(int(rng.integers(500)))
+            out.append(" ".join(text))
+        return pa.table({"text": out, "toxic": [int(i % 3 == 0) for i in range(count)]})
+
+    crf = t.fit(texts(900))
+    assert (crf.weights != 0).any()
+    fresh = texts(300)
+    sample = t.Sample(fresh)
+    p = t.marginals(crf.emission(sample.keys)[sample.word], sample.count, crf)
+    toxic = t._summary(p, sample.row, 300) @ crf.document > 0
+    assert (toxic != np.asarray(fresh["toxic"]).astype(bool)).sum() <= 6
