@@ -6,8 +6,10 @@ sets do alike with a chance of their likeness, however popular the shingle is.
 Sets that chose the same shingle form a bucket; a large bucket is split by the
 next choice, so a path is a sequence of them, and the buckets at the paths' ends
 are compared by brute force, all of them. Runs are repeated until a pair at the
-threshold shares no whole path with a small, stated chance. Sets that only share
-a popular passage are told apart by short sketches first.
+threshold shares no whole path with a small, stated chance. A pair at the threshold
+makes four fifths of its choices alike; pairs that make less than half (for 90 choices
+one in 10**9 pairs at the threshold) only share a popular passage, and their sets
+are not fetched.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SMALL = 128  # sets of a bucket that is compared as it is; larger ones are split
 DEPTH = 5  # shingles of a path
 BLOCK = 1024  # what is still large, or hardly splits, is compared in pairs of blocks of so many sets
-SKETCH = 64  # smallest shingle hashes in a sketch; two sets at the threshold share four fifths of them on average, and half or less about once in 10**8 times
+SHINGLES = 1 << 20  # and so is what holds more shingles than that, so that a task holds about twice as many at once
 
 
 def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
@@ -68,7 +69,7 @@ def choices(h: np.ndarray, n: np.ndarray, runs: int) -> np.ndarray:
 
 
 def _scan(runs: int):
-    """Per row: doc_id, th, n (shingles), s1 and s2 (sums that name the set), its choices in all runs and its sketch."""
+    """Per row: doc_id, th, n (shingles), s1 and s2 (sums that name the set), its choices in all runs, and their lowest bytes as a sketch."""
 
     def run(batches):
         for batch in slices(batches, "text", 2 << 20):
@@ -80,11 +81,12 @@ def _scan(runs: int):
             if len(full):
                 s1[full] = np.add.reduceat(mix(h), first[full])
                 s2[full] = np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), first[full])
-            steps = pa.array(choices(h, n, runs).view(np.int32).ravel())
+            chosen = choices(h, n, runs)
+            steps = pa.array(chosen.view(np.int32).ravel())
             paths = pa.ListArray.from_arrays(pa.array(np.arange(0, len(steps) + 1, DEPTH, dtype=np.int32)), steps)
             ends = np.concatenate([[0], np.cumsum(runs * (n > 0))]).astype(np.int32)
-            low = (h >> np.uint64(32)).astype(np.uint32).tobytes()
-            sketch = pa.array([low[4 * a : 4 * min(a + SKETCH, b)] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+            width, low = runs * DEPTH, chosen.astype(np.uint8).tobytes()
+            sketch = pa.array([low[width * k : width * k + width] for k in (np.cumsum(n > 0) - 1).tolist()], pa.binary())
             columns = [batch.column("doc_id"), batch.column("th"), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), paths), sketch]
             yield pa.record_batch(columns, ["doc_id", "th", "n", "s1", "s2", "paths", "sketch"])
 
@@ -107,61 +109,50 @@ def _numbers(raw: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
-def _sketch_table(column: pa.Array) -> np.ndarray:
-    raw = column.to_pylist()
-    out = np.full((len(raw), SKETCH), 0xFFFFFFFF, np.uint32)
-    size = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
-    out[np.arange(SKETCH)[None, :] < size[:, None]] = np.frombuffer(b"".join(raw), np.uint32)
-    return out
+KEY = ["path", "i", "j"]
 
 
-def _plausible(threshold: float):
-    """Of rows in order of (path, i, j): those with a partner of fitting size and a sketch with half of its numbers in common, or of the smaller one's."""
-    names = ["rid", "path", "i", "j", "block"]
-
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("path", "i", "j")])
-        n, block = np.asarray(batch.column("n")), np.asarray(batch.column("block"))
-        sketch = _sketch_table(batch.column("sketch"))
-        size = (sketch != 0xFFFFFFFF).sum(axis=1)
-        edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        count = np.diff(np.append(edge, batch.num_rows))
-        good = np.zeros(batch.num_rows, bool)
+def _whole_groups(batches, work):
+    """work(batch, edges) for rows in order of KEY, cut so that no group is parted; edges are the groups' first rows and the number of rows. Holds one group besides a batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in KEY])
+        edges = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        if len(edges) > 1:
+            yield work(batch.slice(0, int(edges[-1])), edges)
+        held = batch.slice(int(edges[-1]))
+    if held is not None:
+        yield work(held, np.array([0, held.num_rows]))
 
-        def pairs(a, b):
-            fit = (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9) & ((key[1, a] == key[2, a]) | (block[a] != block[b]))
-            a, b = a[fit], b[fit]
-            for x in range(0, len(a), 20_000):
-                c, d = a[x : x + 20_000], b[x : x + 20_000]
-                both = np.sort(np.concatenate([sketch[c], sketch[d]], axis=1), axis=1)
-                shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != 0xFFFFFFFF)).sum(axis=1)
-                hit = 2 * shared >= np.minimum(size[c], size[d])
-                good[c[hit]] = good[d[hit]] = True
 
-        for distance in range(1, int(count.max()) if len(count) else 0):
+def _plausible(threshold: float):
+    """Of rows in order of KEY: those with a partner of fitting size that makes half of all choices alike."""
+    names = ["rid", *KEY, "block"]
+
+    def judge(batch: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+        n, block, across = (np.asarray(batch.column("n")), np.asarray(batch.column("block")), np.asarray(batch.column("i")) != np.asarray(batch.column("j")))
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        edge, count = edges[:-1], np.diff(edges)
+        good = np.zeros(batch.num_rows, bool)
+        for distance in range(1, int(count.max())):
             groups = count > distance
             starts, sizes = edge[groups], count[groups] - distance
-            first = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            pairs(first, first + distance)
+            a = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            b = a + distance
+            open_ = ~(good[a] & good[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9) & (~across[a] | (block[a] != block[b]))
+            a, b = a[open_], b[open_]
+            for x in range(0, len(a), 50_000):
+                c, d = a[x : x + 50_000], b[x : x + 50_000]
+                hit = 2 * (sketch[c] == sketch[d]).sum(axis=1) >= sketch.shape[1]
+                good[c[hit]] = good[d[hit]] = True
         keep = pa.array(np.flatnonzero(good))
         return pa.record_batch([batch.column(c).take(keep) for c in names], names)
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            batch = table.to_batches()[0]
-            path = np.asarray(batch.column("path"))
-            begin = int(np.flatnonzero(path == path[-1])[0])  # the last bucket may go on
-            if begin:
-                yield judge(batch.slice(0, begin))
-            held = batch.slice(begin)
-        if held is not None:
-            yield judge(held)
-
-    return run
+    return lambda batches: _whole_groups(batches, judge)
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -185,36 +176,48 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def _links(here: int, across: bool, rid: np.ndarray, n: np.ndarray, block: np.ndarray, sets: list[np.ndarray], leaves: list[list[int]], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket, or a pair of its blocks: sets with a partner, the links of each that are found here and in no lesser bucket, and the least set of its component here."""
+    shared = common_counts(sets)
+    alike = shared >= threshold * (n[:, None] + n[None, :] - shared) - 1e-9
+    np.fill_diagonal(alike, False)
+    if across:
+        alike &= block[:, None] != block[None, :]
+    keep = np.flatnonzero(alike.any(axis=1))
+    if not len(keep):
+        return rid[:0], rid[:0], rid[:0]
+    alike, rid = alike[np.ix_(keep, keep)], rid[keep]
+    lower = [[x for x in leaves[k] if x < here] for k in keep.tolist()]
+    names = {x: k for k, x in enumerate(sorted({x for own in lower for x in own}))}
+    before = np.zeros((len(rid), len(names)), np.float32)
+    for k, own in enumerate(lower):
+        before[k, [names[x] for x in own]] = 1
+    links = (alike & ~(before @ before.T > 0)).sum(axis=1)
+    root = np.arange(len(rid))
+    while True:
+        least = np.where(alike, root[None, :], len(rid)).min(axis=1)
+        new = np.minimum(root, least)
+        new = new[new]
+        if (new == root).all():
+            return rid, links, rid[root]
+        root = new
+
+
 def _compare(threshold: float):
-    """Of a bucket, or a pair of its blocks: for each set the links found here and nowhere before (a pair counts at the least of its common buckets), and the least set of its component here."""
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rid", kind="stable")
-        here, i, j = key[0], key[1], key[2]
-        rid, n, block = group["rid"].to_numpy(np.int64), group["n"].to_numpy(np.int64), group["block"].to_numpy()
-        shared = common_counts([_numbers(x) for x in group["elements"]])
-        alike = shared >= threshold * (n[:, None] + n[None, :] - shared) - 1e-9
-        np.fill_diagonal(alike, False)
-        if i != j:
-            alike &= block[:, None] != block[None, :]
-        lower = [[x for x in leaves if x < here] for leaves in group["leaves"]]
-        names = {x: k for k, x in enumerate(sorted({x for l in lower for x in l}))}
-        before = np.zeros((len(rid), len(names)), np.float32)
-        for k, l in enumerate(lower):
-            before[k, [names[x] for x in l]] = 1
-        links = (alike & ~(before @ before.T > 0)).sum(axis=1)
-        root = np.arange(len(rid))
-        while True:
-            least = np.where(alike, root[None, :], len(rid)).min(axis=1, initial=len(rid))
-            new = np.minimum(root, least)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        keep = alike.any(axis=1)
-        return pd.DataFrame({"rid": rid[keep], "links": links[keep].astype(np.int64), "root": rid[root[keep]]})
+    """Of rows in order of KEY: rid, links and root of _links() for each group, summed up over a batch's groups."""
 
-    return run
+    def work(batch: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+        rid, n, block, path, i, j = (np.asarray(batch.column(c)) for c in ("rid", "n", "block", *KEY))
+        elements, leaves = batch.column("elements"), batch.column("leaves")
+        found = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a > 1:
+                order = a + np.argsort(rid[a:b], kind="stable")
+                sets, own = ([column[k].as_py() for k in order.tolist()] for column in (elements, leaves))
+                found.append(_links(int(path[a]), bool(i[a] != j[a]), rid[order], n[order], block[order], [_numbers(x) for x in sets], own, threshold))
+        return pa.record_batch([pa.array(np.concatenate([f[k] for f in found] or [rid[:0]]).astype(np.int64)) for k in range(3)], ["rid", "links", "root"])
+
+    return lambda batches: _whole_groups(batches, work)
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -253,32 +256,32 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     reps = rows.groupBy(*name).agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("n_copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     reps = materialize(reps.select(F.monotonically_increasing_id().alias("rid"), *name, "rep", "n_copies", "paths", "sketch"), "distinct-sets")
 
-    # Buckets: paths that two sets or more share. Large ones are split by the next choice, unless half of them stay together.
-    name_of = lambda depth: F.xxhash64(F.slice("steps", 1, depth), "nth")
-    paths = reps.select("rid", F.posexplode("paths").alias("nth", "steps")).select("rid", "nth", "steps", name_of(1).alias("path"), F.lit(1 << 62).alias("parent"))
+    # Buckets: paths that two sets or more share. Large ones are split by the next choice, unless nearly all of their sets stay together.
+    name_of = lambda depth: F.xxhash64(F.slice(F.get("paths", F.col("nth")), 1, depth), "nth")
+    paths = reps.select("rid", F.posexplode("paths").alias("nth", "steps")).select("rid", "nth", F.xxhash64(F.slice("steps", 1, 1), "nth").alias("path"), F.lit(1 << 53).alias("parent"))
     leaves = None
     for depth in range(1, DEPTH + 1):
         sizes = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        live = materialize(paths.join(sizes, "path").select("rid", "nth", "steps", "path", "parent", "size"), f"buckets-{depth}")
-        done = F.lit(True) if depth == DEPTH else (F.col("size") <= SMALL) | (2 * F.col("size") > F.col("parent"))
-        here = live.where(done).select("rid", "path", "size")
+        live = materialize(paths.join(sizes, "path").select("rid", "nth", "path", "parent", "size"), f"buckets-{depth}")
+        done = F.lit(True) if depth == DEPTH else (F.col("size") <= SMALL) | (10 * F.col("size") > 9 * F.col("parent"))
+        here = live.where(done).select("rid", "path")
         leaves = here if leaves is None else leaves.unionAll(here)
         large = live.where(~done)
         if large.isEmpty():
             break
-        paths = large.select("rid", "nth", "steps", name_of(depth + 1).alias("path"), F.col("size").alias("parent"))
-
-    # Buckets of the same sets are compared once, those that are still large in pairs of blocks.
-    content = leaves.groupBy("path").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s"))
-    once = content.groupBy("c", "s").agg(F.min("path").alias("path")).select("path")
-    leaves = leaves.join(once, "path")
-    blocks = F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
-    met = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid", "path"), F.col("blocks")).cast("int"))
+        paths = large.join(reps.select("rid", "paths"), "rid").select("rid", "nth", name_of(depth + 1).alias("path"), F.col("size").alias("parent"))
+
+    # Buckets of the same sets are compared once; those that are still large, or hold long texts, in pairs of blocks.
+    leaves = leaves.join(reps.select("rid", "n"), "rid")
+    content = leaves.groupBy("path").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.when(F.col("c") <= SMALL, 1).otherwise(F.ceil(F.col("c") / BLOCK)), F.ceil(F.col("total") / SHINGLES)).cast("int")
+    once = content.groupBy("c", "s").agg(F.min(F.struct("path", blocks.alias("blocks"))).alias("b")).select("b.*")
+    met = leaves.select("rid", "path").join(once, "path").withColumn("block", F.pmod(F.xxhash64("rid", "path"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("rid", "path", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = met.join(reps.select("rid", "n", "sketch"), "rid")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j")
+    in_order = lambda df: df.repartition(parts, *KEY).sortWithinPartitions(*KEY)
+    met = in_order(met.join(reps.select("rid", "n", "sketch"), "rid"))
     met = materialize(met.mapInArrow(_plausible(threshold), "rid long, path long, i int, j int, block int"), "plausible")
 
     # The sets of what is left, from the texts.
@@ -286,8 +289,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     wanted = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["k"]) & (texts["th"] == wanted["kh"])).select("rid", "text")
     sets = materialize(wanted.mapInArrow(_set_rows, "rid long, n long, elements binary").dropDuplicates(["rid"]), "candidate-sets")
     mine = met.groupBy("rid").agg(F.array_sort(F.collect_set("path")).alias("leaves"))
-    met = met.join(mine.join(sets, "rid"), "rid")
-    found = met.groupBy("path", "i", "j").applyInPandas(_compare(threshold), "rid long, links long, root long")
+    found = in_order(met.join(mine.join(sets, "rid"), "rid")).mapInArrow(_compare(threshold), "rid long, links long, root long")
     found = materialize(found, "found")
     links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
     roots = _components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
