@@ -31,7 +31,7 @@ def initial_means(p: Product, bands: list[str], k: int, seed: int) -> list[list[
 
 def kmeans(p: Product, bands: list[str], k: int, iterations: int = 30, seed: int = 31415, roi: Column | None = None) -> tuple[Product, list[list[float]]]:
     """Lloyd's algorithm to a standstill or the given rounds; clusters are numbered by size. Pixels outside the region get no class."""
-    rows = (p.pixels if roi is None else p.pixels.where(roi)).dropna(subset=bands).select("y", "x", *bands)
+    rows = materialize((p.pixels if roi is None else p.pixels.where(roi)).dropna(subset=bands).select("y", "x", *bands), "kmeans-pixels")
     means = initial_means(p.with_pixels(rows), bands, k, seed)
     if not means:
         return p.with_pixels(rows.select("y", "x", F.lit(None).cast("int").alias("class"))), []
@@ -53,7 +53,7 @@ def kmeans(p: Product, bands: list[str], k: int, iterations: int = 30, seed: int
 
 def gaussian_mixture(p: Product, bands: list[str], k: int, iterations: int = 30, seed: int = 31415) -> tuple[Product, list[float], np.ndarray, np.ndarray]:
     """Expectation maximisation: each round sums responsibilities, weighted values and products in one aggregate. Result: class and posterior of each pixel, priors, means, covariances; by prior, greatest first."""
-    rows = p.pixels.dropna(subset=bands).select("y", "x", *bands)
+    rows = materialize(p.pixels.dropna(subset=bands).select("y", "x", *bands), "mixture-pixels")
     d = len(bands)
     mean = np.array(initial_means(p.with_pixels(rows), bands, k, seed))
     k = len(mean)

@@ -108,9 +108,9 @@ def simulate(p: Product, elevation: str, spacing: float, look_deg: float) -> Pro
     slope = F.atan((z - F.coalesce(F.lag(z).over(along), z)) / spacing)
     local = F.greatest(F.lit(look) - slope, F.lit(0.0))
     power = 0.0118 * F.cos(local) / F.pow(F.sin(local) + 0.111 * F.cos(local), 3)
-    slant, shade = x * math.sin(look) - z * math.cos(look), x * math.cos(look) + z * math.sin(look)
+    slant, reach = x * math.sin(look) - z * math.cos(look), x * math.cos(look) / math.sin(look) + z
     layover = F.coalesce(slant <= F.max(slant).over(past), F.lit(False))
-    hidden = F.coalesce(x * math.cos(look) / math.sin(look) + z < F.max(x * math.cos(look) / math.sin(look) + z).over(past), F.lit(False)) & (shade == shade)
+    hidden = F.coalesce(reach < F.max(reach).over(past), F.lit(False))
     return p.select(power.alias("sigma0"), (layover.cast("int") + 2 * hidden.cast("int")).alias("mask"))
 
 

@@ -40,7 +40,10 @@ def resample(source: Product, target: DataFrame, u: Column, v: Column, band: str
 
     Each target pixel asks for its 1, 4 or 16 neighbours, which one equi-join
     brings; weights are summed on the way back. Neighbours beyond the border are
-    those at it. Target pixels outside the source are left out.
+    those at it. Target pixels outside the source are left out. Missing samples:
+    bilinear divides by the weights of those present, cubic takes their mean for
+    them and is missing where the pixel at its base is; without any sample the
+    result is missing.
     """
     inside = (u >= 0) & (u < source.width) & (v >= 0) & (v < source.height)
     asked = target.where(inside).select("y", "x", u.alias("u"), v.alias("v"))
@@ -52,9 +55,14 @@ def resample(source: Product, target: DataFrame, u: Column, v: Column, band: str
         wx, wy, first = ([1 - s, s], [1 - t, t], 0) if method == "bilinear" else (_cubic(s), _cubic(t), -1)
         taps = F.array(*[F.struct((a + first + i).alias("sx"), (b + first + j).alias("sy"), (wx[i] * wy[j]).alias("w")) for j in range(len(wy)) for i in range(len(wx))])
     clamp = lambda c, size: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(c))).cast("long")
-    asked = asked.select("y", "x", F.explode(taps).alias("t")).select("y", "x", clamp("t.sx", source.width).alias("sx"), clamp("t.sy", source.height).alias("sy"), F.col("t.w").alias("w"))
-    samples = source.pixels.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(band).cast("double").alias("s"))
-    return asked.join(samples, ["sy", "sx"]).groupBy("y", "x").agg((F.sum(F.col("w") * F.col("s"))).alias(band))
+    asked = asked.select("y", "x", F.posexplode(taps).alias("tap", "t")).select("y", "x", "tap", clamp("t.sx", source.width).alias("sx"), clamp("t.sy", source.height).alias("sy"), F.col("t.w").alias("w"))
+    samples = source.pixels.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(band).cast("double").alias("s")).where("s is not null")
+    total, weight = F.sum(F.col("w") * F.col("s")), F.sum(F.when(F.col("s").isNotNull(), F.col("w")))
+    if method == "cubic":
+        whole = F.when(F.count("s") == 16, total).when(F.max((F.col("tap") == 5) & F.col("s").isNotNull()), total + (1 - weight) * F.avg("s"))
+    else:
+        whole = F.when(F.count("s") == F.count("*"), total).when(weight > 0, total / F.when(weight > 0, weight))
+    return asked.join(samples, ["sy", "sx"], "left").groupBy("y", "x").agg(whole.alias(band))
 
 
 def warp(source: Product, band: str, x_terms: list[float], y_terms: list[float], method: str = "bilinear") -> Product:

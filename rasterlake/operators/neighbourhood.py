@@ -23,35 +23,47 @@ TILE = 256
 
 
 def _run(value: Column, line: str, along: str, h: int, size: int, edge: bool) -> Column:
-    """Sum over 2h+1 neighbours along an axis; beyond the border the edge's value is repeated, or nothing is added."""
+    """Sum of what is present among 2h+1 neighbours along an axis; beyond the border the edge's value is repeated, or nothing is added."""
     by = Window.partitionBy(line).orderBy(along)
     total = F.sum(value).over(by.rangeBetween(-h, h))
     if not edge:
-        return total
+        return F.coalesce(total, F.lit(0.0))
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before, after = F.greatest(F.lit(0), h - F.col(along)), F.greatest(F.lit(0), F.col(along) + h - (size - 1))
-    return total + before * F.first(value).over(whole) + after * F.last(value).over(whole)
+    return F.coalesce(total, F.lit(0.0)) + before * F.coalesce(F.first(value).over(whole), F.lit(0.0)) + after * F.coalesce(F.last(value).over(whole), F.lit(0.0))
 
 
-def box_sums(p: Product, values: dict[str, Column], h: int, edge: bool = True) -> DataFrame:
-    """p's pixels with sums over (2h+1)x(2h+1) boxes. With edge, the raster must be dense, and border values are repeated."""
-    names = list(values)
-    df = p.pixels.withColumns({f"_{n}": v.cast("double") for n, v in values.items()})
-    df = df.withColumns({f"_{n}": _run(F.col(f"_{n}"), "y", "x", h, p.width, edge) for n in names})
-    df = df.withColumns({n: _run(F.col(f"_{n}"), "x", "y", h, p.height, edge) for n in names})
-    return df.drop(*[f"_{n}" for n in names])
+def box_sums(p: Product, values: dict[str, tuple[Column, int]], edge: bool = True) -> DataFrame:
+    """p's pixels with sums over boxes: each value with its half size h, for (2h+1)x(2h+1) neighbours.
+
+    Missing samples add nothing. All sums along lines are taken in one pass, then
+    all along columns, so there are two shuffles however many sums are asked for.
+    With edge, every line has its first and last pixel, and border values are repeated.
+    """
+    df = p.pixels.withColumns({f"_{n}": v.cast("double") for n, (v, _) in values.items()})
+    df = df.withColumns({f"_{n}": _run(F.col(f"_{n}"), "y", "x", h, p.width, edge) for n, (_, h) in values.items()})
+    df = df.withColumns({n: _run(F.col(f"_{n}"), "x", "y", h, p.height, edge) for n, (_, h) in values.items()})
+    return df.drop(*[f"_{n}" for n in values])
+
+
+def _present(c: Column) -> Column:
+    return c.isNotNull().cast("double")
 
 
 def box_mean(p: Product, band: str, h: int = 1) -> Product:
-    df = box_sums(p, {"s": F.col(band)}, h)
-    return p.with_pixels(df.select("y", "x", (F.col("s") / (2 * h + 1) ** 2).alias(band)))
+    """Mean of the samples present in each box; missing where there is none."""
+    df = box_sums(p, {"s": (F.col(band), h), "n": (_present(F.col(band)), h)})
+    return p.with_pixels(df.select("y", "x", (F.col("s") / F.when(F.col("n") > 0, F.col("n"))).alias(band)))
 
 
 def _moments(p: Product, band: str, h: int) -> DataFrame:
-    """Mean and sample variance over each box."""
-    n = (2 * h + 1) ** 2
-    df = box_sums(p, {"s": F.col(band), "q": F.col(band) * F.col(band)}, h).withColumn("mean", F.col("s") / n)
-    return df.withColumn("var", F.greatest((F.col("q") - n * F.col("mean") * F.col("mean")) / (n - 1), F.lit(0.0)))
+    """Mean and sample variance of what is present in each box."""
+    v = F.col(band).cast("double")
+    df = box_sums(p, {"s": (v, h), "q": (v * v, h), "n": (_present(v), h)})
+    n = F.when(F.col("n") > 0, F.col("n"))
+    df = df.withColumn("mean", F.col("s") / n)
+    spread = (F.col("q") - n * F.col("mean") * F.col("mean")) / F.when(n > 1, n - 1)
+    return df.withColumn("var", F.when(n.isNotNull(), F.greatest(F.coalesce(spread, F.lit(0.0)), F.lit(0.0))))
 
 
 def lee(p: Product, band: str, h: int = 1, enl: float = 1.0) -> Product:
@@ -79,14 +91,13 @@ def gamma_map(p: Product, band: str, h: int = 1, enl: float = 1.0) -> Product:
 def ring_detect(p: Product, band: str, target: int, guard: int, background: int, pfa: float = 1e-3) -> Product:
     """Constant false alarm rate detection: 1 where the target box's mean is over the mean plus t deviations of the ring between guard and background box. Boxes are half sizes; at the border they hold what is inside."""
     t = _normal_tail(pfa)
-    one, v = F.lit(1.0), F.col(band)
-    df = p.pixels
-    for name, h in (("t", target), ("g", guard), ("b", background)):
-        df = box_sums(Product(df, p.height, p.width), {f"{name}0": one, f"{name}1": v, f"{name}2": v * v}, h, edge=False)
+    v = F.col(band).cast("double")
+    sizes = {"t": target, "g": guard, "b": background}
+    df = box_sums(p, {f"{name}{k}": (c, h) for name, h in sizes.items() for k, c in enumerate((_present(v), v, v * v))}, edge=False)
     n = F.col("b0") - F.col("g0")
     mean = (F.col("b1") - F.col("g1")) / F.when(n > 0, n)
     sd = F.sqrt(F.greatest((F.col("b2") - F.col("g2")) / F.when(n > 0, n) - mean * mean, F.lit(0.0)))
-    hit = F.coalesce(F.col("t1") / F.col("t0") > mean + t * sd, F.lit(False))
+    hit = F.coalesce(F.col("t1") / F.when(F.col("t0") > 0, F.col("t0")) > mean + t * sd, F.lit(False))
     return p.with_pixels(df.select("y", "x", band, hit.cast("int").alias("detected")))
 
 
@@ -100,19 +111,21 @@ def _normal_tail(pfa: float) -> float:
 
 
 def oil_spill(p: Product, band: str, h: int = 30, threshold_db: float = 2.0) -> Product:
-    """1 where a pixel is darker than the local mean by the threshold."""
-    df = box_sums(p, {"s": F.col(band), "n": F.lit(1.0)}, h, edge=False)
-    return p.with_pixels(df.select("y", "x", band, (F.col(band) < F.col("s") / F.col("n") / 10 ** (threshold_db / 10)).cast("int").alias("detected")))
+    """1 where a pixel is darker than the local mean by the threshold; 0 where it is missing."""
+    df = box_sums(p, {"s": (F.col(band), h), "n": (_present(F.col(band)), h)}, edge=False)
+    dark = F.col(band) < F.col("s") / F.when(F.col("n") > 0, F.col("n")) / 10 ** (threshold_db / 10)
+    return p.with_pixels(df.select("y", "x", band, F.coalesce(dark, F.lit(False)).cast("int").alias("detected")))
 
 
 def fill_holes(p: Product, band: str) -> Product:
     """Missing pixels become the mean of the linear interpolations along line and column between the nearest valid neighbours; where one side lacks a neighbour that direction is left out."""
 
     def between(line: str, along: str) -> Column:
-        by = Window.partitionBy(line).orderBy(along)
-        spot = F.when(F.col(band).isNotNull(), F.struct(F.col(along).alias("at"), F.col(band).cast("double").alias("v")))
-        a = F.last(spot, True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-        b = F.first(spot, True).over(by.rowsBetween(1, Window.unboundedFollowing))
+        def nearest(order: Column) -> Column:  # before the pixel in this order: a running value, so linear in the line's length
+            by = Window.partitionBy(line).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            return F.last(F.when(F.col(band).isNotNull(), F.struct(F.col(along).alias("at"), F.col(band).cast("double").alias("v"))), True).over(by)
+
+        a, b = nearest(F.col(along).asc()), nearest(F.col(along).desc())
         return a["v"] + (b["v"] - a["v"]) * (F.col(along) - a["at"]) / (b["at"] - a["at"])
 
     df = p.pixels.withColumn("_x", between("y", "x")).withColumn("_y", between("x", "y"))
@@ -121,16 +134,17 @@ def fill_holes(p: Product, band: str) -> Product:
 
 
 def multitemporal_speckle(p: Product, bands: list[str], h: int = 1) -> Product:
-    """J_i = E[I_i] times the mean over k of I_k / E[I_k], E being the box mean."""
-    n = (2 * h + 1) ** 2
-    df = box_sums(p, {f"m_{b}": F.col(b) for b in bands}, h)
-    means = {b: F.col(f"m_{b}") / n for b in bands}
-    ratio = sum((F.when(means[b] != 0, F.col(b) / F.when(means[b] != 0, means[b])).otherwise(0.0) for b in bands), F.lit(0.0)) / len(bands)
+    """J_i = E[I_i] times the mean over k of I_k / E[I_k], E being the box mean. Missing samples take no part in either mean."""
+    df = box_sums(p, {f"m_{b}": (F.col(b), h) for b in bands} | {f"n_{b}": (_present(F.col(b)), h) for b in bands})
+    means = {b: F.col(f"m_{b}") / F.when(F.col(f"n_{b}") > 0, F.col(f"n_{b}")) for b in bands}
+    shares = {b: F.when(means[b] != 0, F.col(b) / F.when(means[b] != 0, means[b])) for b in bands}
+    there = sum((_present(F.col(b)) for b in bands), F.lit(0.0))
+    ratio = sum((F.coalesce(c, F.lit(0.0)) for c in shares.values()), F.lit(0.0)) / F.when(there > 0, there)
     return p.with_pixels(df.select("y", "x", *[(means[b] * ratio).alias(b) for b in bands]))
 
 
 def tiled(p: Product, band: str, h: int, work: Callable[[np.ndarray, bool], np.ndarray], tile: int = TILE, mode: str = "edge") -> Product:
-    """work on tiles with a margin of h pixels; beyond the raster's border pixels follow `mode` of numpy.pad. work gets an array with the margin and gives one without."""
+    """work on tiles with a margin of h pixels; beyond the raster's border pixels follow `mode` of numpy.pad. work gets an array with the margin and gives one without. Missing samples are NaN in it, and missing results are null; every pixel of a tile comes back."""
     height, width = p.height, p.width
     near = lambda c, size: F.sequence(F.floor(F.greatest(F.col(c) - h, F.lit(0)) / tile), F.floor(F.least(F.col(c) + h, F.lit(size - 1)) / tile))
     rows = p.pixels.select("y", "x", F.col(band).cast("double").alias("v")).withColumn("ty", F.explode(near("y", height))).withColumn("tx", F.explode(near("x", width)))
@@ -145,7 +159,7 @@ def tiled(p: Product, band: str, h: int, work: Callable[[np.ndarray, bool], np.n
         grid = np.pad(grid, pad, mode=mode) if mode != "constant" else np.pad(grid, pad, constant_values=np.nan)
         out = work(grid)
         yy, xx = np.mgrid[y0:y1, x0:x1]
-        return pd.DataFrame({"y": yy.ravel(), "x": xx.ravel(), band: out.ravel()}).dropna()
+        return pd.DataFrame({"y": yy.ravel(), "x": xx.ravel(), band: out.ravel()})
 
     return p.with_pixels(rows.groupBy("ty", "tx").applyInPandas(run, f"y long, x long, `{band}` double"))
 
@@ -157,18 +171,34 @@ def _views(grid: np.ndarray, h: int) -> np.ndarray:
     return v.reshape(*v.shape[:2], n * n)
 
 
+def _mean(v: np.ndarray) -> np.ndarray:
+    """Mean of the samples present along the last axis; NaN if there is none."""
+    n = (~np.isnan(v)).sum(axis=-1)
+    return np.where(n > 0, np.nansum(v, axis=-1) / np.maximum(n, 1), np.nan)
+
+
+def _variance(v: np.ndarray) -> np.ndarray:
+    n = (~np.isnan(v)).sum(axis=-1)
+    return np.where(n > 0, np.nansum((v - _mean(v)[..., None]) ** 2, axis=-1) / np.maximum(n - 1, 1), np.nan)
+
+
+def _upper_median(v: np.ndarray) -> np.ndarray:
+    n = (~np.isnan(v)).sum(axis=-1)
+    return np.take_along_axis(np.sort(v, axis=-1), (n // 2)[..., None].clip(max=v.shape[-1] - 1), -1)[..., 0]
+
+
 RANKS = {
-    "min": lambda v: v.min(axis=2),
-    "max": lambda v: v.max(axis=2),
-    "mean": lambda v: v.mean(axis=2),
-    "median": lambda v: np.sort(v, axis=2)[:, :, v.shape[2] // 2],
-    "stddev": lambda v: v.std(axis=2, ddof=1),
-    "rms": lambda v: np.sqrt((v * v).mean(axis=2)),
+    "min": lambda v: np.fmin.reduce(v, axis=2),
+    "max": lambda v: np.fmax.reduce(v, axis=2),
+    "mean": _mean,
+    "median": _upper_median,
+    "stddev": lambda v: np.sqrt(_variance(v)),
+    "rms": lambda v: np.sqrt(_mean(v * v)),
 }
 
 
 def rank_filter(p: Product, band: str, kind: str, h: int = 1) -> Product:
-    """min, max, mean, median (upper, of an even number), stddev or rms of each box."""
+    """min, max, mean, median (upper, of an even number), stddev or rms of the samples present in each box."""
     return tiled(p, band, h, lambda grid: RANKS[kind](_views(grid, h)))
 
 
@@ -190,22 +220,29 @@ KERNELS = {
 
 
 def kernel_filter(p: Product, band: str, kernel: list[list[float]], divisor: float = 1.0) -> Product:
-    """Correlation with an odd square kernel, borders repeated."""
+    """Correlation with an odd square kernel, borders repeated. A missing neighbour counts as the mean of those present; a missing pixel stays missing."""
     k = np.array(kernel, float)
     h = len(k) // 2
-    return tiled(p, band, h, lambda grid: (_views(grid, h) * k.ravel()).sum(axis=2) / divisor)
+
+    def work(grid: np.ndarray) -> np.ndarray:
+        v = _views(grid, h)
+        filled = np.where(np.isnan(v), _mean(v)[:, :, None], v)
+        return np.where(np.isnan(v[:, :, v.shape[2] // 2]), np.nan, (filled * k.ravel()).sum(axis=2) / divisor)
+
+    return tiled(p, band, h, work)
 
 
 def frost(p: Product, band: str, h: int = 1, damping: float = 2.0) -> Product:
-    """Mean with weights exp(-k d), d the larger of both distances, k = damping var/mean2."""
+    """Mean of the samples present with weights exp(-k d), d the larger of both distances, k = damping var/mean2."""
 
     def work(grid: np.ndarray) -> np.ndarray:
         v = _views(grid, h)
-        mean, var = v.mean(axis=2), v.var(axis=2, ddof=1)
+        mean, var = _mean(v), _variance(v)
         k = damping * var / np.where(mean == 0, np.nan, mean * mean)
         a = np.abs(np.arange(-h, h + 1))
         w = np.exp(-np.nan_to_num(k)[:, :, None] * np.maximum(a[:, None], a[None, :]).ravel())
-        return (v * w).sum(axis=2) / w.sum(axis=2)
+        there = np.where(np.isnan(v), 0.0, w).sum(axis=2)
+        return np.where(there > 0, np.nansum(v * w, axis=2) / np.where(there > 0, there, 1), np.nan)
 
     return tiled(p, band, h, work)
 

@@ -67,10 +67,15 @@ def deburst_mean(samples: DataFrame, keys: list[str], burst: str, value: str, no
     return samples.where(ok).join(good, burst, "left_semi").groupBy(*keys).agg(F.avg(value).alias(value))
 
 
-def burst_of_line(lines: DataFrame, bursts: DataFrame, time: str) -> DataFrame:
-    """For each line's time, the burst [first, last) that holds it; of two that overlap, the later one after the middle of the overlap. bursts: burst, first, last; few rows an image, so they are joined by interval."""
-    hits = lines.join(bursts, (F.col("first") <= F.col(time)) & (F.col(time) < F.col("last")))
+def burst_of_line(lines: DataFrame, bursts: DataFrame, time: str, step: float = 64.0) -> DataFrame:
+    """For each line's time, the burst (burst, first, last) that holds it, first <= time < last; of those that overlap, the last one whose overlap with its predecessor is over by half.
+
+    Bursts are cut to buckets of `step`, so the join is on a bucket and a range
+    test. Lines in no burst are left out; without a time, too.
+    """
+    bucket = lambda c: F.floor(c / step).cast("long")
+    cut = bursts.withColumn("bucket", F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("last")))))
+    hits = lines.withColumn("bucket", bucket(F.col(time))).join(cut, "bucket").where((F.col("first") <= F.col(time)) & (F.col(time) < F.col("last")))
     found = hits.groupBy(*lines.columns).agg(F.array_sort(F.collect_list(F.struct("first", "last", "burst"))).alias("b"))
-    middle = (F.col("b")[0]["last"] + F.get("b", F.lit(1))["first"]) / 2
-    pick = F.when((F.size("b") > 1) & (F.col(time) > middle), F.get("b", F.lit(1))["burst"]).otherwise(F.col("b")[0]["burst"])
-    return found.select(*lines.columns, pick.alias("burst"))
+    begun = F.filter("b", lambda x, i: (i == 0) | (F.col(time) > (F.get("b", F.greatest(i - 1, F.lit(0)))["last"] + x["first"]) / 2))
+    return found.select(*lines.columns, F.element_at(begun, -1)["burst"].alias("burst"))

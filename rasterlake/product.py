@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Product:
-    """pixels has columns y and x (from 0) and one column per band; a missing sample is null. Operators return new products and leave everything lazy."""
+    """pixels has columns y and x (from 0) and one column per band; a missing sample is null. Operators return new products; those that iterate, or need a statistic to build their plan, run jobs for it."""
 
     pixels: DataFrame
     height: int
@@ -41,9 +41,10 @@ def product(pixels: DataFrame, height: int | None = None, width: int | None = No
 
 def from_arrays(df: DataFrame, row: str, values: str, band: str = "v", *others: str) -> Product:
     """A product whose lines are the rows of a table with an array column; `others` become bands that are constant along a line."""
-    width = df.agg(F.max(F.size(values))).first()[0] or 0
+    top = df.agg(F.max(F.size(values)).alias("w"), F.max(row).alias("y")).first()
     pixels = df.select(F.col(row).cast("long").alias("y"), *others, F.posexplode(values).alias("x", "s"))
-    return product(pixels.select("y", F.col("x").cast("long").alias("x"), F.col("s").cast("double").alias(band), *others), width=int(width), height=int((df.agg(F.max(row)).first()[0] or -1) + 1))
+    pixels = pixels.select("y", F.col("x").cast("long").alias("x"), F.col("s").cast("double").alias(band), *others)
+    return product(pixels, width=max(int(top["w"] or 0), 0), height=0 if top["y"] is None else int(top["y"]) + 1)
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> Product:

@@ -344,6 +344,55 @@ def oversample(spark, sf_dir):
     return neighbourhood.oversample(embeddings(spark, sf_dir), "v").pixels
 
 
+# Missing samples
+
+_HOLES = "hp as (select y, x, case when (y * 7 + x * 3) % 11 > 2 then v end as v from px)"
+
+
+def _holed(spark, sf_dir) -> Product:
+    p = embeddings(spark, sf_dir)
+    return p.select(F.when((F.col("y") * 7 + F.col("x") * 3) % 11 > 2, F.col("v")).alias("v"))
+
+
+@query(f"with {{PX}}, {_HOLES}, {_boxes(1, 'v', 'hp')} select y, x, round(m, 9) as v from bx")
+def box_mean_holes(spark, sf_dir):
+    return neighbourhood.box_mean(_holed(spark, sf_dir), "v").pixels.select("y", "x", F.round("v", 9).alias("v"))
+
+
+@query(f"""with {{PX}}, {_HOLES}, {_boxes(1, 'v', 'hp')}, f as (select y, x, c, s, list_filter(l, lambda e: e is not null) as l from bx)
+select y, x, l[len(l) // 2 + 1] as median, l[1] as lo, l[-1] as hi, round(s, 6) as sd from f""")
+def rank_holes(spark, sf_dir):
+    p, out = _holed(spark, sf_dir), None
+    for kind, name in (("median", "median"), ("min", "lo"), ("max", "hi"), ("stddev", "sd")):
+        part = neighbourhood.rank_filter(p, "v", kind).pixels.withColumnRenamed("v", name)
+        out = part if out is None else out.join(part, ["y", "x"])
+    return out.withColumn("sd", r6("sd"))
+
+
+@query(f"""with {{PX}}, {_HOLES}, {_boxes(1, 'v', 'hp')}, t as (select *, s / nullif(abs(m), 0) as ci from bx)
+select y, x, round(case when ci is null or ci <= 0.5 then m else c * (1 - 0.25 / (ci * ci)) + m * 0.25 / (ci * ci) end, 6) as v from t""")
+def lee_holes(spark, sf_dir):
+    return neighbourhood.lee(_holed(spark, sf_dir), "v", 1, 4.0).pixels.select("y", "x", r6("v"))
+
+
+@query(f"""with {{PX}}, {_HOLES}, d as (select unnest(range(-1, 2)) as d), b as (select p.y, p.x, any_value(p.v) as c, avg(q.v) as m from hp p cross join sz cross join d a cross join d b
+join hp q on q.y = least(greatest(p.y + a.d, 0), h - 1) and q.x = least(greatest(p.x + b.d, 0), w - 1) group by p.y, p.x)
+select p.y, p.x, round(sum(case when p.c is not null then coalesce(q.v, p.m) * a.d * (2 - abs(b.d)) end), 6) as v from b p cross join sz cross join d a cross join d b
+join hp q on q.y = least(greatest(p.y + a.d, 0), h - 1) and q.x = least(greatest(p.x + b.d, 0), w - 1) group by p.y, p.x""")
+def kernel_holes(spark, sf_dir):
+    k, d = neighbourhood.KERNELS["sobel_north"]
+    return neighbourhood.kernel_filter(_holed(spark, sf_dir), "v", k, d).pixels.select("y", "x", r6("v"))
+
+
+@query(f"""with {{PX}}, {_HOLES}, uv as (select y, x, x * 0.75 + 1.3 as u, y * 0.5 + 2.2 as v from px), t as (select y, x, floor(u - 0.5) as a, floor(v - 0.5) as b, u - 0.5 - floor(u - 0.5) as s, v - 0.5 - floor(v - 0.5) as t from uv, sz where u >= 0 and u < w and v >= 0 and v < h),
+k as (select unnest([0, 1]) as i), n as (select t.y, t.x, least(greatest(a + k.i, 0), w - 1) as sx, least(greatest(b + l.i, 0), h - 1) as sy, (case k.i when 0 then 1 - s else s end) * (case l.i when 0 then 1 - t else t end) as wt from t, sz, k, k l)
+select n.y, n.x, round(sum(wt * v) / nullif(sum(case when v is not null then wt end), 0), 6) as v from n join hp p on p.y = sy and p.x = sx group by 1, 2""")
+def bilinear_holes(spark, sf_dir):
+    p = _holed(spark, sf_dir)
+    out = joins.resample(p, p.pixels.select("y", "x"), F.col("x") * 0.75 + 1.3, F.col("y") * 0.5 + 2.2, "v", "bilinear")
+    return out.select("y", "x", r6("v"))
+
+
 # Joins
 
 
@@ -616,7 +665,8 @@ def gcp_selection(spark, sf_dir):
 def terrain_correction(spark, sf_dir):
     """The raster as a slant-range image, on a grid of targets abeam of a straight flight."""
     p = embeddings(spark, sf_dir).select("v")
-    states = [(float(t), (0.0, 10.0 * t, 5000.0), (0.0, 10.0, 0.0)) for t in range(0, 3000, 10)]
+    # a state each ten lines, from before the first line to beyond the last one
+    states = [(float(t), (0.0, 10.0 * t, 5000.0), (0.0, 10.0, 0.0)) for t in range(-10, p.height + 20, 10)]
     targets = p.pixels.select("y", "x", (F.lit(3000.0) + F.col("x") * 10).alias("tx"), (F.col("y") * 10.0).alias("ty"), (F.col("v") * 5).alias("tz"))
     out = registration.terrain_correction(p, "v", targets, p.height, p.width, states=states, first_line=0.0, line_time=1.0, near_range=5830.0, range_spacing=6.0)
     return out.pixels
@@ -661,12 +711,12 @@ def deburst_mean(spark, sf_dir):
     return radiometry.deburst_mean(e, ["day", "event_type"], "user_id", "v", 0.0, 0.2).withColumn("v", r6("v"))
 
 
-@query("""with b as (select k as burst, k * 50.0 as first, k * 50.0 + 70 as last from (select unnest(range(0, 12)) as k)), {PX}, l as (select distinct y from px), h as (select y, list({burst: burst, first: first, last: last} order by first) as b from l join b on first <= y and y < last group by y)
+@query("""with b as (select k as burst, k * 50.0 as first, k * 50.0 + 70 as last from (select unnest(range(0, (select max(vec_id) // 50 + 1 from embeddings))) as k)), {PX}, l as (select distinct y from px), h as (select y, list({burst: burst, first: first, last: last} order by first) as b from l join b on first <= y and y < last group by y)
 select y, case when len(b) > 1 and y > (b[1].last + b[2].first) / 2 then b[2].burst else b[1].burst end as burst from h""".replace("{burst: burst, first: first, last: last}", "struct_pack(burst := burst, first := first, last := last)"))
 def burst_lines(spark, sf_dir):
     """Which of overlapping bursts each line comes from."""
     lines = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"))
-    bursts = spark.range(12).select(F.col("id").alias("burst"), (F.col("id") * 50.0).alias("first"), (F.col("id") * 50.0 + 70).alias("last"))
+    bursts = spark.range(embeddings(spark, sf_dir).height // 50 + 1).select(F.col("id").alias("burst"), (F.col("id") * 50.0).alias("first"), (F.col("id") * 50.0 + 70).alias("last"))
     return radiometry.burst_of_line(lines, bursts, "y")
 
 
