@@ -82,7 +82,7 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 
 
 def token_labels(sample: Sample, toxic: np.ndarray) -> np.ndarray:
-    """True for tokens with a word or beginning that toxic documents hold far too often to be chance (log-likelihood ratio over 20, four in five of its documents toxic)."""
+    """True for tokens with a word or beginning that toxic documents hold far too often to be chance: in three documents at least, four in five of its documents toxic, and a log-likelihood ratio over 2 ln(words tried), so that about one word of all passes by chance, however large the sample is."""
     texts = max(1, len(toxic))
     pair = np.unique(sample.word.astype(np.int64) * texts + sample.row)
     word, doc = pair // texts, pair % texts
@@ -96,7 +96,7 @@ def token_labels(sample: Sample, toxic: np.ndarray) -> np.ndarray:
         a = np.bincount(which, weights=toxic[where], minlength=len(key))
         b = np.bincount(which, minlength=len(key)) - a
         ratio = 2 * (part_log(a, (a + b) * share) + part_log(b, (a + b) * (1 - share)))
-        hot |= ((a >= 3) & (a >= 0.8 * (a + b)) & (ratio > 20) & (key != 0))[back]
+        hot |= ((a >= 3) & (a >= 0.8 * (a + b)) & (ratio > 2 * np.log(max(len(key), 2))) & (key != 0))[back]
     return hot[sample.word]
 
 
