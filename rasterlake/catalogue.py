@@ -55,3 +55,19 @@ def select_area(products: DataFrame, query: Query) -> DataFrame:
 
 def distinct(products: DataFrame, column: str) -> DataFrame:
     return products.select(column).distinct().orderBy(column)
+
+
+def scan(spark, path: str, pattern: str = "*") -> DataFrame:
+    """Files below a folder as catalogue rows: path, name, bytes and time of change. Contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"))
+
+
+def upsert(products: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
+    """products with new rows added and those of a known key replaced; null keys are always new."""
+    return products.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def remove(products: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:
+    """products without the rows of the given keys."""
+    return products.join(gone.select(key), key, "left_anti")

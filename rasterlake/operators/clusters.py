@@ -122,6 +122,39 @@ def unmix(p: Product, bands: list[str], endmembers: np.ndarray, sum_to_one: bool
     return p.select(*out)
 
 
+def unmix_fully(p: Product, bands: list[str], endmembers: np.ndarray) -> Product:
+    """Least squares abundances that are not negative and sum to one; missing where a band is.
+
+    The best point of the simplex is that of one of its faces: for each set of
+    members the constrained solution is a fixed linear map, so all 2^m - 1 of
+    them are Columns, and the feasible one with the least error is taken. Meant
+    for few members (at most 6).
+    """
+    e = np.asarray(endmembers, float)
+    if len(e) > 6:
+        raise ValueError("at most 6 members")
+    options = []
+    for face in range(1, 1 << len(e)):
+        members = [k for k in range(len(e)) if face >> k & 1]
+        sub, one = e[members], np.ones(len(members))
+        g = np.linalg.pinv(sub @ sub.T)
+        s = g @ one / (one @ g @ one)
+        inverse = np.linalg.pinv(sub.T)
+        inverse = inverse - np.outer(s, one @ inverse)
+        a = {k: sum((float(inverse[r, i]) * F.col(b) for i, b in enumerate(bands)), F.lit(float(s[r]))) for r, k in enumerate(members)}
+        ok = F.lit(True)
+        for c in a.values():
+            ok = ok & (c >= -1e-12)
+        gap = [F.col(b) - sum((float(e[k, i]) * c for k, c in a.items()), F.lit(0.0)) for i, b in enumerate(bands)]
+        error = sum((x * x for x in gap), F.lit(0.0))
+        options.append(F.struct(F.when(ok, error).otherwise(F.lit(float("inf"))).alias("error"), F.array(*[F.greatest(a[k], F.lit(0.0)) if k in a else F.lit(0.0) for k in range(len(e))]).alias("a")))
+    there = F.lit(True)
+    for b in bands:
+        there = there & F.col(b).isNotNull()
+    best = F.when(there, F.array_min(F.array(*options))["a"])
+    return p.with_pixels(p.pixels.select("y", "x", best.alias("_a")).select("y", "x", *[F.get("_a", F.lit(k)).alias(f"abundance{k}") for k in range(len(e))]))
+
+
 def components(p: Product, mask: Column) -> DataFrame:
     """y, x and label (the least y * width + x of its component) of the pixels of a mask, eight neighbours. Runs along lines are joined first, so rounds follow the number of lines of a shape, not its pixels."""
     rows = p.pixels.where(mask).select("y", "x")

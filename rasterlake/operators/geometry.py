@@ -89,9 +89,91 @@ def stereographic(lat: Column, lon: Column, lat0: float = 90.0, lon0: float = 0.
     return k * F.cos(p) * F.sin(d), k * (math.cos(c) * F.sin(p) - math.sin(c) * F.cos(p) * F.cos(d))
 
 
-def reproject(source: Product, band: str, target: DataFrame, u: Column, v: Column, height: int, width: int, method: str = "bilinear") -> Product:
-    """The band on a target grid (y, x), whose pixels lie at source coordinates u and v."""
-    return Product(resample(source, target, u, v, band, method), height, width, source.meta)
+def transverse_mercator_inverse(x: Column, y: Column, lon0: float, k0: float = 0.9996, east: float = 500000.0, north: float = 0.0) -> tuple[Column, Column]:
+    """Latitude and longitude of an easting and northing (footpoint series)."""
+    ep, e4, e6 = E2 / (1 - E2), E2 * E2, E2**3
+    f = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
+    mu = (y - north) / k0 / (A * (1 - E2 / 4 - 3 * e4 / 64 - 5 * e6 / 256))
+    foot = mu + (1.5 * f - 27 * f**3 / 32) * F.sin(2 * mu) + (21 * f**2 / 16 - 55 * f**4 / 32) * F.sin(4 * mu) + 151 * f**3 / 96 * F.sin(6 * mu) + 1097 * f**4 / 512 * F.sin(8 * mu)
+    s = F.sin(foot)
+    n, r = A / F.sqrt(1 - E2 * s * s), A * (1 - E2) / F.pow(1 - E2 * s * s, F.lit(1.5))
+    t, c = F.tan(foot) * F.tan(foot), ep * F.cos(foot) * F.cos(foot)
+    d = (x - east) / (n * k0)
+    lat = foot - n * F.tan(foot) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * F.pow(d, F.lit(4)) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * F.pow(d, F.lit(6)) / 720)
+    lon = (d - (1 + 2 * t + c) * F.pow(d, F.lit(3)) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * F.pow(d, F.lit(5)) / 120) / F.cos(foot)
+    return F.degrees(lat), lon0 + F.degrees(lon)
+
+
+def albers_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float = 0.0, lon0: float = 0.0, radius: float = A) -> tuple[Column, Column]:
+    a, b, c = map(math.radians, (lat1, lat2, lat0))
+    n = (math.sin(a) + math.sin(b)) / 2
+    k = math.cos(a) ** 2 + 2 * n * math.sin(a)
+    down = radius * math.sqrt(k - 2 * n * math.sin(c)) / n - y
+    r = F.sqrt(x * x + down * down)
+    sine = (k - F.pow(r * n / radius, F.lit(2))) / (2 * n)
+    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sine)))), lon0 + F.degrees(F.atan2(x, down)) / n
+
+
+def lambert_conformal_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float = 0.0, lon0: float = 0.0, radius: float = A) -> tuple[Column, Column]:
+    a, b, c = map(math.radians, (lat1, lat2, lat0))
+    up = lambda v: math.tan(math.pi / 4 + v / 2)
+    n = math.sin(a) if a == b else math.log(math.cos(a) / math.cos(b)) / math.log(up(b) / up(a))
+    f = math.cos(a) * up(a) ** n / n
+    down = radius * f / up(c) ** n - y
+    r = F.sqrt(x * x + down * down)
+    return F.degrees(2 * F.atan(F.pow(radius * f / r, F.lit(1 / n))) - math.pi / 2), lon0 + F.degrees(F.atan2(x, down)) / n
+
+
+def stereographic_inverse(x: Column, y: Column, lat0: float = 90.0, lon0: float = 0.0, radius: float = A) -> tuple[Column, Column]:
+    c0 = math.radians(lat0)
+    r = F.sqrt(x * x + y * y)
+    c = 2 * F.atan(r / (2 * radius))
+    sine = F.cos(c) * math.sin(c0) + F.when(r > 0, y * F.sin(c) * math.cos(c0) / F.when(r > 0, r)).otherwise(0.0)
+    lon = F.atan2(x * F.sin(c), r * math.cos(c0) * F.cos(c) - y * math.sin(c0) * F.sin(c))
+    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sine)))), lon0 + F.degrees(F.when(r > 0, lon).otherwise(0.0))
+
+
+def mollweide(lat: Column, lon: Column, lon0: float = 0.0, radius: float = A, steps: int = 12) -> tuple[Column, Column]:
+    """Equal-area ellipse; the auxiliary angle by a fixed number of Newton's steps from a start that converges at the poles too."""
+    p = F.radians(lat)
+    goal = math.pi * F.sin(p)
+    # 2t + sin 2t = goal; near a pole the root behaves like a cube root
+    start = F.signum(p) * (math.pi / 2 - F.pow(0.75 * F.greatest(F.lit(0.0), math.pi - F.abs(goal)), F.lit(1 / 3)))
+
+    def step(t: Column, _: Column) -> Column:
+        slope = 2 + 2 * F.cos(2 * t)
+        return t - F.when(slope > 1e-12, (2 * t + F.sin(2 * t) - goal) / F.when(slope > 1e-12, slope)).otherwise(0.0)
+
+    t = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)  # a loop inside the row: as nested Columns the plan would double with each step
+    return radius * 2 * math.sqrt(2) / math.pi * F.radians(lon - lon0) * F.cos(t), radius * math.sqrt(2) * F.sin(t)
+
+
+def mollweide_inverse(x: Column, y: Column, lon0: float = 0.0, radius: float = A) -> tuple[Column, Column]:
+    t = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y / (radius * math.sqrt(2)))))
+    lat = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (2 * t + F.sin(2 * t)) / math.pi)))
+    return F.degrees(lat), lon0 + F.degrees(math.pi * x / (2 * radius * math.sqrt(2) * F.cos(t)))
+
+
+def lat_lon(origin: tuple[float, float], step: tuple[float, float]) -> tuple[Column, Column]:
+    """Latitude and longitude of a pixel's centre in a grid with its upper left corner at origin (lat, lon); latitudes fall."""
+    return origin[0] - (F.col("y") + 0.5) * step[0], origin[1] + (F.col("x") + 0.5) * step[1]
+
+
+def reproject(source: Product, band: str, origin: tuple[float, float], step: tuple[float, float], inverse, target: DataFrame, height: int, width: int, corner: tuple[float, float], spacing: float, method: str = "bilinear") -> Product:
+    """The band of a latitude-longitude grid (origin and step as in lat_lon) on a map grid.
+
+    target has y and x; its pixels lie at eastings and northings from corner
+    (upper left) on, spacing apart. inverse takes easting and northing Columns to
+    latitude and longitude, as the *_inverse functions do.
+    """
+    lat, lon = inverse(corner[0] + (F.col("x") + 0.5) * spacing, corner[1] - (F.col("y") + 0.5) * spacing)
+    return Product(resample(source, target, (lon - origin[1]) / step[1], (origin[0] - lat) / step[0], band, method), height, width, source.meta)
+
+
+def elevation_at(points: DataFrame, lat: Column, lon: Column, dem: Product, band: str, origin: tuple[float, float], step: tuple[float, float], method: str = "bilinear") -> DataFrame:
+    """points (y, x and what lat and lon need) with the elevation of a latitude-longitude model under them; missing outside it or beside missing samples only."""
+    found = resample(dem, points, (lon - origin[1]) / step[1], (origin[0] - lat) / step[0], band, method)
+    return points.join(found.select("y", "x", F.col(band).alias("elevation")), ["y", "x"], "left")
 
 
 def grid(spark, height: int, width: int) -> DataFrame:

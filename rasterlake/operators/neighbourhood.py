@@ -202,27 +202,47 @@ def rank_filter(p: Product, band: str, kind: str, h: int = 1) -> Product:
     return tiled(p, band, h, lambda grid: RANKS[kind](_views(grid, h)))
 
 
-# Kernels and their divisors.
+# Kernels and their divisors. The origin of a kernel is its middle, or of an even size the last before it.
 KERNELS = {
-    "horizontal_edges": ([[-1, -1, -1], [0, 0, 0], [1, 1, 1]], 1),
-    "vertical_edges": ([[-1, 0, 1], [-1, 0, 1], [-1, 0, 1]], 1),
-    "left_diagonal_edges": ([[0, 1, 1], [-1, 0, 1], [-1, -1, 0]], 1),
-    "right_diagonal_edges": ([[1, 1, 0], [1, 0, -1], [0, -1, -1]], 1),
+    "horizontal_edges": ([[-1, -1, -1], [2, 2, 2], [-1, -1, -1]], 1),
+    "vertical_edges": ([[-1, 2, -1], [-1, 2, -1], [-1, 2, -1]], 1),
+    "left_diagonal_edges": ([[2, -1, -1], [-1, 2, -1], [-1, -1, 2]], 1),
+    "right_diagonal_edges": ([[-1, -1, 2], [-1, 2, -1], [2, -1, -1]], 1),
+    "compass": ([[-1, 1, 1], [-1, -2, 1], [-1, 1, 1]], 1),
+    "diagonal_compass": ([[1, 1, 1], [-1, -2, 1], [-1, -1, 1]], 1),
+    "roberts_north_west": ([[1, 0], [0, -1]], 1),
+    "roberts_north_east": ([[0, 1], [-1, 0]], 1),
     "sobel_north": ([[-1, -2, -1], [0, 0, 0], [1, 2, 1]], 1),
-    "sobel_east": ([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], 1),
-    "average_3x3": ([[1, 1, 1], [1, 1, 1], [1, 1, 1]], 9),
+    "sobel_south": ([[1, 2, 1], [0, 0, 0], [-1, -2, -1]], 1),
+    "sobel_west": ([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], 1),
+    "sobel_east": ([[1, 0, -1], [2, 0, -2], [1, 0, -1]], 1),
+    "sobel_north_east": ([[0, -1, -2], [1, 0, -1], [2, 1, 0]], 1),
+    "average_3x3": ([[1] * 3] * 3, 9),
+    "average_4x4": ([[1] * 4] * 4, 16),
+    "average_5x5": ([[1] * 5] * 5, 25),
     "low_pass_3x3": ([[1, 2, 1], [2, 4, 2], [1, 2, 1]], 16),
     "low_pass_5x5": ([[1, 1, 1, 1, 1], [1, 4, 4, 4, 1], [1, 4, 12, 4, 1], [1, 4, 4, 4, 1], [1, 1, 1, 1, 1]], 60),
     "high_pass_3x3": ([[-1, -1, -1], [-1, 9, -1], [-1, -1, -1]], 1),
     "sharpen_3x3": ([[0, -1, 0], [-1, 5, -1], [0, -1, 0]], 1),
+    "high_pass_5x5": ([[0, -1, -1, -1, 0], [-1, 2, -4, 2, -1], [-1, -4, 13, -4, -1], [-1, 2, -4, 2, -1], [0, -1, -1, -1, 0]], 1),
     "laplace_3x3": ([[0, -1, 0], [-1, 4, -1], [0, -1, 0]], 1),
+    "laplace_5x5": ([[1, 1, 1, 1, 1], [1, 1, 1, 1, 1], [1, 1, 24, 1, 1], [1, 1, 1, 1, 1], [1, 1, 1, 1, 1]], 1),
 }
 
 
+def read_kernel(spark, path: str) -> tuple[list[list[float]], float]:
+    """A kernel from a text file: a line a row, numbers between spaces, commas or tabs; lines that begin with # are left out. The divisor is 1."""
+    lines = [r[0].replace(",", " ").split() for r in spark.read.text(path).collect()]  # a kernel's few lines
+    return [[float(v) for v in line] for line in lines if line and not line[0].startswith("#")], 1.0
+
+
 def kernel_filter(p: Product, band: str, kernel: list[list[float]], divisor: float = 1.0) -> Product:
-    """Correlation with an odd square kernel, borders repeated. A missing neighbour counts as the mean of those present; a missing pixel stays missing."""
-    k = np.array(kernel, float)
-    h = len(k) // 2
+    """Correlation with a kernel, borders repeated. A missing neighbour counts as the mean of those present; a missing pixel stays missing."""
+    given = np.array(kernel, float)
+    up, left = (given.shape[0] - 1) // 2, (given.shape[1] - 1) // 2
+    h = max(up, left, given.shape[0] - 1 - up, given.shape[1] - 1 - left)
+    k = np.zeros((2 * h + 1, 2 * h + 1))
+    k[h - up : h - up + given.shape[0], h - left : h - left + given.shape[1]] = given
 
     def work(grid: np.ndarray) -> np.ndarray:
         v = _views(grid, h)

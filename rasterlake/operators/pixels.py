@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,22 @@ def masked(p: Product, mask: Column, *bands: str) -> Product:
     return p.with_bands(**{b: F.when(mask, F.col(b)) for b in bands or p.bands})
 
 
+def no_data(p: Product, values: dict[str, float]) -> Product:
+    """Samples equal to their band's no-data value become missing, as every operator takes them."""
+    return p.with_bands(**{b: F.when(~m.eq(F.col(b), v), F.col(b)) for b, v in values.items()})
+
+
+def fill_no_data(p: Product, values: dict[str, float]) -> Product:
+    """Missing samples become their band's no-data value again."""
+    return p.with_bands(**{b: m.fill(F.col(b), v) for b, v in values.items()})
+
+
+def valid_maths(p: Product, valid: dict[str, Column], uses: dict[str, list[str]], **targets: Column) -> Product:
+    """Bands from expressions, missing where a band that one uses is not valid: `valid` has the test of each band that has one, `uses` the bands of each target."""
+    test = {t: [F.coalesce(valid[b], F.lit(False)) for b in uses.get(t, []) if b in valid] for t in targets}
+    return p.select(*[F.when(reduce(lambda a, b: a & b, test[t], F.lit(True)), c).alias(t) for t, c in targets.items()])
+
+
 def subset(p: Product, x: int, y: int, width: int, height: int, step_x: int = 1, step_y: int = 1) -> Product:
     """A region, each n-th pixel of it, with its own origin. The range filter reaches the scan."""
     keep = F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1)

@@ -37,6 +37,32 @@ def sigma0_reference(power: Column, rescale: float, constant: float, reference_r
     return out if reference_deg is None else out * F.sin(F.radians(F.lit(reference_deg)))
 
 
+def calibrate(p, band: str, mission: str, incidence_deg: Column, constant: float = 1.0, **more) -> DataFrame:
+    """y, x and sigma0 of a product's power band, by the model of its mission.
+
+    ENVISAT and ERS: gain (optional) and spread (optional) Columns. ALOS: the
+    constant in decibels. TSX: noise Column. RS2: offset and gains, a DataFrame of
+    x and gain that is joined by column of the image. CSK: rescale, reference_range,
+    exponent and reference_deg. Others raise ValueError.
+    """
+    power, rows = F.col(band).cast("double"), p.pixels
+    kind = mission.upper().split("-")[0]
+    if kind in ("ENVISAT", "ERS1", "ERS2", "ERS"):
+        out = sigma0_asar(power, incidence_deg, constant, more.get("gain"), more.get("spread"))
+    elif kind == "ALOS":
+        out = power * 10 ** (constant / 10)
+    elif kind.startswith("TSX") or kind.startswith("TDX"):
+        out = sigma0_noise(power, more.get("noise", F.lit(0.0)), constant, incidence_deg)
+    elif kind in ("RS2", "RADARSAT"):
+        rows = rows.join(more["gains"].select("x", F.col("gain").alias("_gain")), "x")
+        out = sigma0_gain_table(power, more.get("offset", 0.0), F.col("_gain"), more.get("complex_input", False))
+    elif kind in ("CSK", "CSKS1", "CSKS2", "CSKS3", "CSKS4"):
+        out = sigma0_reference(power, more.get("rescale", 1.0), constant, more.get("reference_range"), more.get("exponent", 1.0), more.get("reference_deg"))
+    else:
+        raise ValueError(f"no calibration for {mission}")
+    return rows.select("y", "x", out.alias("sigma0"))
+
+
 def gamma0(sigma0: Column, incidence_deg: Column) -> Column:
     return sigma0 / F.cos(F.radians(incidence_deg))
 

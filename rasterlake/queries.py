@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import catalogue
 from .functions import band_math as m
+from .functions import expressions, remote_sensing
 from .operators import clusters, geometry, joins, neighbourhood, pixels, radiometry, registration, statistics
 from .product import Product, embeddings, product
 from .sources import stores
@@ -760,3 +761,181 @@ def lagrange_states(spark, sf_dir):
 @query()
 def oil_spill_clusters(spark, sf_dir):
     return clusters.drop_small(intensity(spark, sf_dir), F.col("i") < 0.0005, 3)
+
+
+# Expressions as text, validity, formulas
+
+
+@query("""with {PX} select y, x, case when v > 0.5 and not (label = 2 or v > 1) then v * 2 + 1 else -v end as a, 2 + 3 * label - 1 as b, case when label = 0 then -5 else v / label end as c, cast(trunc((y + 7) / (label + 2)) as int) as d,
+(label & 3) = 3 as e, abs(v - 0.1) <= 0.05 as f, not (abs(v - 0.1) <= 0.05) as g, v >= -1 and v <= 1 as h, round(sqrt(v * v + label * label), 9) as i from px""")
+def expr_text(spark, sf_dir):
+    """Band expressions as SQL text: precedence, conditions, quotients of doubles and ints, flags, ranges."""
+    q = expressions.band_maths(
+        embeddings(spark, sf_dir), a="IF(v > 0.5 AND NOT (label = 2 OR v > 1), v * 2 + 1, -v)", b="2 + 3 * label - 1", c="IF(inf(bm_div(v, label)), -5, bm_div(v, label))", d="bm_idiv(int(y + 7), int(label + 2))",
+        e="flag(label, 3)", f="feq(v, 0.1, 0.05)", g="fneq(v, 0.1, 0.05)", h="inrange(v, -1, 1)", i="round(ampl(v, label), 9)",
+    )
+    return q.pixels
+
+
+@query("""with {PX}, n as (select y, x, case when v < -1 then 'NaN'::double else v end as v from px)
+select y, x, not isnan(v) and v < 0 as lt, not isnan(v) and v >= 0 as ge, not isnan(v) and v = v as eq, isnan(v) or abs(v) > 0.5 as ne from n""")
+def expr_text_nan(spark, sf_dir):
+    p = embeddings(spark, sf_dir).select(F.when(F.col("v") < -1, float("nan")).otherwise(F.col("v")).alias("v"))
+    return expressions.band_maths(p, lt="bm_lt(v, 0)", ge="bm_ge(v, 0)", eq="bm_eq(v, v)", ne="fneq(v, 0, 0.5)").pixels
+
+
+@query("with {PX} select y, x, case when v > -1 and label <> 1 then v + label end as a, case when v > -1 then v * 2 end as b, label + 1 as c from px")
+def valid_mask_propagation(spark, sf_dir):
+    p = embeddings(spark, sf_dir)
+    q = pixels.valid_maths(p, {"v": F.col("v") > -1, "label": F.col("label") != 1}, {"a": ["v", "label"], "b": ["v"]}, a=F.col("v") + F.col("label"), b=F.col("v") * 2, c=F.col("label") + 1)
+    return q.pixels
+
+
+@query("with {PX} select label, count(case when label <> 2 then v end) as n, round(avg(case when label <> 2 then v end), 9) as mean, sum(case when label = 2 then 1 else 0 end) as filled from px group by label")
+def no_data_values(spark, sf_dir):
+    p = embeddings(spark, sf_dir)
+    coded = p.with_bands(v=F.when(F.col("label") == 2, -999.0).otherwise(F.col("v")))
+    clean = pixels.no_data(coded, {"v": -999.0})
+    back = pixels.fill_no_data(clean.select("v", "label", F.col("v").alias("w")), {"w": -999.0})
+    return back.pixels.groupBy("label").agg(F.count("v").alias("n"), F.round(F.avg("v"), 9).alias("mean"), F.sum((F.col("w") == -999.0).cast("long")).alias("filled"))
+
+
+@query(f"""with {_ANGLES} select c_custkey, round((lat + 90) * pi() / (1500 * cos(radians(40))), 9) as refl, 90 - lat as elev, round(1013 * exp(-9.80665 * 1.26895 * 0.01 * (lon + 180) / 1013), 6) as press, round(7.84 / (lon + 200), 9) as depth,
+round(lat + degrees(1000 * tan(radians(30)) * cos(radians(60)) / 6370997.0), 9) as clat, round(lon + degrees(1000 * tan(radians(30)) * sin(radians(60)) / (6370997.0 * cos(radians(lat)))), 9) as clon from g""")
+def rs_formulas(spark, sf_dir):
+    lat, lon = F.col("lat"), F.col("lon")
+    clat, clon = remote_sensing.view_corrected(lat, lon, F.lit(1000.0), F.lit(30.0), F.lit(60.0))
+    return _places(spark, sf_dir).select(
+        "c_custkey", F.round(remote_sensing.reflectance(lat + 90, F.lit(40.0), 1500.0), 9).alias("refl"), remote_sensing.elevation_of_zenith(lat).alias("elev"), F.round(remote_sensing.pressure_at(F.lit(1013.0), lon + 180), 6).alias("press"),
+        F.round(remote_sensing.koschmieder(lon + 200), 9).alias("depth"), F.round(clat, 9).alias("clat"), F.round(clon, 9).alias("clon"),
+    )
+
+
+@query("""with {PX}, t as (select y, x, least(greatest(v, -2), 2) as a, least(greatest(label * 1.0, 0), 4) as b from px), c as (select *, case when a < 0 then 0 else 1 end as i, case when b < 1 then 0 else 1 end as j from t),
+s as (select *, case when i = 0 then (a + 2) / 2 else a / 2 end as s, case when j = 0 then b else (b - 1) / 3 end as t from c)
+select y, x, round((1 - s) * (1 - t) * (10 * i + j * j) + (1 - s) * t * (10 * i + (j + 1) * (j + 1)) + s * (1 - t) * (10 * (i + 1) + j * j) + s * t * (10 * (i + 1) + (j + 1) * (j + 1)), 9) as v,
+cast(greatest(0, least(15, floor((a + 2) / 4 * 16))) as int) as level, round(1 + 2 * a + 3 * b + 0.5 * a * b, 9) as surface from s""")
+def lookup_tables(spark, sf_dir):
+    """A table over two axes with uneven knots, a quantiser and a polynomial surface."""
+    v = remote_sensing.lookup([[-2, 0, 2], [0, 1, 4]], [10 * i + j * j for i in range(3) for j in range(3)], F.col("v"), F.col("label").cast("double"))
+    a, b = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("v"))), F.greatest(F.lit(0.0), F.least(F.lit(4.0), F.col("label").cast("double")))
+    surface = remote_sensing.polynomial_surface(a, b, [1, 2, 3, 0, 0.5])
+    return embeddings(spark, sf_dir).select(F.round(v, 9).alias("v"), remote_sensing.quantise(F.col("v"), -2.0, 2.0, 16).alias("level"), F.round(surface, 9).alias("surface")).pixels
+
+
+@query("""with {PX}, p as (select y, x, i * 100 as i from ip) select y, x, round(i * sin(radians(35)) / 50 * 2 / 9, 9) as asar, round(i * power(10.0, -8.3), 12) as alos, round(0.7 * (i - 0.1) * sin(radians(35)), 9) as tsx, round((i + 5) / (x + 1), 9) as rs2,
+round(i / (4 * 3) * power(800, 2) * sin(radians(30)), 6) as csk from p""")
+def calibrate_missions(spark, sf_dir):
+    """The calibration models of five missions; one brings its gains as a table by column."""
+    p = intensity(spark, sf_dir).with_bands(i=F.col("i") * 100)
+    gains = spark.range(p.width).select(F.col("id").alias("x"), (F.col("id") + 1.0).alias("gain"))
+    angle = F.lit(35.0)
+    parts = {
+        "asar": radiometry.calibrate(p, "i", "ENVISAT", angle, 50.0, gain=F.lit(3.0), spread=F.lit(2.0)),
+        "alos": radiometry.calibrate(p, "i", "ALOS", angle, -83.0),
+        "tsx": radiometry.calibrate(p, "i", "TSX-1", angle, 0.7, noise=F.lit(0.1)),
+        "rs2": radiometry.calibrate(p, "i", "RS2", angle, gains=gains, offset=5.0),
+        "csk": radiometry.calibrate(p, "i", "CSK", angle, 3.0, rescale=2.0, reference_range=800.0, reference_deg=30.0),
+    }
+    out, digits = None, {"alos": 12, "csk": 6}
+    for n, df in parts.items():
+        df = df.select("y", "x", F.round("sigma0", digits.get(n, 9)).alias(n))
+        out = df if out is None else out.join(df, ["y", "x"])
+    return out
+
+
+@query("with {PX} select y, x, round(i / cos(radians(30)), 9) as gamma0, round(i / sin(radians(30)), 9) as beta0, round(i * 9 / 2, 9) as unpatterned from ip")
+def radiometric_forms(spark, sf_dir):
+    i, a = F.col("i"), F.lit(30.0)
+    return intensity(spark, sf_dir).select(F.round(radiometry.gamma0(i, a), 9).alias("gamma0"), F.round(radiometry.beta0(i, a), 9).alias("beta0"), F.round(radiometry.remove_antenna_pattern(i, F.lit(3.0), F.lit(2.0)), 9).alias("unpatterned")).pixels
+
+
+@query(f"with {_ANGLES} select c_custkey, true as utm, true as albers, true as lambert, true as stereo, true as sinus, true as moll from g")
+def projection_round_trips(spark, sf_dir):
+    """Each projection and its inverse give the place back."""
+    lat, lon = F.col("lat") * 0.5 + 41, F.col("lon") / 60 + 9
+    same = lambda p: (F.abs(p[0] - lat) < 1e-6) & (F.abs(p[1] - lon) < 1e-6)
+    g = geometry
+    return _places(spark, sf_dir).select(
+        "c_custkey",
+        same(g.transverse_mercator_inverse(*g.transverse_mercator(lat, lon, 9.0), 9.0)).alias("utm"),
+        same(g.albers_inverse(*g.albers(lat, lon, 30.0, 60.0, 45.0, 10.0), 30.0, 60.0, 45.0, 10.0)).alias("albers"),
+        same(g.lambert_conformal_inverse(*g.lambert_conformal(lat, lon, 30.0, 60.0, 45.0, 10.0), 30.0, 60.0, 45.0, 10.0)).alias("lambert"),
+        same(g.stereographic_inverse(*g.stereographic(lat, lon, 50.0, 10.0), 50.0, 10.0)).alias("stereo"),
+        same(g.sinusoidal_inverse(*g.sinusoidal(lat, lon, 10.0), 10.0)).alias("sinus"),
+        same(g.mollweide_inverse(*g.mollweide(lat, lon, 10.0), 10.0)).alias("moll"),
+    )
+
+
+@query(f"""with {_ANGLES}, k as (select ln(cos(radians(30)) / cos(radians(60))) / ln(tan(pi() / 4 + radians(60) / 2) / tan(pi() / 4 + radians(30) / 2)) as n), f as (select n, cos(radians(30)) * power(tan(pi() / 4 + radians(30) / 2), n) / n as f from k),
+t as (select c_custkey, 6378137.0 * f / power(tan(pi() / 4 + radians(lat) / 2), n) as r, 6378137.0 * f / power(tan(pi() / 4 + radians(45) / 2), n) as r0, n * radians(lon - 10) as t from g, f where lat > -20) select c_custkey, round(r * sin(t), 2) as e, round(r0 - r * cos(t), 2) as n from t""")
+def lambert_projection(spark, sf_dir):
+    e, n = geometry.lambert_conformal(F.col("lat"), F.col("lon"), 30.0, 60.0, 45.0, 10.0)
+    return _places(spark, sf_dir).where("lat > -20").select("c_custkey", F.round(e, 2).alias("e"), F.round(n, 2).alias("n"))
+
+
+@query("""with {PX}, t as (select y, x, (50 - (y + 0.5) * 0.01 * 1.3) as lat, 20000 + (x + 0.5) * 1447.0 as e from px), u as (select y, x, lat, 10 + degrees(e / (6378137.0 * cos(radians(lat)))) as lon from t),
+s as (select y, x, cast(floor((50 - lat) / 0.01) as bigint) as sy, cast(floor((lon - 10.2) / 0.02) as bigint) as sx from u) select s.y, s.x, p.v from s join px p on p.y = sy and p.x = sx""")
+def reproject_sinusoidal(spark, sf_dir):
+    """A latitude-longitude grid on a sinusoidal map, by the projection's inverse."""
+    import math
+
+    p = embeddings(spark, sf_dir).select("v")
+    metre = math.radians(0.013) * geometry.A
+    inverse = lambda e, n: geometry.sinusoidal_inverse(20000 + (F.col("x") + 0.5) * 1447.0 + 0 * e, n, 10.0)
+    q = geometry.reproject(p, "v", (50.0, 10.2), (0.01, 0.02), inverse, p.pixels.select("y", "x"), p.height, p.width, (0.0, math.radians(50.0) * geometry.A), metre, "nearest")
+    return q.pixels
+
+
+@query("""with {PX}, g as (select y, x, 50 - (y + 0.5) * 0.01 as lat, 10 + (x + 0.5) * 0.02 as lon from px), t as (select y, x, (lon - 10.1) / 0.05 as u, (50.02 - lat) / 0.03 as v from g),
+c as (select y, x, floor(u - 0.5) as a, floor(v - 0.5) as b, u - 0.5 - floor(u - 0.5) as s, v - 0.5 - floor(v - 0.5) as t from t, sz where u >= 0 and u < w and v >= 0 and v < h), k as (select unnest([0, 1]) as i),
+n as (select c.y, c.x, least(greatest(a + k.i, 0), w - 1) as sx, least(greatest(b + l.i, 0), h - 1) as sy, (case k.i when 0 then 1 - s else s end) * (case l.i when 0 then 1 - t else t end) as wt from c, sz, k, k l),
+e as (select n.y, n.x, round(sum(wt * i), 6) as elevation from n join ip p on p.y = sy and p.x = sx group by 1, 2) select px.y, px.x, elevation from px left join e using (y, x)""")
+def dem_lookup(spark, sf_dir):
+    """Elevations of a coarser latitude-longitude model under each pixel; missing outside it."""
+    p = embeddings(spark, sf_dir)
+    lat, lon = geometry.lat_lon((50.0, 10.0), (0.01, 0.02))
+    out = geometry.elevation_at(p.pixels.select("y", "x"), lat, lon, intensity(spark, sf_dir), "i", (50.02, 10.1), (0.03, 0.05))
+    return out.select("y", "x", r6("elevation"))
+
+
+@query("""with {PX} select p.y, p.x, round(p.v - coalesce(q.v, 0), 9) as v from px p cross join sz left join px q on q.y = least(p.y + 1, h - 1) and q.x = least(p.x + 1, w - 1)""")
+def kernel_roberts(spark, sf_dir):
+    """A kernel of an even size."""
+    k, d = neighbourhood.KERNELS["roberts_north_west"]
+    return neighbourhood.kernel_filter(embeddings(spark, sf_dir), "v", k, d).pixels.select("y", "x", F.round("v", 9).alias("v"))
+
+
+@query("""with {PX}, b as (select p.y, p.x, p.v as a, q.v as b from px p join px q on q.y = p.y and q.x = p.x + 1), t as (select y, x, a, b, ((a - 0.5) * 1.5 + (b - 2) * -1.0) / (1.5 * 1.5 + 1) as s from b) select y, x, round(least(greatest(s, 0), 1), 6) as abundance0, round(1 - least(greatest(s, 0), 1), 6) as abundance1 from t""")
+def unmixing_full(spark, sf_dir):
+    """Two members, not negative and summing to one: the place on the segment between them that is nearest."""
+    import numpy as np
+
+    q = clusters.unmix_fully(_bands(spark, sf_dir), ["v", "slv_v"], np.array([[2.0, 1.0], [0.5, 2.0]]))
+    return q.pixels.select("y", "x", r6("abundance0"), r6("abundance1"))
+
+
+@query("""with {PX}, b as (select p.y, p.x, p.v as a, q.v as b from px p join px q on q.y = p.y and q.x = p.x + 1) select y, x, round((2 * a - 0.5 * b) / 3.5, 6) as abundance0, round((2 * b - 1 * a) / 3.5, 6) as abundance1 from b""")
+def unmixing_members(spark, sf_dir):
+    """Least squares with two members that are not at right angles: two bands, so the solution is exact."""
+    import numpy as np
+
+    q = clusters.unmix(_bands(spark, sf_dir), ["v", "slv_v"], np.array([[2.0, 1.0], [0.5, 2.0]]))
+    return q.pixels.select("y", "x", r6("abundance0"), r6("abundance1"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then -1.0 else o_totalprice end as o_totalprice from orders where o_orderkey % 5 <> 0")
+def catalog_changes(spark, sf_dir):
+    """A catalogue with some rows replaced, some added again and some removed."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    new = rows.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.lit(-1.0))
+    return catalogue.remove(catalogue.upsert(rows, new, "o_orderkey"), rows.where("o_orderkey % 5 = 0"), "o_orderkey")
+
+
+@query("""select p_partkey, case when l * g / a >= 1 then l else cast(floor(a / g + 0.5) as int) end as range_looks, case when l * g / a >= 1 then cast(floor(l * g / a + 0.5) as int) else 1 end as azimuth_looks
+from (select p_partkey, p_size % 4 + 1 as l, (p_size % 7 + 1) / sin(radians(30)) as g, p_partkey % 5 + 2.0 as a from part where p_partkey <= 100)""")
+def multilook_derivation(spark, sf_dir):
+    """Looks for square pixels from slant-range spacings, of some made-up sensors."""
+    rows = table(spark, sf_dir, "part").where("p_partkey <= 100").select("p_partkey", "p_size").collect()  # a hundred sensors: the rule is a scalar one
+    out = [(r["p_partkey"], *statistics.multilook_parameters(r["p_size"] % 4 + 1, r["p_size"] % 7 + 1.0, r["p_partkey"] % 5 + 2.0, 30.0)[:2]) for r in rows]
+    return spark.createDataFrame(out, "p_partkey long, range_looks int, azimuth_looks int")
