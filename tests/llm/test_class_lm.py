@@ -4,8 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from rasterlake.llm import class_lm as c
+from rasterlake.llm.common import NONSPACE, Words, text_bytes
 
 
 def tokens(text):
@@ -44,16 +46,58 @@ def test_rare_words_go_through_the_join(spark, monkeypatch, odd_docs, no_docs):
     assert all(r["train_tokens"] == r["n_known"] == 0 for r in c.score(odd_docs, F.lit(True)).collect())
 
 
-def test_probabilities_sum_to_one(spark):
-    """All texts of one word, and the empty one: their sum is that of the first step, which is 1 with the step to the end."""
-    texts = ["a b a c", "b a b a d", "c a e", "a b", "b c a f"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    probe = spark.createDataFrame([(100 + i, w) for i, w in enumerate([*"abcdef", "unseen", ""])], "doc_id long, text string")
-    rows = c.score(docs.unionAll(probe), F.col("doc_id") >= 100, vocabulary=3, classes=4, rounds=2).where("doc_id >= 100").collect()
-    again = spark.createDataFrame([(100 + i, f"{w} {w}") for i, w in enumerate([*"abcdef", "unseen"])], "doc_id long, text string")
-    assert len(rows) == 8 and len(again.columns) == 2
-    total = 10 ** next(r["score"] for r in rows if r["n_tokens"] == 1)
-    assert 0 < total < 1
+def plain_model(model, texts):
+    """word: class, and P(class | class before), P(word | class) by counting the training texts in Python."""
+    of = {h: int(k) for h, k in zip(model.lexicon.h.tolist(), model.class_of.tolist(), strict=False)}
+    rare, end = len(model.step) - 2, len(model.step) - 1
+    name = lambda t: int(Words(*text_bytes(pa.array([t], pa.large_string())), NONSPACE).hash[0])
+    count = Counter(t for text in texts for t in tokens(text)[:-1])
+    cls = lambda t: end if t is None else of.get(name(t), rare) if t in count else rare
+    pair, size = Counter(), Counter()
+    for text in texts:
+        last = end
+        for t in tokens(text):
+            pair[last, cls(t)] += 1
+            size[cls(t)] += 1
+            last = cls(t)
+    total, k = sum(size.values()), len(model.step)
+    alive = [x for x in range(k) if size[x] or x >= rare]
+    own = [(size[x] + 1) / (total + len(alive)) if x in alive else 0.0 for x in range(k)]
+    step = lambda u, v: (pair[u, v] + c.SMOOTH * own[v]) / (sum(pair[u, x] for x in range(k)) + c.SMOOTH)
+    once, twice = (sum(n == i for n in count.values()) for i in (1, 2))
+    d = min(once / (once + 2 * twice) if once + twice else 0.5, 0.9)
+    few = [t for t in count if cls(t) == rare]
+
+    def emits(t):
+        if t is None:
+            return 1.0
+        if cls(t) != rare:
+            return count[t] / size[cls(t)]
+        if not few:
+            return 1.0
+        return (count[t] - d if t in count else d * len(few)) / size[rare]
+
+    return count, cls, step, emits, end
+
+
+def test_against_plain_model_and_sums(spark, words, monkeypatch):
+    """Scores are those of a model counted in Python with the same classes, and what can follow any word sums to one."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(c, "HEAD", 18)
+    texts = [" ".join(words[int(k)] for k in rng.zipf(1.4, rng.integers(0, 30)) % 24) for _ in range(60)]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(100 + i, t, True) for i, t in enumerate([*words, "unseen words here", "", "alpha unseen beta"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    model, _, _ = c.learn(docs, F.col("held"), vocabulary=6, classes=5, rounds=2)
+    count, cls, step, emits, end = plain_model(model, texts)
+    assert len({cls(t) for t in count}) > 2 and sum(cls(t) < 3 for t in count) > 6
+    for last in [*count, "unseen", None]:
+        assert math.isclose(sum(step(cls(last), cls(t)) * emits(t) for t in [*count, "unseen", None]), 1.0, rel_tol=1e-9)
+    for r, (_, text, _) in zip(sorted(c.score(docs, F.col("held"), vocabulary=6, classes=5, rounds=2).collect(), key=lambda r: r["doc_id"]), rows, strict=True):
+        last, wanted = None, 0.0
+        for t in tokens(text):
+            wanted += math.log10(step(cls(last), cls(t)) * emits(t))
+            last = t
+        assert math.isclose(r["score"], wanted, rel_tol=1e-6, abs_tol=1e-6)
 
 
 def test_exchange_finds_alternating_classes():
