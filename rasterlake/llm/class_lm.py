@@ -40,13 +40,13 @@ def _count(batches):
         distinct, back = np.unique(h, return_inverse=True)
         return distinct, np.bincount(back, weights=n, minlength=len(distinct)).astype(np.int64)
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 2 << 20):
         kept.append(np.unique(Words(*text_bytes(batch.column("text")), NONSPACE).hash, return_counts=True))
         total += len(kept[-1][0])
-        if total > 2_000_000:
+        if total > 1_000_000:
             kept = [merged()]
             total = len(kept[0][0])
-            if total > 1_000_000:
+            if total > 500_000:
                 yield pa.record_batch([pa.array(kept[0][0].view(np.int64)), pa.array(kept[0][1])], ["h", "n"])
                 kept, total = [], 0
     if kept:
@@ -88,7 +88,7 @@ def _encode(lexicon, texts_end: int):
         lex = lexicon.value
         size = max(1, len(lex.h))
         end_base = float(lex.base(np.array([texts_end]))[0])
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             words = Words(*text_bytes(batch.column("text")), NONSPACE)
             spot = np.minimum(np.searchsorted(lex.h, words.hash), size - 1)
             inside = lex.h[spot] == words.hash if len(lex.h) else np.zeros(len(words.hash), bool)
@@ -120,8 +120,8 @@ def _streams(batches, end: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             column = part.column("ids").cast(pa.large_binary())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             data = column.buffers()[2]
@@ -180,19 +180,22 @@ def _tail_neighbours(shared, classes: int):
 
         def summed():
             key, back = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([n for _, n in kept]), minlength=len(key)).astype(np.int64)
-            return pa.record_batch([pa.array(key), pa.array(n)], ["key", "n"])
+            return key, np.bincount(back, weights=np.concatenate([n for _, n in kept]), minlength=len(key)).astype(np.int64)
 
+        batch_of = lambda x: pa.record_batch([pa.array(x[0]), pa.array(x[1])], ["key", "n"])
         for _, ids, before, _ in _streams(batches, len(of) - 1):
             here, there = tail[ids], tail[before]
             key = np.concatenate([ids[here] * (2 * classes) + classes + of[before[here]], before[there] * (2 * classes) + of[ids[there]]])
             kept.append(np.unique(key, return_counts=True))
             size += len(kept[-1][0])
-            if size > 1_000_000:
-                yield summed()
-                kept, size = [], 0
+            if size > 600_000:
+                kept = [summed()]
+                size = len(kept[0][0])
+                if size > 300_000:
+                    yield batch_of(kept.pop())
+                    size = 0
         if kept:
-            yield summed()
+            yield batch_of(summed())
 
     return run
 
