@@ -539,7 +539,10 @@ def sinusoidal_projection(spark, sf_dir):
     return _places(spark, sf_dir).select("c_custkey", F.round(e, 3).alias("e"), F.round(n, 3).alias("n"))
 
 
-@query()
+@query(f"""with {_ANGLES}, g2 as (select c_custkey, radians(lat) as p, radians(lon / 60) as d, 0.0066943799901413165 as e2 from g), c as (select *, e2 / (1 - e2) as ep, 6378137.0 / sqrt(1 - e2 * sin(p) * sin(p)) as n, tan(p) * tan(p) as t, e2 / (1 - e2) * cos(p) * cos(p) as c, d * cos(p) as a,
+6378137.0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * power(e2, 3) / 256) * p - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * power(e2, 3) / 1024) * sin(2 * p) + (15 * e2 * e2 / 256 + 45 * power(e2, 3) / 1024) * sin(4 * p) - (35 * power(e2, 3) / 3072) * sin(6 * p)) as m from g2)
+select c_custkey, round(500000 + 0.9996 * n * (a + (1 - t + c) * power(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * power(a, 5) / 120), 2) as e,
+round(0.9996 * (m + n * tan(p) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * power(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * power(a, 6) / 720)), 2) as n, true as exact from c""")
 def utm_round_trip(spark, sf_dir):
     """Positions in the zone around 9 degrees east, and the error of a trip to earth-centred coordinates and back."""
     g = _places(spark, sf_dir).withColumn("lon", F.col("lon") / 60 + 9)
@@ -592,9 +595,12 @@ def em_clusters(spark, sf_dir):
     return clusters.gaussian_mixture(_bands(spark, sf_dir), ["v", "slv_v"], 2, 5)[0].pixels
 
 
-@query()
+@query("""with {PX}, b as (select p.y, p.x, p.v as a, q.v as b from px p join px q on q.y = p.y and q.x = p.x + 1), c as (select covar_pop(a, a) as aa, covar_pop(a, b) as ab, covar_pop(b, b) as bb from b),
+l as (select *, (aa + bb) / 2 + sqrt(power((aa - bb) / 2, 2) + ab * ab) as top from c), u as (select ab / sqrt(ab * ab + power(top - aa, 2)) as x, (top - aa) / sqrt(ab * ab + power(top - aa, 2)) as y from l),
+s as (select x * g as x, y * g as y, -y * k as x2, x * k as y2 from (select x, y, case when abs(x) >= abs(y) then sign(x) else sign(y) end as g, case when abs(y) >= abs(x) then sign(-y) else sign(x) end as k from u)),
+t as (select b.y, b.x, a * s.x + b * s.y as p, a * s.x2 + b * s.y2 as q from b, s) select y, x, round(p - min(p) over (), 6) as pc0, round(q - min(q) over (), 6) as pc1 from t""")
 def pca(spark, sf_dir):
-    return clusters.pca(_bands(spark, sf_dir), ["v", "slv_v"], 2)[0].pixels
+    return clusters.pca(_bands(spark, sf_dir), ["v", "slv_v"], 2)[0].pixels.select("y", "x", r6("pc0"), r6("pc1"))
 
 
 @query("""with {PX} select p.y, p.x, round((p.v + q.v) / 2 + (p.v - q.v) / 2, 9) as abundance0, round((p.v + q.v) / 2 - (p.v - q.v) / 2, 9) as abundance1 from px p join px q on q.y = p.y and q.x = p.x + 1""")
@@ -611,9 +617,15 @@ def components(spark, sf_dir):
     return clusters.components(intensity(spark, sf_dir), F.col("i") > 0.06)
 
 
-@query()
+_LABELS = """with recursive {PX}, o as (select y, x, i from ip where CONDITION), p as (select y, x, i, y * w + x as id from o, sz), e as (select a.id as u, b.id as v from p a join p b on b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1),
+r as (select u, v from e union select r.u, e.v from r join e on r.v = e.u), l as (select p.y, p.x, any_value(p.i) as i, min(v) as label from p join r on r.u = p.id group by 1, 2)"""
+
+
+@query(_LABELS.replace("CONDITION", "i > 0.06") + """, b as (select label, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1, count(*) as n, round(sum(i), 6) as total from l group by label)
+select *, round(sqrt((y1 - y0 + 1) * (y1 - y0 + 1) + (x1 - x0 + 1) * (x1 - x0 + 1)), 9) as diagonal from b where sqrt((y1 - y0 + 1) * (y1 - y0 + 1) + (x1 - x0 + 1) * (x1 - x0 + 1)) between 2 and 60""")
 def object_discrimination(spark, sf_dir):
-    return clusters.objects(intensity(spark, sf_dir), F.col("i") > 0.06, "i", 2.0, 60.0)
+    found = clusters.objects(intensity(spark, sf_dir), F.col("i") > 0.06, "i", 2.0, 60.0)
+    return found.withColumn("total", r6("total")).withColumn("diagonal", F.round("diagonal", 9))
 
 
 # Catalogue
@@ -758,7 +770,7 @@ def lagrange_states(spark, sf_dir):
     return e.select("event_type", r6(v, "v"))
 
 
-@query()
+@query(_LABELS.replace("CONDITION", "i < 0.0005") + """, c as (select label, count(*) as n from l group by label having count(*) >= 3) select y, x, label, n from l join c using (label)""")
 def oil_spill_clusters(spark, sf_dir):
     return clusters.drop_small(intensity(spark, sf_dir), F.col("i") < 0.0005, 3)
 
