@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..product import Product
+from ..session import ship
 
 TILE = 256
 
@@ -161,6 +162,7 @@ def tiled(p: Product, band: str, h: int, work: Callable[[np.ndarray, bool], np.n
         yy, xx = np.mgrid[y0:y1, x0:x1]
         return pd.DataFrame({"y": yy.ravel(), "x": xx.ravel(), band: out.ravel()})
 
+    ship(rows.sparkSession)
     return p.with_pixels(rows.groupBy("ty", "tx").applyInPandas(run, f"y long, x long, `{band}` double"))
 
 
@@ -361,6 +363,7 @@ def oversample(p: Product, band: str, factor: int = 2) -> Product:
 
         return df.groupBy(line).applyInPandas(run, "y long, x long, v double")
 
+    ship(p.pixels.sparkSession)
     df = along(p.pixels.select("y", "x", F.col(band).cast("double").alias("v")), "y", "x", p.width)
     df = along(df, "x", "y", p.height)
     return p.with_pixels(df.withColumnRenamed("v", band), height=factor * p.height, width=factor * p.width)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..product import Product
+from ..session import ship
 from .joins import resample
 
 
@@ -37,6 +38,7 @@ def correlate(master: np.ndarray, slave: np.ndarray, up: int = 4) -> tuple[float
 
 def ground_control_points(master: Product, slave: Product, band: str, points: DataFrame, half: int = 16, quality: float = 2.0, up: int = 4, rounds: int = 2) -> DataFrame:
     """For points (point_id, y, x) of the master the matching place (sy, sx) in the slave, found by cross-correlation of windows, each round around the last place. Points near the border, or with a low peak, are left out."""
+    ship(points.sparkSession)
     found = points.select("point_id", "y", "x", F.col("y").cast("double").alias("sy"), F.col("x").cast("double").alias("sx"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,6 +121,7 @@ def range_doppler(targets: DataFrame, states: list[tuple[float, tuple, tuple]],
             out = pdf[["y", "x"]].assign(u=(slant - near_range) / range_spacing + 0.5, v=(at - first_line) / line_time + 0.5)
             yield out[good]
 
+    ship(targets.sparkSession)
     return targets.select("y", "x", "tx", "ty", "tz").mapInPandas(run, "y long, x long, u double, v double")
 
 
@@ -188,5 +191,6 @@ def wind_field(p: Product, band: str, incidence_deg: float, window: int, land: C
         angle = math.degrees(math.atan2(axis[0], -axis[1])) % 180
         return pd.DataFrame({"cy": [int(key[0])], "cx": [int(key[1])], "nrcs": [grid[window // 2, window // 2]], "direction": [angle]})
 
+    ship(rows.sparkSession)
     cells = rows.groupBy("cy", "cx").applyInPandas(run, "cy long, cx long, nrcs double, direction double")
     return cells.withColumn("speed", wind_speed(F.col("nrcs"), F.col("direction"), F.lit(float(incidence_deg))))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..product import Product
+from ..session import ship
 
 
 def write_product(p: Product, path: str, tile: int | None = None) -> None:
@@ -93,6 +94,7 @@ def read_raw(spark: SparkSession, path: str, height: int, width: int, dtype: str
                     yield pd.DataFrame(out)
 
     schema = "y long, x long, " + ", ".join(f"`{b}` double" for b in names)
+    ship(spark)
     return Product(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema), height, width)
 
 
