@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Words, materialize, slices, text_bytes
+from .common import NONSPACE, Words, materialize, ship, slices, text_bytes
 
 VOCABULARY = 8192  # words that exchange clusters, at most: the most frequent ones
 LEAST = 3  # every other word of the head with this count or more gets the class that fits its neighbours best
@@ -305,6 +305,7 @@ class Model:
 def learn(docs: DataFrame, is_held_out: Column, vocabulary: int = VOCABULARY, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame, DataFrame]:
     """The model, all rows with their words' places in the head, and the counts of all words."""
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select("doc_id", is_held_out.alias("held_out"), "text")
     train = rows.where("not held_out")
     counts = materialize(train.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..session import materialize, shared_dir  # noqa: F401
+from ..session import materialize, shared_dir, ship  # noqa: F401
 
 
 def mix(x: np.ndarray) -> np.ndarray:

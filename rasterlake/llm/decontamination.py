@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, grams, materialize, mix, slices, text_bytes
+from .common import ALNUM, Words, grams, materialize, mix, ship, slices, text_bytes
 
 K = 5
 FILTER_BITS = 26  # of the fixed-size bit map that thins out document fingerprints before the join: 8 MB
@@ -132,6 +132,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, salts: int
     are judged alike; null ids stay null; items with a null id count for spans
     only; other columns are ignored. An empty docs or items table works.
     """
+    ship(docs.sparkSession)
     items = materialize(items.select(F.col("item_id"), "text").mapInArrow(_item_rows(span), f"fp long, item_id {dict(items.dtypes)['item_id']}, span int, item_ctx binary").distinct(), "benchmark-fingerprints")
     spans = sorted(r["span"] for r in items.select("span").distinct().collect())  # `span` values at most
     slot = F.col("fp").bitwiseAND((1 << FILTER_BITS) - 1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, slices, text_bytes
+from .common import ALNUM, Words, ship, slices, text_bytes
 
 # Elements that do not end a block, that have no content, and whose content is no text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img br svg path".split())
@@ -599,6 +599,7 @@ def extract(pages: DataFrame, carry: list[str] | None = None, html_column: str =
     pages with the results' names are replaced.
     """
     carry = [c for c in carry or pages.columns if c not in ("main_text", "n_chars", html_column)]
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trained().w)
 
     def run(batches):

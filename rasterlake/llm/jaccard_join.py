@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, grams, materialize, mix, slices, text_bytes
+from .common import ALNUM, Words, grams, materialize, mix, ship, slices, text_bytes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SMALL = 128  # sets of a bucket that is compared as it is; larger ones are split
@@ -248,6 +248,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     in doc_id and text give one row; null doc_ids come first. An empty table
     gives none; other columns are ignored.
     """
+    ship(docs.sparkSession)
     runs = runs_for(recall, threshold)
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")

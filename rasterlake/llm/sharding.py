@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import ship
+
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     """Index along the Hilbert curve of integer points (n, dims) of a grid with 2**bits cells a side (Skilling's transform)."""
@@ -88,6 +90,7 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int, bits: int = 4, r
         for pdf in batches:
             yield pdf.assign(hilbert=hilbert_index(pdf[q].to_numpy(), bits) if len(pdf) else pd.Series(dtype="int64"))
 
+    ship(row.sparkSession)
     cells = row.groupBy(*q).agg(F.count("*").alias("n")).mapInPandas(index, schema=", ".join(f"{c} int" for c in q) + ", n long, hilbert long")
     cells = cells.withColumn("groups", F.ceil(F.col("n") / rows_per_group).cast("long"))
     row = row.join(F.broadcast(cells.select(*q, "hilbert", "groups")), q)

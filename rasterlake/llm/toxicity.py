@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .class_lm import held_out
-from .common import ALNUM, Words, mix, slices, text_bytes
+from .common import ALNUM, Words, mix, ship, slices, text_bytes
 
 BUCKETS = 1 << 18  # of hashed features
 TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 1500, 6000, 8000  # training rows of each label at most, and their characters at most
@@ -327,6 +327,7 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column, carry: list[s
     no toxic word. Repeated rows are scored alike. Labels other than 0 and 1 are
     ignored. Columns of docs with the results' names are replaced.
     """
+    ship(docs.sparkSession)
     docs = docs.drop("toxic_score", "toxic_spans")
     carry = carry or docs.columns
     crf = fit(training_rows(docs, labels, is_held_out))
