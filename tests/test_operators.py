@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from rasterlake.functions import band_math as m
 from rasterlake.operators import clusters, geometry, joins, neighbourhood, pixels, statistics
-from rasterlake.product import product
+from rasterlake.product import from_arrays, product
 from rasterlake.sources import stores
 
 
@@ -215,3 +215,24 @@ def test_wind(spark):
     grid = 0.05 + 0.01 * np.sin(2 * np.pi * xx / 8)  # streaks along y
     cells = r.wind_field(raster(spark, grid), "v", 30.0, 16).collect()
     assert len(cells) == 4 and all(abs(c["direction"] - 90) < 1 and 0 < c["speed"] <= 20 for c in cells)
+
+
+def test_missing_sample_of_a_ramp(spark):
+    """Filters use the samples present and keep every pixel; a pixel in the middle of a 5x5 ramp is missing."""
+    rows = [(y, x, None if (y, x) == (2, 2) else float(5 * y + x)) for y in range(5) for x in range(5)]
+    p = product(spark.createDataFrame(rows, "y long, x long, v double"))
+    grid = {(y, x): v for y, x, v in rows}
+    near = lambda y, x: [v for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (v := grid[min(max(y + dy, 0), 4), min(max(x + dx, 0), 4)]) is not None]
+    mean = {(r["y"], r["x"]): r["v"] for r in neighbourhood.box_mean(p, "v").pixels.collect()}
+    low = {(r["y"], r["x"]): r["v"] for r in neighbourhood.rank_filter(p, "v", "min").pixels.collect()}
+    for at in grid:
+        assert mean[at] == pytest.approx(sum(near(*at)) / len(near(*at))) and low[at] == min(near(*at))
+    kernel = {(r["y"], r["x"]): r["v"] for r in neighbourhood.kernel_filter(p, "v", *neighbourhood.KERNELS["laplace_3x3"]).pixels.collect()}
+    assert len(kernel) == 25 and kernel[2, 2] is None and kernel[0, 0] is not None
+    at = spark.createDataFrame([(0, 0)], "y long, x long")
+    assert joins.resample(p, at, F.lit(2.75), F.lit(2.5), "v", "bilinear").first()["v"] == 13.0  # the only one of its two neighbours
+
+
+def test_raster_of_one_line(spark):
+    p = from_arrays(spark.createDataFrame([(0, [1.0, 2.0, 3.0])], "id long, a array<double>"), "id", "a")
+    assert (p.height, p.width, p.pixels.count()) == (1, 3, 3)
