@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..product import Product
+from ..session import ship
 from .joins import resample
 
 # WGS 84.
@@ -39,6 +42,91 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(s * s + F.cos(a) * F.cos(b) * t * t)))
 
 
+def geodesic(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 40) -> DataFrame:
+    """df with distance (metres on the ellipsoid), heading and back_heading (degrees clockwise from north, at the first place and from the second one to the first).
+
+    Vincenty's inverse solution (Survey Review 176, 1975). Equal places have
+    distance 0 and null headings. Null where a coordinate is, and for places so
+    close to antipodes that the series doesn't settle in the rounds given.
+    """
+    names = [lat1, lon1, lat2, lon2]
+
+    def run(batches):
+        for pdf in batches:
+            p1, l1, p2, l2 = (np.radians(pdf[c].to_numpy(float)) for c in names)
+            u1, u2, span = np.arctan((1 - FLATTENING) * np.tan(p1)), np.arctan((1 - FLATTENING) * np.tan(p2)), l2 - l1
+            with np.errstate(all="ignore"):
+                lam, change = span, np.full(len(span), np.inf)
+                for _ in range(rounds):
+                    east = np.cos(u2) * np.sin(lam)
+                    north = np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam)
+                    sin_s, cos_s = np.hypot(east, north), np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
+                    arc = np.arctan2(sin_s, cos_s)
+                    sin_a = np.where(sin_s > 0, np.cos(u1) * np.cos(u2) * np.sin(lam) / sin_s, 0.0)
+                    squared = 1 - sin_a**2
+                    middle = np.where(squared > 1e-15, cos_s - 2 * np.sin(u1) * np.sin(u2) / squared, 0.0)
+                    c = FLATTENING / 16 * squared * (4 + FLATTENING * (4 - 3 * squared))
+                    new = span + (1 - c) * FLATTENING * sin_a * (arc + c * sin_s * (middle + c * cos_s * (2 * middle**2 - 1)))
+                    change, lam = np.abs(new - lam), new
+                length, _ = _arc_terms(squared)
+                distance = length * (arc - _arc_shift(squared, sin_s, cos_s, middle))
+                heading = np.degrees(np.arctan2(east, north)) % 360
+                back = np.degrees(np.arctan2(-np.cos(u1) * np.sin(lam), np.sin(u2) * np.cos(u1) - np.cos(u2) * np.sin(u1) * np.cos(lam))) % 360
+            same, good = sin_s == 0, (change < 1e-11) & (np.abs(lam) <= 2 * np.pi)
+            known = good & ~((cos_s < 0) & same)
+            yield pdf.assign(distance=np.where(known, distance, np.nan), heading=np.where(known & ~same, heading, np.nan), back_heading=np.where(known & ~same, back, np.nan))
+
+    return _with_doubles(df, run, ["distance", "heading", "back_heading"])
+
+
+def travel(df: DataFrame, lat: str, lon: str, distance: str, heading: str, rounds: int = 40) -> DataFrame:
+    """df with to_lat, to_lon and back_heading: where one comes by that many metres on the ellipsoid in a direction, and the direction back. Vincenty's direct solution; null where an input is."""
+    names = [lat, lon, distance, heading]
+
+    def run(batches):
+        for pdf in batches:
+            p, lam, way, turn = (pdf[c].to_numpy(float) for c in names)
+            p, lam, turn = np.radians(p), np.radians(lam), np.radians(turn)
+            u = np.arctan((1 - FLATTENING) * np.tan(p))
+            start, sin_a = np.arctan2(np.tan(u), np.cos(turn)), np.cos(u) * np.sin(turn)
+            squared = 1 - sin_a**2
+            length, _ = _arc_terms(squared)
+            arc = way / length
+            for _ in range(rounds):
+                middle = np.cos(2 * start + arc)
+                arc = way / length + _arc_shift(squared, np.sin(arc), np.cos(arc), middle)
+            middle = np.cos(2 * start + arc)
+            across = np.sin(u) * np.sin(arc) - np.cos(u) * np.cos(arc) * np.cos(turn)
+            to = np.arctan2(np.sin(u) * np.cos(arc) + np.cos(u) * np.sin(arc) * np.cos(turn), (1 - FLATTENING) * np.hypot(sin_a, across))
+            c = FLATTENING / 16 * squared * (4 + FLATTENING * (4 - 3 * squared))
+            east = np.arctan2(np.sin(arc) * np.sin(turn), np.cos(u) * np.cos(arc) - np.sin(u) * np.sin(arc) * np.cos(turn))
+            east = east - (1 - c) * FLATTENING * sin_a * (arc + c * np.sin(arc) * (middle + c * np.cos(arc) * (2 * middle**2 - 1)))
+            back = np.degrees(np.arctan2(-sin_a, across)) % 360
+            yield pdf.assign(to_lat=np.degrees(to), to_lon=(np.degrees(lam + east) + 180) % 360 - 180, back_heading=back)
+
+    return _with_doubles(df, run, ["to_lat", "to_lon", "back_heading"])
+
+
+def _arc_terms(squared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Metres to an arc of one radian and the coefficient of its correction, for the squared cosine of a geodesic's azimuth at the equator."""
+    k = squared * E2 / (1 - E2)
+    scale = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+    return A * (1 - FLATTENING) * scale, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+
+
+def _arc_shift(squared: np.ndarray, sin_s: np.ndarray, cos_s: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    b = _arc_terms(squared)[1]
+    return b * sin_s * (middle + b / 4 * (cos_s * (2 * middle**2 - 1) - b / 6 * middle * (4 * sin_s**2 - 3) * (4 * middle**2 - 3)))
+
+
+def _with_doubles(df: DataFrame, run, names: list[str]) -> DataFrame:
+    """df with columns of run() in place of those so named; not a number becomes null."""
+    ship(df.sparkSession)
+    df = df.drop(*names)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
+    return df.mapInPandas(run, schema).replace(float("nan"), None, names)
+
+
 def transverse_mercator(lat: Column, lon: Column, lon0: float, k0: float = 0.9996, east: float = 500000.0, north: float = 0.0) -> tuple[Column, Column]:
     """Easting and northing (series to the sixth order; UTM with its defaults)."""
     ep = E2 / (1 - E2)
@@ -196,13 +284,13 @@ def simulate(p: Product, elevation: str, spacing: float, look_deg: float) -> Pro
     return p.select(power.alias("sigma0"), (layover.cast("int") + 2 * hidden.cast("int")).alias("mask"))
 
 
-def slant_to_ground(p: Product, band: str, coefficients: list[float], spacing: float, slant_spacing: float, width: int, first_slant: float) -> Product:
-    """Lines resampled at slant ranges that are a polynomial of the ground distance, linearly."""
+def slant_to_ground(p: Product, band: str, coefficients: list[float], spacing: float, slant_spacing: float, width: int, first_slant: float, method: str = "bilinear") -> Product:
+    """Lines resampled at slant ranges that are a polynomial of the ground distance, linearly or by another method of resample()."""
     spots = p.pixels.select("y").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).select("y", F.col("x").cast("long").alias("x"))
     d = F.col("x") * spacing
     slant = sum((F.pow(d, F.lit(i)) * float(c) for i, c in enumerate(coefficients)), F.lit(0.0))
     u = (slant - first_slant) / slant_spacing + 0.5
-    return Product(resample(p, spots, u, F.col("y") + 0.5, band, "bilinear"), p.height, width, p.meta)
+    return Product(resample(p, spots, u, F.col("y") + 0.5, band, method), p.height, width, p.meta)
 
 
 def deskew(p: Product, band: str, absolute: int, fraction: float) -> Product:

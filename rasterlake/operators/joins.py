@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,31 +37,47 @@ def _cubic(t: Column) -> list[Column]:
     return [0.5 * (-t + 2 * t * t - t * t * t), 0.5 * (2 - 5 * t * t + 3 * t * t * t), 0.5 * (t + 4 * t * t - 3 * t * t * t), 0.5 * (-t * t + t * t * t)]
 
 
+def _sinc(x: Column) -> Column:
+    """The sinc under a Hann window of half-width 2.5. Over a pixel's samples its values don't sum to one."""
+    angle = math.pi * x
+    return F.when(x == 0, 1.0).when(F.abs(x) <= 2.5, F.sin(angle) / angle * (1 + F.cos(angle / 3)) / 2).otherwise(0.0)
+
+
 def resample(source: Product, target: DataFrame, u: Column, v: Column, band: str, method: str = "bilinear") -> DataFrame:
     """The band at source coordinates (u along x, v along y; pixel centres at .5) of each row of target (y, x and what u and v need).
 
-    Each target pixel asks for its 1, 4 or 16 neighbours, which one equi-join
-    brings; weights are summed on the way back. Neighbours beyond the border are
-    those at it. Target pixels outside the source are left out. Missing samples:
-    bilinear divides by the weights of those present, cubic takes their mean for
-    them and is missing where the pixel at its base is; without any sample the
-    result is missing.
+    Methods: nearest, bilinear, cubic (convolution), bicubic (patches between pixel
+    centres, of values and central differences) and sinc (windowed, five samples
+    each way). Each target pixel asks for its 1, 4, 16 or 25 neighbours, which one
+    equi-join brings; weights are summed on the way back. Neighbours beyond the
+    border are those at it; cubic and bicubic differ there only, as a bicubic patch
+    begins inside. Target pixels outside the source are left out. Missing samples:
+    bilinear divides by the weights of those present, the larger ones take their
+    mean for them and are missing where the pixel at their base is; without any
+    sample the result is missing.
     """
     inside = (u >= 0) & (u < source.width) & (v >= 0) & (v < source.height)
     asked = target.where(inside).select("y", "x", u.alias("u"), v.alias("v"))
     if method == "nearest":
-        taps = F.array(F.struct(F.floor("u").alias("sx"), F.floor("v").alias("sy"), F.lit(1.0).alias("w")))
+        taps = F.array(F.struct(F.floor("u").alias("sx"), F.floor("v").alias("sy"), F.lit(1.0).alias("wx"), F.lit(1.0).alias("wy")))
     else:
         a, b = F.floor(F.col("u") - 0.5), F.floor(F.col("v") - 0.5)
         s, t = F.col("u") - 0.5 - a, F.col("v") - 0.5 - b
-        wx, wy, first = ([1 - s, s], [1 - t, t], 0) if method == "bilinear" else (_cubic(s), _cubic(t), -1)
-        taps = F.array(*[F.struct((a + first + i).alias("sx"), (b + first + j).alias("sy"), (wx[i] * wy[j]).alias("w")) for j in range(len(wy)) for i in range(len(wx))])
+        kernel, first = {"bilinear": (lambda c: [1 - c, c], 0), "cubic": (_cubic, -1), "bicubic": (_cubic, -1), "sinc": (lambda c: [c - k for k in (-2, -1, 0, 1, 2)], -2)}[method]
+        wx, wy = kernel(s), kernel(t)
+        if method == "bicubic":
+            a, b = (F.greatest(F.lit(0), F.least(F.lit(size - 1), c)) for c, size in ((a, source.width), (b, source.height)))
+        taps = F.array(*[F.struct((a + first + i).alias("sx"), (b + first + j).alias("sy"), wx[i].alias("wx"), wy[j].alias("wy")) for j in range(len(wy)) for i in range(len(wx))])
+    w = _sinc(F.col("t.wx")) * _sinc(F.col("t.wy")) if method == "sinc" else F.col("t.wx") * F.col("t.wy")
     clamp = lambda c, size: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(c))).cast("long")
-    asked = asked.select("y", "x", F.posexplode(taps).alias("tap", "t")).select("y", "x", "tap", clamp("t.sx", source.width).alias("sx"), clamp("t.sy", source.height).alias("sy"), F.col("t.w").alias("w"))
+    asked = asked.select("y", "x", F.posexplode(taps).alias("tap", "t")).select("y", "x", "tap", clamp("t.sx", source.width).alias("sx"), clamp("t.sy", source.height).alias("sy"), w.alias("w"))
     samples = source.pixels.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(band).cast("double").alias("s")).where("s is not null")
     total, weight = F.sum(F.col("w") * F.col("s")), F.sum(F.when(F.col("s").isNotNull(), F.col("w")))
-    if method == "cubic":
-        whole = F.when(F.count("s") == 16, total).when(F.max((F.col("tap") == 5) & F.col("s").isNotNull()), total + (1 - weight) * F.avg("s"))
+    if method == "sinc":
+        total, weight = total / F.sum("w"), weight / F.sum("w")
+    base = {"cubic": 5, "bicubic": 5, "sinc": 12}.get(method)
+    if base:
+        whole = F.when(F.count("s") == F.count("*"), total).when(F.max((F.col("tap") == base) & F.col("s").isNotNull()), total + (1 - weight) * F.avg("s"))
     else:
         whole = F.when(F.count("s") == F.count("*"), total).when(weight > 0, total / F.when(weight > 0, weight))
     return asked.join(samples, ["sy", "sx"], "left").groupBy("y", "x").agg(whole.alias(band))

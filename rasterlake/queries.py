@@ -443,6 +443,23 @@ def resample_cubic(spark, sf_dir):
     return _at(spark, sf_dir, "cubic")
 
 
+@query(f"""with {{PX}}, {_UV}, t as (select y, x, greatest(0, least(w - 1, floor(u - 0.5))) as a, greatest(0, least(h - 1, floor(v - 0.5))) as b, u - 0.5 - floor(u - 0.5) as s, v - 0.5 - floor(v - 0.5) as t from uv, sz where u >= 0 and u < w and v >= 0 and v < h),
+k as (select unnest([0, 1, 2, 3]) as i), n as (select t.y, t.x, least(greatest(a + k.i - 1, 0), w - 1) as sx, least(greatest(b + l.i - 1, 0), h - 1) as sy,
+ (case k.i when 0 then -s + 2*s*s - s*s*s when 1 then 2 - 5*s*s + 3*s*s*s when 2 then s + 4*s*s - 3*s*s*s else -s*s + s*s*s end) / 2 * (case l.i when 0 then -t + 2*t*t - t*t*t when 1 then 2 - 5*t*t + 3*t*t*t when 2 then t + 4*t*t - 3*t*t*t else -t*t + t*t*t end) / 2 as wt from t, sz, k, k l)
+select n.y, n.x, round(sum(wt * v), 9) as v from n join px p on p.y = sy and p.x = sx group by 1, 2""")
+def resample_bicubic(spark, sf_dir):
+    return _at(spark, sf_dir, "bicubic")
+
+
+@query(f"""with {{PX}}, {_UV}, t as (select y, x, floor(u - 0.5) as a, floor(v - 0.5) as b, u - 0.5 - floor(u - 0.5) as s, v - 0.5 - floor(v - 0.5) as t from uv, sz where u >= 0 and u < w and v >= 0 and v < h),
+k as (select unnest([-2, -1, 0, 1, 2]) as i), e as (select t.*, k.i as i, l.i as j, s - k.i as p, t - l.i as q from t, k, k l),
+f as (select *, case when p = 0 then 1 when abs(p) <= 2.5 then sin(pi() * p) / (pi() * p) * (1 + cos(pi() * p / 3)) / 2 else 0 end * case when q = 0 then 1 when abs(q) <= 2.5 then sin(pi() * q) / (pi() * q) * (1 + cos(pi() * q / 3)) / 2 else 0 end as wt from e),
+n as (select y, x, least(greatest(a + i, 0), w - 1) as sx, least(greatest(b + j, 0), h - 1) as sy, wt from f, sz)
+select n.y, n.x, round(sum(wt * v) / sum(wt), 9) as v from n join px p on p.y = sy and p.x = sx group by 1, 2""")
+def resample_sinc(spark, sf_dir):
+    return _at(spark, sf_dir, "sinc")
+
+
 @query("with {PX}, n as (select y, x, least(greatest(x + 2, 0), w - 1) as sx, y as sy from px, sz where x + 2.5 < w) select n.y, n.x, p.v from n join px p on p.y = sy and p.x = sx")
 def warp_shift(spark, sf_dir):
     return joins.warp(embeddings(spark, sf_dir), "v", [2.0, 1.0], [0.0, 0.0, 1.0], "nearest").pixels
@@ -556,6 +573,25 @@ def great_circle(spark, sf_dir):
     return _places(spark, sf_dir).select("c_custkey", F.round(geometry.great_circle(F.lit(45.0), F.lit(7.0), F.col("lat"), F.col("lon")), 2).alias("metres"))
 
 
+@query(f"""with recursive {_ANGLES}, c as (select c_custkey, 1 / 298.257223563 as f, atan((1 - 1 / 298.257223563) * tan(radians(45))) as u, atan((1 - 1 / 298.257223563) * tan(radians(lat))) as v, radians(lon - 7) as l from g),
+t as (select c_custkey, f, u, v, l, l as lam, 0 as k from c union all
+ select c_custkey, f, u, v, l, l + (1 - cc) * f * sa * (acos(cs) + cc * sqrt(1 - cs * cs) * (m + cc * cs * (2 * m * m - 1))), k + 1 from
+ (select *, f / 16 * (1 - sa * sa) * (4 + f * (4 - 3 * (1 - sa * sa))) as cc, cs - 2 * sin(u) * sin(v) / (1 - sa * sa) as m from
+  (select *, cos(u) * cos(v) * sin(lam) / sqrt(1 - cs * cs) as sa from (select *, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) as cs from t where k < 25)))),
+r as (select *, cs - 2 * sin(u) * sin(v) / q as m, q * 0.0066943799901413165 / (1 - 0.0066943799901413165) as e from
+ (select *, 1 - power(cos(u) * cos(v) * sin(lam) / sqrt(1 - cs * cs), 2) as q from (select *, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) as cs from t where k = 25))),
+d as (select *, e / 1024 * (256 + e * (-128 + e * (74 - 47 * e))) as b, sqrt(1 - cs * cs) as sn from r)
+select c_custkey, round(6378137.0 * (1 - f) * (1 + e / 16384 * (4096 + e * (-768 + e * (320 - 175 * e)))) * (acos(cs) - b * sn * (m + b / 4 * (cs * (2 * m * m - 1) - b / 6 * m * (4 * sn * sn - 3) * (4 * m * m - 3)))), 2) as metres,
+round(((degrees(atan2(cos(v) * sin(lam), cos(u) * sin(v) - sin(u) * cos(v) * cos(lam))) % 360) + 360) % 360, 6) as heading, true as exact from d where abs(l) < radians(170)""")
+def geodesic(spark, sf_dir):
+    """Distance and direction from a place to others, and whether the way so described leads there."""
+    g = _places(spark, sf_dir).where(F.abs(F.col("lon") - 7) < 170).withColumns({"lat1": F.lit(45.0), "lon1": F.lit(7.0)})
+    g = geometry.travel(geometry.geodesic(g, "lat1", "lon1", "lat", "lon"), "lat1", "lon1", "distance", "heading")
+    turn = F.abs(F.col("to_lon") - F.col("lon"))
+    exact = (F.abs(F.col("to_lat") - F.col("lat")) < 1e-7) & (F.least(turn, 360 - turn) < 1e-7)
+    return g.select("c_custkey", F.round("distance", 2).alias("metres"), F.round("heading", 6).alias("heading"), exact.alias("exact"))
+
+
 @query("""with {PX}, z as (select y, x, i * 20 as z from ip), s as (select y, x, z, atan((z - coalesce(lag(z) over (partition by y order by x), z)) / 10.0) as sl, x * 10 * sin(radians(40)) - z * cos(radians(40)) as sr, x * 10 * cos(radians(40)) / sin(radians(40)) + z as sh from z),
 t as (select y, x, greatest(radians(40) - sl, 0) as a, coalesce(sr <= max(sr) over w, false) as lay, coalesce(sh < max(sh) over w, false) as hid from s window w as (partition by y order by x rows between unbounded preceding and 1 preceding))
 select y, x, round(0.0118 * cos(a) / power(sin(a) + 0.111 * cos(a), 3), 6) as sigma0, cast(lay as int) + 2 * cast(hid as int) as mask from t""")

@@ -111,6 +111,8 @@ def test_resampling_grid(spark):
     at = lambda u, v, how: joins.resample(p, spark.createDataFrame([(0, 0)], "y long, x long"), F.lit(u), F.lit(v), "v", how).first()["v"]
     assert at(2.5, 2.5, "nearest") == at(2.5, 2.5, "bilinear") == at(2.5, 2.5, "cubic") == 20
     assert at(2.0, 2.5, "bilinear") == 30 and at(0.1, 0.1, "bilinear") == 10
+    assert at(2.5, 2.5, "bicubic") == 20 and at(2.5, 2.5, "sinc") == pytest.approx(20)
+    assert at(2.2, 1.7, "bicubic") == pytest.approx(at(2.2, 1.7, "cubic")) and at(0.1, 0.1, "bicubic") != at(0.1, 0.1, "cubic")
     assert joins.resample(p, spark.createDataFrame([(0, 0)], "y long, x long"), F.lit(9.0), F.lit(0.5), "v").count() == 0
 
 
@@ -236,3 +238,18 @@ def test_missing_sample_of_a_ramp(spark):
 def test_raster_of_one_line(spark):
     p = from_arrays(spark.createDataFrame([(0, [1.0, 2.0, 3.0])], "id long, a array<double>"), "id", "a")
     assert (p.height, p.width, p.pixels.count()) == (1, 3, 3)
+
+
+def test_geodesics(spark):
+    """A quarter of the equator and of a meridian have known lengths; the way back is the reverse; odd places."""
+    rows = [(1, 0.0, 0.0, 0.0, 90.0), (2, 0.0, 0.0, 90.0, 0.0), (3, 50.0, 5.0, 50.0, 5.0), (4, None, 0.0, 1.0, 1.0), (5, 0.0, 0.0, 0.3, 179.9), (6, 10.0, 170.0, -20.0, -160.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double")
+    got = {r["k"]: r for r in geometry.geodesic(df, "a", "b", "c", "d").collect()}
+    assert got[1]["distance"] == pytest.approx(6378137.0 * np.pi / 2, abs=1e-3) and got[1]["heading"] == pytest.approx(90)
+    assert got[2]["distance"] == pytest.approx(10001965.729, abs=1e-2) and got[2]["heading"] == pytest.approx(0)
+    assert (got[3]["distance"], got[3]["heading"]) == (0.0, None)
+    assert got[4]["distance"] is None and got[5]["distance"] is None
+    there = geometry.geodesic(df, "a", "b", "c", "d").where("k in (1, 6)")
+    for r in geometry.travel(there.withColumnRenamed("back_heading", "back"), "a", "b", "distance", "heading").collect():
+        assert (r["to_lat"], r["to_lon"]) == pytest.approx((r["c"], r["d"]), abs=1e-8)
+        assert r["back_heading"] == pytest.approx(r["back"], abs=1e-6)
