@@ -71,7 +71,7 @@ def geodesic(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, rounds:
                 length, _ = _arc_terms(squared)
                 distance = length * (arc - _arc_shift(squared, sin_s, cos_s, middle))
                 heading = np.degrees(np.arctan2(east, north)) % 360
-                back = np.degrees(np.arctan2(-np.cos(u1) * np.sin(lam), np.sin(u2) * np.cos(u1) - np.cos(u2) * np.sin(u1) * np.cos(lam))) % 360
+                back = np.degrees(np.arctan2(-np.cos(u1) * np.sin(lam), np.sin(u1) * np.cos(u2) - np.cos(u1) * np.sin(u2) * np.cos(lam))) % 360
             same, good = sin_s == 0, (change < 1e-11) & (np.abs(lam) <= 2 * np.pi)
             known = good & ~((cos_s < 0) & same)
             yield pdf.assign(distance=np.where(known, distance, np.nan), heading=np.where(known & ~same, heading, np.nan), back_heading=np.where(known & ~same, back, np.nan))
