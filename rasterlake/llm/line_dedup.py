@@ -42,6 +42,7 @@ def _first_ranks(lines: DataFrame) -> DataFrame:
     """d, pos, w and rank of the lines that occur more than once; the order is that of the hashes."""
     groups = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     groups = _before(groups, [], "h", F.shiftrightunsigned("h", 52)).select("h", F.col("before").alias("rank"))
+    groups = materialize(groups, "line-groups-1")  # read back, both sides of the join are plain shuffles, whose hot partitions Spark splits
     return materialize(lines.join(groups, "h").select("d", "pos", "w", "rank"), "line-ranks-1")
 
 
@@ -51,7 +52,7 @@ def _double(ranks: DataFrame, h: int, scale: int) -> DataFrame:
     pairs = ranks.select("d", "pos", "rank", ahead.alias("a")).where(F.col("a.pos") == F.col("pos") + h).select("d", "pos", "rank", F.col("a.rank").alias("then"))
     groups = pairs.groupBy("rank", "then").agg(F.count("*").alias("n")).where("n > 1")
     groups = _before(groups, ["rank"], "then", F.expr(f"then div {scale}"))
-    groups = groups.select("rank", "then", (F.col("rank") + F.col("before")).alias("next"))
+    groups = materialize(groups.select("rank", "then", (F.col("rank") + F.col("before")).alias("next")), f"line-groups-{2 * h}")
     return materialize(pairs.join(groups, ["rank", "then"]).select("d", "pos", F.col("next").alias("rank")), f"line-ranks-{2 * h}")
 
 
@@ -102,10 +103,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if found is None:
         found = runs.select("d", "start", "m", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
     keys = seqs.select("d", F.struct("doc_id", "th").alias("doc"))
-    found = materialize(found.join(keys, "d").select("d", "m", "first", "last", F.struct("doc", "start").alias("at")), "line-intervals")
-    least = found.groupBy("m", "first", "last").agg(F.min("at").alias("origin"), F.count("*").alias("copies")).where("copies > 1")
-    later = found.join(least, ["m", "first", "last"]).where(~F.col("at.doc").eqNullSafe(F.col("origin.doc")) | (F.col("origin.start") + F.col("m") <= F.col("at.start")))
-    gone = later.select("d", F.explode(F.expr("sequence(at.start, at.start + m - 1)")).alias("pos")).groupBy("d").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    found = materialize(found.join(keys, "d"), "line-intervals")
+    # The first copy is looked for by its document too, so that no task gets all copies of a run.
+    first = found.groupBy("m", "first", "last").agg(F.min(F.struct("doc", "start", "d")).alias("o"))
+    first = first.select(F.col("m").alias("o_m"), F.col("first").alias("o_first"), F.col("last").alias("o_last"), F.col("o.d").alias("o_d"), F.col("o.start").alias("o_start"))
+    run = (F.col("m") == F.col("o_m")) & (F.col("first") == F.col("o_first")) & (F.col("last") == F.col("o_last"))
+    later = found.join(first, run & (F.col("d") == F.col("o_d")) & (F.col("start") < F.col("o_start") + F.col("o_m")), "left_anti")
+    gone = later.select("d", F.explode(F.expr("sequence(start, start + m - 1)")).alias("pos")).groupBy("d").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     return seqs.join(gone, "d").select("doc_id", "th", F.transform("gone", lambda p: F.get("seq", p)["line"]).alias("lines"))
 
 
