@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,47 @@ def merge(master: Product, *others: Product) -> Product:
     return master.with_pixels(pixels)
 
 
+def merge_bands(master: Product, sources: list[tuple[Product, dict[str, str], str | None]]) -> Product:
+    """The master with chosen bands of others: of each source those that its names rename, and only bands that its pattern (a whole-name regular expression, or None for all) lets in. A name that is taken is left out, as in merge()."""
+    others = []
+    for p, names, pattern in sources:
+        chosen = [b for b in p.bands if pattern is None or re.fullmatch(pattern, b)]
+        others.append(p.select(*[F.col(b).alias(names.get(b, b)) for b in chosen]))
+    return merge(master, *others)
+
+
+def geometry_join(p: Product, shapes: DataFrame, points: str, cell: int = 32) -> DataFrame:
+    """Pixels with each row of shapes in whose polygon their centre lies; points is an array of corners (x, y), which may be in any number.
+
+    Shapes are dealt to the cells of a grid that their box overlaps within the
+    raster, pixels meet those of their own cell, and the parity of the edges to the
+    right of the centre decides. A null or empty polygon, or one of under three
+    corners, has no pixels; columns of shapes keep their names, bands of the same
+    names are left out.
+    """
+    corner = lambda f, c: f(F.transform(points, lambda q: q[c]))
+    cells = lambda c, size: F.sequence(
+        F.floor(F.greatest(F.lit(0.0), corner(F.array_min, c)) / cell).cast("long"), F.floor(F.least(F.lit(float(size)), corner(F.array_max, c)) / cell).cast("long")
+    )
+    some = (F.size(points) > 2) & (corner(F.array_max, "x") >= 0) & (corner(F.array_min, "x") <= p.width) & (corner(F.array_max, "y") >= 0) & (corner(F.array_min, "y") <= p.height)
+    dealt = shapes.where(some).withColumn("cell_y", F.explode(cells("y", p.height))).withColumn("cell_x", F.explode(cells("x", p.width)))
+    bands = [b for b in p.bands if b not in shapes.columns]
+    pixels = p.pixels.select("y", "x", *bands, F.floor(F.col("y") / cell).cast("long").alias("cell_y"), F.floor(F.col("x") / cell).cast("long").alias("cell_x"))
+    x, y = F.col("x") + 0.5, F.col("y") + 0.5
+    after = F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
+    crossed = F.zip_with(points, after, lambda a, b: ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"]))
+    inside = F.size(F.filter(crossed, lambda c: c)) % 2 == 1
+    return pixels.join(dealt, ["cell_y", "cell_x"]).where(inside).drop("cell_y", "cell_x", points)
+
+
+def at_placemarks(p: Product, marks: DataFrame, lat: Column, lon: Column, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
+    """marks with y and x, the pixel that each lies in on a latitude-longitude grid (upper left corner and step in degrees), and its bands. Marks outside the raster are left out; columns of marks named as a band, y or x are replaced."""
+    # places are kept to a millionth of a pixel, so that a mark at a border isn't moved by rounding
+    y, x = (F.floor(F.round(c, 6)).cast("long") for c in ((origin[0] - lat) / step[0], (lon - origin[1]) / step[1]))
+    placed = marks.withColumns({"_mark_y": y, "_mark_x": x}).drop("y", "x", *p.bands).withColumnsRenamed({"_mark_y": "y", "_mark_x": "x"})
+    return placed.join(p.pixels, ["y", "x"])
+
+
 def stack(master: Product, slave: Product, dy: int, dx: int, extent: str = "master", no_data: float | None = None) -> Product:
     """Slave pixels at the master's pixel plus an offset. Extents: master, minimum (where both are) or maximum (where either is)."""
     names = [f"slv_{b}" for b in slave.bands]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,9 +101,10 @@ def mask_area(p: Product, mask: Column, area: Column) -> DataFrame:
     return p.pixels.where(mask).agg(F.sum(area).alias("total"), F.min(area).alias("least"), F.max(area).alias("most"), F.avg(area).alias("mean"), F.count("*").alias("n"))
 
 
-def multilook_parameters(range_looks: int, range_spacing: float, azimuth_spacing: float, incidence_deg: float | None = None) -> tuple[int, int, float]:
-    """Range looks, azimuth looks and mean pixel size for square pixels; a slant-range spacing is brought to the ground by the incidence angle."""
-    ground = range_spacing if incidence_deg is None else range_spacing / math.sin(math.radians(incidence_deg))
+def multilook_parameters(range_looks: Column, range_spacing: Column, azimuth_spacing: Column, incidence_deg: Column | None = None) -> tuple[Column, Column, Column]:
+    """Range looks, azimuth looks and mean pixel size for square pixels, of each row's sensor; a slant-range spacing is brought to the ground by the incidence angle."""
+    ground = range_spacing if incidence_deg is None else range_spacing / F.sin(F.radians(incidence_deg))
     azimuth = range_looks * ground / azimuth_spacing
-    looks = (range_looks, math.floor(azimuth + 0.5)) if azimuth >= 1 else (math.floor(azimuth_spacing / ground + 0.5), 1)
-    return *looks, (looks[0] * ground + looks[1] * azimuth_spacing) / 2
+    along = F.when(azimuth >= 1, range_looks).otherwise(F.floor(azimuth_spacing / ground + 0.5)).cast("int")
+    across = F.when(azimuth >= 1, F.floor(azimuth + 0.5)).otherwise(1).cast("int")
+    return along, across, (along * ground + across * azimuth_spacing) / 2

@@ -981,9 +981,36 @@ def catalog_changes(spark, sf_dir):
 
 
 @query("""select p_partkey, case when l * g / a >= 1 then l else cast(floor(a / g + 0.5) as int) end as range_looks, case when l * g / a >= 1 then cast(floor(l * g / a + 0.5) as int) else 1 end as azimuth_looks
-from (select p_partkey, p_size % 4 + 1 as l, (p_size % 7 + 1) / sin(radians(30)) as g, p_partkey % 5 + 2.0 as a from part where p_partkey <= 100)""")
+from (select p_partkey, p_size % 4 + 1 as l, (p_size % 7 + 1) / sin(radians(30)) as g, p_partkey % 5 + 2.0 as a from part)""")
 def multilook_derivation(spark, sf_dir):
-    """Looks for square pixels from slant-range spacings, of some made-up sensors."""
-    rows = table(spark, sf_dir, "part").where("p_partkey <= 100").select("p_partkey", "p_size").collect()  # a hundred sensors: the rule is a scalar one
-    out = [(r["p_partkey"], *statistics.multilook_parameters(r["p_size"] % 4 + 1, r["p_size"] % 7 + 1.0, r["p_partkey"] % 5 + 2.0, 30.0)[:2]) for r in rows]
-    return spark.createDataFrame(out, "p_partkey long, range_looks int, azimuth_looks int")
+    """Looks for square pixels from slant-range spacings, of made-up sensors."""
+    size = F.col("p_size")
+    along, across, _ = statistics.multilook_parameters(size % 4 + 1, size % 7 + 1.0, F.col("p_partkey") % 5 + 2.0, F.lit(30.0))
+    return table(spark, sf_dir, "part").select("p_partkey", along.alias("range_looks"), across.alias("azimuth_looks"))
+
+
+@query("""with {PX}, b as (select unnest(range(0, 40)) as id), q as (select id, (id * 7) % 50 + 0.25 as x0, (id * 13) % 400 + 0.25 as y0, (id % 5) * 4 + 3.0 as s from b)
+select q.id, count(*) as n, round(avg(v), 9) as mean from q join px on x + 0.5 > x0 and x + 0.5 < x0 + s and y + 0.5 > y0 and y + 0.5 < y0 + 3 * s and (x + 0.5 - x0) + (y + 0.5 - y0) / 3 < s group by q.id""")
+def geometry_mask_join(spark, sf_dir):
+    """Statistics of the pixels inside each of a table of polygons (triangles that overlap)."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    q = spark.range(40).select("id", (F.col("id") * 7 % 50 + 0.25).alias("x"), (F.col("id") * 13 % 400 + 0.25).alias("y"), (F.col("id") % 5 * 4 + 3.0).alias("s"))
+    x, y, s = F.col("x"), F.col("y"), F.col("s")
+    q = q.select("id", F.array(at(x, y), at(x + s, y), at(x, y + 3 * s)).alias("points"))
+    inside = joins.geometry_join(embeddings(spark, sf_dir), q, "points")
+    return inside.groupBy("id").agg(F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean"))
+
+
+@query("with {PX} select px.y, px.x, px.v, i as power, label as zone from px join ip using (y, x)")
+def merge_renamed(spark, sf_dir):
+    p = embeddings(spark, sf_dir)
+    return joins.merge_bands(p.select("v"), [(intensity(spark, sf_dir), {"i": "power"}, None), (p, {"label": "zone"}, "lab.*")]).pixels
+
+
+@query("""with {PX}, t as (select c_custkey % 64 as x0, c_custkey % 97 as y0 from customer), g as (select distinct x0, y0 from t)
+select y0 as y, x0 as x, round(v, 9) as v from g join px on px.y = y0 and px.x = x0""")
+def placemark_values(spark, sf_dir):
+    """Band values under placemarks, which are rows with map places."""
+    marks = table(spark, sf_dir, "customer").select((50.0 - (F.col("c_custkey") % 97 + 0.5) * 0.01).alias("lat"), (10.0 + (F.col("c_custkey") % 64 + 0.5) * 0.02).alias("lon")).distinct()
+    out = joins.at_placemarks(embeddings(spark, sf_dir), marks, F.col("lat"), F.col("lon"), (50.0, 10.0), (0.01, 0.02))
+    return out.select("y", "x", F.round("v", 9).alias("v"))

@@ -114,6 +114,36 @@ def read_envi(spark: SparkSession, header: str, data: str) -> Product:
     return read_raw(spark, data, int(fields["lines"]), int(fields["samples"]), order + ENVI_TYPES[int(fields["data type"])], bands, fields.get("interleave", "bsq").lower(), int(fields.get("header offset", 0)))
 
 
+def write_ascii_grid(p: Product, band: str, path: str, corner: tuple[float, float] = (0.0, 0.0), cell: float = 1.0, no_data: float = -9999.0) -> None:
+    """An ASCII grid: path/header (size, lower left corner (x, y), cell size and no-data value) and path/rows, a text line for each raster line with its number before it, as Spark writes lines in no order. Pixels that are absent get the no-data value too."""
+    head = [f"ncols {p.width}", f"nrows {p.height}", f"xllcorner {corner[0]}", f"yllcorner {corner[1]}", f"cellsize {cell}", f"NODATA_value {no_data}"]
+    p.pixels.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{path}/header")
+    sample = F.struct(F.col("x").cast("long").alias("x"), F.coalesce(F.col(band).cast("double"), F.lit(float(no_data))).alias("s"))
+    lines = p.pixels.groupBy("y").agg(F.collect_list(sample).alias("present"))
+    lines = p.pixels.sparkSession.range(p.height).withColumnRenamed("id", "y").join(lines, "y", "left").withColumn("present", F.coalesce("present", F.expr("cast(array() as array<struct<x: long, s: double>>)")))
+    absent = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(p.width - 1).cast("long")), F.transform("present", lambda q: q["x"]))
+    whole = F.array_sort(F.concat("present", F.transform(absent, lambda x: F.struct(x.alias("x"), F.lit(float(no_data)).alias("s")))))
+    lines = lines.select("y", F.array_join(F.transform(whole, lambda q: q["s"].cast("string")), " ").alias("line"))
+    lines.select(F.concat_ws(" ", F.col("y").cast("string"), "line").alias("value")).write.text(f"{path}/rows")
+
+
+def read_ascii_grid(spark: SparkSession, path: str, band: str = "v") -> Product:
+    """What write_ascii_grid() wrote; the no-data value becomes missing. Corner and cell size are in the metadata."""
+    head = dict(line.split(None, 1) for row in spark.read.text(f"{path}/header").collect() for line in row[0].splitlines())  # six lines
+    head = {k.lower(): float(v) for k, v in head.items()}
+    parts = F.split(F.trim("value"), " +")
+    rows = spark.read.text(f"{path}/rows").select(F.get(parts, F.lit(0)).cast("long").alias("y"), F.slice(parts, 2, F.size(parts)).alias("s"))
+    rows = rows.select("y", F.posexplode("s").alias("x", "s")).select("y", F.col("x").cast("long").alias("x"), F.col("s").cast("double").alias(band))
+    rows = rows.withColumn(band, F.when(F.col(band) != head.get("nodata_value", -9999.0), F.col(band)))
+    return Product(rows, int(head["nrows"]), int(head["ncols"]), {"corner": (head["xllcorner"], head["yllcorner"]), "cell": head["cellsize"]})
+
+
+def read_elevation_tile(spark: SparkSession, path: str, height: int, width: int, no_data: int = -9999) -> Product:
+    """A raw elevation tile (16 bit, high byte first, line by line) as band elevation, missing where it has the no-data value."""
+    p = read_raw(spark, path, height, width, ">i2", ["elevation"])
+    return p.with_bands(elevation=F.when(F.col("elevation") != no_data, F.col("elevation")))
+
+
 def image_rows(p: Product, red: str, green: str, blue: str, low: float, high: float) -> DataFrame:
     """One row a line: y and rgb bytes, scaled from [low, high]; an image file is these in order."""
     byte = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col(c) - low) / (high - low) * 256))).cast("int")

@@ -253,3 +253,29 @@ def test_geodesics(spark):
     for r in geometry.travel(there.withColumnRenamed("back_heading", "back"), "a", "b", "distance", "heading").collect():
         assert (r["to_lat"], r["to_lon"]) == pytest.approx((r["c"], r["d"]), abs=1e-8)
         assert r["back_heading"] == pytest.approx(r["back"], abs=1e-6)
+
+
+def test_ascii_grid_and_elevation_tile(spark, tmp_path):
+    """Grids come back with their missing samples; a pixel and a line that are absent are missing ones."""
+    rows = [(0, 0, 1.5), (0, 1, None), (0, 2, -2.0), (2, 0, 4.0), (2, 2, 1e-7)]
+    p = product(spark.createDataFrame(rows, "y long, x long, v double"))
+    stores.write_ascii_grid(p, "v", f"{tmp_path}/grid", (5.0, 6.0), 0.25)
+    q = stores.read_ascii_grid(spark, f"{tmp_path}/grid")
+    held = {(r["y"], r["x"]): r["v"] for r in q.pixels.collect()}
+    assert (q.height, q.width, q.meta) == (3, 3, {"corner": (5.0, 6.0), "cell": 0.25})
+    assert held == {(y, x): None for y in range(3) for x in range(3)} | {(y, x): v for y, x, v in rows}
+    np.array([[1, -9999], [300, -2]], ">i2").tofile(f"{tmp_path}/tile.dem")
+    tile = stores.read_elevation_tile(spark, f"{tmp_path}/tile.dem", 2, 2).pixels.collect()
+    assert {(r["y"], r["x"]): r["elevation"] for r in tile} == {(0, 0): 1.0, (0, 1): None, (1, 0): 300.0, (1, 1): -2.0}
+
+
+def test_geometry_join_odd_shapes(spark):
+    """A concave polygon over several cells against the parity of one literal; shapes without an area, outside or null have no pixels."""
+    p = raster(spark, np.arange(80.0 * 70).reshape(80, 70))
+    corners = [(2.2, 1.1), (66.3, 4.4), (30.1, 30.2), (68.0, 77.7), (5.5, 60.6)]
+    shapes = [(1, corners, 7.0), (2, [], 7.0), (3, None, 7.0), (4, [(1.0, 1.0), (9.0, 9.0)], 7.0), (5, [(-9.0, -9.0), (-1.0, -9.0), (-1.0, -1.0)], 7.0), (6, [(-9.0, -9.0), (500.0, -9.0), (500.0, 500.0), (-9.0, 500.0)], 7.0)]
+    df = spark.createDataFrame(shapes, "id int, points array<struct<x: double, y: double>>, v double")
+    got = joins.geometry_join(p, df, "points").collect()
+    wanted = {(r["y"], r["x"]) for r in p.pixels.where(pixels.mask_polygon(corners)).collect()}
+    assert {(r["y"], r["x"]) for r in got if r["id"] == 1} == wanted and len(got) == len(wanted) + 80 * 70
+    assert {r["v"] for r in got} == {7.0}  # the shapes' column
