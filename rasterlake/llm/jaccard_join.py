@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM, Words, grams, materialize, mix, ship, slices, text_bytes
+from .groups import components, whole_groups
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SMALL = 128  # sets of a bucket that is compared as it is; larger ones are split
@@ -112,23 +113,6 @@ def _numbers(raw: bytes) -> np.ndarray:
 KEY = ["path", "i", "j"]
 
 
-def _whole_groups(batches, work):
-    """work(batch, edges) for rows in order of KEY, cut so that no group is parted; edges are the groups' first rows and the number of rows. Holds one group besides a batch."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in KEY])
-        edges = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        if len(edges) > 1:
-            yield work(batch.slice(0, int(edges[-1])), edges)
-        held = batch.slice(int(edges[-1]))
-    if held is not None:
-        yield work(held, np.array([0, held.num_rows]))
-
-
 def _plausible(threshold: float):
     """Of rows in order of KEY: those with a partner of fitting size that makes half of all choices alike."""
     names = ["rid", *KEY, "block"]
@@ -152,7 +136,7 @@ def _plausible(threshold: float):
         keep = pa.array(np.flatnonzero(good))
         return pa.record_batch([batch.column(c).take(keep) for c in names], names)
 
-    return lambda batches: _whole_groups(batches, judge)
+    return lambda batches: whole_groups(batches, KEY, judge)
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -217,24 +201,7 @@ def _compare(threshold: float):
                 found.append(_links(int(path[a]), bool(i[a] != j[a]), rid[order], n[order], block[order], [_numbers(x) for x in sets], own, threshold))
         return pa.record_batch([pa.array(np.concatenate([f[k] for f in found] or [rid[:0]]).astype(np.int64)) for k in range(3)], ["rid", "links", "root"])
 
-    return lambda batches: _whole_groups(batches, work)
-
-
-def _components(edges: DataFrame) -> DataFrame:
-    """rid and root (the least rid of its component) for edges (a, b), by alternating large and small stars; every round writes its edges to the shared folder."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "links")
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = materialize(small, "links")
-        same = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if same(new) == same(edges):
-            return new.select(F.col("a").alias("rid"), F.col("b").alias("root"))
-        edges = new
+    return lambda batches: whole_groups(batches, KEY, work)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -293,7 +260,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     found = in_order(met.join(mine.join(sets, "rid"), "rid")).mapInArrow(_compare(threshold), "rid long, links long, root long")
     found = materialize(found, "found")
     links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
-    roots = _components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
+    roots = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
 
     whole = reps.join(roots, "rid", "left").join(links, "rid", "left").select("rid", *name, "rep", "n_copies", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     first = whole.groupBy("root").agg(F.min("rep").alias("first"))

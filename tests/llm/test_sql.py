@@ -8,7 +8,7 @@ from rasterlake.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(name, spark, sf):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         duck.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     wanted = duck.sql(queries.SQL[name])
