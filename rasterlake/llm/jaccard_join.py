@@ -7,9 +7,9 @@ Sets that chose the same shingle form a bucket; a large bucket is split by the
 next choice, so a path is a sequence of them, and the buckets at the paths' ends
 are compared by brute force, all of them. Runs are repeated until a pair at the
 threshold shares no whole path with a small, stated chance. A pair at the threshold
-makes four fifths of its choices alike; pairs that make less than half (for 90 choices
-one in 10**9 pairs at the threshold) only share a popular passage, and their sets
-are not fetched.
+makes each choice alike with a chance of its likeness; pairs that make so few alike
+as one in 10**9 pairs at the threshold does only share a popular passage, and their
+sets are not fetched.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SMALL = 128  # sets of a bucket that is compared as it is; larger ones are split
 DEPTH = 5  # shingles of a path
 BLOCK = 1024  # what is still large, or hardly splits, is compared in pairs of blocks of so many sets
+UNLIKE = 1e-9  # chance of a pair at the threshold to make too few choices alike
 SHINGLES = 1 << 20  # and so is what holds more shingles than that, so that a task holds about twice as many at once
 
 
@@ -39,6 +40,18 @@ def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = DEPTH) ->
     return runs
 
 
+def least_alike(made: int, threshold: float = THRESHOLD, chance: float = UNLIKE) -> int:
+    """The largest number of choices alike, of `made`, that a pair at the threshold stays under with at most this chance."""
+    below = 0.0
+    for n in range(made + 1):
+        if threshold >= 1:
+            return made
+        below += math.exp(math.lgamma(made + 1) - math.lgamma(n + 1) - math.lgamma(made - n + 1) + n * math.log(threshold) + (made - n) * math.log1p(-threshold))
+        if below > chance:
+            return n
+    return made
+
+
 def shingle_sets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text in order: row, hash, and how many each text has. A text of fewer than k words, but not none, is one shingle."""
     h = grams(words.hash, k)
@@ -113,9 +126,10 @@ def _numbers(raw: bytes) -> np.ndarray:
 KEY = ["path", "i", "j"]
 
 
-def _plausible(threshold: float):
-    """Of rows in order of KEY: those with a partner of fitting size that makes half of all choices alike."""
+def _plausible(threshold: float, runs: int):
+    """Of rows in order of KEY: those with a partner of fitting size that makes enough choices alike."""
     names = ["rid", *KEY, "block"]
+    enough = least_alike(runs * DEPTH, threshold)
 
     def judge(batch: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
         n, block, across = (np.asarray(batch.column("n")), np.asarray(batch.column("block")), np.asarray(batch.column("i")) != np.asarray(batch.column("j")))
@@ -131,7 +145,7 @@ def _plausible(threshold: float):
             a, b = a[open_], b[open_]
             for x in range(0, len(a), 50_000):
                 c, d = a[x : x + 50_000], b[x : x + 50_000]
-                hit = 2 * (sketch[c] == sketch[d]).sum(axis=1) >= sketch.shape[1]
+                hit = (sketch[c] == sketch[d]).sum(axis=1) >= enough
                 good[c[hit]] = good[d[hit]] = True
         keep = pa.array(np.flatnonzero(good))
         return pa.record_batch([batch.column(c).take(keep) for c in names], names)
@@ -250,7 +264,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_order = lambda df: df.repartition(parts, *KEY).sortWithinPartitions(*KEY)
     met = in_order(met.join(reps.select("rid", "n", "sketch"), "rid"))
-    met = materialize(met.mapInArrow(_plausible(threshold), "rid long, path long, i int, j int, block int"), "plausible")
+    met = materialize(met.mapInArrow(_plausible(threshold, runs), "rid long, path long, i int, j int, block int"), "plausible")
 
     # The sets of what is left, from the texts.
     wanted = met.select("rid").distinct().join(reps.select("rid", "rep"), "rid").select("rid", F.col("rep.doc_id").alias("k"), F.col("rep.th").alias("kh"))

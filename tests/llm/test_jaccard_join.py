@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -91,3 +92,26 @@ def test_documents_of_popular_passages(spark, words):
         rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:97]))]
     got = compare(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sum(n for _, n in got.values()) >= 600
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 0.95])
+def test_least_alike(threshold):
+    """Simulated pairs at the threshold make enough choices alike, and the bound isn't far below what they make."""
+    made = j.runs_for(0.999, threshold) * j.DEPTH
+    n = j.least_alike(made, threshold)
+    alike = np.random.default_rng(1).binomial(made, threshold, 200_000)
+    assert n <= alike.min()
+    if made < 1000:
+        under = lambda n: sum(math.comb(made, i) * threshold**i * (1 - threshold) ** (made - i) for i in range(n))
+        assert under(n) <= 1e-9 < under(n + 1)
+
+
+def test_low_threshold(spark):
+    """Pairs just over a likeness of a half are found at that threshold: 124 shingles, of which 83 are shared."""
+    rows = []
+    for k in range(200):
+        common = [f"c{k}x{i}" for i in range(87)]
+        rows += [(2 * k, " ".join([*common, *[f"a{k}x{i}" for i in range(41)]])), (2 * k + 1, " ".join([*common, *[f"b{k}x{i}" for i in range(41)]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in j.classes(docs, 0.5, 0.999).collect()}
+    assert sum(got[2 * k + 1] == (2 * k, 1) for k in range(200)) >= 198
