@@ -1,21 +1,19 @@
 """Readers and writers of products.
 
-The native form is Parquet with a JSON side file. Raw rasters (ENVI and generic
-binary) are read by Spark's binaryFile source, one task for a file's bands, and
-split into lines; CSV products and feature tables by Spark's CSV source.
+The native form is Parquet with a JSON side file. Raw rasters (ENVI, generic
+binary, elevation tiles) are read by the source of raster_files, by ranges of
+lines; CSV products and feature tables by Spark's CSV source.
 """
 
 from __future__ import annotations
 
 import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..product import Product
-from ..session import ship
+from .raster_files import interleaved, read_raster
 
 
 def write_product(p: Product, path: str, tile: int | None = None) -> None:
@@ -71,31 +69,8 @@ ENVI_TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 6: "c8", 9: "c16", 12
 
 
 def read_raw(spark: SparkSession, path: str, height: int, width: int, dtype: str, bands: list[str], interleave: str = "bsq", offset: int = 0) -> Product:
-    """A raw raster, bands after each other (bsq), line by line (bil) or pixel by pixel (bip). Complex samples become <band>_i and <band>_q."""
-    kind = np.dtype(dtype)
-    pair = kind.kind == "c"
-    names = [f"{b}_{s}" for b in bands for s in "iq"] if pair else bands
-    n = len(bands)
-
-    def run(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                raw = np.frombuffer(content, kind, n * height * width, offset)
-                cube = {"bsq": lambda: raw.reshape(n, height, width), "bil": lambda: raw.reshape(height, n, width).swapaxes(0, 1), "bip": lambda: np.moveaxis(raw.reshape(height, width, n), 2, 0)}[interleave]()
-                for top in range(0, height, max(1, 1_000_000 // max(width, 1))):
-                    part = cube[:, top : top + max(1, 1_000_000 // max(width, 1))]
-                    yy, xx = np.mgrid[top : top + part.shape[1], 0:width]
-                    out = {"y": yy.ravel(), "x": xx.ravel()}
-                    for b, plane in zip(bands, part, strict=True):
-                        if pair:
-                            out |= {f"{b}_i": plane.real.ravel().astype(float), f"{b}_q": plane.imag.ravel().astype(float)}
-                        else:
-                            out[b] = plane.ravel().astype(float)
-                    yield pd.DataFrame(out)
-
-    schema = "y long, x long, " + ", ".join(f"`{b}` double" for b in names)
-    ship(spark)
-    return Product(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema), height, width)
+    """A raw raster, bands after each other (bsq), line by line (bil) or pixel by pixel (bip), read by ranges of lines. Complex samples become <band>_i and <band>_q."""
+    return read_raster(spark, interleaved(path, height, width, dtype, bands, interleave, offset))
 
 
 def read_envi(spark: SparkSession, header: str, data: str) -> Product:

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from rasterlake import swath_queries  # noqa: F401
 from rasterlake.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
