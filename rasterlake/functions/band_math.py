@@ -21,20 +21,20 @@ def _d(c) -> Column:
 
 
 def div(a, b) -> Column:
-    """a/b of doubles: by zero it is infinite, or NaN for 0/0 and NaN/0."""
+    """a/b of doubles: by zero it is infinite, or NaN for 0/0 and NaN/0; missing where one is."""
     a, b = _d(a), _d(b)
-    zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
+    zero = F.when(a.isNull(), F.lit(None)).when(F.isnan(a) | (a == 0), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
     return F.when(b == 0, zero).otherwise(a / F.when(b != 0, b))
 
 
 def int_div(a: Column, b: Column) -> Column:
-    """a/b of ints, towards zero; null by zero."""
-    return (a.cast("double") / F.when(b != 0, b)).cast("int")
+    """a/b of ints, towards zero; null by zero. The least int by -1 wraps to itself."""
+    return F.when((a == -2147483648) & (b == -1), a).otherwise((a.cast("double") / F.when((b != 0) & ~((a == -2147483648) & (b == -1)), b)).cast("int"))
 
 
 def mod(a, b) -> Column:
     a, b = _d(a), _d(b)
-    return F.when(b == 0, F.lit(NAN)).otherwise(a % F.when(b != 0, b))
+    return F.when(a.isNotNull() & (b == 0), F.lit(NAN)).otherwise(a % F.when(b != 0, b))
 
 
 def _cmp(test):

@@ -13,6 +13,10 @@ from ..product import Product
 from ..session import materialize
 
 
+FLOOR = 1e-4  # of a posterior in the sums of a mixture
+TINY = 1e-9  # on the diagonals of covariances, for clusters of equal pixels
+
+
 def _vector(bands: list[str]) -> list[Column]:
     return [F.col(b).cast("double") for b in bands]
 
@@ -23,18 +27,31 @@ def _nearest(bands: list[str], means: list[list[float]]) -> Column:
     return F.array_min(F.array(*[F.struct(far(m).alias("d"), F.lit(k).alias("k")) for k, m in enumerate(means)]))["k"]
 
 
-def initial_means(p: Product, bands: list[str], k: int, seed: int) -> list[list[float]]:
-    """k distinct pixels, first by a hash of place and seed."""
-    rows = p.pixels.dropna(subset=bands).groupBy(*bands).agg(F.min(F.struct(F.xxhash64("y", "x", F.lit(seed)), "y", "x")).alias("o")).orderBy("o").limit(k).collect()
-    return [[float(r[b]) for b in bands] for r in rows]
+def _whole(bands: list[str]) -> Column:
+    """Whether no band is missing."""
+    there = F.lit(True)
+    for b in bands:
+        there = there & F.col(b).isNotNull()
+    return there
 
 
-def kmeans(p: Product, bands: list[str], k: int, iterations: int = 30, seed: int = 31415, roi: Column | None = None) -> tuple[Product, list[list[float]]]:
-    """Lloyd's algorithm to a standstill or the given rounds; clusters are numbered by size. Pixels outside the region get no class."""
+def initial_means(p: Product, bands: list[str], k: int, seed: int) -> list[list[float]]:
+    """k distinct pixels, first by a hash of place and seed. The first rows by that hash nearly always hold them; only a raster of few values is grouped."""
+    place = F.struct(F.xxhash64("y", "x", F.lit(seed)).alias("h"), "y", "x")
+    first = p.pixels.dropna(subset=bands).select(*bands, place.alias("o")).orderBy("o").limit(64 * k).collect()
+    distinct = list(dict.fromkeys(tuple(float(r[b]) for b in bands) for r in first))
+    if len(distinct) < k and len(first) == 64 * k:
+        rows = p.pixels.dropna(subset=bands).groupBy(*bands).agg(F.min(place).alias("o")).orderBy("o").limit(k).collect()
+        distinct = [tuple(float(r[b]) for b in bands) for r in rows]
+    return [list(m) for m in distinct[:k]]
+
+
+def kmeans(p: Product, bands: list[str], k: int, iterations: int = 30, seed: int = 31415, roi: Column | None = None, means: list[list[float]] | None = None) -> tuple[Product, list[list[float]]]:
+    """Lloyd's algorithm from k pixels, or given means, to a standstill or the given rounds; clusters are numbered by size. Pixels outside the region, or with a missing band, get no class."""
     rows = materialize((p.pixels if roi is None else p.pixels.where(roi)).dropna(subset=bands).select("y", "x", *bands), "kmeans-pixels")
-    means = initial_means(p.with_pixels(rows), bands, k, seed)
+    means = [list(map(float, m)) for m in means] if means is not None else initial_means(p.with_pixels(rows), bands, k, seed)
     if not means:
-        return p.with_pixels(rows.select("y", "x", F.lit(None).cast("int").alias("class"))), []
+        return p.with_pixels(p.pixels.select("y", "x", F.lit(None).cast("int").alias("class"))), []
     sizes: dict[int, int] = {}
     for _ in range(iterations):
         got = rows.groupBy(_nearest(bands, means).alias("k")).agg(*[F.avg(b).alias(b) for b in bands], F.count("*").alias("n")).collect()
@@ -48,18 +65,26 @@ def kmeans(p: Product, bands: list[str], k: int, iterations: int = 30, seed: int
             break
     order = sorted(range(len(means)), key=lambda i: -sizes.get(i, 0))
     means = [means[i] for i in order]
-    return p.with_pixels(rows.select("y", "x", _nearest(bands, means).cast("int").alias("class"))), means
+    inside = _whole(bands) if roi is None else _whole(bands) & F.coalesce(roi, F.lit(False))
+    return p.with_pixels(p.pixels.select("y", "x", F.when(inside, _nearest(bands, means)).cast("int").alias("class"))), means
 
 
 def gaussian_mixture(p: Product, bands: list[str], k: int, iterations: int = 30, seed: int = 31415) -> tuple[Product, list[float], np.ndarray, np.ndarray]:
-    """Expectation maximisation: each round sums responsibilities, weighted values and products in one aggregate. Result: class and posterior of each pixel, priors, means, covariances; by prior, greatest first."""
+    """Expectation maximisation from equal priors and unit covariances: each round sums responsibilities, weighted values and products in one aggregate.
+
+    In the sums every cluster has FLOOR more of each pixel, before they are made to
+    sum to one, so none runs empty and no covariance gets singular. Result: of each
+    pixel the class, its posterior, and posterior0, posterior1, ... of all clusters
+    (missing where a band is); priors, means, covariances. Clusters are ordered by
+    prior, greatest first. Posteriors are exponentials less the largest exponent.
+    """
     rows = materialize(p.pixels.dropna(subset=bands).select("y", "x", *bands), "mixture-pixels")
     d = len(bands)
     mean = np.array(initial_means(p.with_pixels(rows), bands, k, seed))
     k = len(mean)
-    total = rows.agg(*[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(bands) for j, b in enumerate(bands)]).first()
-    cov = np.stack([np.array([[total[f"c{i}_{j}"] or 0.0 for j in range(d)] for i in range(d)]) + 1e-6 * np.eye(d)] * k)
-    prior = np.full(k, 1 / k)
+    if not k:
+        return p.with_pixels(p.pixels.select("y", "x", F.lit(None).cast("int").alias("class"), F.lit(None).cast("double").alias("posterior"))), [], mean, np.zeros((0, d, d))
+    cov, prior = np.stack([np.eye(d)] * k), np.full(k, 1 / k)
 
     def posteriors() -> list[Column]:
         logs = []
@@ -74,25 +99,26 @@ def gaussian_mixture(p: Product, bands: list[str], k: int, iterations: int = 30,
         return [x / s for x in e]
 
     for _ in range(iterations):
-        with_r = rows.select(*bands, *[r.alias(f"r{c}") for c, r in enumerate(posteriors())])
+        with_r = rows.select(*bands, *[((r + FLOOR) / (1 + k * FLOOR)).alias(f"r{c}") for c, r in enumerate(posteriors())])
         aggs = [F.sum(f"r{c}").alias(f"n{c}") for c in range(k)]
         aggs += [F.sum(F.col(f"r{c}") * F.col(b)).alias(f"s{c}_{i}") for c in range(k) for i, b in enumerate(bands)]
         aggs += [F.sum(F.col(f"r{c}") * F.col(bands[i]) * F.col(bands[j])).alias(f"q{c}_{i}_{j}") for c in range(k) for i in range(d) for j in range(i, d)]
         got = with_r.agg(*aggs).first()
         n = np.array([got[f"n{c}"] for c in range(k)])
         mean = np.array([[got[f"s{c}_{i}"] / n[c] for i in range(d)] for c in range(k)])
-        cov = np.array([[[got[f"q{c}_{min(i, j)}_{max(i, j)}"] / n[c] - mean[c, i] * mean[c, j] for j in range(d)] for i in range(d)] for c in range(k)]) + 1e-6 * np.eye(d)
+        cov = np.array([[[got[f"q{c}_{min(i, j)}_{max(i, j)}"] / n[c] - mean[c, i] * mean[c, j] for j in range(d)] for i in range(d)] for c in range(k)]) + TINY * np.eye(d)
         prior = n / n.sum()
     order = np.argsort(-prior, kind="stable")
     prior, mean, cov = prior[order], mean[order], cov[order]
-    best = F.array_max(F.array(*[F.struct(r.alias("p"), F.lit(-c).alias("c")) for c, r in enumerate(posteriors())]))
-    out = rows.withColumn("_b", best).select("y", "x", (-F.col("_b.c")).cast("int").alias("class"), F.col("_b.p").alias("posterior"))
-    return p.with_pixels(out), prior.tolist(), mean, cov
+    each = p.pixels.select("y", "x", *[F.when(_whole(bands), r).alias(f"posterior{c}") for c, r in enumerate(posteriors())])
+    best = F.array_max(F.array(*[F.struct(F.col(f"posterior{c}").alias("p"), F.lit(-c).alias("c")) for c in range(k)]))
+    out = each.withColumn("_b", F.when(F.col("posterior0").isNotNull(), best))
+    return p.with_pixels(out.select("y", "x", (-F.col("_b.c")).cast("int").alias("class"), F.col("_b.p").alias("posterior"), *[f"posterior{c}" for c in range(k)])), prior.tolist(), mean, cov
 
 
 def pca(p: Product, bands: list[str], components: int, subtract_mean: bool = False) -> tuple[Product, np.ndarray]:
-    """Principal components of the bands' population covariance, each less its minimum; the largest entry of each vector is positive."""
-    source = p.pixels.dropna(subset=bands)
+    """Principal components of the bands' population covariance, each less its minimum; the largest entry of each vector is positive. Where a band is missing so are they."""
+    source = p.pixels.select("y", "x", *[F.when(_whole(bands), F.col(b)).alias(b) for b in bands])  # sums leave out missing samples
     if subtract_mean:
         pixel_mean = sum((F.col(b) for b in bands), F.lit(0.0)) / len(bands)
         source = source.select("y", "x", *[(F.col(b) - pixel_mean).alias(b) for b in bands])
@@ -169,17 +195,14 @@ def components(p: Product, mask: Column) -> DataFrame:
     edges = up.join(down, ["y", "bucket"]).where((F.col("a2") <= F.col("b") + 1) & (F.col("b2") >= F.col("a") - 1)).select("id", "id2").distinct()
     edges = materialize(edges.unionAll(edges.select(F.col("id2"), F.col("id"))).toDF("u", "v"), "component-edges")
     labels = runs.select(F.col("id").alias("u"), F.col("id").alias("label"))
-    last = None
     while True:
         reach = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("n"))
-        labels = labels.join(reach, "u", "left").select("u", F.least("label", F.coalesce("n", "label")).alias("label"))
+        labels = labels.join(reach, "u", "left").select("u", F.least("label", F.coalesce("n", "label")).alias("label"), F.coalesce(F.col("n") < F.col("label"), F.lit(False)).alias("moved"))
         jump = labels.select(F.col("u").alias("w"), F.col("label").alias("further"))
-        labels = labels.join(jump, F.col("label") == F.col("w")).select("u", F.col("further").alias("label"))
-        labels = materialize(labels, "component-labels")
-        total = labels.agg(F.sum("label")).first()[0]
-        if total == last:
+        labels = labels.join(jump, F.col("label") == F.col("w")).select("u", F.col("further").alias("label"), F.col("moved") | (F.col("further") < F.col("label")))
+        labels = materialize(labels.toDF("u", "label", "moved"), "component-labels")
+        if not labels.where("moved").limit(1).count():
             break
-        last = total
     return rows.join(runs.select("y", "g", "id"), ["y", "g"]).join(labels, F.col("id") == F.col("u")).select("y", "x", "label")
 
 

@@ -42,7 +42,8 @@ def calibrate(p, band: str, mission: str, incidence_deg: Column, constant: float
 
     ENVISAT and ERS: gain (optional) and spread (optional) Columns. ALOS: the
     constant in decibels. TSX: noise Column. RS2: offset and gains, a DataFrame of
-    x and gain that is joined by column of the image. CSK: rescale, reference_range,
+    x and gain that is joined by column of the image (columns without a gain are
+    missing). CSK: rescale, reference_range,
     exponent and reference_deg. Others raise ValueError.
     """
     power, rows = F.col(band).cast("double"), p.pixels
@@ -54,7 +55,7 @@ def calibrate(p, band: str, mission: str, incidence_deg: Column, constant: float
     elif kind.startswith("TSX") or kind.startswith("TDX"):
         out = sigma0_noise(power, more.get("noise", F.lit(0.0)), constant, incidence_deg)
     elif kind in ("RS2", "RADARSAT"):
-        rows = rows.join(more["gains"].select("x", F.col("gain").alias("_gain")), "x")
+        rows = rows.join(more["gains"].select("x", F.col("gain").alias("_gain")), "x", "left")
         out = sigma0_gain_table(power, more.get("offset", 0.0), F.col("_gain"), more.get("complex_input", False))
     elif kind in ("CSK", "CSKS1", "CSKS2", "CSKS3", "CSKS4"):
         out = sigma0_reference(power, more.get("rescale", 1.0), constant, more.get("reference_range"), more.get("exponent", 1.0), more.get("reference_deg"))

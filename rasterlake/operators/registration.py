@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..product import Product
-from ..session import ship
+from ..session import materialize, ship
 from .joins import resample
 
 
@@ -83,13 +83,42 @@ def warp_terms(points: np.ndarray, order: int, threshold: float = 1.0, rounds: i
     return cx, cy, rms[keep]
 
 
+def _terms(y: Column, x: Column, order: int) -> list[Column]:
+    return [F.lit(1.0), x, y, x * x, x * y, y * y, x * x * x, x * x * y, x * y * y, y * y * y][: {1: 3, 2: 6, 3: 10}[order]]
+
+
+def warp_fit(points: DataFrame, order: int, threshold: float = 1.0, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """What warp_terms() fits, for any number of points (y, x, sy, sx): each round is two aggregates, of the normal equations and of the residuals' mean and deviation, so the points stay where they are."""
+    points = materialize(points.select(*[F.col(c).cast("double").alias(c) for c in ("y", "x", "sy", "sx")]), "control-points")
+    scale = float(points.agg(F.greatest(F.max(F.abs("x")), F.max(F.abs("y")), F.lit(1.0))).first()[0] or 1.0)
+    terms = _terms(F.col("y") / scale, F.col("x") / scale, order)
+    degree = np.array([0, 1, 1, 2, 2, 2, 3, 3, 3, 3][: len(terms)])
+    keep = F.lit(True)
+    for i in range(rounds):
+        pairs = [(a, b) for a in range(len(terms)) for b in range(a, len(terms))]
+        sums = [F.sum(terms[a] * terms[b]).alias(f"a{a}_{b}") for a, b in pairs] + [F.sum(t * F.col(c)).alias(f"{c}{a}") for a, t in enumerate(terms) for c in ("sx", "sy")]
+        got = points.where(keep).agg(F.count("*").alias("n"), *sums).first()
+        if got["n"] < max(3, len(terms)):
+            raise ValueError("too few control points")
+        normal = np.zeros((len(terms), len(terms)))
+        for a, b in pairs:
+            normal[a, b] = normal[b, a] = got[f"a{a}_{b}"]
+        cx, cy = (np.linalg.lstsq(normal, np.array([got[f"{c}{a}"] for a in range(len(terms))]), rcond=None)[0] for c in ("sx", "sy"))
+        gap = lambda k, c: sum((float(v) * t for v, t in zip(k, terms, strict=True)), F.lit(0.0)) - F.col(c)  # noqa: E731, B023
+        rms = F.sqrt(F.pow(gap(cx, "sx"), 2) + F.pow(gap(cy, "sy"), 2))
+        found = points.where(keep).agg(F.avg(rms).alias("m"), F.stddev_pop(rms).alias("d"), F.max(rms).alias("top")).first()
+        limit = found["m"] + found["d"] if found["m"] > threshold else threshold
+        if found["top"] < limit or i == rounds - 1:
+            break
+        keep = keep & (rms < limit)
+    return cx / scale**degree, cy / scale**degree
+
+
 def coregister(master: Product, slave: Product, band: str, points: DataFrame, order: int = 1, method: str = "cubic", **options) -> Product:
     """The slave's band on the master's pixels: control points, polynomial, resampling."""
-    got = ground_control_points(master, slave, band, points, **options).limit(10_000).toPandas()  # as many as there are points asked for
-    cx, cy, _ = warp_terms(got[["y", "x", "sy", "sx"]].to_numpy(float), order)
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    terms = [F.lit(1.0), x, y, x * x, x * y, y * y, x * x * x, x * x * y, x * y * y, y * y * y]
-    poly = lambda c: sum((float(k) * t for k, t in zip(c, terms, strict=False)), F.lit(0.5))
+    cx, cy = warp_fit(ground_control_points(master, slave, band, points, **options), order)
+    terms = _terms(F.col("y").cast("double"), F.col("x").cast("double"), order)
+    poly = lambda c: sum((float(k) * t for k, t in zip(c, terms, strict=True)), F.lit(0.5))
     return master.with_pixels(resample(slave, master.pixels.select("y", "x"), poly(cx), poly(cy), band, method))
 
 

@@ -626,6 +626,19 @@ def kmeans(spark, sf_dir):
     return clusters.kmeans(_bands(spark, sf_dir), ["v", "slv_v"], 4, 10)[0].pixels
 
 
+_ROUND = """a{r} as (select b.*, arg_min(k, struct_pack(d := (a - ma) * (a - ma) + (b - mb) * (b - mb), k := k)) as k from b, m{r} group by all),
+m{n} as (select m.k, coalesce(avg(a), any_value(ma)) as ma, coalesce(avg(b), any_value(mb)) as mb from m{r} m left join a{r} using (k) group by m.k),
+"""
+
+
+@query("with {PX}, b as (select p.y, p.x, p.v as a, q.v as b from px p join px q on q.y = p.y and q.x = p.x + 1), m0 as (select * from (values (0, -1.0, -1.0), (1, 0.5, 0.0), (2, 2.0, 1.5)) t(k, ma, mb)),\n" + "".join(_ROUND.format(r=r, n=r + 1) for r in range(4)) + """n as (select k, count(*) as n from a3 group by k), o as (select k, row_number() over (order by n desc, k) - 1 as class from n),
+l as (select b.*, arg_min(k, struct_pack(d := (a - ma) * (a - ma) + (b - mb) * (b - mb), k := class)) as k from b, m4 join o using (k) group by all)
+select y, x, cast(class as int) as class from l join o using (k)""")
+def kmeans_given_means(spark, sf_dir):
+    """Four rounds from given means."""
+    return clusters.kmeans(_bands(spark, sf_dir), ["v", "slv_v"], 3, 4, means=[[-1.0, -1.0], [0.5, 0.0], [2.0, 1.5]])[0].pixels
+
+
 @query()
 def em_clusters(spark, sf_dir):
     return clusters.gaussian_mixture(_bands(spark, sf_dir), ["v", "slv_v"], 2, 5)[0].pixels
@@ -639,6 +652,17 @@ def pca(spark, sf_dir):
     return clusters.pca(_bands(spark, sf_dir), ["v", "slv_v"], 2)[0].pixels.select("y", "x", r6("pc0"), r6("pc1"))
 
 
+@query("""with {PX}, b as (select p.y, p.x, case when (p.y * 7 + p.x) % 13 <> 0 then p.v end as a, q.v as b from px p join px q on q.y = p.y and q.x = p.x + 1), c as (select covar_pop(a, a) as aa, covar_pop(a, b) as ab, covar_pop(b, b) as bb from b where a is not null),
+l as (select *, (aa + bb) / 2 + sqrt(power((aa - bb) / 2, 2) + ab * ab) as top from c), u as (select ab / sqrt(ab * ab + power(top - aa, 2)) as x, (top - aa) / sqrt(ab * ab + power(top - aa, 2)) as y from l),
+s as (select x * g as x, y * g as y, -y * k as x2, x * k as y2 from (select x, y, case when abs(x) >= abs(y) then sign(x) else sign(y) end as g, case when abs(y) >= abs(x) then sign(-y) else sign(x) end as k from u)),
+t as (select b.y, b.x, a * s.x + b * s.y as p, a * s.x2 + b * s.y2 as q from b, s) select y, x, round(p - min(p) over (), 6) as pc0, round(q - min(q) over (), 6) as pc1 from t""")
+def pca_holes(spark, sf_dir):
+    """Principal components of pixels of which some lack a band: they stay, and are missing."""
+    p = _bands(spark, sf_dir)
+    p = p.with_bands(v=F.when((F.col("y") * 7 + F.col("x")) % 13 != 0, F.col("v")))
+    return clusters.pca(p, ["v", "slv_v"], 2)[0].pixels.select("y", "x", r6("pc0"), r6("pc1"))
+
+
 @query("""with {PX} select p.y, p.x, round((p.v + q.v) / 2 + (p.v - q.v) / 2, 9) as abundance0, round((p.v + q.v) / 2 - (p.v - q.v) / 2, 9) as abundance1 from px p join px q on q.y = p.y and q.x = p.x + 1""")
 def unmixing(spark, sf_dir):
     import numpy as np
@@ -825,6 +849,16 @@ def expr_text(spark, sf_dir):
     return q.pixels
 
 
+@query("""with {PX}, n as (select y, x, case when label <> 1 then v end as v from px) select y, x, 1 / v as a, case when v > 0 then 'Infinity'::double when v < 0 then '-Infinity'::double when v = 0 then 'NaN'::double end as b,
+case when v is not null then cast(trunc(cast(trunc(v * 10) as int) / 3.0) as int) end as c, 1 / v as d, cast(null as double) as e from n""")
+def expr_text_missing(spark, sf_dir):
+    """Quotients of missing samples are missing, by zero too."""
+    p = embeddings(spark, sf_dir)
+    p = p.with_bands(v=F.when(F.col("label") != 1, F.col("v")))
+    q = expressions.band_maths(p, a="bm_div(1, v)", b="bm_div(v, 0)", c="bm_idiv(int(v * 10), 3)", e="bm_div(1, null)")
+    return q.pixels.join(p.select(m.div(1.0, F.col("v")).alias("d")).pixels, ["y", "x"])
+
+
 @query("""with {PX}, n as (select y, x, case when v < -1 then 'NaN'::double else v end as v from px)
 select y, x, not isnan(v) and v < 0 as lt, not isnan(v) and v >= 0 as ge, not isnan(v) and v = v as eq, isnan(v) or abs(v) > 0.5 as ne from n""")
 def expr_text_nan(spark, sf_dir):
@@ -892,27 +926,34 @@ def calibrate_missions(spark, sf_dir):
     return out
 
 
+@query("with {PX} select y, x, round(case when x % 8 <> 0 then (i + 5) / (x + 1) end, 9) as rs2 from ip")
+def calibrate_missing_gain(spark, sf_dir):
+    """Columns of the image without a gain stay, and are missing."""
+    p = intensity(spark, sf_dir)
+    gains = spark.range(p.width).where("id % 8 <> 0").select(F.col("id").alias("x"), (F.col("id") + 1.0).alias("gain"))
+    return radiometry.calibrate(p, "i", "RS2", F.lit(35.0), gains=gains, offset=5.0).select("y", "x", F.round("sigma0", 9).alias("rs2"))
+
+
 @query("with {PX} select y, x, round(i / cos(radians(30)), 9) as gamma0, round(i / sin(radians(30)), 9) as beta0, round(i * 9 / 2, 9) as unpatterned from ip")
 def radiometric_forms(spark, sf_dir):
     i, a = F.col("i"), F.lit(30.0)
     return intensity(spark, sf_dir).select(F.round(radiometry.gamma0(i, a), 9).alias("gamma0"), F.round(radiometry.beta0(i, a), 9).alias("beta0"), F.round(radiometry.remove_antenna_pattern(i, F.lit(3.0), F.lit(2.0)), 9).alias("unpatterned")).pixels
 
 
-@query(f"with {_ANGLES} select c_custkey, true as utm, true as albers, true as lambert, true as stereo, true as sinus, true as moll from g")
+@query(f"with {_ANGLES}, p as (select c_custkey, round(lat * 0.5 + 41, 5) as lat, round(lon / 60 + 9, 5) as lon from g) select c_custkey, " + ", ".join(f"lat as {n}_lat, lon as {n}_lon" for n in ("utm", "albers", "lambert", "stereo", "sinus", "moll")) + " from p")
 def projection_round_trips(spark, sf_dir):
     """Each projection and its inverse give the place back."""
     lat, lon = F.col("lat") * 0.5 + 41, F.col("lon") / 60 + 9
-    same = lambda p: (F.abs(p[0] - lat) < 1e-6) & (F.abs(p[1] - lon) < 1e-6)
     g = geometry
-    return _places(spark, sf_dir).select(
-        "c_custkey",
-        same(g.transverse_mercator_inverse(*g.transverse_mercator(lat, lon, 9.0), 9.0)).alias("utm"),
-        same(g.albers_inverse(*g.albers(lat, lon, 30.0, 60.0, 45.0, 10.0), 30.0, 60.0, 45.0, 10.0)).alias("albers"),
-        same(g.lambert_conformal_inverse(*g.lambert_conformal(lat, lon, 30.0, 60.0, 45.0, 10.0), 30.0, 60.0, 45.0, 10.0)).alias("lambert"),
-        same(g.stereographic_inverse(*g.stereographic(lat, lon, 50.0, 10.0), 50.0, 10.0)).alias("stereo"),
-        same(g.sinusoidal_inverse(*g.sinusoidal(lat, lon, 10.0), 10.0)).alias("sinus"),
-        same(g.mollweide_inverse(*g.mollweide(lat, lon, 10.0), 10.0)).alias("moll"),
-    )
+    there_and_back = {
+        "utm": g.transverse_mercator_inverse(*g.transverse_mercator(lat, lon, 9.0), 9.0),
+        "albers": g.albers_inverse(*g.albers(lat, lon, 30.0, 60.0, 45.0, 10.0), 30.0, 60.0, 45.0, 10.0),
+        "lambert": g.lambert_conformal_inverse(*g.lambert_conformal(lat, lon, 30.0, 60.0, 45.0, 10.0), 30.0, 60.0, 45.0, 10.0),
+        "stereo": g.stereographic_inverse(*g.stereographic(lat, lon, 50.0, 10.0), 50.0, 10.0),
+        "sinus": g.sinusoidal_inverse(*g.sinusoidal(lat, lon, 10.0), 10.0),
+        "moll": g.mollweide_inverse(*g.mollweide(lat, lon, 10.0), 10.0),
+    }
+    return _places(spark, sf_dir).select("c_custkey", *[F.round(p[i], 5).alias(f"{n}_{c}") for n, p in there_and_back.items() for i, c in enumerate(("lat", "lon"))])
 
 
 @query(f"""with {_ANGLES}, k as (select ln(cos(radians(30)) / cos(radians(60))) / ln(tan(pi() / 4 + radians(60) / 2) / tan(pi() / 4 + radians(30) / 2)) as n), f as (select n, cos(radians(30)) * power(tan(pi() / 4 + radians(30) / 2), n) / n as f from k),
