@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import swath, tie_points
+from .operators import gradient_mosaic, neighbourhood, swath, tie_points, topsar
 from .product import Product, embeddings
 from .queries import query, r6
 from .session import shared_dir
@@ -115,3 +115,43 @@ def ellipsoid_correction_gg(spark, sf_dir):
     ty, tx = F.col("y") * 0.5 + 0.25, F.col("x") * 0.5 + 0.375
     q = swath.ellipsoid_correction_gg(p, "v", lat, lon, ns, p.pixels.select("y", "x"), p.height, p.width, 50 - 0.01 * ty - 0.003 * tx, 20 + 0.02 * tx - 0.005 * ty, 10.0, 0.0, 0.01)
     return q.pixels.select("y", "x", F.round("v", 4).alias("v"))
+
+
+@query("with {PX} select y, x, round(v, 3) + 0.0 as v from px")
+def mosaic_gradient(spark, sf_dir):
+    """A part of the raster, with another level, slope and twist, laid over the whole: in the gradient domain its seams, and all of these, vanish."""
+    p = embeddings(spark, sf_dir).select("v")
+    part = p.with_pixels(p.pixels.where(F.col("y").between(20, p.height - 30) & F.col("x").between(6, 55)))
+    part = part.with_bands(v=F.col("v") + 3 + 0.01 * F.col("x") - 0.002 * F.col("y") + 1e-4 * F.col("x") * F.col("y"))
+    return gradient_mosaic.gradient_mosaic([(p, 0, 0), (part, 0, 0)], "v", threshold=1e-11).select("y", "x", F.round("v", 3).alias("v"))
+
+
+@query("with {PX} select 2 * y as y, 3 * x as x, round(v, 6) as v from px where (y * 5 + x) % 11 <> 0")
+def oversample_in_place(spark, sf_dir):
+    """Oversampling keeps the samples where they were; those beside a missing one are missing."""
+    p = embeddings(spark, sf_dir)
+    p = p.with_bands(v=F.when((F.col("y") * 5 + F.col("x")) % 11 != 0, F.col("v")))
+    q = neighbourhood.oversample(p, "v", (2, 3), tile=128)
+    return q.pixels.where("y % 2 = 0 and x % 3 = 0 and v is not null").select("y", "x", r6("v"))
+
+
+_TOPSAR = """with {PX}, n as (select max(y) + 1 as h, (max(y) + 1) // 50 as b from px), t as (select unnest(range(0, (b - 1) * 40 + 50)) as y, b from n), c as (select unnest(range(0, 64)) as x),
+s as (select unnest([1, 2, 3]) as s), k as (select y, x, s, x - 20 * (s - 1) as sx, b from t, c, s where x between 20 * (s - 1) and 20 * (s - 1) + 23),
+z as (select *, case when s = 2 then 12 - 0.01 * y else 10 + 0.01 * y + 0.1 * sx end as noise, case when y >= 40 * least(y // 40, b - 1) + 10 or y < 40 then least(y // 40, b - 1) when y > 40 * (least(y // 40, b - 1) - 1) + 45 then least(y // 40, b - 1) else least(y // 40, b - 1) - 1 end as burst from k),
+m as (select z.y, z.x, z.s, z.noise, cast(floor(v * 100) as bigint) as i, cast(label as bigint) as q from z join px on px.y = burst * 50 + z.y - burst * 40 and px.x = (20 * (s - 1) + sx) % 64),
+r as (select *, row_number() over (partition by y, x order by noise, s) as o, count(*) over (partition by y, x) as cnt from m),
+p as (select a.y, a.x, a.i, a.q, b.i as i2, b.q as q2 from r a left join r b on b.y = a.y and b.x = a.x and b.o = 2 where a.o = 1)
+select y, x, case when i * i + q * q < 300 and (i2 <> 0 or q2 <> 0) then i2 else i end as i, case when i * i + q * q < 300 and (i2 <> 0 or q2 <> 0) then q2 else q end as q from p"""
+
+
+@query(_TOPSAR)
+def deburst_topsar(spark, sf_dir):
+    """Three sub-swaths of the dense raster, in bursts of 50 lines of which 10 overlap in time, and 4 columns in range."""
+    p = embeddings(spark, sf_dir)
+    n = p.height // 50
+    lines = (n - 1) * 40 + 50
+    noise = lambda s: [(k, [0.0, 23.0], [12 - 0.01 * k] * 2 if s == 2 else [10 + 0.01 * k, 12.3 + 0.01 * k]) for k in range(0, lines + 60, 60)]
+    swaths = [topsar.SubSwath(s, 0.0, float(lines), 20.0 * (s - 1), 20.0 * (s - 1) + 23, 24, 50, 1.0, [(40.0 * b, 40.0 * b + 50) for b in range(n)], noise(s)) for s in (1, 2, 3)]
+    own = F.explode(F.array(*[F.struct(F.lit(s).alias("swath"), F.pmod(F.col("x") - 20 * (s - 1), F.lit(64)).alias("sx")) for s in (1, 2, 3)]))
+    samples = p.pixels.select(F.col("y").alias("sy"), F.floor(F.col("v") * 100).alias("i"), F.col("label").cast("long").alias("q"), own.alias("s")).select("s.swath", "sy", "s.sx", "i", "q").where("sx < 24")
+    return topsar.deburst(samples, topsar.Target(lines, 64, 0.0, 1.0, 0.0, 1.0), swaths)
