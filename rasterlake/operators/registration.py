@@ -57,6 +57,80 @@ def ground_control_points(master: Product, slave: Product, band: str, points: Da
     return found
 
 
+RIM = 8  # pixels around the slave's window, so that a shifted window has no trace of the spectrum's wrapping round
+
+
+def shifted_coherence(master: np.ndarray, slave: np.ndarray, dy: np.ndarray, dx: np.ndarray, box: int | None = None) -> np.ndarray:
+    """Coherence of a complex window (n, m) with the slave (RIM more pixels on each side) read dy lines and dx columns further on, for all pairs (len(dy), len(dx)). With box, the mean over all boxes of that size inside the window."""
+    n, m = master.shape
+    ky, kx = np.fft.fftfreq(slave.shape[0])[:, None], np.fft.fftfreq(slave.shape[1])[None, :]
+    a, b = (c.ravel()[:, None, None] for c in np.meshgrid(dy, dx, indexing="ij"))
+    moved = np.fft.ifft2(np.fft.fft2(slave) * np.exp(2j * np.pi * (ky * a + kx * b)))[:, RIM : RIM + n, RIM : RIM + m]
+
+    def sums(v: np.ndarray) -> np.ndarray:
+        if box is None:
+            return v.sum(axis=(-2, -1))[..., None, None]
+        c = np.cumsum(np.cumsum(np.pad(v, [(0, 0)] * (v.ndim - 2) + [(1, 0), (1, 0)]), axis=-2), axis=-1)
+        return c[..., box:, box:] - c[..., :-box, box:] - c[..., box:, :-box] + c[..., :-box, :-box]
+
+    power = np.sqrt(sums(np.abs(master) ** 2) * sums(np.abs(moved) ** 2))
+    found = np.divide(np.abs(sums(np.conj(master) * moved)), power, out=np.zeros(power.shape), where=power > 0)
+    return found.mean(axis=(-2, -1)).reshape(len(dy), len(dx))
+
+
+def fine_shift(master: np.ndarray, slave: np.ndarray, start: tuple[float, float], box: int | None = None, rounds: int = 5) -> tuple[float, float, float]:
+    """The shift (dy, dx) within half a pixel of start with the greatest coherence, and that coherence: a grid of tenths of a pixel, then ever finer ones around the best so far."""
+    best, step = start, 0.1
+    bound = [(c - 0.5, c + 0.5) for c in start]
+    value = -1.0
+    for k in range(rounds):
+        side = np.arange(-5, 6) if k == 0 else np.arange(-2, 3)
+        dy, dx = (np.clip(best[i] + step * side, *bound[i]) for i in (0, 1))
+        found = shifted_coherence(master, slave, dy, dx, box)
+        at = np.unravel_index(found.argmax(), found.shape)
+        best, value = (float(dy[at[0]]), float(dx[at[1]])), float(found[at])
+        step /= 3
+    return *best, value
+
+
+def fine_control_points(master: Product, slave: Product, bands: tuple[str, str], points: DataFrame, window: int = 32, threshold: float = 0.6, box: int | None = None) -> DataFrame:
+    """Points (point_id, y, x of the master, sy and sx in the slave) with sy and sx to a fraction of a pixel, and their coherence.
+
+    Around each point both complex rasters are cut to windows; the slave's place is
+    moved by up to half a pixel to where the windows are most coherent (with box,
+    where boxes of that size are on average). Points with less than the threshold, or
+    with a pixel of a window missing (of the slave's with a rim of RIM), are left out.
+    A window is a group of its own.
+    """
+    ship(points.sparkSession)
+    half, (i, q) = window // 2, bands
+    spot = points.select("point_id", "y", "x", "sy", "sx", F.floor("y").cast("long").alias("my"), F.floor("x").cast("long").alias("mx"), F.floor(F.col("sy") + 0.5).cast("long").alias("ry"), F.floor(F.col("sx") + 0.5).cast("long").alias("rx"))
+    spot = materialize(spot, "coarse-points")
+
+    def cut(p: Product, y: str, x: str, names: tuple[str, str], rim: int) -> DataFrame:
+        steps = F.sequence(F.lit(1 - half - rim), F.lit(half + rim))
+        asked = spot.select("point_id", F.col(y).alias("cy"), F.col(x).alias("cx")).withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+        asked = asked.select("point_id", "dy", "dx", (F.col("cy") + F.col("dy")).alias("y"), (F.col("cx") + F.col("dx")).alias("x"))
+        there = p.pixels.select("y", "x", F.col(i).cast("double").alias(names[0]), F.col(q).cast("double").alias(names[1])).dropna()
+        return asked.join(there, ["y", "x"]).select("point_id", "dy", "dx", *names)
+
+    both = cut(slave, "ry", "rx", ("si", "sq"), RIM).join(cut(master, "my", "mx", ("mi", "mq"), 0), ["point_id", "dy", "dx"], "left")
+    both = both.join(spot.select("point_id", (F.col("sy") - F.col("ry")).alias("oy"), (F.col("sx") - F.col("rx")).alias("ox")), "point_id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = window + 2 * RIM
+        if len(pdf) < wide * wide or pdf["mi"].notna().sum() < window * window:
+            return pd.DataFrame({"point_id": [], "oy": [], "ox": [], "coherence": []})
+        pdf = pdf.sort_values(["dy", "dx"])
+        a, b = (pdf[f"{n}i"].to_numpy().reshape(wide, wide) + 1j * pdf[f"{n}q"].to_numpy().reshape(wide, wide) for n in "ms")
+        a = a[RIM:-RIM, RIM:-RIM]
+        dy, dx, value = fine_shift(a, b, (float(pdf["oy"].iloc[0]), float(pdf["ox"].iloc[0])), box)
+        return pd.DataFrame({"point_id": [pdf["point_id"].iloc[0]], "oy": [dy], "ox": [dx], "coherence": [value]})
+
+    found = both.groupBy("point_id").applyInPandas(run, "point_id long, oy double, ox double, coherence double").where(F.col("coherence") >= threshold)
+    return spot.join(found, "point_id").select("point_id", "y", "x", (F.col("ry") + F.col("oy")).alias("sy"), (F.col("rx") + F.col("ox")).alias("sx"), "coherence")
+
+
 def coherence(window: DataFrame, by: list[str], mi: str, mq: str, si: str, sq: str) -> DataFrame:
     """Magnitude of the complex correlation of two complex bands over the rows of each group."""
     re, im = F.col(mi) * F.col(si) + F.col(mq) * F.col(sq), F.col(mq) * F.col(si) - F.col(mi) * F.col(sq)

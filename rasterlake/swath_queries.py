@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import gradient_mosaic, neighbourhood, swath, tie_points, topsar
+from .operators import elevation, gradient_mosaic, neighbourhood, swath, tie_points, topsar, vectors
 from .product import Product, embeddings
 from .queries import query, r6
 from .session import shared_dir
@@ -155,3 +155,37 @@ def deburst_topsar(spark, sf_dir):
     own = F.explode(F.array(*[F.struct(F.lit(s).alias("swath"), F.pmod(F.col("x") - 20 * (s - 1), F.lit(64)).alias("sx")) for s in (1, 2, 3)]))
     samples = p.pixels.select(F.col("y").alias("sy"), F.floor(F.col("v") * 100).alias("i"), F.col("label").cast("long").alias("q"), own.alias("s")).select("s.swath", "sy", "s.sx", "i", "q").where("sx < 24")
     return topsar.deburst(samples, topsar.Target(lines, 64, 0.0, 1.0, 0.0, 1.0), swaths)
+
+
+@query("""with {PX}, n as (select (max(y) + 1) // 16 as tiles from px), s as (select y, x, case when x < 16 and (y // 16) % 5 <> 4 and y < tiles * 16 then floor(v * 1000) else 0 end as s from px, n),
+t as (select y, x, cast(floor(y - 0.2) as bigint) as r, cast(floor(x * 0.25 - 0.1) as bigint) as c, 0.8 as wr, x * 0.25 - 0.1 - floor(x * 0.25 - 0.1) as wc from px),
+k as (select t.*, i, j from t, (select unnest([0, 1]) as i), (select unnest([0, 1]) as j))
+select k.y, k.x, round(sum((case i when 1 then wr else 1 - wr end) * (case j when 1 then wc else 1 - wc end) * coalesce(s.s, 0)), 6) + 0.0 as elevation from k left join s on s.y = r + i and s.x = c + j group by 1, 2""")
+def elevation_tiles(spark, sf_dir):
+    """Elevations from a store of tiles of 16 by 16 samples, one under the other; each fifth has no file, and is sea, as is all around."""
+    p, folder = embeddings(spark, sf_dir), _folder(spark, "tiles")
+    n = p.height // 16
+    column = Product(p.pixels.where(F.col("x") < 16).where(F.col("y") < 16 * n).select("y", "x", F.floor(F.col("v") * 1000).alias("e")), 16 * n, 16)
+    raster_files.write_raster(column, f"{folder}/strips", ">i2", lines=16)
+    store = elevation.TileStore(folder, 1, 16)
+    strips = raster_files.read_layout(spark, f"{folder}/strips").bands[0]
+    tiles = raster_files.Layout(16, 16, [raster_files.Band(f"t{k}", [[0, f[1]]], strips.dtype, 2, 32) for k, f in enumerate(strips.files) if k % 5 != 4])
+    raster_files.join_strips(spark, tiles, {f"t{k}": store.path(49 - k, 10) for k in range(n)})
+    lat, lon = 50 - (F.col("y") + 0.3) / 16, 10 + (F.col("x") * 0.25 + 0.4) / 16
+    return elevation.elevation_at(p.pixels.select("y", "x"), lat, lon, store).select("y", "x", r6("elevation"))
+
+
+@query("""with {PX}, q as (select s_suppkey as id, (s_suppkey * 7) % 50 + 0.25 as x0, (s_suppkey * 13) % 400 + 0.25 as y0, s_suppkey % 5 * 2 + 4.0 as s from supplier)
+select id, count(*) as n, round(avg(v), 9) as mean from q join px on x + 0.5 > x0 and x + 0.5 < x0 + s and y + 0.5 > y0 and y + 0.5 < y0 + 2 * s + 1
+and ((y + 0.5 < y0 + s and not (x + 0.5 > x0 + 1 and x + 0.5 < x0 + s - 1 and y + 0.5 > y0 + 1 and y + 0.5 < y0 + s - 1)) or (y + 0.5 > y0 + s + 1 and (x + 0.5 - x0) + (y + 0.5 - y0 - s - 1) < s)) group by id""")
+def vector_burn(spark, sf_dir):
+    """Statistics under multi-polygons given as text: a square with a hole, and a triangle below it."""
+    p = embeddings(spark, sf_dir)
+    q = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 50 + 0.25).alias("x"), (F.col("s_suppkey") * 13 % 400 + 0.25).alias("y"), (F.col("s_suppkey") % 5 * 2 + 4.0).alias("s"))
+    x, y, s = F.col("x"), F.col("y"), F.col("s")
+    at = lambda a, b: F.concat_ws(" ", (x + a).cast("string"), (y + b).cast("string"))
+    ring = lambda *c: F.concat(F.lit("("), F.concat_ws(", ", *c, c[0]), F.lit(")"))
+    square = lambda a, b: ring(at(a, a), at(b, a), at(b, b), at(a, b))
+    wkt = F.concat(F.lit("MULTIPOLYGON (("), square(0.0, s), F.lit(", "), square(1.0, s - 1), F.lit("), ("), ring(at(0.0, s + 1), at(s, s + 1), at(0.0, 2 * s + 1)), F.lit("))"))
+    covered = vectors.burn(q.select("id", wkt.alias("wkt")), "id", "wkt", p.height, p.width)
+    return covered.join(p.pixels, ["y", "x"]).groupBy("id").agg(F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean"))
