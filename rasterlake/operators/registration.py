@@ -246,7 +246,7 @@ CMOD5 = [0.0, -0.688, -0.793, 0.338, -0.173, 0.0, 0.004, 0.111, 0.0162, 6.34, 2.
 
 
 def backscatter(speed: Column, direction_deg: Column, incidence_deg: Column) -> Column:
-    """Backscatter of a sea surface by the C-band model: wind speed, its direction against the look, incidence."""
+    """Backscatter of a sea surface by the C-band model: wind speed, its direction against the look, incidence. After Hersbach, Stoffelen and de Haan (2007), An improved C-band scatterometer ocean geophysical model function: CMOD5."""
     c = CMOD5
     v = speed if isinstance(speed, Column) else F.lit(float(speed))
     x = (incidence_deg - 40) / 25
@@ -272,28 +272,64 @@ def _tanh(x: Column) -> Column:
     return 1 - 2 / (F.exp(2 * x) + 1)
 
 
-def wind_field(p: Product, band: str, incidence_deg: float, window: int, land: Column | None = None) -> DataFrame:
-    """Per window cell its centre's backscatter, the direction of its strongest low-frequency streaks (degrees from the lines, up to half a turn), and the wind speed. Cells with half of their pixels on land, or not whole, are left out."""
+FLATTEN = 11  # side of the mean that a window is divided by
+
+
+def streak_direction(grid: np.ndarray, km: float = 20.0) -> tuple[float, float]:
+    """The direction of a square window's streaks, in degrees from the lines counter-clockwise up to half a turn, and the ratio of the axes of their spectrum (1: no direction).
+
+    The window is divided by its local mean; four spectra of two thirds of its size,
+    at its corners, are averaged; of wavelengths from 2.5 to 15 km (the window is
+    km wide) a median of three by three is taken; and a quadratic form is fitted to
+    what is left under its peak. Streaks lie across the axis along which it is widest.
+    """
+    n = len(grid)
+    h = FLATTEN // 2
+    box = lambda a: sum(np.pad(a, h)[i : i + n, j : j + n] for i in range(2 * h + 1) for j in range(2 * h + 1))
+    mean = box(grid) / box(np.ones((n, n)))
+    flat = np.divide(grid, mean, out=np.ones((n, n)), where=mean != 0)
+    size = n * 2 // 3 | 1
+    corners = [flat[a : a + size, b : b + size] for a in (0, n - size) for b in (0, n - size)]
+    power = np.mean([np.abs(np.fft.fftshift(np.fft.fft2(c))) ** 2 for c in corners], axis=0)
+    wave = 2 * math.pi * km * 1000 * 2 / 3  # of a wavelength in metres: so many waves in a spectrum's window
+    outer, inner = min(int(wave / 2500), size // 2), int(wave / 15_000)
+    inner = 1 if inner >= size // 2 else inner
+    middle = size // 2
+    part = power[middle - outer : middle + outer + 1, middle - outer : middle + outer + 1].copy()
+    part[outer - inner : outer + inner + 1, outer - inner : outer + inner + 1] = 0
+    v = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(part, 1, mode="edge"), (3, 3)), axis=(2, 3))
+    y, x = np.mgrid[-outer : outer + 1, -outer : outer + 1].astype(float)
+    terms = np.stack([(x * x).ravel(), (y * y).ravel(), (x * y).ravel()], axis=1)
+    c = np.linalg.lstsq(terms, (v - v.max()).ravel(), rcond=None)[0]
+    values, axes = np.linalg.eigh(np.array([[c[0], -c[2] / 2], [-c[2] / 2, c[1]]]))  # y upwards
+    steep = axes[:, np.abs(values).argmax()]  # across the widest extent
+    ratio = float(np.abs(values).min() / np.abs(values).max()) if np.abs(values).max() > 0 else 1.0
+    return math.degrees(math.atan2(steep[1], steep[0])) % 180, ratio
+
+
+def wind_field(p: Product, band: str, incidence_deg: float, window: int, land: Column | None = None, km: float = 20.0, in_db: bool = False, hh: bool = False) -> DataFrame:
+    """Per window cell its centre's backscatter, the direction of its streaks and the ratio of their spectrum's axes, as streak_direction() gives them, and the wind speed.
+
+    km is a window's width. Backscatter may be given in decibels; that of HH is taken
+    to VV. Pixels on land or missing count as the mean of the others; cells with half
+    of their pixels such, or not whole, are left out.
+    """
     keep = F.lit(True) if land is None else ~land
-    rows = p.pixels.select(F.floor(F.col("y") / window).cast("long").alias("cy"), F.floor(F.col("x") / window).cast("long").alias("cx"), "y", "x", F.when(keep, F.col(band).cast("double")).alias("v"))
+    v = F.col(band).cast("double")
+    v = F.pow(F.lit(10.0), v / 10) if in_db else v
+    tan2 = math.tan(math.radians(incidence_deg)) ** 2
+    factor = ((1 + 2 * tan2) / (1 + tan2)) ** 2 if hh else 1.0
+    rows = p.pixels.select(F.floor(F.col("y") / window).cast("long").alias("cy"), F.floor(F.col("x") / window).cast("long").alias("cx"), "y", "x", F.when(keep, v).alias("v"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(["y", "x"])["v"].to_numpy(float)
         bad = np.isnan(v)
         if len(v) < window * window or bad.sum() * 2 >= len(v):
-            return pd.DataFrame({"cy": [], "cx": [], "nrcs": [], "direction": []})
+            return pd.DataFrame({"cy": [], "cx": [], "nrcs": [], "direction": [], "ratio": []})
         grid = np.where(bad, v[~bad].mean(), v).reshape(window, window)
-        power = np.abs(np.fft.fftshift(np.fft.fft2(grid - grid.mean()))) ** 2
-        f = np.fft.fftshift(np.fft.fftfreq(window))
-        fy, fx = np.meshgrid(f, f, indexing="ij")
-        radius = np.hypot(fy, fx)
-        ring = (radius > 1.0 / window) & (radius < 0.25)
-        w = np.where(ring, power, 0)
-        m = np.array([[(w * fx * fx).sum(), (w * fx * fy).sum()], [(w * fx * fy).sum(), (w * fy * fy).sum()]])
-        axis = np.linalg.eigh(m)[1][:, 1]  # across the streaks
-        angle = math.degrees(math.atan2(axis[0], -axis[1])) % 180
-        return pd.DataFrame({"cy": [int(key[0])], "cx": [int(key[1])], "nrcs": [grid[window // 2, window // 2]], "direction": [angle]})
+        angle, ratio = streak_direction(grid, km)
+        return pd.DataFrame({"cy": [int(key[0])], "cx": [int(key[1])], "nrcs": [factor * grid[window // 2, window // 2]], "direction": [angle], "ratio": [ratio]})
 
     ship(rows.sparkSession)
-    cells = rows.groupBy("cy", "cx").applyInPandas(run, "cy long, cx long, nrcs double, direction double")
+    cells = rows.groupBy("cy", "cx").applyInPandas(run, "cy long, cx long, nrcs double, direction double, ratio double")
     return cells.withColumn("speed", wind_speed(F.col("nrcs"), F.col("direction"), F.lit(float(incidence_deg))))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .operators import mosaic_stream as mosaic_stream_
 from .operators import elevation, gradient_mosaic, neighbourhood, swath, tie_points, topsar, vectors
 from .product import Product, embeddings
 from .queries import query, r6
@@ -189,3 +190,18 @@ def vector_burn(spark, sf_dir):
     wkt = F.concat(F.lit("MULTIPOLYGON (("), square(0.0, s), F.lit(", "), square(1.0, s - 1), F.lit("), ("), ring(at(0.0, s + 1), at(s, s + 1), at(0.0, 2 * s + 1)), F.lit("))"))
     covered = vectors.burn(q.select("id", wkt.alias("wkt")), "id", "wkt", p.height, p.width)
     return covered.join(p.pixels, ["y", "x"]).groupBy("id").agg(F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean"))
+
+
+@query("with {PX} select y, x, round((v + case when y < 200 then 3 * (v + 1) else 0 end + case when x >= 32 then 0.5 * 2 * v else 0 end) / (1 + case when y < 200 then 3 else 0 end + case when x >= 32 then 0.5 else 0 end), 6) + 0.0 as v, cast(1 + case when y < 200 then 3 else 0 end + case when x >= 32 then 0.5 else 0 end as double) as n from px")
+def mosaic_stream(spark, sf_dir):
+    """Three rasters with weights that arrive one after the other as a stream; the first one's batch is run again afterwards."""
+    p, folder = embeddings(spark, sf_dir), _folder(spark, "stream")
+    rows = p.pixels.select("y", "x", "v", F.lit(1.0).alias("w"))
+    parts = [rows, rows.where("y < 200").select("y", "x", F.col("v") + 1, F.lit(3.0)).toDF("y", "x", "v", "w"), rows.where("x >= 32").select("y", "x", 2 * F.col("v"), F.lit(0.5)).toDF("y", "x", "v", "w")]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("y long, x long, v double, w double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    options = {"weight": "w", "tile": 64, "compact": 2}
+    mosaic_stream_.start(stream, f"{folder}/mosaic", f"{folder}/checkpoint", once=True, **options).awaitTermination()
+    mosaic_stream_.merge_batch(rows, 0, f"{folder}/mosaic", **options)
+    return mosaic_stream_.current(spark, f"{folder}/mosaic").select("y", "x", r6("v"), "n")

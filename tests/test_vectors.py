@@ -131,3 +131,20 @@ def test_warp_fit_equals_the_plain_fit(spark):
         terms = lambda c: sum(k * t for k, t in zip(c, [1, x, y, x * x, x * y, y * y, x**3, x * x * y, x * y * y, y**3], strict=False))
         assert np.allclose(terms(gx), terms(cx), atol=1e-4) and np.allclose(terms(gy), terms(cy), atol=1e-4)
     assert back(raster(spark, np.ones((2, 2)))).sum() == 4
+
+
+@pytest.mark.parametrize("angle", [0, 20, 45, 70, 90, 130, 160])
+def test_streaks(spark, angle):
+    """Streaks of limited length at an angle: noise that is smoothed more along them than across."""
+    rng = np.random.default_rng(5)
+    f = np.fft.fftfreq(96)
+    t = np.radians(angle)
+    along, across = f[None, :] * np.cos(t) - f[:, None] * np.sin(t), f[None, :] * np.sin(t) + f[:, None] * np.cos(t)  # y points down
+    noise = np.fft.ifft2(np.fft.fft2(rng.normal(size=(96, 96))) * np.exp(-2 * np.pi**2 * ((7 * along) ** 2 + (1.0 * across) ** 2))).real
+    grid = 2 + 0.5 * noise / noise.std()
+    got, ratio = registration.streak_direction(grid)
+    assert abs((got - angle + 90) % 180 - 90) < 12 and 0 <= ratio < 1  # the square window draws slanted ones towards its axes
+    even = registration.streak_direction(np.ones((32, 32)))
+    assert 0 <= even[0] <= 180 and even[1] <= 1
+    cells = registration.wind_field(raster(spark, 10 * np.log10(grid * 0.01)), "v", 30.0, 48, in_db=True, hh=True).collect()
+    assert len(cells) == 4 and all(0 < c["speed"] <= 20 for c in cells)
