@@ -14,6 +14,9 @@ from ..session import materialize, ship
 from .joins import resample
 
 
+HALF_LIGHT = 299_792_458.0 / 2  # metres a second, there and back
+
+
 def _around(p: Product, band: str, points: DataFrame, half: int, y: str, x: str, name: str) -> DataFrame:
     """Pixels within half a window of each point: point_id, dy, dx and the band. The points' windows are cut into pixels, which join the raster by place."""
     steps = F.sequence(F.lit(-half), F.lit(half - 1))
@@ -196,13 +199,14 @@ def coregister(master: Product, slave: Product, band: str, points: DataFrame, or
     return master.with_pixels(resample(slave, master.pixels.select("y", "x"), poly(cx), poly(cy), band, method))
 
 
-def range_doppler(targets: DataFrame, states: list[tuple[float, tuple, tuple]], first_line: float, line_time: float, near_range: float, range_spacing: float, rounds: int = 40) -> DataFrame:
+def range_doppler(targets: DataFrame, states: list[tuple[float, tuple, tuple]], first_line: float, line_time: float, near_range: float, range_spacing: float, rounds: int = 40, bistatic: bool = False, sensor: bool = False) -> DataFrame:
     """targets (y, x and earth-centred tx, ty, tz in metres) with source coordinates u (range) and v (line) of a slant-range image.
 
     The time at which the target is abeam comes from bisection of the sign of
     (target - position) . velocity over the states (time, position, velocity; a
     few records an image), linear between them. Targets without a change of sign
-    are left out.
+    are left out. With bistatic, line times hold the signal's way there and back.
+    With sensor, the position abeam comes along as px, py and pz.
     """
     times = np.array([s[0] for s in states], float)
     table = np.array([[*s[1], *s[2]] for s in states], float)
@@ -220,12 +224,14 @@ def range_doppler(targets: DataFrame, states: list[tuple[float, tuple, tuple]],
                 same = (gap(mid) > 0) == first
                 low, high = np.where(same, mid, low), np.where(same, high, mid)
             at = (low + high) / 2
-            slant = np.linalg.norm(t - state(at)[:, :3], axis=1)
-            out = pdf[["y", "x"]].assign(u=(slant - near_range) / range_spacing + 0.5, v=(at - first_line) / line_time + 0.5)
-            yield out[good]
+            place = state(at)[:, :3]
+            slant = np.linalg.norm(t - place, axis=1)
+            line = at + slant / HALF_LIGHT if bistatic else at
+            out = pdf[["y", "x"]].assign(u=(slant - near_range) / range_spacing + 0.5, v=(line - first_line) / line_time + 0.5)
+            yield (out.assign(px=place[:, 0], py=place[:, 1], pz=place[:, 2]) if sensor else out)[good]
 
     ship(targets.sparkSession)
-    return targets.select("y", "x", "tx", "ty", "tz").mapInPandas(run, "y long, x long, u double, v double")
+    return targets.select("y", "x", "tx", "ty", "tz").mapInPandas(run, "y long, x long, u double, v double" + (", px double, py double, pz double" if sensor else ""))
 
 
 def terrain_correction(image: Product, band: str, targets: DataFrame, height: int, width: int, method: str = "bilinear", **geometry) -> Product:
