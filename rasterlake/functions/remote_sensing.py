@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Gravity, weight of air, the constant of visibility, and the radius used by the view correction.
@@ -76,3 +76,33 @@ def polynomial_surface(x: Column, y: Column, coefficients: list[float]) -> Colum
                 k += 1
         degree += 1
     return total
+
+
+def lookup_joined(df: DataFrame, table: DataFrame, axes: dict[str, list[float]], value: str, at: dict[str, Column], name: str) -> DataFrame:
+    """df with multilinear interpolation in a table that is too large for a plan: rows of knots by number (<axis>, from 0) and a value.
+
+    axes: the knots of each axis, growing; at: the place on each. The table's rows
+    are gathered into cells with their corners, one aggregate, and a row of df joins
+    its cell. Places outside are those at the end; missing where a place, or a corner
+    of the cell, is.
+    """
+    names = list(axes)
+    corners = list(itertools.product((0, 1), repeat=len(names)))
+    sent = table.select(*names, F.col(value).cast("double").alias("_v"), F.posexplode(F.array(*[F.lit(k) for k in range(len(corners))])).alias("_corner", "_k"))
+    for i, n in enumerate(names):
+        step = F.array(*[F.lit(c[i]) for c in corners])
+        sent = sent.withColumn(f"_at_{n}", F.col(n) - F.get(step, F.col("_corner")))
+    inside = [F.col(f"_at_{n}").between(0, len(axes[n]) - 2) for n in names]
+    for keep in inside:
+        sent = sent.where(keep)
+    cells = sent.groupBy(*[f"_at_{n}" for n in names]).agg(*[F.max(F.when(F.col("_corner") == k, F.col("_v"))).alias(f"_v{k}") for k in range(len(corners))])
+    places = {n: _cell(axes[n], at[n]) for n in names}
+    asked = df.withColumns({f"_at_{n}": places[n][0].cast("long") for n in names} | {f"_share_{n}": places[n][1] for n in names})
+    total = F.lit(0.0)
+    for k, c in enumerate(corners):
+        weight = F.lit(1.0)
+        for n, far in zip(names, c, strict=True):
+            weight = weight * (F.col(f"_share_{n}") if far else 1 - F.col(f"_share_{n}"))
+        total = total + weight * F.col(f"_v{k}")
+    found = asked.join(cells.select(*[F.col(f"_at_{n}").cast("long").alias(f"_at_{n}") for n in names], *[f"_v{k}" for k in range(len(corners))]), [f"_at_{n}" for n in names], "left")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], total.alias(name))

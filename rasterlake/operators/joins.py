@@ -230,3 +230,26 @@ def lagrange(times: list[Column], values: list[Column], t: Column) -> Column:
                 w = w * (t - tj) / (ti - tj)
         total = total + w
     return total
+
+
+def orbit_at(samples: DataFrame, states: DataFrame, time: str, values: list[str], by: list[str] | None = None, n: int = 8) -> DataFrame:
+    """samples with <value>_at: the polynomial through the n states nearest in time (all, if fewer; of equally near ones the earlier).
+
+    time is a number (seconds). A product's states, some hundred rows of its header,
+    become one array by one aggregate and reach its samples by an equi-join on `by`
+    (without: on one key). States at the same time count as their mean. Samples
+    without a time get missing values, those without any state are left out.
+    """
+    by = by or []
+    once = states.where(F.col(time).isNotNull()).groupBy(*by, time).agg(*[F.avg(v).alias(v) for v in values])
+    table = once.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), *values))).alias("_states")).where(F.size("_states") > 0)
+    rows = samples.join(table, by) if by else samples.withColumn("_k", F.lit(1)).join(table.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    t = F.col(time).cast("double")
+    near = F.slice(F.array_sort(F.transform("_states", lambda s: F.struct(F.abs(s["t"] - t).alias("gap"), s.alias("s")))), 1, n)
+    rows = rows.withColumn("_near", F.transform(near, lambda x: x["s"]))
+
+    def through(v: str) -> Column:
+        share = lambda a: F.aggregate("_near", F.lit(1.0), lambda p, b: F.when(b["t"] == a["t"], p).otherwise(p * (t - b["t"]) / (a["t"] - b["t"])))
+        return F.when(t.isNotNull(), F.aggregate("_near", F.lit(0.0), lambda total, a: total + a[v] * share(a)))
+
+    return rows.select(*[F.col(f"`{c}`") for c in samples.columns], *[through(v).alias(f"{v}_at") for v in values])

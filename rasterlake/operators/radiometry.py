@@ -30,6 +30,17 @@ def sigma0_noise(power: Column, noise: Column, constant: float, incidence_deg: C
     return constant * (power - noise) * F.sin(F.radians(incidence_deg))
 
 
+def noise_by_record(records: list[tuple[float, float, list[float]]], time: Column, slant: Column) -> Column:
+    """Noise at a line's time and a slant-range time from a header's records (time, reference, [c0, c1, ...] of powers of the slant-range time less the reference): that of the record before and the one after, linear in time between them; before the first and after the last, theirs."""
+    longest = max(len(c) for _, _, c in records)
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(r)).alias("r"), F.array(*[F.lit(float(k)) for k in [*c, *[0.0] * (longest - len(c))]]).alias("c")) for t, r, c in sorted(records)])
+    before = F.coalesce(F.try_element_at(F.filter(rows, lambda s: s["t"] <= time), F.lit(-1)), F.get(rows, F.lit(0)))
+    after = F.coalesce(F.get(F.filter(rows, lambda s: s["t"] > time), F.lit(0)), F.try_element_at(rows, F.lit(-1)))
+    value = lambda s: F.aggregate(F.reverse(s["c"]), F.lit(0.0), lambda a, k: a * (slant - s["r"]) + k)
+    share = F.when((time >= before["t"]) & (after["t"] > before["t"]), (time - before["t"]) / F.when(after["t"] > before["t"], after["t"] - before["t"])).otherwise(0.0)
+    return F.when(time.isNotNull(), value(before) + (value(after) - value(before)) * share)
+
+
 def sigma0_reference(power: Column, rescale: float, constant: float, reference_range: float | None = None, exponent: float = 1.0, reference_deg: float | None = None) -> Column:
     out = power / (rescale * rescale * constant)
     if reference_range is not None:
@@ -41,7 +52,7 @@ def calibrate(p, band: str, mission: str, incidence_deg: Column, constant: float
     """y, x and sigma0 of a product's power band, by the model of its mission.
 
     ENVISAT and ERS: gain (optional) and spread (optional) Columns. ALOS: the
-    constant in decibels. TSX: noise Column. RS2: offset and gains, a DataFrame of
+    constant in decibels. TSX: noise Column (noise_by_record() makes one). RS2: offset and gains, a DataFrame of
     x and gain that is joined by column of the image (columns without a gain are
     missing). CSK: rescale, reference_range,
     exponent and reference_deg. Others raise ValueError.

@@ -11,6 +11,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..product import Product
 from .raster_files import interleaved, read_raster
@@ -113,6 +114,50 @@ def read_ascii_grid(spark: SparkSession, path: str, band: str = "v") -> Product:
     return Product(rows, int(head["nrows"]), int(head["ncols"]), {"corner": (head["xllcorner"], head["yllcorner"]), "cell": head["cellsize"]})
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """n (from 0, in the file's order) and value of a text file's lines. Each of its splits numbers its own lines; the splits' counts, a row each, say where it begins."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = lines.withColumn("i", F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1)
+    counts = lines.groupBy("block").agg(F.count("*").alias("c"))
+    starts = counts.withColumn("start", F.coalesce(F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "start")
+    return lines.join(starts, "block").select((F.col("start") + F.col("i")).alias("n"), "value")
+
+
+def read_grid_file(spark: SparkSession, path: str, band: str = "v") -> Product:
+    """An ASCII grid as other programs write it: ncols, nrows, xllcorner or xllcenter, yllcorner or yllcenter, cellsize and perhaps NODATA_value, a line each in any case, then a line for each raster line, north first. The no-data value (-9999 if not named) becomes missing; corner (lower left) and cell size are in the metadata."""
+    word = r"^\s*([A-Za-z_]+)\s+(\S+)\s*$"
+    found = {}
+    for row in spark.read.text(path).where(F.col("value").rlike(word)).limit(16).collect():  # a header has six lines
+        key, value = row[0].split()
+        if key.lower() in ("ncols", "nrows", "xllcorner", "xllcenter", "yllcorner", "yllcenter", "cellsize", "nodata_value"):
+            found[key.lower()] = float(value)
+    if not {"ncols", "nrows", "cellsize"} <= set(found):
+        raise ValueError("no header of an ASCII grid")
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = numbered_lines(spark, path).where((F.col("n") >= len(found)) & (F.col("n") < len(found) + int(found["nrows"]))).select((F.col("n") - len(found)).alias("y"), F.posexplode(parts).alias("x", "s"))
+    rows = rows.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("s").cast("double").alias(band)).where(F.col("x") < int(found["ncols"]))
+    rows = rows.withColumn(band, F.when(F.col(band) != found.get("nodata_value", -9999.0), F.col(band)))
+    cell = found["cellsize"]
+    corner = tuple(found.get(f"{a}llcorner", found.get(f"{a}llcenter", cell / 2) - cell / 2) for a in "xy")
+    return Product(rows, int(found["nrows"]), int(found["ncols"]), {"corner": corner, "cell": cell})
+
+
+def read_csv_file(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """A CSV product as other programs write it: lines `#name=value` of properties anywhere, then a tab-separated header name:type and rows. Types as in read_csv(); empty fields and `[null]` are missing, as is what a type can't hold; rows with a wrong number of fields are skipped."""
+    kinds = {"string": "string", "byte": "tinyint", "short": "smallint", "int": "int", "integer": "int", "long": "bigint", "float": "float", "double": "double", "boolean": "boolean", "time": "timestamp"}
+    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    about = [r[0][1:].split("=", 1) for r in lines.where(F.col("value").startswith("#") & F.col("value").contains("=")).collect()]  # a header's lines
+    plain = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    first = plain.first()
+    if first is None:
+        raise ValueError("no header of a CSV product")
+    names = [(f.split(":", 1) + ["string"])[:2] for f in first[0].split("\t")]
+    cells = F.split("value", "\t", -1)
+    text = lambda i: F.when(~F.get(cells, F.lit(i)).isin("", "[null]"), F.get(cells, F.lit(i)))
+    rows = plain.where((F.col("value") != first[0]) & (F.size(cells) == len(names)))
+    return rows.select(*[text(i).try_cast(kinds.get(k.lower(), "string")).alias(n) for i, (n, k) in enumerate(names)]), {k.strip(): v.strip() for k, v in about}
+
+
 def read_elevation_tile(spark: SparkSession, path: str, height: int, width: int, no_data: int = -9999) -> Product:
     """A raw elevation tile (16 bit, high byte first, line by line) as band elevation, missing where it has the no-data value."""
     p = read_raw(spark, path, height, width, ">i2", ["elevation"])
