@@ -202,7 +202,10 @@ def hard_negatives(df: DataFrame, anchor: Column, positives: int = POSITIVES, ne
     anchors = materialize(rows.join(windows, "rid").select(*FIELDS, "windows", F.coalesce(need, F.lit(0.0)).alias("need")), "anchors")
 
     # Anchors with like needs share a group, and a candidate goes to the groups that its norm is enough for.
-    cuts = sorted(set(anchors.agg(F.percentile_approx("need", [i / CLASSES for i in range(1, CLASSES)], 1000)).first()[0] or ()))
+    # A candidate's row is sent once for each group, so there are no more classes than full groups.
+    classes = max(1, min(CLASSES, anchors.count() // GROUP))
+    shares = [i / classes for i in range(1, classes)] or [0.0]  # the least need as the only cut leaves one class
+    cuts = sorted(set(anchors.agg(F.percentile_approx("need", shares, 1000)).first()[0] or ()))
     kind = sum((F.when(F.col("need") >= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
     sizes = anchors.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("need").alias("least")).orderBy("kind").collect()  # at most CLASSES rows
     groups = [-(-r["n"] // GROUP) for r in sizes]
