@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rasterlake.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
 from rasterlake.llm.class_lm import held_out
 from rasterlake.llm.common import materialize
+from rasterlake.session import discard
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # nothing reads a stage's rows once the next one's are written
     return docs

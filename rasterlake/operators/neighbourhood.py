@@ -24,7 +24,7 @@ from ..session import ship
 TILE = 256
 
 
-def _run(value: Column, line: str, along: str, h: int, size: int, edge: bool) -> Column:
+def _run(value: Column, line: str | list[str], along: str, h: int, size: int, edge: bool) -> Column:
     """Sum of what is present among 2h+1 neighbours along an axis; beyond the border the edge's value is repeated, or nothing is added."""
     by = Window.partitionBy(line).orderBy(along)
     total = F.sum(value).over(by.rangeBetween(-h, h))
@@ -35,16 +35,30 @@ def _run(value: Column, line: str, along: str, h: int, size: int, edge: bool) ->
     return F.coalesce(total, F.lit(0.0)) + before * F.coalesce(F.first(value).over(whole), F.lit(0.0)) + after * F.coalesce(F.last(value).over(whole), F.lit(0.0))
 
 
+BAND = 4096  # lines whose columns are summed in one window, besides a margin
+
+
 def box_sums(p: Product, values: dict[str, tuple[Column, int]], edge: bool = True) -> DataFrame:
     """p's pixels with sums over boxes: each value with its half size h, for (2h+1)x(2h+1) neighbours.
 
     Missing samples add nothing. All sums along lines are taken in one pass, then
     all along columns, so there are two shuffles however many sums are asked for.
-    With edge, every line has its first and last pixel, and border values are repeated.
+    Columns are cut to bands of lines with a margin, so a window never holds a tall
+    raster's column. With edge, every line has its first and last pixel, and border
+    values are repeated.
     """
     df = p.pixels.withColumns({f"_{n}": v.cast("double") for n, (v, _) in values.items()})
     df = df.withColumns({f"_{n}": _run(F.col(f"_{n}"), "y", "x", h, p.width, edge) for n, (_, h) in values.items()})
-    df = df.withColumns({n: _run(F.col(f"_{n}"), "x", "y", h, p.height, edge) for n, (_, h) in values.items()})
+    most = max((h for _, h in values.values()), default=0)
+    lines = max(BAND, 4 * most)
+    if p.height > lines:  # a band's margin holds all that its sums need, its first and last lines the raster's border
+        last = (p.height - 1) // lines
+        band = lambda c: F.greatest(F.lit(0), F.least(F.lit(last), F.floor(c / lines)))
+        df = df.withColumn("_band", F.explode(F.sequence(band(F.col("y") - most), band(F.col("y") + most))))
+        df = df.withColumns({n: _run(F.col(f"_{n}"), ["x", "_band"], "y", h, p.height, edge) for n, (_, h) in values.items()})
+        df = df.where(F.col("_band") == F.floor(F.col("y") / lines)).drop("_band")
+    else:
+        df = df.withColumns({n: _run(F.col(f"_{n}"), "x", "y", h, p.height, edge) for n, (_, h) in values.items()})
     return df.drop(*[f"_{n}" for n in values])
 
 

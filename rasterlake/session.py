@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: What materialize() gave last, with its folder; weakly held, so that it is forgotten with the DataFrame.
+_KEPT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,4 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _KEPT[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a DataFrame that materialize() gave, once nothing reads it any more; of others nothing is deleted."""
+    kept = _KEPT.pop(df, None)
+    if kept is not None:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(kept)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
