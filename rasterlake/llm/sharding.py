@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import ship
+from .common import materialize, ship
 
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -45,21 +45,42 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A double that keeps the column's order: numbers and times as they are, strings by their first six bytes."""
+def _ordered(df: DataFrame, name: str) -> Column:
+    """A column that keeps the dimension's order: strings whole, as they are, numbers and times as doubles."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.encode(F.substring(F.col(name), 1, 6), "UTF-8")), 12, "0").substr(1, 12), 16, 10).cast("double")
+        return F.col(f"`{name}`")
     if isinstance(kind, (T.DateType, T.TimestampType)):
-        return F.unix_seconds(F.col(name).cast("timestamp")).cast("double")
-    return F.col(name).cast("double")
+        return F.unix_seconds(F.col(f"`{name}`").cast("timestamp")).cast("double")
+    return F.col(f"`{name}`").cast("double")
+
+
+def string_cuts(rows: DataFrame, name: str, steps: int) -> list[str]:
+    """The strings at 1/steps, 2/steps, ... of a column's rows in order, exactly; null ones apart.
+
+    Distinct values are dealt to ranges, which are written with their numbers. What
+    earlier ranges hold is one row a range; the running sum inside a range then tells
+    which of its values, steps - 1 in all ranges together, are cuts.
+    """
+    values = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(values.repartitionByRange(parts, "value").withColumn("range", F.spark_partition_id()), "ranged-values")
+    totals = ranged.groupBy("range").agg(F.sum("n").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    totals = totals.select("range", before.alias("before"), F.sum("m").over(Window.partitionBy(F.lit(0))).alias("total"))
+    running = F.sum("n").over(Window.partitionBy("range").orderBy("value"))
+    placed = ranged.withColumn("upto", running).join(totals, "range").withColumn("upto", F.col("upto") + F.col("before"))
+    # A value is a cut if the running sum reaches i/steps of all rows with it and not before it, for some i from 1 to steps - 1.
+    cuts = placed.where(f"least((upto * {steps}) div total, {steps - 1}) > ((upto - n) * {steps}) div total")
+    return sorted((r[0] for r in cuts.select("value").collect()), key=lambda v: v.encode())
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], shards: int, bits: int = 4, rows_per_group: int = 50_000) -> DataFrame:
     """df with hilbert (long), shard (int, 0 to shards-1) and slot (long, gapless from 0 in its shard).
 
     Law `rows`: the shards' row counts differ by one at most. Dimensions are cut
-    at their quantiles into 2**bits intervals; null is the lowest. The grid has
+    at their quantiles into 2**bits intervals (strings by whole strings); null is the
+    lowest. The grid has
     2**(bits*len(dims)) cells, whatever the input, so the table of cells that is
     joined by broadcast is bounded. A cell that holds many rows is split by a
     hash into groups of about rows_per_group rows, ranked apart; nothing is ever
@@ -72,13 +93,16 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int, bits: int = 4, r
     df = df.drop("hilbert", "shard", "slot")
     names = df.columns
     steps = 1 << bits
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), *[_number(df, d).alias(f"d{i}") for i, d in enumerate(dims)])
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), *[_ordered(df, d).alias(f"d{i}") for i, d in enumerate(dims)])
     shares = [i / steps for i in range(1, steps)]
-    cuts = row.agg(*[F.percentile_approx(f"d{i}", shares, 1000).alias(f"c{i}") for i in range(len(dims))]).first()
+    texts = [i for i, d in enumerate(dims) if isinstance(df.schema[d].dataType, T.StringType)]
+    numbers = [i for i in range(len(dims)) if i not in texts]
+    found = row.agg(*[F.percentile_approx(f"d{i}", shares, 1000).alias(f"c{i}") for i in numbers]).first() if numbers else []
+    cuts = {i: found[f"c{i}"] for i in numbers} | {i: string_cuts(row, f"d{i}", steps) for i in texts}
 
     def cell(i: int) -> Column:
         number = F.lit(0)
-        for cut in sorted(set(cuts[i] or ())):
+        for cut in dict.fromkeys(cuts[i] or ()):
             number = number + F.when(F.col(f"d{i}") >= F.lit(cut), 1).otherwise(0)
         return number.cast("int").alias(f"q{i}")
 

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 from rasterlake.llm import sharding as s
 
 
@@ -46,3 +47,40 @@ def test_odd_rows(odd_docs, no_docs, tmp_path):
     assert s.hilbert_shards(no_docs, ["lang", "n_chars"], 3).collect() == []
     s.write_shards(out, f"{tmp_path}/shards")
     assert out.sparkSession.read.parquet(f"{tmp_path}/shards").count() == odd_docs.count()
+
+
+def plain_cuts(values, steps):
+    """The least value that at least i/steps of all are up to, for i from 1 to steps - 1."""
+    values = sorted((v for v in values if v is not None), key=lambda v: v.encode() if isinstance(v, str) else v)
+    return list(dict.fromkeys(values[-(-i * len(values) // steps) - 1] for i in range(1, steps))) if values else []
+
+
+def test_cuts_of_whole_strings(spark):
+    rng = np.random.default_rng(1)
+    names = [f"https://www.site{k:03d}.example/{'x' * int(rng.integers(0, 30))}" for k in range(60)] + ["é", "zz", "Ω", "a", ""]
+    values = [names[int(k)] for k in rng.integers(0, len(names), 3000)] + [names[7]] * 1500 + [None] * 40
+    df = spark.createDataFrame([(v,) for v in values], "d0 string")
+    for steps in (2, 4, 16):
+        assert s.string_cuts(df, "d0", steps) == plain_cuts(values, steps)
+    assert s.string_cuts(df.where("d0 is null"), "d0", 4) == [] and s.string_cuts(df.limit(0), "d0", 4) == []
+
+
+def test_against_a_plain_version(spark):
+    """Cells by plain quantiles, the curve by its own definition of neighbours, and shards as runs of equal counts."""
+    rng = np.random.default_rng(2)
+    rows = [(k, f"https://www.source-{int(rng.integers(0, 20)):02d}.example", int(rng.integers(0, 1000))) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    got = s.hilbert_shards(df, ["source", "n"], 8).collect()
+    numbers = df.agg(F.percentile_approx(F.col("n").cast("double"), [i / 16 for i in range(1, 16)], 1000)).first()[0]  # approximate, so taken as they are
+    assert all(abs(a - b) <= 5 for a, b in zip(numbers, plain_cuts([r[2] for r in rows], 16), strict=True))
+    cuts = [plain_cuts([r[1] for r in rows], 16), list(dict.fromkeys(numbers))]
+    cell = {r[0]: tuple(sum(r[i] >= c for c in cuts[i - 1]) for i in (1, 2)) for r in rows}
+    index = s.hilbert_index(np.array(list(cell.values())), 4)
+    assert [r["hilbert"] for r in sorted(got, key=lambda r: r["doc_id"])] == index.tolist()
+    order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["hilbert"] for r in order] == sorted(index.tolist())
+    assert [r["shard"] for r in order] == [k * 8 // 2000 for k in range(2000)]
+    held = {}
+    for r in got:
+        held.setdefault(r["shard"], set()).add(r["source"])
+    assert max(len(v) for v in held.values()) <= 12  # of 20: readers of one source leave out shards
