@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..product import Product
-from ..session import materialize
+from ..session import materialize, ship
 
 
 FLOOR = 1e-4  # of a posterior in the sums of a mixture
@@ -148,17 +149,79 @@ def unmix(p: Product, bands: list[str], endmembers: np.ndarray, sum_to_one: bool
     return p.select(*out)
 
 
+FACES = 6  # members up to which every face of the simplex is a Column
+
+
+def simplex_fit(v: np.ndarray, e: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """For each row of v (rows, bands) the weights of e (members, bands), not negative and summing to one, with the least squared error.
+
+    An active-set search: from the nearest member on, the best point of the face in
+    use is gone to as far as weights stay positive, members that fall to 0 leave the
+    face, and the one by which the error falls fastest joins it, until none does. Rows
+    that use the same face are solved together.
+    """
+    n, m = len(v), len(e)
+    gram, cross = e @ e.T, v @ e.T
+    a, used = np.zeros((n, m)), np.zeros((n, m), bool)
+    first = (np.diag(gram)[None, :] - 2 * cross).argmin(axis=1)
+    a[np.arange(n), first] = 1
+    used[np.arange(n), first] = True
+    open_ = np.ones(n, bool)
+    scale = max(float(np.abs(gram).max(initial=0)), float(np.abs(cross).max(initial=0)), 1e-300)
+    for _ in range(rounds * m):
+        at = np.flatnonzero(open_)
+        if not len(at):
+            break
+        faces, which = np.unique(used[at], axis=0, return_inverse=True)
+        for k, face in enumerate(faces):
+            rows, members = at[which.ravel() == k], np.flatnonzero(face)
+            size = len(members)
+            system = np.zeros((size + 1, size + 1))
+            system[:size, :size], system[:size, size], system[size, :size] = gram[np.ix_(members, members)], 1, 1
+            z = np.linalg.lstsq(system, np.concatenate([cross[np.ix_(rows, members)].T, np.ones((1, len(rows)))]), rcond=None)[0][:size].T
+            now = a[np.ix_(rows, members)]
+            low = z <= 1e-13
+            step = np.where(low, now / np.where(low, np.maximum(now - z, 1e-300), 1), np.inf).min(axis=1)
+            short = step < 1
+            moved = np.where(short[:, None], now + np.minimum(step, 1)[:, None] * (z - now), z)
+            moved[low & (moved <= 1e-13)] = 0
+            a[np.ix_(rows, members)] = moved
+            used[np.ix_(rows, members)] &= ~(short[:, None] & low & (moved == 0))
+            whole = rows[~short]
+            slope = a[whole] @ gram - cross[whole]
+            level = (slope * a[whole]).sum(axis=1)  # that of the face's members
+            gain = np.where(used[whole], 0, slope - level[:, None])
+            best = gain.argmin(axis=1)
+            better = gain[np.arange(len(whole)), best] < -1e-11 * scale
+            used[whole[better], best[better]] = True
+            open_[whole[~better]] = False
+    return a
+
+
 def unmix_fully(p: Product, bands: list[str], endmembers: np.ndarray) -> Product:
     """Least squares abundances that are not negative and sum to one; missing where a band is.
 
     The best point of the simplex is that of one of its faces: for each set of
-    members the constrained solution is a fixed linear map, so all 2^m - 1 of
-    them are Columns, and the feasible one with the least error is taken. Meant
-    for few members (at most 6).
+    members the constrained solution is a fixed linear map, so up to FACES members
+    all 2^m - 1 of them are Columns, and the feasible one with the least error is
+    taken. For more members the same point is looked for face by face
+    (simplex_fit(), in Arrow batches).
     """
     e = np.asarray(endmembers, float)
-    if len(e) > 6:
-        raise ValueError("at most 6 members")
+    if len(e) > FACES:
+        names = [f"abundance{k}" for k in range(len(e))]
+
+        def run(batches):
+            for pdf in batches:
+                a = np.full((len(pdf), len(e)), np.nan)
+                v = pdf[bands].to_numpy(float)
+                there = ~np.isnan(v).any(axis=1)
+                a[there] = simplex_fit(v[there], e)
+                yield pd.DataFrame({"y": pdf["y"], "x": pdf["x"]} | dict(zip(names, a.T, strict=True)))
+
+        ship(p.pixels.sparkSession)
+        found = p.pixels.select("y", "x", *[F.col(b).cast("double").alias(b) for b in bands]).mapInPandas(run, "y long, x long, " + ", ".join(f"{n} double" for n in names))
+        return p.with_pixels(found.select("y", "x", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names]))
     options = []
     for face in range(1, 1 << len(e)):
         members = [k for k in range(len(e)) if face >> k & 1]

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rasterlake.functions import remote_sensing
-from rasterlake.operators import crs, joins, radiometry
+from rasterlake.operators import clusters, crs, joins, radiometry
+from rasterlake.product import product
 from rasterlake.sources import stores
 from test_operators import back
 
@@ -103,3 +104,22 @@ def test_noise_by_record(spark):
     df = spark.createDataFrame([(-5.0, 3.0), (5.0, 3.0), (10.0, 3.0), (15.0, 2.0), (30.0, 3.0), (None, 1.0)], "t double, s double")
     got = [r[0] for r in df.select(radiometry.noise_by_record(records, F.col("t"), F.col("s"))).collect()]
     assert got == [1.0, pytest.approx(1.0 + (4.0 - 1.0) / 2), 4.0, pytest.approx((3.0 + 6.0) / 2), 12.0, None]
+
+
+def test_unmixing_with_many_members(spark):
+    rng = np.random.default_rng(3)
+    e = rng.uniform(0, 1, (9, 6))
+    v = rng.uniform(-0.3, 1.3, (400, 6))
+    v[:9], v[9] = e, e.mean(axis=0)
+    a = clusters.simplex_fit(v, e)
+    assert np.allclose(a.sum(axis=1), 1) and a.min() >= 0 and np.allclose(((a @ e)[:10] - v[:10]), 0, atol=1e-6)
+    slope = (a @ e - v) @ e.T  # at the best point no member's slope is under that of those in use
+    level = (slope * a).sum(axis=1)
+    assert (slope - level[:, None]).min() > -1e-8 and np.abs((slope - level[:, None])[a > 1e-9]).max() < 1e-7
+    rows = [(0, k, *map(float, r)) for k, r in enumerate(v[:60])] + [(1, 0, None, *[0.5] * 5)]
+    bands = [f"b{k}" for k in range(6)]
+    p = product(spark.createDataFrame(rows, "y long, x long, " + ", ".join(f"{b} double" for b in bands)))
+    got = clusters.unmix_fully(p, bands, e).pixels.orderBy("y", "x").collect()
+    assert np.allclose([[r[f"abundance{k}"] for k in range(9)] for r in got[:60]], a[:60]) and got[60]["abundance0"] is None
+    few = clusters.unmix_fully(p, bands, e[:4]).pixels.where("y = 0").orderBy("x").collect()
+    assert np.allclose([[r[f"abundance{k}"] for k in range(4)] for r in few], clusters.simplex_fit(v[:60], e[:4]), atol=1e-6)
