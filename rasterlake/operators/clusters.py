@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..graph import components as connected
 from ..product import Product
 from ..session import materialize, ship
 
@@ -245,7 +246,7 @@ def unmix_fully(p: Product, bands: list[str], endmembers: np.ndarray) -> Product
 
 
 def components(p: Product, mask: Column) -> DataFrame:
-    """y, x and label (the least y * width + x of its component) of the pixels of a mask, eight neighbours. Runs along lines are joined first, so rounds follow the number of lines of a shape, not its pixels."""
+    """y, x and label (the least y * width + x of its component) of the pixels of a mask, eight neighbours. Runs along lines are joined first; links between runs become components by stars, whose rounds follow the logarithm of a shape's length."""
     rows = p.pixels.where(mask).select("y", "x")
     by = Window.partitionBy("y").orderBy("x")
     rows = rows.withColumn("g", F.col("x") - F.row_number().over(by))
@@ -256,17 +257,9 @@ def components(p: Product, mask: Column) -> DataFrame:
     up = cut(runs, "a", "b")
     down = up.select((F.col("y") + 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("id2"), "bucket")
     edges = up.join(down, ["y", "bucket"]).where((F.col("a2") <= F.col("b") + 1) & (F.col("b2") >= F.col("a") - 1)).select("id", "id2").distinct()
-    edges = materialize(edges.unionAll(edges.select(F.col("id2"), F.col("id"))).toDF("u", "v"), "component-edges")
-    labels = runs.select(F.col("id").alias("u"), F.col("id").alias("label"))
-    while True:
-        reach = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("n"))
-        labels = labels.join(reach, "u", "left").select("u", F.least("label", F.coalesce("n", "label")).alias("label"), F.coalesce(F.col("n") < F.col("label"), F.lit(False)).alias("moved"))
-        jump = labels.select(F.col("u").alias("w"), F.col("label").alias("further"))
-        labels = labels.join(jump, F.col("label") == F.col("w")).select("u", F.col("further").alias("label"), F.col("moved") | (F.col("further") < F.col("label")))
-        labels = materialize(labels.toDF("u", "label", "moved"), "component-labels")
-        if not labels.where("moved").limit(1).count():
-            break
-    return rows.join(runs.select("y", "g", "id"), ["y", "g"]).join(labels, F.col("id") == F.col("u")).select("y", "x", "label")
+    roots = connected(edges.select(F.col("id").alias("a"), F.col("id2").alias("b")))
+    labels = runs.join(roots, F.col("id") == F.col("rid"), "left").select("y", "g", F.coalesce("root", "id").alias("label"))
+    return rows.join(labels, ["y", "g"]).select("y", "x", "label")
 
 
 def objects(p: Product, mask: Column, value: str, least: float, most: float) -> DataFrame:
