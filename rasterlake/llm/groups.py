@@ -1,4 +1,4 @@
-"""Groups of rows inside tasks, and components of links across them."""
+"""Groups of rows inside tasks."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialize
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,20 +23,3 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], work: Callab
         held = batch.slice(int(edges[-1]))
     if held is not None:
         yield work(held, np.array([0, held.num_rows]))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """rid and root (the least rid of its component) for edges (a, b), by alternating large and small stars; every round writes its edges to the shared folder."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "links")
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = materialize(small, "links")
-        same = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if same(new) == same(edges):
-            return new.select(F.col("a").alias("rid"), F.col("b").alias("root"))
-        edges = new

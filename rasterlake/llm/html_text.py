@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import ALNUM, Words, ship, slices, text_bytes
 
 # Elements that do not end a block, that have no content, and whose content is no text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img br svg path".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img br svg path".split()) | frozenset("math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup munder mover munderover mfenced menclose mpadded mphantom mspace mstyle merror mtable mtr mtd mmultiscripts mprescripts annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe noembed noframes object svg math".split())
+RAW = frozenset("script style template iframe noembed noframes svg annotation annotation-xml".split())
 CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select", "datalist"), "p": ()}
 ALIKE = {"dt": ("dd",), "dd": ("dt",), "td": ("th",), "th": ("td",)}
 
@@ -204,7 +204,7 @@ class Inputs:
         x[:, 6] = words.count < 6
         x[:, 7] = words.count > 25
         x[:, 8] = np.fromiter(("©" in t or "|" in t or "·" in t for t in text), bool, n)
-        x[:, 9] = np.fromiter((any(c.isdigit() for c in t[:40]) for t in text), bool, n)
+        x[:, 9] = np.fromiter((any(c.isdigit() for c in t) for t in text), bool, n)
 
     def entries(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in slot and weight of the given blocks, one block after the other, and where each begins."""

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph import components
 from .common import ALNUM, Words, grams, materialize, mix, ship, slices, text_bytes
-from .groups import components, whole_groups
+from .groups import whole_groups
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SMALL = 128  # sets of a bucket that is compared as it is; larger ones are split

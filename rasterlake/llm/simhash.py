@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph import components
 from .common import materialize, ship, slices, text_bytes
-from .groups import components, whole_groups
+from .groups import whole_groups
 
 SHINGLE, DISTANCE, HASH_SEED = 4, 4, 42
 BLOCK = 8192  # rows of a cell that meet in one task

@@ -110,3 +110,8 @@ def test_odd_rows(spark):
     assert len(got) == 5 and got[0]["main_text"] == got[1]["main_text"] == "" and got[0].asDict().keys() == {"page_id", "url", "main_text", "n_chars"}
     assert next(r for r in got if r["page_id"] is None)["main_text"] == "Some words of a text, and more of them here."
     assert h.extract(pages.limit(0)).collect() == []
+
+
+def test_formulas_and_objects():
+    page = "<main><p>The law says <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding='tex'>E=mc^2</annotation></semantics></math> holds.</p><object data='x.swf'><p>Shown if the object can't be.</p></object></main>"
+    assert h.blocks(page).text == ["The law says E=mc2 holds.", "Shown if the object can't be."]
