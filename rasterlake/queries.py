@@ -963,7 +963,7 @@ def lambert_projection(spark, sf_dir):
     return _places(spark, sf_dir).where("lat > -20").select("c_custkey", F.round(e, 2).alias("e"), F.round(n, 2).alias("n"))
 
 
-@query("""with {PX}, t as (select y, x, (50 - (y + 0.5) * 0.01 * 1.3) as lat, 20000 + (x + 0.5) * 1447.0 as e from px), u as (select y, x, lat, 10 + degrees(e / (6378137.0 * cos(radians(lat)))) as lon from t),
+@query("""with {PX}, t as (select y, x, (50 - (y + 0.5) * 0.01 * 1.3) as lat, 20000 + (x + 0.5) * radians(0.013) * 6378137.0 as e from px), u as (select y, x, lat, 10 + degrees(e / (6378137.0 * cos(radians(lat)))) as lon from t),
 s as (select y, x, cast(floor((50 - lat) / 0.01) as bigint) as sy, cast(floor((lon - 10.2) / 0.02) as bigint) as sx from u) select s.y, s.x, p.v from s join px p on p.y = sy and p.x = sx""")
 def reproject_sinusoidal(spark, sf_dir):
     """A latitude-longitude grid on a sinusoidal map, by the projection's inverse."""
@@ -971,8 +971,7 @@ def reproject_sinusoidal(spark, sf_dir):
 
     p = embeddings(spark, sf_dir).select("v")
     metre = math.radians(0.013) * geometry.A
-    inverse = lambda e, n: geometry.sinusoidal_inverse(20000 + (F.col("x") + 0.5) * 1447.0 + 0 * e, n, 10.0)
-    q = geometry.reproject(p, "v", (50.0, 10.2), (0.01, 0.02), inverse, p.pixels.select("y", "x"), p.height, p.width, (0.0, math.radians(50.0) * geometry.A), metre, "nearest")
+    q = geometry.reproject(p, "v", (50.0, 10.2), (0.01, 0.02), lambda e, n: geometry.sinusoidal_inverse(e, n, 10.0), p.pixels.select("y", "x"), p.height, p.width, (20000.0, math.radians(50.0) * geometry.A), metre, "nearest")
     return q.pixels
 
 

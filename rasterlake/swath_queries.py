@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import mosaic_stream as mosaic_stream_
-from .operators import elevation, gradient_mosaic, neighbourhood, swath, tie_points, topsar, vectors
+from .operators import elevation, gradient_mosaic, joins, neighbourhood, products, swath, tie_points, topsar, vectors
+from .functions import remote_sensing
 from .product import Product, embeddings
-from .queries import query, r6
+from .queries import SQL, query, r6
 from .session import shared_dir
 from .sources import dimap, raster_files
 
@@ -205,3 +206,31 @@ def mosaic_stream(spark, sf_dir):
     mosaic_stream_.start(stream, f"{folder}/mosaic", f"{folder}/checkpoint", once=True, **options).awaitTermination()
     mosaic_stream_.merge_batch(rows, 0, f"{folder}/mosaic", **options)
     return mosaic_stream_.current(spark, f"{folder}/mosaic").select("y", "x", r6("v"), "n")
+
+
+@query("with {PX} select y - 30 as y, x - 11 as x, v from px where y between 30 and 89 and x between 11 and 40")
+def product_subset_region(spark, sf_dir):
+    """A product's part inside a polygon of longitudes and latitudes, with the band asked for alone."""
+    p = embeddings(spark, sf_dir)
+    p = p.with_bands(lat=50 - (F.col("y") + 0.5) * 0.01, lon=10 + (F.col("x") + 0.5) * 0.02)
+    west, east, north, south = 10 + 11 * 0.02, 10 + 41 * 0.02, 50 - 30 * 0.01, 50 - 90 * 0.01
+    q, _ = products.product_subset(p, region=f"POLYGON(({west} {south}, {east} {south}, {east} {north}, {west} {north}, {west} {south}))", bands=["v"])
+    return q.pixels.select("y", "x", "v")
+
+
+@query("select c_custkey, round(7000000 + 100 * t - 0.003 * t * t + 0.000001 * t * t * t, 3) as px, round(-50 + 0.25 * t, 6) + 0.0 as vx from (select c_custkey, 40 + c_custkey % 900 * cast(0.97 as double) as t from customer)")
+def orbit_nearest_states(spark, sf_dir):
+    """Positions and velocities between state vectors ten seconds apart, by the polynomial through the nearest eight; cubic ones come back exactly."""
+    t = F.col("id") * 10.0
+    states = spark.range(95).select(t.alias("t"), (7000000 + 100 * t - 0.003 * t * t + 0.000001 * t * t * t).alias("px"), (-50 + 0.25 * t).alias("vx"))
+    samples = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (40 + F.col("c_custkey") % 900 * 0.97).alias("t"))
+    return joins.orbit_at(samples, states, "t", ["px", "vx"]).select("c_custkey", F.round("px_at", 3).alias("px"), F.round("vx_at", 6).alias("vx"))
+
+
+@query("select y, x, v from (" + SQL["lookup_tables"] + ")")
+def lookup_joined(spark, sf_dir):
+    """The table of lookup_tables, as rows that are joined."""
+    p = embeddings(spark, sf_dir)
+    table = spark.range(9).select(F.expr("id div 3").alias("a"), (F.col("id") % 3).alias("b"), (10 * F.expr("id div 3") + (F.col("id") % 3) * (F.col("id") % 3)).alias("s"))
+    out = remote_sensing.lookup_joined(p.pixels, table, {"a": [-2, 0, 2], "b": [0, 1, 4]}, "s", {"a": F.col("v"), "b": F.col("label").cast("double")}, "found")
+    return out.select("y", "x", F.round("found", 9).alias("v"))
