@@ -23,6 +23,7 @@ from ..product import Product
 from ..session import materialize, ship
 
 TILE, MARGIN = 256, 64
+GUESS = 3  # rounds on a coarse grid, whose result is only where the finer one begins
 
 
 def relax(e: np.ndarray, free: np.ndarray, threshold: float, sweeps: int = 20_000) -> np.ndarray:
@@ -72,14 +73,14 @@ def _round(cells: DataFrame, threshold: float, tile: int, margin: int) -> DataFr
 
 
 def laplace(cells: DataFrame, height: int, width: int, threshold: float, rounds: int, tile: int = TILE, margin: int = MARGIN) -> DataFrame:
-    """cells (y, x, e, free; the four neighbours of a free one are there too) with e of the free ones at the mean of its neighbours, to the threshold or the given rounds on each grid; what e of free cells was before is not used."""
+    """cells (y, x, e, free; the four neighbours of a free one are there too) with e of the free ones at the mean of its neighbours, to the threshold or the given rounds (on coarse grids GUESS at most); what e of free cells was before is not used."""
     ship(cells.sparkSession)
     if max(height, width) > tile:
         group = cells.groupBy(F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x"))
         coarse = group.agg(F.avg(F.when(~F.col("free"), F.col("e"))).alias("e"), (F.min("free") & (F.count("*") == 4)).alias("free"))
         coarse = coarse.select("y", "x", F.coalesce("e", F.lit(0.0)).alias("e"), "free")
         # A coarse cell on the border of the free ones may lack neighbours: it is held.
-        coarse = laplace(materialize(_held(coarse), "coarse-cells"), -(-height // 2), -(-width // 2), threshold, rounds, tile, margin)
+        coarse = laplace(materialize(_held(coarse), "coarse-cells"), -(-height // 2), -(-width // 2), threshold, min(rounds, GUESS), tile, margin)
         guess = coarse.select(F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("e").alias("guess"))
         cells = cells.join(guess, (F.floor(F.col("y") / 2) == F.col("cy")) & (F.floor(F.col("x") / 2) == F.col("cx")), "left").select("y", "x", F.when(F.col("free"), F.coalesce("guess", F.lit(0.0))).otherwise(F.col("e")).alias("e"), "free")
     else:

@@ -255,23 +255,23 @@ def backscatter(speed: Column, direction_deg: Column, incidence_deg: Column) ->
     """Backscatter of a sea surface by the C-band model: wind speed, its direction against the look, incidence. After Hersbach, Stoffelen and de Haan (2007), An improved C-band scatterometer ocean geophysical model function: CMOD5."""
     c = CMOD5
     v = speed if isinstance(speed, Column) else F.lit(float(speed))
-    x = (incidence_deg - 40) / 25
-    xx = x * x
-    a0, a1, a2 = c[1] + c[2] * x + c[3] * xx + c[4] * x * xx, c[5] + c[6] * x, c[7] + c[8] * x
-    gam, s1 = c[9] + c[10] * x + c[11] * xx, c[12] + c[13] * x
-    s = a2 * v
-    low = F.least(s, s1)
-    logistic = 1 / (1 + F.exp(-F.greatest(s, s1)))
-    logistic = F.when(s < s1, F.pow(F.when(s1 != 0, low / F.when(s1 != 0, s1)).otherwise(1.0), s1 * (1 - 1 / (1 + F.exp(-s1)))) * (1 / (1 + F.exp(-s1)))).otherwise(logistic)
-    b0 = F.pow(logistic, gam) * F.pow(F.lit(10.0), a0 + a1 * v)
-    b1 = (c[14] * (1 + x) - c[15] * v * (0.5 + x - _tanh(4 * (x + c[16] + c[17] * v)))) / (1 + F.exp(0.34 * (v - c[18])))
-    v0, d1, d2 = c[21] + c[22] * x + c[23] * xx, c[24] + c[25] * x + c[26] * xx, c[27] + c[28] * x
-    v2 = v / v0 + 1
-    a, b = c[19] - (c[19] - 1) / c[20], 1 / (c[20] * (c[19] - 1) ** (c[20] - 1))
-    v2 = F.when(v2 < c[19], a + b * F.pow(F.when(v2 > 1, v2 - 1).otherwise(0.0), F.lit(c[20]))).otherwise(v2)
-    b2 = (-d1 + d2 * v2) * F.exp(-v2)
+    tilt = (incidence_deg - 40) / 25
+    tilt2 = tilt * tilt
+    level, growth, bend = c[1] + c[2] * tilt + c[3] * tilt2 + c[4] * tilt * tilt2, c[5] + c[6] * tilt, c[7] + c[8] * tilt
+    sharpness, knee = c[9] + c[10] * tilt + c[11] * tilt2, c[12] + c[13] * tilt
+    scaled = bend * v
+    at_knee = 1 / (1 + F.exp(-knee))
+    weak = F.pow(F.when(knee != 0, F.least(scaled, knee) / F.when(knee != 0, knee)).otherwise(1.0), knee * (1 - at_knee)) * at_knee
+    saturation = F.when(scaled < knee, weak).otherwise(1 / (1 + F.exp(-F.greatest(scaled, knee))))
+    mean = F.pow(saturation, sharpness) * F.pow(F.lit(10.0), level + growth * v)
+    upwind = (c[14] * (1 + tilt) - c[15] * v * (0.5 + tilt - _tanh(4 * (tilt + c[16] + c[17] * v)))) / (1 + F.exp(0.34 * (v - c[18])))
+    unit, fall, rise = c[21] + c[22] * tilt + c[23] * tilt2, c[24] + c[25] * tilt + c[26] * tilt2, c[27] + c[28] * tilt
+    relative = v / unit + 1
+    start, slope = c[19] - (c[19] - 1) / c[20], 1 / (c[20] * (c[19] - 1) ** (c[20] - 1))
+    relative = F.when(relative < c[19], start + slope * F.pow(F.when(relative > 1, relative - 1).otherwise(0.0), F.lit(c[20]))).otherwise(relative)
+    crosswind = (-fall + rise * relative) * F.exp(-relative)
     turn = F.radians(direction_deg)
-    return b0 * F.pow(1 + b1 * F.cos(turn) + b2 * F.cos(2 * turn), F.lit(1.6))
+    return mean * F.pow(1 + upwind * F.cos(turn) + crosswind * F.cos(2 * turn), F.lit(1.6))
 
 
 def _tanh(x: Column) -> Column:
