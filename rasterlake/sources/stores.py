@@ -165,8 +165,8 @@ def read_elevation_tile(spark: SparkSession, path: str, height: int, width: int,
 
 
 def image_rows(p: Product, red: str, green: str, blue: str, low: float, high: float) -> DataFrame:
-    """One row a line: y and rgb bytes, scaled from [low, high]; an image file is these in order."""
-    byte = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col(c) - low) / (high - low) * 256))).cast("int")
+    """One row a line: y and rgb bytes, scaled from [low, high]; missing samples are 0. images.write_png() makes a file."""
+    byte = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col(c) - low) / (high - low) * 256)))).otherwise(0).cast("int")
     code = F.array(byte(red), byte(green), byte(blue))
     line = F.array_sort(F.collect_list(F.struct("x", code.alias("c"))))
     return p.pixels.groupBy("y").agg(F.flatten(F.transform(line, lambda s: s["c"])).alias("rgb"))
