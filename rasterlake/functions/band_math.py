@@ -72,12 +72,18 @@ def sqr(a) -> Column:
 
 def minimum(a, b) -> Column:
     a, b = _d(a), _d(b)
-    return F.when(F.isnan(a) | F.isnan(b), F.lit(NAN)).otherwise(F.least(a, b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(F.isnan(a) | F.isnan(b), F.lit(NAN)).otherwise(F.least(a, b))
 
 
 def maximum(a, b) -> Column:
     a, b = _d(a), _d(b)
-    return F.when(F.isnan(a) | F.isnan(b), F.lit(NAN)).otherwise(F.greatest(a, b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(F.isnan(a) | F.isnan(b), F.lit(NAN)).otherwise(F.greatest(a, b))
+
+
+def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:
+    """c within limits; missing where it is, which greatest() and least() alone would make a limit."""
+    out = c if high is None else F.least(F.lit(high), c)
+    return F.when(c.isNotNull(), out if low is None else F.greatest(F.lit(low), out))
 
 
 def round_half_up(a) -> Column:

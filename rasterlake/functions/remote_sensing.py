@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .band_math import clip
+
 # Gravity, weight of air, the constant of visibility, and the radius used by the view correction.
 GRAVITY, AIR, KOSCHMIEDER, RADIUS = 9.80665, 1.26895, 3.92 * 2, 6370997.0
 
@@ -37,16 +39,16 @@ def view_corrected(lat: Column, lon: Column, height: Column, view_zenith: Column
 
 
 def quantise(value: Column, low: float, high: float, levels: int = 256) -> Column:
-    """Level of equal steps from low to high; what lies outside gets the end's level."""
-    return F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.floor((value - low) / (high - low) * levels))).cast("int")
+    """Level of equal steps from low to high; what lies outside gets the end's level, what is missing none."""
+    return clip(F.floor((value - low) / (high - low) * levels), 0, levels - 1).cast("int")
 
 
 def _cell(axis: list[float], at: Column) -> tuple[Column, Column]:
     """Index of the axis' cell that holds `at` (from 0, ends clipped), and the share of the cell before it."""
     last = len(axis) - 2
     knots = F.array(*[F.lit(float(a)) for a in axis])
-    v = F.greatest(F.lit(float(axis[0])), F.least(F.lit(float(axis[-1])), at))
-    i = F.least(F.lit(last), F.greatest(F.lit(0), F.size(F.filter(knots, lambda a: a <= v)) - 1))
+    v = clip(at.cast("double"), float(axis[0]), float(axis[-1]))
+    i = F.when(v.isNotNull(), F.least(F.lit(last), F.greatest(F.lit(0), F.size(F.filter(knots, lambda a: a <= v)) - 1)))
     low, high = F.get(knots, i), F.get(knots, i + 1)
     return i, (v - low) / (high - low)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.band_math import clip
 from ..product import Product
 from ..session import ship
 from .joins import resample
@@ -39,7 +40,7 @@ def ecef_to_geodetic(x: Column, y: Column, z: Column) -> tuple[Column, Column, C
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371008.8) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     s, t = F.sin((b - a) / 2), F.sin(F.radians(lon2 - lon1) / 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(s * s + F.cos(a) * F.cos(b) * t * t)))
+    return 2 * radius * F.asin(clip(F.sqrt(s * s + F.cos(a) * F.cos(b) * t * t), high=1.0))
 
 
 def geodesic(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 40) -> DataFrame:
@@ -199,7 +200,7 @@ def albers_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float =
     down = radius * math.sqrt(k - 2 * n * math.sin(c)) / n - y
     r = F.sqrt(x * x + down * down)
     sine = (k - F.pow(r * n / radius, F.lit(2))) / (2 * n)
-    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sine)))), lon0 + F.degrees(F.atan2(x, down)) / n
+    return F.degrees(F.asin(clip(sine, -1.0, 1.0))), lon0 + F.degrees(F.atan2(x, down)) / n
 
 
 def lambert_conformal_inverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float = 0.0, lon0: float = 0.0, radius: float = A) -> tuple[Column, Column]:
@@ -218,7 +219,7 @@ def stereographic_inverse(x: Column, y: Column, lat0: float = 90.0, lon0: float
     c = 2 * F.atan(r / (2 * radius))
     sine = F.cos(c) * math.sin(c0) + F.when(r > 0, y * F.sin(c) * math.cos(c0) / F.when(r > 0, r)).otherwise(0.0)
     lon = F.atan2(x * F.sin(c), r * math.cos(c0) * F.cos(c) - y * math.sin(c0) * F.sin(c))
-    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sine)))), lon0 + F.degrees(F.when(r > 0, lon).otherwise(0.0))
+    return F.degrees(F.asin(clip(sine, -1.0, 1.0))), lon0 + F.degrees(F.when(r > 0, lon).otherwise(0.0))
 
 
 def mollweide(lat: Column, lon: Column, lon0: float = 0.0, radius: float = A, steps: int = 12) -> tuple[Column, Column]:
@@ -226,7 +227,7 @@ def mollweide(lat: Column, lon: Column, lon0: float = 0.0, radius: float = A, st
     p = F.radians(lat)
     goal = math.pi * F.sin(p)
     # 2t + sin 2t = goal; near a pole the root behaves like a cube root
-    start = F.signum(p) * (math.pi / 2 - F.pow(0.75 * F.greatest(F.lit(0.0), math.pi - F.abs(goal)), F.lit(1 / 3)))
+    start = F.signum(p) * (math.pi / 2 - F.pow(0.75 * clip(math.pi - F.abs(goal), 0.0), F.lit(1 / 3)))
 
     def step(t: Column, _: Column) -> Column:
         slope = 2 + 2 * F.cos(2 * t)
@@ -237,8 +238,8 @@ def mollweide(lat: Column, lon: Column, lon0: float = 0.0, radius: float = A, st
 
 
 def mollweide_inverse(x: Column, y: Column, lon0: float = 0.0, radius: float = A) -> tuple[Column, Column]:
-    t = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y / (radius * math.sqrt(2)))))
-    lat = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (2 * t + F.sin(2 * t)) / math.pi)))
+    t = F.asin(clip(y / (radius * math.sqrt(2)), -1.0, 1.0))
+    lat = F.asin(clip((2 * t + F.sin(2 * t)) / math.pi, -1.0, 1.0))
     return F.degrees(lat), lon0 + F.degrees(math.pi * x / (2 * radius * math.sqrt(2) * F.cos(t)))
 
 
@@ -276,7 +277,7 @@ def simulate(p: Product, elevation: str, spacing: float, look_deg: float) -> Pro
     past = along.rowsBetween(Window.unboundedPreceding, -1)
     z, x = F.col(elevation).cast("double"), F.col("x") * spacing
     slope = F.atan((z - F.coalesce(F.lag(z).over(along), z)) / spacing)
-    local = F.greatest(F.lit(look) - slope, F.lit(0.0))
+    local = clip(F.lit(look) - slope, 0.0)
     power = 0.0118 * F.cos(local) / F.pow(F.sin(local) + 0.111 * F.cos(local), 3)
     slant, reach = x * math.sin(look) - z * math.cos(look), x * math.cos(look) / math.sin(look) + z
     layover = F.coalesce(slant <= F.max(slant).over(past), F.lit(False))

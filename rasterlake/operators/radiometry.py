@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.band_math import clip
+
 FLOOR = 1e-30
 
 
@@ -84,7 +86,7 @@ def beta0(sigma0: Column, incidence_deg: Column) -> Column:
 
 
 def to_db(sigma0: Column) -> Column:
-    return 10 * F.log10(F.greatest(sigma0, F.lit(FLOOR)))
+    return 10 * F.log10(clip(sigma0, FLOOR))
 
 
 def remove_antenna_pattern(power: Column, gain: Column, spread: Column) -> Column:

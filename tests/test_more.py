@@ -123,3 +123,17 @@ def test_unmixing_with_many_members(spark):
     assert np.allclose([[r[f"abundance{k}"] for k in range(9)] for r in got[:60]], a[:60]) and got[60]["abundance0"] is None
     few = clusters.unmix_fully(p, bands, e[:4]).pixels.where("y = 0").orderBy("x").collect()
     assert np.allclose([[r[f"abundance{k}"] for k in range(4)] for r in few], clusters.simplex_fit(v[:60], e[:4]), atol=1e-6)
+
+
+def test_missing_stays_missing(spark):
+    """Limits don't turn a missing value into one of them."""
+    from rasterlake.functions import band_math as m
+    from rasterlake.operators import geometry
+
+    c = F.col("a")
+    df = spark.createDataFrame([(None, 1.0)], "a double, b double")
+    cells = [m.minimum(c, F.col("b")), m.maximum(F.col("b"), c), m.clip(c, 0.0, 1.0), radiometry.to_db(c), remote_sensing.quantise(c, 0.0, 1.0), remote_sensing.lookup([[0, 1]], [5, 6], c)]
+    cells += [geometry.great_circle(c, F.col("b"), F.col("b"), F.col("b")), *geometry.albers_inverse(c, c, 30.0, 60.0), *geometry.stereographic_inverse(c, c, 50.0, 10.0)[:1], *geometry.mollweide_inverse(c, c), m.div(c, F.lit(0.0)), m.mod(c, F.lit(0.0)), m.int_div(c, F.lit(2))]
+    assert list(df.select(*[v.alias(f"c{k}") for k, v in enumerate(cells)]).first()) == [None] * len(cells)
+    assert df.select(m.clip(F.col("b") * 5, 0.0, 2.0)).first()[0] == 2.0
+    assert spark.createDataFrame([(-2147483648, -1, 7)], "i int, j int, k int").select(m.int_div(F.col("i"), F.col("j")), m.int_div(F.col("k"), F.col("j"))).first()[:] == (-2147483648, -7)
