@@ -194,9 +194,7 @@ def write_dimap(p: Product, path: str, types: dict[str, str] | None = None, tie_
     root = ET.Element("Dimap_Document", {"name": posixpath.basename(path)})
     format_ = _child(root, "Metadata_Id")
     _child(format_, "METADATA_FORMAT", "DIMAP", version="2.12.1")
-    _child(format_, "METADATA_PROFILE", "BEAM-DATAMODEL-V1")
     dataset = _child(root, "Dataset_Id")
-    _child(dataset, "DATASET_SERIES", "BEAM-PRODUCT")
     _child(dataset, "DATASET_NAME", title)
     if p.meta.get("description"):
         _child(dataset, "DATASET_DESCRIPTION", p.meta["description"])

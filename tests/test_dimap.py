@@ -10,7 +10,7 @@ from test_operators import back, raster
 
 HEADER = """<?xml version="1.0" encoding="ISO-8859-1"?>
 <Dimap_Document name="made.dim">
-  <Dataset_Id><DATASET_SERIES>BEAM-PRODUCT</DATASET_SERIES><DATASET_NAME>made</DATASET_NAME></Dataset_Id>
+  <Dataset_Id><DATASET_NAME>made</DATASET_NAME></Dataset_Id>
   <Production><PRODUCT_TYPE>T1</PRODUCT_TYPE><PRODUCT_SCENE_RASTER_START_TIME>01-FEB-2008 09:26:09.416160</PRODUCT_SCENE_RASTER_START_TIME></Production>
   <Geoposition><Geoposition_Points><TIE_POINT_GRID_NAME_LAT>latitude</TIE_POINT_GRID_NAME_LAT><TIE_POINT_GRID_NAME_LON>longitude</TIE_POINT_GRID_NAME_LON></Geoposition_Points></Geoposition>
   <Flag_Coding name="flags"><Flag><Flag_Name>LAND</Flag_Name><Flag_Index>8</Flag_Index><Flag_description>x</Flag_description></Flag></Flag_Coding>
