@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,22 @@ import pyarrow.compute as pc
 from ..session import materialize, shared_dir, ship  # noqa: F401
 
 
+def trimmed(run: Callable) -> Callable:
+    """run for a task's batches, after which what it freed goes back to the system: a worker lives on and serves other stages, and its executor counts all that it holds."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # a C library without it
+                pass
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser on uint64."""
     x = x.astype(np.uint64, copy=True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import components
-from .common import ALNUM, Words, grams, materialize, mix, ship, slices, text_bytes
+from .common import ALNUM, Words, grams, materialize, mix, ship, slices, text_bytes, trimmed
 from .groups import whole_groups
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -234,7 +234,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     runs = runs_for(recall, threshold)
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = materialize(texts.mapInArrow(_scan(runs), f"doc_id {kind}, th long, n long, s1 long, s2 long, paths array<array<int>>, sketch binary").withColumn("s1", F.when(F.col("n") == 0, F.col("th")).otherwise(F.col("s1"))), "shingle-paths")
+    rows = materialize(texts.mapInArrow(trimmed(_scan(runs)), f"doc_id {kind}, th long, n long, s1 long, s2 long, paths array<array<int>>, sketch binary").withColumn("s1", F.when(F.col("n") == 0, F.col("th")).otherwise(F.col("s1"))), "shingle-paths")
     name = ["n", "s1", "s2"]
     reps = rows.groupBy(*name).agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("n_copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     reps = materialize(reps.select(F.monotonically_increasing_id().alias("rid"), *name, "rep", "n_copies", "paths", "sketch"), "distinct-sets")
@@ -270,9 +270,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     # The sets of what is left, from the texts.
     wanted = met.select("rid").distinct().join(reps.select("rid", "rep"), "rid").select("rid", F.col("rep.doc_id").alias("k"), F.col("rep.th").alias("kh"))
     wanted = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["k"]) & (texts["th"] == wanted["kh"])).select("rid", "text")
-    sets = materialize(wanted.mapInArrow(_set_rows, "rid long, n long, elements binary").dropDuplicates(["rid"]), "candidate-sets")
+    sets = materialize(wanted.mapInArrow(trimmed(_set_rows), "rid long, n long, elements binary").dropDuplicates(["rid"]), "candidate-sets")
     mine = met.groupBy("rid").agg(F.array_sort(F.collect_set("path")).alias("leaves"))
-    found = in_order(met.join(mine.join(sets, "rid"), "rid")).mapInArrow(_compare(threshold), "rid long, links long, root long")
+    found = in_order(met.join(mine.join(sets, "rid"), "rid")).mapInArrow(trimmed(_compare(threshold)), "rid long, links long, root long")
     found = materialize(found, "found")
     links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))

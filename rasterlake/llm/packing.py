@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BYTE_CODE, mix, place, ship, slices, text_bytes
+from .common import BYTE_CODE, mix, place, ship, slices, text_bytes, trimmed
 
 SENTENCE_PENALTY = 4  # tokens of padding that a cut between two sentences of a document is worth
 FORCED_PENALTY = 12  # the same for a cut inside a sentence
@@ -303,7 +303,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, with_ids: bool = T
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, window, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(_pack(tokenizer, window, with_ids)), schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

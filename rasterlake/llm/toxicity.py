@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .class_lm import held_out
-from .common import ALNUM, Words, mix, ship, slices, text_bytes
+from .common import ALNUM, Words, mix, ship, slices, text_bytes, trimmed
 
 BUCKETS = 1 << 18  # of hashed features
 TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 1500, 6000, 8000  # training rows of each label at most, and their characters at most
@@ -333,7 +333,7 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column, carry: list[s
     crf = fit(training_rows(docs, labels, is_held_out))
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     schema = docs.select(*carry).schema.add("toxic_score", "double").add("toxic_spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("p", "double")))
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(_apply(shared, carry), schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(trimmed(_apply(shared, carry)), schema)
 
 
 THRESHOLD = 0.3
