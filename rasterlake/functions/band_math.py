@@ -21,10 +21,9 @@ def _d(c) -> Column:
 
 
 def div(a, b) -> Column:
-    """a/b of doubles: by zero it is infinite, or NaN for 0/0 and NaN/0; missing where one is."""
+    """a/b of doubles: by zero it is infinite, with the zero's sign, or NaN for 0/0 and NaN/0; missing where one is."""
     a, b = _d(a), _d(b)
-    zero = F.when(a.isNull(), F.lit(None)).when(F.isnan(a) | (a == 0), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
-    return F.when(b == 0, zero).otherwise(a / F.when(b != 0, b))
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / F.when(b != 0, b))
 
 
 def int_div(a: Column, b: Column) -> Column:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..product import Product
 
-_NAN, _INF = "double('NaN')", "double('Infinity')"
-# Name, arguments and body; a and b are doubles. By zero a quotient is infinite or not a number, of a missing sample it is missing, whole numbers wrap, and nothing compares with NaN.
+_INF = "double('Infinity')"
+# Name, arguments and body; a and b are doubles. By zero a quotient is infinite, with the zero's sign, or not a number, of a missing sample it is missing, whole numbers wrap, and nothing compares with NaN.
 FUNCTIONS = {
-    "bm_div": ("a DOUBLE, b DOUBLE", "DOUBLE", f"CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN b <> 0 AND NOT isnan(b) THEN try_divide(a, b) WHEN isnan(b) OR isnan(a) OR a = 0 THEN {_NAN} WHEN a > 0 THEN {_INF} ELSE -{_INF} END"),
+    "bm_div": ("a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN b = 0 THEN a * pow(b, -1) ELSE try_divide(a, b) END"),
     "bm_idiv": ("a INT, b INT", "INT", "CASE WHEN b = -1 THEN CASE WHEN a = -2147483648 THEN a ELSE -a END ELSE CAST(try_divide(CAST(a AS DOUBLE), b) AS INT) END"),
     "bm_lt": ("a DOUBLE, b DOUBLE", "BOOLEAN", "NOT isnan(a) AND NOT isnan(b) AND a < b"),
     "bm_le": ("a DOUBLE, b DOUBLE", "BOOLEAN", "NOT isnan(a) AND NOT isnan(b) AND a <= b"),

@@ -855,8 +855,8 @@ def expr_text_missing(spark, sf_dir):
     """Quotients of missing samples are missing, by zero too."""
     p = embeddings(spark, sf_dir)
     p = p.with_bands(v=F.when(F.col("label") != 1, F.col("v")))
-    q = expressions.band_maths(p, a="bm_div(1, v)", b="bm_div(v, 0)", c="bm_idiv(int(v * 10), 3)", e="bm_div(1, null)")
-    return q.pixels.join(p.select(m.div(1.0, F.col("v")).alias("d")).pixels, ["y", "x"])
+    p = p.with_bands(d=m.div(1.0, F.col("v")))
+    return expressions.band_maths(p, a="bm_div(1, v)", b="bm_div(v, 0)", c="bm_idiv(int(v * 10), 3)", d="d", e="bm_div(1, null)").pixels
 
 
 @query("""with {PX}, n as (select y, x, case when v < -1 then 'NaN'::double else v end as v from px)
