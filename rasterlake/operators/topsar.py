@@ -1,11 +1,12 @@
 """Joining the bursts and sub-swaths of a progressive scan.
 
 A sub-swath's lines lie burst after burst and overlap in time, its columns overlap
-those of its neighbours. What the header says of a sub-swath is a few rows;
-from it come two maps, lines of the target to lines of each sub-swath by a range
-join with the bursts, and columns to columns. A target pixel joins both maps,
-chooses by the lower noise where two sub-swaths have it, and fetches its sample,
-and the other's in case its own is all but empty, by one equi-join.
+those of its neighbours. What the header says of a sub-swath becomes tables
+of bursts and noise vectors, which lines of the target meet in buckets of time;
+columns meet columns, once for each two noise vectors that follow each other. Both
+meet by equi-join as the pixels that each sub-swath can give; these fetch their
+samples by another one, and a target pixel chooses among its own by the lower
+noise, unless that one's sample is all but empty.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 EMPTY = 300.0  # intensity under which the other sub-swath's sample is taken
 
 
@@ -50,56 +54,67 @@ def _round(c: Column) -> Column:
     return F.floor(c + 0.5).cast("long")
 
 
+def _gaps(spark: SparkSession, swaths: list[SubSwath]) -> DataFrame:
+    """Of each sub-swath the stretches of lines between noise vectors, numbered k, from the vector's line a to before the next one's, b. Before the first vector a is missing, after the last b is."""
+    rows = []
+    for s in swaths:
+        at = [int(v[0]) for v in s.noise]
+        rows += [(s.number, k, a, b) for k, (a, b) in enumerate(zip([None, *at], [*at, None], strict=True))] if at else []
+    return spark.createDataFrame(rows, "swath int, k int, a long, b long")
+
+
 def line_map(spark: SparkSession, target: Target, swaths: list[SubSwath]) -> DataFrame:
-    """y and lines: for each sub-swath that has the line's time, in order of number, struct(swath, sy, v0, v1, wy). sy is missing between bursts; v0, v1 and wy are the noise vectors around the line, and the weight of the second.
+    """y, swath, sy, k and wy of each sub-swath that has the line's time. sy is missing between bursts; k is the stretch between noise vectors that the line is in (-1 without vectors), wy the weight of its second one.
 
     Of two bursts that hold a time, the second is taken after the middle of their
-    overlap. Lines meet bursts in buckets of time.
+    overlap. Lines meet bursts in buckets of time, and noise vectors in buckets of lines.
     """
-    heads = spark.createDataFrame([(s.number, s.first_line, s.last_line, s.lines_per_burst, s.line_interval) for s in swaths], "swath int, first double, last double, per int, step double")
+    heads = spark.createDataFrame([(s.number, float(s.first_line), float(s.last_line), s.lines_per_burst, float(s.line_interval), float(s.noise_start), bool(s.noise)) for s in swaths], "swath int, first double, last double, per int, step double, start double, noisy boolean")
     longest = max((b - a for s in swaths for a, b in s.bursts), default=1.0) or 1.0
     bucket = lambda c: F.floor(c / longest).cast("long")
     rows = [(s.number, k, float(a), float(b)) for s in swaths for k, (a, b) in enumerate(s.bursts)]
     bursts = spark.createDataFrame(rows, "swath int, burst int, a double, b double").withColumn("bucket", F.explode(F.sequence(bucket(F.col("a")), bucket(F.col("b")))))
     lines = spark.range(target.height).select(F.col("id").alias("y"), (F.lit(target.first_line) + F.col("id") * target.line_interval).alias("t"))
-    asked = lines.withColumn("swath", F.explode(F.array(*[F.lit(s.number) for s in swaths]))).join(heads, "swath").where((F.col("t") >= F.col("first")) & (F.col("t") <= F.col("last")))
+    asked = lines.join(F.broadcast(heads)).where((F.col("t") >= F.col("first")) & (F.col("t") <= F.col("last")))
     hits = asked.withColumn("bucket", bucket(F.col("t"))).join(bursts, ["swath", "bucket"]).where((F.col("t") >= F.col("a")) & (F.col("t") < F.col("b")))
     held = hits.groupBy("y", "swath").agg(F.array_sort(F.collect_list(F.struct("burst", "a", "b"))).alias("h"))
     one, two = F.get("h", F.lit(0)), F.get("h", F.lit(1))
     chosen = F.when(two.isNotNull() & (F.col("t") > (one["b"] + two["a"]) / 2), two).otherwise(one)
     asked = asked.join(held, ["y", "swath"], "left").withColumn("c", chosen)
     sy = F.col("c.burst") * F.col("per") + _round((F.col("t") - F.col("c.a")) / F.col("step"))
+    asked = asked.select("y", "swath", sy.alias("sy"), "noisy", ((F.col("t") - F.col("start")) / target.line_interval).cast("long").alias("n"))
 
-    starts = {s.number: ([v[0] for v in s.noise], s.noise_start) for s in swaths}
-    noise_line = F.lit(None).cast("long")
-    at = {k: F.lit(None) for k in ("v0", "v1", "wy")}
-    for number, (vectors, start) in starts.items():
-        here = F.col("swath") == number
-        n = ((F.col("t") - start) / target.line_interval).cast("long")
-        noise_line = F.when(here, n).otherwise(noise_line)
-        if vectors:
-            before = sum((F.when(n >= v, 1).otherwise(0) for v in vectors), F.lit(0)) - 1  # the vector at or before the line
-            v0 = F.greatest(before, F.lit(0))
-            v1 = F.when((before < 0) | (before >= len(vectors) - 1), v0).otherwise(v0 + 1)
-            table = F.array(*[F.lit(float(v)) for v in vectors])
-            gap = F.get(table, v1) - F.get(table, v0)
-            at["v0"], at["v1"] = F.when(here, v0).otherwise(at["v0"]), F.when(here, v1).otherwise(at["v1"])
-            at["wy"] = F.when(here, F.coalesce(F.try_divide(n - F.get(table, v0), gap), F.lit(0.0))).otherwise(at["wy"])
-    found = asked.select("y", F.struct("swath", sy.alias("sy"), at["v0"].cast("int").alias("v0"), at["v1"].cast("int").alias("v1"), at["wy"].cast("double").alias("wy")).alias("l"))
-    return found.groupBy("y").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    size = max(1, target.height // max(1, max((len(s.noise) for s in swaths), default=1)))
+    edge = asked.agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    gaps = _gaps(spark, swaths).join(F.broadcast(edge)).withColumns({"low": F.coalesce("a", F.least("b", "least")), "high": F.coalesce(F.col("b") - 1, F.greatest("a", "most"))}).where("low <= high and low is not null")
+    gaps = gaps.select("swath", "k", "a", "b", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / size).cast("long"), F.floor(F.col("high") / size).cast("long"))).alias("bucket"))
+    met = asked.where("noisy").withColumn("bucket", F.floor(F.col("n") / size).cast("long")).join(gaps, ["swath", "bucket"]).where(F.col("n").between(F.col("low"), F.col("high")))
+    share = F.coalesce(F.try_divide((F.col("n") - F.col("a")).cast("double"), F.col("b") - F.col("a")), F.lit(0.0))
+    met = met.select("y", "swath", "sy", "k", share.alias("wy"))
+    return met.unionByName(asked.where("not noisy").select("y", "swath", "sy", F.lit(-1).alias("k"), F.lit(0.0).alias("wy")))
 
 
 def column_map(spark: SparkSession, target: Target, swaths: list[SubSwath]) -> DataFrame:
-    """x and columns: for each sub-swath that has the column's slant range, struct(swath, sx, noise), noise being each noise vector's value at sx."""
+    """x, swath, sx, k, n0 and n1 of each sub-swath that has the column's slant range: n0 and n1 are the values at sx of the noise vectors at stretch k's ends (at its only one, both)."""
+    ship(spark)
     x = np.arange(target.width)
     time = target.near + x * target.slant_step
-    rows = []
+    rows, vectors = [], []
     for s in swaths:
         sx = np.clip(np.floor((time - s.near) / target.slant_step + 0.5), 0, s.samples - 1).astype(int)
-        noise = np.array([np.interp(sx, p, v) for _, p, v in s.noise]).reshape(len(s.noise), len(sx))
-        rows += [(int(k), s.number, int(sx[k]), noise[:, k].tolist()) for k in np.flatnonzero((time >= s.near) & (time <= s.far))]
-    df = spark.createDataFrame(rows, "x long, swath int, sx long, noise array<double>")
-    return df.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("swath", "sx", "noise"))).alias("columns"))
+        rows += [(int(k), s.number, int(sx[k])) for k in np.flatnonzero((time >= s.near) & (time <= s.far))]
+        ends = [s.noise[0], *s.noise, s.noise[-1]] if s.noise else []
+        vectors += [(s.number, k, *(list(map(float, c)) for v in (a, b) for c in v[1:])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+        if not s.noise:
+            vectors.append((s.number, -1, [], [], [], []))
+    columns = spark.createDataFrame(rows, "x long, swath int, sx long")
+    noise = spark.createDataFrame(vectors, "swath int, k int, p0 array<double>, v0 array<double>, p1 array<double>, v1 array<double>")
+
+    @F.pandas_udf("double")
+    def at(sx: pd.Series, p: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([float(np.interp(s, a, b)) if len(a) else None for s, a, b in zip(sx, p, v, strict=True)], dtype="float64")
+
+    return noise.join(F.broadcast(columns), "swath").select("x", "swath", "sx", "k", at("sx", "p0", "v0").alias("n0"), at("sx", "p1", "v1").alias("n1"))
 
 
 def deburst(samples: DataFrame, target: Target, swaths: list[SubSwath], empty: float = EMPTY) -> DataFrame:
@@ -111,25 +126,16 @@ def deburst(samples: DataFrame, target: Target, swaths: list[SubSwath], empty: f
     absent counts as zero. Where the chosen sub-swath has no burst, there is no row.
     """
     spark = samples.sparkSession
-    pixels = spark.range(target.height * target.width).select(F.expr(f"id div {target.width}").alias("y"), (F.col("id") % target.width).alias("x"))
-    met = pixels.join(line_map(spark, target, swaths), "y").join(column_map(spark, target, swaths), "x")
-    both = F.filter(
-        F.transform("lines", lambda a: F.struct(a.alias("l"), F.get(F.filter("columns", lambda b: b["swath"] == a["swath"]), F.lit(0)).alias("c"))),
-        lambda h: h["c"].isNotNull(),
-    )
-    met = met.select("y", "x", both.alias("h")).select("y", "x", F.get("h", F.lit(0)).alias("s0"), F.get("h", F.lit(1)).alias("s1")).where("s0 is not null")
-
-    def noise(s: str) -> Column:
-        a, b = (F.get(F.col(f"{s}.c.noise"), F.col(f"{s}.l.{v}")) for v in ("v0", "v1"))
-        return a + (b - a) * F.col(f"{s}.l.wy")
-
-    second = F.coalesce(noise("s0") > noise("s1"), F.lit(False))
-    ask = lambda s: F.struct(F.col(f"{s}.l.swath").alias("swath"), F.col(f"{s}.l.sy").alias("sy"), F.col(f"{s}.c.sx").alias("sx"))
-    met = met.select("y", "x", F.when(second, ask("s1")).otherwise(ask("s0")).alias("own"), F.when(F.col("s1").isNotNull(), F.when(second, ask("s0")).otherwise(ask("s1"))).alias("other")).where("own.sy is not null")
-    asked = met.select("y", "x", F.posexplode(F.array("own", "other")).alias("role", "s")).where("role = 0 or s is not null").select("y", "x", "role", "s.swath", "s.sy", "s.sx")
+    noise = F.col("n0") + (F.col("n1") - F.col("n0")) * F.col("wy")
+    asked = line_map(spark, target, swaths).join(column_map(spark, target, swaths), ["swath", "k"]).select("y", "x", "swath", "sy", "sx", noise.alias("noise"))
     found = asked.join(samples.select("swath", "sy", "sx", "i", "q"), ["swath", "sy", "sx"], "left")
-    pair = F.struct(F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("q", F.lit(0)).alias("q"))
-    got = found.groupBy("y", "x").agg(F.max(F.when(F.col("role") == 0, pair)).alias("a"), F.max(F.when(F.col("role") == 1, pair)).alias("b"))
+    one = F.struct("swath", F.col("sy").isNotNull().alias("there"), "noise", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("q", F.lit(0)).alias("q"))
+    rows = found.groupBy("y", "x").agg(F.array_sort(F.collect_list(one)).alias("h"))
+    # Of a sample that is there more than once, the greatest counts.
+    rows = rows.select("y", "x", F.filter("h", lambda e, k: F.coalesce(F.get("h", k + 1)["swath"] != e["swath"], F.lit(True))).alias("h"))
+    s0, s1 = F.get("h", F.lit(0)), F.get("h", F.lit(1))
+    second = F.coalesce(s0["noise"] > s1["noise"], F.lit(False))
+    got = rows.select("y", "x", F.when(second, s1).otherwise(s0).alias("a"), F.when(second, s0).otherwise(s1).alias("b")).where("a.there")
     weak = F.col("a.i") * F.col("a.i") + F.col("a.q") * F.col("a.q") < empty
     use = F.when(weak & ((F.col("b.i") != 0) | (F.col("b.q") != 0)), F.col("b")).otherwise(F.col("a"))
     return got.select("y", "x", use.alias("u")).select("y", "x", "u.i", "u.q")

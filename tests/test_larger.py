@@ -34,3 +34,9 @@ def differ(spark, folder, name):
 def test_quotients_of_signed_zeros_and_repeated_lines(spark, tmp_path):
     folder = vectors(tmp_path, 8, ids=[0, 1, 2, 3, 4, 5, 5, None], r2=-0.0, r3=0.0)
     assert differ(spark, folder, "expr_text_missing") == (512, [])
+
+
+def test_bursts_of_a_long_scan(spark, tmp_path):
+    folder = vectors(tmp_path, 6003)
+    rows, odd = differ(spark, folder, "deburst_topsar")
+    assert rows == ((6003 // 50 - 1) * 40 + 50) * 64 and odd == []
