@@ -21,15 +21,15 @@ from ..sources.raster_files import open_store
 
 @dataclass(frozen=True)
 class TileStore:
-    """Tiles of `degrees` a side with `samples` samples a side (16 bit, high byte first, north first). name: a format of the south-west corner, with lat and lon (their sizes), ns and ew, and folder for the store's folder."""
+    """Tiles of `degrees` a side (parts of a degree need a name that can say so) with `samples` samples a side (16 bit, high byte first, north first). name: a format of the south-west corner, with lat and lon (their sizes), ns and ew, and folder for the store's folder."""
 
     folder: str
-    degrees: int = 1
+    degrees: float = 1
     samples: int = 1200
     no_data: int = -32768
     name: str = "{folder}/{ns}{lat:02d}{ew}{lon:03d}.hgt"
 
-    def path(self, south: int, west: int) -> str:
+    def path(self, south: float, west: float) -> str:
         return self.name.format(folder=self.folder, lat=abs(south), lon=abs(west), ns="N" if south >= 0 else "S", ew="E" if west >= 0 else "W")
 
 
@@ -62,14 +62,14 @@ def elevation_at(points: DataFrame, lat: Column, lon: Column, store: TileStore,
     asked = asked.select(*key, F.inline(taps))
     asked = asked.select(*key, F.greatest(F.lit(0), F.least(F.lit(height - 1), F.col("r"))).cast("long").alias("r"), F.pmod(F.col("c"), F.lit(width)).cast("long").alias("c"), "w")
     n = store.samples
-    asked = asked.withColumns({"south": (90 - store.degrees * (F.expr(f"r div {n}") + 1)).cast("int"), "west": (store.degrees * F.expr(f"c div {n}") - 180).cast("int"), "line": (F.col("r") % n).cast("int"), "column": (F.col("c") % n).cast("int")})
+    asked = asked.withColumns({"down": F.expr(f"r div {n}").cast("int"), "right": F.expr(f"c div {n}").cast("int"), "line": (F.col("r") % n).cast("int"), "column": (F.col("c") % n).cast("int")})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asked.select(*key, "w", "south", "west", "line", "column").repartition(parts, "south", "west", F.pmod(F.xxhash64(*key), F.lit(SALT))).sortWithinPartitions("south", "west", "line")
+    dealt = asked.select(*key, "w", "down", "right", "line", "column").repartition(parts, "down", "right", F.pmod(F.xxhash64(*key), F.lit(SALT))).sortWithinPartitions("down", "right", "line")
 
     def run(batches):
         at, file = None, None
         for batch in batches:
-            tile = np.stack([np.asarray(batch.column(c)) for c in ("south", "west")])
+            tile = np.stack([np.asarray(batch.column(c)) for c in ("down", "right")])
             line, column = np.asarray(batch.column("line")), np.asarray(batch.column("column"))
             out = np.full(batch.num_rows, float(sea))
             edges = [0, *(np.flatnonzero((np.diff(tile) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
@@ -78,7 +78,7 @@ def elevation_at(points: DataFrame, lat: Column, lon: Column, store: TileStore,
                     continue
                 if (tile[0, a], tile[1, a]) != at:
                     at = (tile[0, a], tile[1, a])
-                    files, path = open_store(store.path(int(at[0]), int(at[1])))
+                    files, path = open_store(store.path(90 - store.degrees * (int(at[0]) + 1), store.degrees * int(at[1]) - 180))
                     file = files.open_input_file(path) if files.get_file_info(path).is_file else None
                 if file is None:
                     continue

@@ -353,7 +353,7 @@ def read_layout(spark: SparkSession, path: str) -> Layout:
 
 
 def join_strips(spark: SparkSession, layout: Layout, targets: dict[str, str]) -> None:
-    """Each band's strips, one after the other, as one file: a task a band, which holds a few megabytes at once."""
+    """Each band's strips, one after the other, as one file, by one task, which holds a few megabytes at once; a task has one band, or a share of them where there are very many."""
     rows = [(b.name, targets[b.name], [path for _, path in b.files]) for b in layout.bands if b.name in targets]
 
     def run(batches):
@@ -374,5 +374,6 @@ def join_strips(spark: SparkSession, layout: Layout, targets: dict[str, str]) ->
                 yield pa.record_batch([pa.array([total])], ["bytes"])
 
     ship(spark)
-    df = spark.createDataFrame(rows, "band string, target string, files array<string>").repartition(max(1, len(rows)), "band")
+    tasks = min(len(rows), max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    df = spark.createDataFrame(rows, "band string, target string, files array<string>").repartition(max(1, tasks), "band")
     df.mapInArrow(run, "bytes long").agg(F.sum("bytes")).collect()

@@ -164,16 +164,26 @@ t as (select y, x, cast(floor(y - 0.2) as bigint) as r, cast(floor(x * 0.25 - 0.
 k as (select t.*, i, j from t, (select unnest([0, 1]) as i), (select unnest([0, 1]) as j))
 select k.y, k.x, round(sum((case i when 1 then wr else 1 - wr end) * (case j when 1 then wc else 1 - wc end) * coalesce(s.s, 0)), 6) + 0.0 as elevation from k left join s on s.y = r + i and s.x = c + j group by 1, 2""")
 def elevation_tiles(spark, sf_dir):
-    """Elevations from a store of tiles of 16 by 16 samples, one under the other; each fifth has no file, and is sea, as is all around."""
+    """Elevations from a store of tiles of 16 by 16 samples, one under the other; each fifth has no file, and is sea, as is all around.
+
+    So that a raster of any length fits on the globe, the tiles go on in columns
+    that lie a tile apart; above each column the tile before its first one is repeated.
+    """
     p, folder = embeddings(spark, sf_dir), _folder(spark, "tiles")
-    n = p.height // 16
+    n, deep = p.height // 16, 128  # tiles, and of these in a column of 128 degrees
+    while deep * deep < n:
+        deep *= 2
+    degrees = 128 / deep
     column = Product(p.pixels.where(F.col("x") < 16).where(F.col("y") < 16 * n).select("y", "x", F.floor(F.col("v") * 1000).alias("e")), 16 * n, 16)
     raster_files.write_raster(column, f"{folder}/strips", ">i2", lines=16)
-    store = elevation.TileStore(folder, 1, 16)
+    store = elevation.TileStore(folder, degrees, 16, name="{folder}/{ns}{lat:g}{ew}{lon:g}.hgt")
     strips = raster_files.read_layout(spark, f"{folder}/strips").bands[0]
-    tiles = raster_files.Layout(16, 16, [raster_files.Band(f"t{k}", [[0, f[1]]], strips.dtype, 2, 32) for k, f in enumerate(strips.files) if k % 5 != 4])
-    raster_files.join_strips(spark, tiles, {f"t{k}": store.path(49 - k, 10) for k in range(n)})
-    lat, lon = 50 - (F.col("y") + 0.3) / 16, 10 + (F.col("x") * 0.25 + 0.4) / 16
+    places = {(k, k // deep, k % deep) for k in range(n)} | {(q * deep - 1, q, -1) for q in range(1, n // deep + 1)}
+    targets = {f"t{k}_{q}": (k, store.path(64 - degrees * (d + 1), -170 + 2 * degrees * q)) for k, q, d in sorted(places) if k % 5 != 4}
+    tiles = raster_files.Layout(16, 16, [raster_files.Band(t, [[0, strips.files[k][1]]], strips.dtype, 2, 32) for t, (k, _) in targets.items()])
+    raster_files.join_strips(spark, tiles, {t: path for t, (_, path) in targets.items()})
+    q, line = F.expr(f"y div {16 * deep}"), F.col("y") % (16 * deep)
+    lat, lon = 64 - (line + 0.3) * degrees / 16, -170 + 2 * degrees * q + (F.col("x") * 0.25 + 0.4) * degrees / 16
     return elevation.elevation_at(p.pixels.select("y", "x"), lat, lon, store).select("y", "x", r6("elevation"))
 
 

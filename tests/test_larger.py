@@ -40,3 +40,8 @@ def test_bursts_of_a_long_scan(spark, tmp_path):
     folder = vectors(tmp_path, 6003)
     rows, odd = differ(spark, folder, "deburst_topsar")
     assert rows == ((6003 // 50 - 1) * 40 + 50) * 64 and odd == []
+
+
+def test_elevations_of_more_tiles_than_a_column_holds(spark, tmp_path):
+    folder = vectors(tmp_path, 16 * 129 + 5)
+    assert differ(spark, folder, "elevation_tiles") == ((16 * 129 + 5) * 64, [])
