@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..product import Product
+from ..session import ship
 
 
 def merge(master: Product, *others: Product) -> Product:
@@ -75,14 +78,22 @@ def stack(master: Product, slave: Product, dy: int, dx: int, extent: str = "mast
     return master.with_pixels(out)
 
 
-def _cubic(t: Column) -> list[Column]:
+def _cubic(t: np.ndarray) -> list[np.ndarray]:
     return [0.5 * (-t + 2 * t * t - t * t * t), 0.5 * (2 - 5 * t * t + 3 * t * t * t), 0.5 * (t + 4 * t * t - 3 * t * t * t), 0.5 * (-t * t + t * t * t)]
 
 
-def _sinc(x: Column) -> Column:
-    """The sinc under a Hann window of half-width 2.5. Over a pixel's samples its values don't sum to one."""
-    angle = math.pi * x
-    return F.when(x == 0, 1.0).when(F.abs(x) <= 2.5, F.sin(angle) / angle * (1 + F.cos(angle / 3)) / 2).otherwise(0.0)
+def _sinc(t: np.ndarray) -> list[np.ndarray]:
+    """The sinc under a Hann window of half-width 2.5, at five samples. Over a pixel's samples its values don't sum to one."""
+    out = []
+    for k in (-2, -1, 0, 1, 2):
+        angle = math.pi * (t - k)
+        out.append(np.where(np.abs(t - k) <= 2.5, np.sinc(t - k) * (1 + np.cos(angle / 3)) / 2, 0.0))
+    return out
+
+
+#: Weights by the place between two samples, the first sample (from the one before the place), and the one that must be there.
+KERNELS = {"bilinear": (lambda t: [1 - t, t], 0, None), "cubic": (_cubic, -1, 5), "bicubic": (_cubic, -1, 5), "sinc": (_sinc, -2, 12)}
+BLOCK = 128  # lines and columns of source samples that a task holds at once
 
 
 def resample(source: Product, target: DataFrame, u: Column, v: Column, band: str, method: str = "bilinear") -> DataFrame:
@@ -90,39 +101,91 @@ def resample(source: Product, target: DataFrame, u: Column, v: Column, band: str
 
     Methods: nearest, bilinear, cubic (convolution), bicubic (patches between pixel
     centres, of values and central differences) and sinc (windowed, five samples
-    each way). Each target pixel asks for its 1, 4, 16 or 25 neighbours, which one
-    equi-join brings; weights are summed on the way back. Neighbours beyond the
-    border are those at it; cubic and bicubic differ there only, as a bicubic patch
-    begins inside. Target pixels outside the source are left out. Missing samples:
-    bilinear divides by the weights of those present, the larger ones take their
-    mean for them and are missing where the pixel at their base is; without any
-    sample the result is missing.
+    each way). Nearest is an equi-join. For the others, samples and target pixels
+    are dealt to blocks of the source, the samples at a block's rim to those beside
+    it too; in a task each block's samples come first and the target pixels pass
+    them, so one row a target pixel is moved, whatever its number of neighbours.
+    Neighbours beyond the border are those at it; cubic and bicubic differ there
+    only, as a bicubic patch begins inside. Target pixels outside the source are
+    left out. Missing samples: bilinear divides by the weights of those present,
+    the larger ones take their mean for them and are missing where the pixel at
+    their base is; without any sample the result is missing.
     """
     inside = (u >= 0) & (u < source.width) & (v >= 0) & (v < source.height)
-    asked = target.where(inside).select("y", "x", u.alias("u"), v.alias("v"))
-    if method == "nearest":
-        taps = F.array(F.struct(F.floor("u").alias("sx"), F.floor("v").alias("sy"), F.lit(1.0).alias("wx"), F.lit(1.0).alias("wy")))
-    else:
-        a, b = F.floor(F.col("u") - 0.5), F.floor(F.col("v") - 0.5)
-        s, t = F.col("u") - 0.5 - a, F.col("v") - 0.5 - b
-        kernel, first = {"bilinear": (lambda c: [1 - c, c], 0), "cubic": (_cubic, -1), "bicubic": (_cubic, -1), "sinc": (lambda c: [c - k for k in (-2, -1, 0, 1, 2)], -2)}[method]
-        wx, wy = kernel(s), kernel(t)
-        if method == "bicubic":
-            a, b = (F.greatest(F.lit(0), F.least(F.lit(size - 1), c)) for c, size in ((a, source.width), (b, source.height)))
-        taps = F.array(*[F.struct((a + first + i).alias("sx"), (b + first + j).alias("sy"), wx[i].alias("wx"), wy[j].alias("wy")) for j in range(len(wy)) for i in range(len(wx))])
-    w = _sinc(F.col("t.wx")) * _sinc(F.col("t.wy")) if method == "sinc" else F.col("t.wx") * F.col("t.wy")
-    clamp = lambda c, size: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(c))).cast("long")
-    asked = asked.select("y", "x", F.posexplode(taps).alias("tap", "t")).select("y", "x", "tap", clamp("t.sx", source.width).alias("sx"), clamp("t.sy", source.height).alias("sy"), w.alias("w"))
+    asked = target.where(inside).select("y", "x", u.cast("double").alias("u"), v.cast("double").alias("v"))
     samples = source.pixels.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(band).cast("double").alias("s")).where("s is not null")
-    total, weight = F.sum(F.col("w") * F.col("s")), F.sum(F.when(F.col("s").isNotNull(), F.col("w")))
+    if method == "nearest":
+        asked = asked.select("y", "x", F.floor("u").cast("long").alias("sx"), F.floor("v").cast("long").alias("sy"))
+        return asked.join(samples, ["sy", "sx"], "left").groupBy("y", "x").agg(F.when(F.count("s") == F.count("*"), F.sum("s")).otherwise(F.avg("s")).alias(band))
+    base = KERNELS[method][2]
+    found = _taps(source, asked, samples, method).groupBy("y", "x").agg(*[F.sum(c).alias(c) for c in ("total", "weight", "share", "sum", "n", "of")], F.max("based").alias("based"))
+    total, weight = F.col("total"), F.col("weight")
     if method == "sinc":
-        total, weight = total / F.sum("w"), weight / F.sum("w")
-    base = {"cubic": 5, "bicubic": 5, "sinc": 12}.get(method)
-    if base:
-        whole = F.when(F.count("s") == F.count("*"), total).when(F.max((F.col("tap") == base) & F.col("s").isNotNull()), total + (1 - weight) * F.avg("s"))
+        total, weight = total / F.col("share"), weight / F.col("share")
+    if base is not None:
+        whole = F.when(F.col("n") == F.col("of"), total).when(F.col("based"), total + (1 - weight) * F.col("sum") / F.col("n"))
     else:
-        whole = F.when(F.count("s") == F.count("*"), total).when(weight > 0, total / F.when(weight > 0, weight))
-    return asked.join(samples, ["sy", "sx"], "left").groupBy("y", "x").agg(whole.alias(band))
+        whole = F.when(F.col("n") == F.col("of"), total).when(weight > 0, total / F.when(weight > 0, weight))
+    return found.select("y", "x", whole.alias(band))
+
+
+def _taps(source: Product, asked: DataFrame, samples: DataFrame, method: str) -> DataFrame:
+    """Of each row of asked (y, x, u, v), over the samples around its place: the sums of weighted samples (total), of the weights of those present and of all, of samples, the number of those present and of all, and if the one at the base is there. A sample that is there several times counts as often."""
+    spark = asked.sparkSession
+    ship(spark)
+    kernel, first, base = KERNELS[method]
+    taps = len(kernel(np.zeros(1)))
+    height, width, last = source.height, source.width, first + taps - 1
+    block = lambda c, size: F.floor(F.greatest(F.lit(0), F.least(F.lit(size - 1), F.floor(F.col(c) - 0.5))) / BLOCK).cast("int")
+    blocks = lambda c, size: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - last) / BLOCK)), F.least(F.lit((size - 1) // BLOCK), F.floor((F.col(c) - first) / BLOCK))))
+    samples = samples.where(F.col("sy").between(0, height - 1) & F.col("sx").between(0, width - 1)).withColumn("by", blocks("sy", height)).withColumn("bx", blocks("sx", width))
+    given = samples.select(F.col("by").cast("int").alias("by"), F.col("bx").cast("int").alias("bx"), F.lit(0).alias("role"), F.col("sy").alias("y"), F.col("sx").alias("x"), F.col("s").alias("u"), F.lit(0.0).alias("v"))
+    wanted = asked.select(block("v", height).alias("by"), block("u", width).alias("bx"), F.lit(1).alias("role"), "y", "x", "u", "v")
+    dealt = given.unionByName(wanted).repartition("by", "bx").sortWithinPartitions("by", "bx", "role")
+    names = ["total", "weight", "share", "sum", "n", "of"]
+
+    def run(batches):
+        at = held = total = count = None
+        wide = BLOCK + taps - 1
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("by", "bx", "role")])
+            one, two = (batch.column(c).to_numpy() for c in ("u", "v"))
+            edges = [0, *(np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if a == z:
+                    continue
+                if (key[0, a], key[1, a]) != at:
+                    at = (key[0, a], key[1, a])
+                    held = (int(at[0]) * BLOCK + first, int(at[1]) * BLOCK + first)
+                    total, count = np.zeros(wide * wide), np.zeros(wide * wide)
+                if key[2, a] == 0:
+                    y, x = (batch.column(c).slice(a, z - a).to_numpy() for c in ("y", "x"))
+                    place = (y - held[0]) * wide + x - held[1]
+                    np.add.at(total, place, one[a:z])
+                    np.add.at(count, place, 1.0)
+                    continue
+                cx, cy = np.floor(one[a:z] - 0.5), np.floor(two[a:z] - 0.5)
+                wx, wy = kernel(one[a:z] - 0.5 - cx), kernel(two[a:z] - 0.5 - cy)
+                if method == "bicubic":
+                    cx, cy = np.clip(cx, 0, width - 1), np.clip(cy, 0, height - 1)
+                out = {n: np.zeros(z - a) for n in names}
+                for j in range(taps):
+                    line = (np.clip(cy + first + j, 0, height - 1).astype(np.int64) - held[0]) * wide
+                    for i in range(taps):
+                        place = line + np.clip(cx + first + i, 0, width - 1).astype(np.int64) - held[1]
+                        w, s, c = wx[i] * wy[j], total[place], count[place]
+                        rows = np.maximum(c, 1.0)
+                        for n, more in zip(names, (w * s, w * c, w * rows, s, c, rows), strict=True):
+                            out[n] += more
+                        if j * taps + i == base:
+                            based = c > 0
+                if base is None:
+                    based = out["n"] > 0
+                part = batch.slice(a, z - a)
+                yield pa.record_batch([part.column("y"), part.column("x"), *[pa.array(out[n]) for n in names], pa.array(based)], ["y", "x", *names, "based"])
+
+    kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in ("y", "x"))
+    return dealt.mapInArrow(run, f"{kinds}, " + ", ".join(f"`{n}` double" for n in names) + ", based boolean")
 
 
 def warp(source: Product, band: str, x_terms: list[float], y_terms: list[float], method: str = "bilinear") -> Product:

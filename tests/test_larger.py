@@ -5,7 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from rasterlake import swath_queries  # noqa: F401
+from rasterlake.operators import joins
+from rasterlake.product import embeddings
 from rasterlake.queries import QUERIES, SQL
 
 
@@ -45,3 +48,13 @@ def test_bursts_of_a_long_scan(spark, tmp_path):
 def test_elevations_of_more_tiles_than_a_column_holds(spark, tmp_path):
     folder = vectors(tmp_path, 16 * 129 + 5)
     assert differ(spark, folder, "elevation_tiles") == ((16 * 129 + 5) * 64, [])
+
+
+@pytest.mark.parametrize("method", ["bilinear", "cubic", "bicubic", "sinc"])
+def test_resampling_moves_a_row_a_pixel(spark, tmp_path, method):
+    folder = vectors(tmp_path, 300, ids=[*range(298), 131, 131])
+    assert differ(spark, folder, f"resample_{method}")[1] == []
+    p = embeddings(spark, vectors(tmp_path, 300))
+    asked = p.pixels.where("y < 290").select("y", "x", (F.col("x") * 0.75 + 1.3).alias("u"), (F.col("y") + 2.2).alias("v"))
+    taps = joins._taps(p, asked, p.pixels.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("v").alias("s")), method)
+    assert taps.count() == 290 * 64 and taps.agg(F.min("n")).first()[0] in (4, 16, 25)
