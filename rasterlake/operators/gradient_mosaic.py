@@ -7,7 +7,9 @@ ever coarser grids, the coarsest in one tile, and each finer grid begins with th
 coarser one's result. A grid is solved by tiles with wide margins: each round,
 all tiles relax their window in red and black sweeps and exchange what they found,
 until no pixel moves by more than the threshold. The fixed point is that of the
-whole overlap, whatever the tiles.
+whole overlap, whatever the tiles. In a narrow overlap what lies a few widths away
+has no influence: it needs no coarse grids, its tiles are as wide as it, with margins
+of some widths, and are solved by elimination, so about three rounds do, however long it is.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from ..product import Product
 from ..session import materialize, ship
 
 TILE, MARGIN = 256, 64
+REACH = 8  # widths of a narrow overlap, over which an influence falls to exp(-8 pi), 1e-11
 GUESS = 3  # rounds on a coarse grid, whose result is only where the finer one begins
 
 
@@ -49,23 +52,52 @@ def relax(e: np.ndarray, free: np.ndarray, threshold: float, sweeps: int = 20_00
     return e
 
 
-def _round(cells: DataFrame, threshold: float, tile: int, margin: int) -> DataFrame:
-    """y, x, free, e and moved of the cells after each tile has relaxed its window; cells at a window's rim stay as they are."""
-    near = lambda c: F.sequence(F.floor((F.col(c) - margin) / tile), F.floor((F.col(c) + margin) / tile))
-    dealt = cells.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
+def solve(e: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """As relax(), but exactly: lines along the window's long side are eliminated one after the other. Its work grows with the long side times the cube of the short one."""
+    if np.ptp(np.nonzero(free.any(axis=1))[0]) < np.ptp(np.nonzero(free.any(axis=0))[0]):
+        return solve(e.T, free.T).T
+    e = e.copy()
+    rows, cols = np.flatnonzero(free.any(axis=1)), np.flatnonzero(free.any(axis=0))
+    box = slice(rows[0], rows[-1] + 1), slice(cols[0], cols[-1] + 1)
+    inner = free[box].astype(float)
+    m, k = inner.shape
+    right = np.where(inner > 0, 0.0, e[box])
+    right[:, 0] += inner[:, 0] * e[box[0], cols[0] - 1]
+    right[:, -1] += inner[:, -1] * e[box[0], cols[-1] + 1]
+    right[0] += inner[0] * e[rows[0] - 1, box[1]]
+    right[-1] += inner[-1] * e[rows[-1] + 1, box[1]]
+    beside = np.eye(k, k=1) + np.eye(k, k=-1)
+    inverse = np.empty((m, k, k))
+    for i in range(m):
+        a = np.diag(np.where(inner[i] > 0, 4.0, 1.0)) - inner[i][:, None] * beside
+        if i:
+            a -= inner[i][:, None] * inverse[i - 1] * inner[i - 1]
+            right[i] += inner[i] * (inverse[i - 1] @ right[i - 1])
+        inverse[i] = np.linalg.inv(a)
+    out = right
+    for i in range(m - 1, -1, -1):
+        out[i] = inverse[i] @ (right[i] + inner[i] * out[i + 1] if i + 1 < m else right[i])
+    e[box] = np.where(inner > 0, out, e[box])
+    return e
+
+
+def _round(cells: DataFrame, threshold: float, tile: tuple[int, int], margin: tuple[int, int], direct: bool) -> DataFrame:
+    """y, x, free, e and moved of the cells after each tile (of so many lines and columns) has relaxed its window, or solved it; cells at a window's rim stay as they are."""
+    near = lambda c, t, m: F.explode(F.sequence(F.floor((F.col(c) - m) / t), F.floor((F.col(c) + m) / t)))
+    dealt = cells.withColumn("ty", near("y", tile[0], margin[0])).withColumn("tx", near("x", tile[1], margin[1]))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(key[0]) * tile, int(key[1]) * tile
-        a, b = y0 - margin - 1, x0 - margin - 1
+        y0, x0 = int(key[0]) * tile[0], int(key[1]) * tile[1]
+        a, b = y0 - margin[0] - 1, x0 - margin[1] - 1
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        core = (y >= y0) & (y < y0 + tile) & (x >= x0) & (x < x0 + tile)
-        e = np.zeros((tile + 2 * margin + 2, tile + 2 * margin + 2))
+        core = (y >= y0) & (y < y0 + tile[0]) & (x >= x0) & (x < x0 + tile[1])
+        e = np.zeros((tile[0] + 2 * margin[0] + 2, tile[1] + 2 * margin[1] + 2))
         free, given = np.zeros(e.shape, bool), np.zeros(e.shape, bool)
         e[y - a, x - b], free[y - a, x - b], given[y - a, x - b] = pdf["e"].to_numpy(), pdf["free"].to_numpy(), True
         inner = free.copy()
         inner[1:-1, 1:-1] &= given[:-2, 1:-1] & given[2:, 1:-1] & given[1:-1, :-2] & given[1:-1, 2:]
         inner[[0, -1]] = inner[:, [0, -1]] = False
-        out = relax(e, inner, threshold / 16)[y - a, x - b]
+        out = (solve(e, inner) if direct and inner.any() else relax(e, inner, threshold / 16))[y - a, x - b]
         pdf = pdf.assign(moved=np.abs(out - pdf["e"]), e=out)[core]
         return pdf[["y", "x", "free", "e", "moved"]]
 
@@ -75,7 +107,13 @@ def _round(cells: DataFrame, threshold: float, tile: int, margin: int) -> DataFr
 def laplace(cells: DataFrame, height: int, width: int, threshold: float, rounds: int, tile: int = TILE, margin: int = MARGIN) -> DataFrame:
     """cells (y, x, e, free; the four neighbours of a free one are there too) with e of the free ones at the mean of its neighbours, to the threshold or the given rounds (on coarse grids GUESS at most); what e of free cells was before is not used."""
     ship(cells.sparkSession)
-    if max(height, width) > tile:
+    short = min(height, width)
+    narrow = short <= margin
+    tiles, margins = (tile, tile), (margin, margin)
+    if narrow:
+        along, across = (REACH * tile, REACH * short), (short, 0)
+        tiles, margins = zip(*((along, across) if height >= width else (across, along)), strict=True)
+    if max(height, width) > tile and not narrow:
         group = cells.groupBy(F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x"))
         coarse = group.agg(F.avg(F.when(~F.col("free"), F.col("e"))).alias("e"), (F.min("free") & (F.count("*") == 4)).alias("free"))
         coarse = coarse.select("y", "x", F.coalesce("e", F.lit(0.0)).alias("e"), "free")
@@ -86,7 +124,7 @@ def laplace(cells: DataFrame, height: int, width: int, threshold: float, rounds:
     else:
         cells = cells.select("y", "x", F.when(F.col("free"), F.lit(0.0)).otherwise(F.col("e")).alias("e"), "free")
     for _ in range(rounds):
-        cells = materialize(_round(cells.select("y", "x", "free", "e"), threshold, tile, margin), "relaxed")
+        cells = materialize(_round(cells.select("y", "x", "free", "e"), threshold, tiles, margins, narrow), "relaxed")
         if (cells.agg(F.max("moved")).first()[0] or 0.0) < threshold:
             break
     return cells.select("y", "x", "e", "free")

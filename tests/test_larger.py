@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from rasterlake import swath_queries  # noqa: F401
-from rasterlake.operators import joins
+from rasterlake.operators import gradient_mosaic, joins
 from rasterlake.product import embeddings
 from rasterlake.queries import QUERIES, SQL
 
@@ -58,3 +58,22 @@ def test_resampling_moves_a_row_a_pixel(spark, tmp_path, method):
     asked = p.pixels.where("y < 290").select("y", "x", (F.col("x") * 0.75 + 1.3).alias("u"), (F.col("y") + 2.2).alias("v"))
     taps = joins._taps(p, asked, p.pixels.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("v").alias("s")), method)
     assert taps.count() == 290 * 64 and taps.agg(F.min("n")).first()[0] in (4, 16, 25)
+
+
+def test_a_narrow_overlap_needs_few_rounds(spark, tmp_path, monkeypatch):
+    rounds = []
+    one = gradient_mosaic._round
+    monkeypatch.setattr(gradient_mosaic, "_round", lambda *a: rounds.append(1) or one(*a))
+    folder = vectors(tmp_path, 5000)
+    assert differ(spark, folder, "mosaic_gradient") == (5000 * 64, [])
+    assert len(rounds) <= 3
+
+
+def test_elimination_equals_relaxation():
+    rng = np.random.default_rng(3)
+    for shape in ((30, 9), (7, 40), (3, 3)):
+        free = rng.random(shape) < 0.8
+        free[[0, -1]] = free[:, [0, -1]] = False
+        free[1, 1] = True
+        e = rng.normal(size=shape)
+        assert np.allclose(gradient_mosaic.solve(e, free), gradient_mosaic.relax(e, free, 1e-13), atol=1e-9)
