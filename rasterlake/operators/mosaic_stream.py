@@ -33,7 +33,9 @@ def _base(spark: SparkSession, path: str) -> int:
 
 
 def _pixels(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("tile_y", "tile_x", "y", "x").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    """Sums and counts by pixel. Tiles are dealt to as many tasks as shuffles have partitions before anything is summed, so no task holds what a large file, or a few merged partitions, have."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "tile_y", "tile_x").groupBy("tile_y", "tile_x", "y", "x").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def _parts(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
@@ -58,10 +60,10 @@ def merge_batch(rows: DataFrame, batch: int, path: str, value: str = "v", weight
         return  # summed up already
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     counted = rows.where(F.col(value).isNotNull()).select(F.floor(F.col("y") / tile).alias("tile_y"), F.floor(F.col("x") / tile).alias("tile_x"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.col(value).cast("double") * w).alias("total"), w.alias("n")).where("n > 0")
-    by_tile = lambda df: df.repartition("tile_y", "tile_x").sortWithinPartitions("tile_y", "tile_x", "y", "x")
-    by_tile(_pixels(counted)).write.mode("overwrite").partitionBy("tile_y", "tile_x").parquet(f"{path}/batches/batch={batch}")
+    by_tile = lambda df: _pixels(df).sortWithinPartitions("tile_y", "tile_x", "y", "x")
+    by_tile(counted).write.mode("overwrite").partitionBy("tile_y", "tile_x").parquet(f"{path}/batches/batch={batch}")
     if (batch + 1) % compact == 0:
-        by_tile(_pixels(_parts(spark, path, batch))).write.mode("overwrite").partitionBy("tile_y", "tile_x").parquet(f"{path}/bases/upto={batch}")
+        by_tile(_parts(spark, path, batch)).write.mode("overwrite").partitionBy("tile_y", "tile_x").parquet(f"{path}/bases/upto={batch}")
         spark.createDataFrame([(batch,)], "upto long").coalesce(1).write.mode("append").parquet(f"{path}/marks")
 
 

@@ -209,11 +209,11 @@ def mosaic_stream(spark, sf_dir):
     p, folder = embeddings(spark, sf_dir), _folder(spark, "stream")
     rows = p.pixels.select("y", "x", "v", F.lit(1.0).alias("w"))
     parts = [rows, rows.where("y < 200").select("y", "x", F.col("v") + 1, F.lit(3.0)).toDF("y", "x", "v", "w"), rows.where("x >= 32").select("y", "x", 2 * F.col("v"), F.lit(0.5)).toDF("y", "x", "v", "w")]
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("y long, x long, v double, w double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     options = {"weight": "w", "tile": 64, "compact": 2}
-    mosaic_stream_.start(stream, f"{folder}/mosaic", f"{folder}/checkpoint", once=True, **options).awaitTermination()
+    for part in parts:  # the stream goes on from its checkpoint with all files of the part as one batch
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("y long, x long, v double, w double").parquet(f"{folder}/in")
+        mosaic_stream_.start(stream, f"{folder}/mosaic", f"{folder}/checkpoint", once=True, **options).awaitTermination()
     mosaic_stream_.merge_batch(rows, 0, f"{folder}/mosaic", **options)
     return mosaic_stream_.current(spark, f"{folder}/mosaic").select("y", "x", r6("v"), "n")
 

@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from rasterlake import swath_queries  # noqa: F401
-from rasterlake.operators import gradient_mosaic, joins
+from rasterlake.operators import gradient_mosaic, joins, mosaic_stream
 from rasterlake.product import embeddings
 from rasterlake.queries import QUERIES, SQL
 
@@ -77,3 +77,15 @@ def test_elimination_equals_relaxation():
         free[1, 1] = True
         e = rng.normal(size=shape)
         assert np.allclose(gradient_mosaic.solve(e, free), gradient_mosaic.relax(e, free, 1e-13), atol=1e-9)
+
+
+def test_a_mosaic_is_summed_by_tiles_before_it_is_summed_by_pixels(spark, tmp_path):
+    folder = str(tmp_path / "mosaic")
+    rows = spark.range(64 * 4096, numPartitions=1).select(F.expr("id div 64").alias("y"), (F.col("id") % 64).alias("x"), F.lit(1.0).alias("v"))
+    mosaic_stream.merge_batch(rows, 0, folder, tile=64)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        held = mosaic_stream.current(spark, folder).groupBy(F.spark_partition_id()).count()
+        assert held.count() > 8 and held.agg(F.sum("count")).first()[0] == 64 * 4096
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
