@@ -30,6 +30,7 @@ from ..product import Product
 from ..session import ship
 
 SPLIT = 32 << 20  # bytes of samples in a partition, about
+PIXELS = 1 << 19  # that a task puts in order
 BATCH = 1 << 17  # pixels of an Arrow batch, about
 
 
@@ -321,13 +322,16 @@ def read_raster(spark: SparkSession, layout: Layout, bands: list[str] | None = N
     return Product(pixels, layout.height, layout.width, meta or {})
 
 
-def in_strips(pixels: DataFrame, lines: int, parts: int) -> DataFrame:
-    """Rows in order of (y, x), a strip of so many lines in one task."""
-    return pixels.withColumn("_strip", F.expr(f"y div {lines}")).repartition(parts, "_strip").sortWithinPartitions("_strip", "y", "x").drop("_strip")
+def in_strips(pixels: DataFrame, height: int, width: int, lines: int, parts: int) -> DataFrame:
+    """Rows in order of (y, x), a strip of so many lines in one task, which has strips that follow each other, of PIXELS at most unless one alone has more."""
+    strips = max(1, -(-height // lines))
+    each = lines * max(1, min(PIXELS // (lines * max(width, 1)), strips // parts))
+    rows = pixels.withColumn("_part", F.expr(f"cast(y div {each} as int)")).repartitionById(-(-max(height, 1) // each), F.col("_part"))
+    return rows.drop("_part").sortWithinPartitions("y", "x")
 
 
 def write_raster(p: Product, path: str, dtype: str | dict[str, str] = "<f4", no_data: dict[str, float] | None = None, lines: int | None = None) -> None:
-    """Bands as strips of `lines` lines (about SPLIT bytes if not given), each a file, with an index layout.json beside them.
+    """Bands as strips of `lines` lines (if not given, about SPLIT bytes or PIXELS at most), each a file, with an index layout.json beside them.
 
     A task holds one strip at a time. Missing and absent pixels get the band's
     no-data value (NaN for floats if none is given; for other types 0, and are
@@ -338,10 +342,10 @@ def write_raster(p: Product, path: str, dtype: str | dict[str, str] = "<f4", no_
     kinds = {b: dtype if isinstance(dtype, str) else dtype[b] for b in p.bands}
     fill = {b: (no_data or {}).get(b, float("nan") if np.dtype(k).kind == "f" else 0) for b, k in kinds.items()}
     wide = sum(np.dtype(k).itemsize for k in kinds.values()) * max(p.width, 1)
-    lines = lines or max(1, SPLIT // wide)
+    lines = lines or max(1, min(SPLIT // wide, PIXELS // max(p.width, 1)))
     rows = p.pixels.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *[F.col(f"`{b}`").cast("double").alias(b) for b in p.bands])
     options = {"path": path, "height": p.height, "width": p.width, "lines": lines, "kinds": json.dumps({b: [kinds[b], fill[b]] for b in p.bands})}
-    in_strips(rows, lines, int(spark.conf.get("spark.sql.shuffle.partitions"))).write.format("raster").mode("append").options(**options).save()
+    in_strips(rows, p.height, p.width, lines, int(spark.conf.get("spark.sql.shuffle.partitions"))).write.format("raster").mode("append").options(**options).save()
 
 
 def read_layout(spark: SparkSession, path: str) -> Layout:

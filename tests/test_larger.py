@@ -10,6 +10,7 @@ from rasterlake import swath_queries  # noqa: F401
 from rasterlake.operators import gradient_mosaic, joins, mosaic_stream
 from rasterlake.product import embeddings
 from rasterlake.queries import QUERIES, SQL
+from rasterlake.sources import raster_files
 
 
 def vectors(folder, lines, seed=1, ids=None, **cells):
@@ -79,6 +80,12 @@ def test_elimination_equals_relaxation():
         assert np.allclose(gradient_mosaic.solve(e, free), gradient_mosaic.relax(e, free, 1e-13), atol=1e-9)
 
 
+def test_no_task_writes_more_than_its_strips(spark):
+    rows = spark.range(40_000 * 64).select(F.expr("id div 64").alias("y"), (F.col("id") % 64).alias("x"))
+    held = raster_files.in_strips(rows, 40_000, 64, raster_files.PIXELS // 64, 1).groupBy(F.spark_partition_id()).count()
+    assert held.agg(F.max("count"), F.sum("count")).first() == (raster_files.PIXELS, 40_000 * 64)
+
+
 def test_a_mosaic_is_summed_by_tiles_before_it_is_summed_by_pixels(spark, tmp_path):
     folder = str(tmp_path / "mosaic")
     rows = spark.range(64 * 4096, numPartitions=1).select(F.expr("id div 64").alias("y"), (F.col("id") % 64).alias("x"), F.lit(1.0).alias("v"))
