@@ -61,6 +61,26 @@ def test_resampling_moves_a_row_a_pixel(spark, tmp_path, method):
     assert taps.count() == 290 * 64 and taps.agg(F.min("n")).first()[0] in (4, 16, 25)
 
 
+@pytest.mark.parametrize("name", ["collocate_swath", "collocate_swath_nearest"])
+def test_collocation_moves_points_and_not_quads(spark, tmp_path, name):
+    folder = vectors(tmp_path, 2000)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, none, None)
+        return {(found.apply(k).stageId(), found.apply(k).attemptId()): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    old = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the table were large
+    try:
+        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = sum(v for k, v in shuffled().items() if k not in old)
+    assert 0 < moved < 200 * 2000 * 64
+
+
 def test_a_narrow_overlap_needs_few_rounds(spark, tmp_path, monkeypatch):
     rounds = []
     one = gradient_mosaic._round

@@ -109,6 +109,31 @@ def test_places_on_a_skewed_swath(spark, lon0):
         assert (got[k]["near_y"], got[k]["near_x"]) == (places[k][0] + 0.5, places[k][1] + 0.5)
 
 
+@pytest.mark.parametrize("lon0", [172.0, -8.0])
+def test_places_do_not_depend_on_blocks(spark, monkeypatch, lon0):
+    rng = np.random.default_rng(4)
+    p = with_coordinates(spark, np.zeros((21, 19)), lon0)
+    # A part lies over another one, some points are missing, two are there twice and one quad is far too wide.
+    over = p.pixels.withColumn("lat", F.when(F.expr("y > 13"), F.col("lat") + 6.3).otherwise(F.col("lat"))).withColumn("lat", F.when(~F.expr("(y = 5 and x = 5) or (y = 8 and x = 16)"), F.col("lat")))
+    over = over.withColumn("lon", F.when(F.expr("y = 20 and x = 18"), F.col("lon") + 150).otherwise(F.col("lon")))
+    twice = over.where("y = 8 and x in (7, 8)").withColumn("lat", F.col("lat") + F.when(F.col("x") == 7, 0.05).otherwise(-0.05))
+    p = Product(over.unionByName(twice), 21, 19)
+    y, x = rng.uniform(0, 20, 3000), rng.uniform(0, 18, 3000)
+    places = np.stack(skewed(y, x, lon0), axis=1)
+    places[::3, 0] += 6.3
+    lat, lon = skewed(*np.mgrid[:21, :19], lon0)
+    places = np.concatenate([places, np.stack([lat.ravel(), lon.ravel()], axis=1)])
+    asked = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(places)], "k int, la double, lo double")
+    found = []
+    for blocks, pairs in ((1024, 1 << 19), (1, 1 << 19), (8, 100)):
+        monkeypatch.setattr(swath, "BLOCKS", blocks)
+        monkeypatch.setattr(swath, "PAIRS", pairs)
+        q = swath.pixel_quads(p)
+        found.append((q.side, sorted(tuple(r) for r in swath.locate(q, asked, F.col("la"), F.col("lo"), ("k",)).collect())))
+    assert [side for side, _ in found] == [1, 16, 4]
+    assert len(found[0][1]) > 2000 and found[0][1] == found[1][1] == found[2][1]
+
+
 def test_collocate(spark):
     y, x = np.mgrid[:12, :15]
     p = with_coordinates(spark, 2.0 * y + x, 178.0)
